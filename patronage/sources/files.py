@@ -5,6 +5,8 @@ Locations are Hadoop URIs (``s3a://``, ``hdfs://``, ``file:`` ...); credentials
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +19,11 @@ def _encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
     Lines are checked where they lie (a line never breaks a UTF-8 sequence), so no file is held
     whole; only the names of files with invalid lines come back.
     """
-    files = spark.read.format("binaryFile").load(path).select("path")
-    lines = (
-        spark.read.option("encoding", "ISO-8859-1").text(path)
-        .select(F.input_file_name().alias("path"), F.encode("value", "ISO-8859-1").alias("raw"))
-    )
-    damaged = lines.where(~F.is_valid_utf8(F.col("raw").cast("string"))).select("path").distinct()
-    latin = {r["path"].replace("file:///", "file:/") for r in damaged.collect()}
-    names = [r["path"].replace("file:///", "file:/") for r in files.collect()]
+    # The text source hands on the stored bytes unchanged.
+    stored = spark.read.text(path)
+    damaged = stored.where(~F.is_valid_utf8("value")).select("_metadata.file_path").distinct()
+    latin = {unquote(r["file_path"]) for r in damaged.collect()}
+    names = [unquote(f) for f in stored.inputFiles()]
     return {
         "UTF-8": [n for n in names if n not in latin],
         "ISO-8859-1": [n for n in names if n in latin],
