@@ -1,3 +1,4 @@
 """Importing this module registers every query."""
 
 import catalog.ingest  # noqa: F401
+import catalog.customers  # noqa: F401

@@ -14,13 +14,14 @@ from catalog.inputs import (
     marked_cte,
     net,
     number_sql,
+    r,
     raw_lines,
     scratch,
     sql,
     tx,
 )
 from catalog.registry import query
-from patronage.functions.text import clean_id, clean_number, is_missing
+from patronage.functions.text import clean_id, clean_number, is_missing, round_to
 from patronage.operators import cleaning, reconcile
 from patronage.operators.cleaning import CleaningPolicy
 from patronage.operators.export import escape_formulas
@@ -282,11 +283,11 @@ def report_sql(policy: str, dedupe: bool = False) -> str:
           coalesce(-sum(total) FILTER (total < 0), 0) AS neg,
           count(*) FILTER (total < 0) AS refund_count FROM {source})""",
         f"""SELECT before.*, dups.*, total_rows_after, total_customers, date_min, date_max,
-          round({revenue}, 2) AS total_revenue, {str(dedupe).lower()} AS duplicates_removed,
-          '{policy}' AS policy_type, round(pos, 2) AS gross_revenue, round(neg, 2) AS refund_amount,
-          refund_count, CASE WHEN pos > 0 THEN round(neg / pos * 100, 2) ELSE 0 END AS refund_rate_pct,
+          {r(revenue, 2)} AS total_revenue, {str(dedupe).lower()} AS duplicates_removed,
+          '{policy}' AS policy_type, {r('pos', 2)} AS gross_revenue, {r('neg', 2)} AS refund_amount,
+          refund_count, CASE WHEN pos > 0 THEN {r('neg / pos * 100', 2)} ELSE 0 END AS refund_rate_pct,
           total_rows_before - total_rows_after AS total_rows_removed,
-          round(total_rows_after / total_rows_before * 100, 2) AS retention_percentage
+          {r('total_rows_after / total_rows_before * 100', 2)} AS retention_percentage
           FROM before, dups, after""",
     )
 
@@ -355,10 +356,10 @@ ledger AS (SELECT *, CASE WHEN NOT rev THEN (u - least(greatest(coalesce(s - low
       AS net_quantity,
     CASE WHEN rev THEN coalesce(s + u - base, 0) > 0 ELSE coalesce(s - low, 0) > 0 END AS is_reconciled,
     quantity * unit_price AS raw_line_total FROM marks)"""
-LEDGER_COLUMNS = """customer_id, invoice_no, invoice_date, quantity, unit_price, description,
-  CAST(round(raw_line_total, 2) AS DOUBLE) AS raw_line_total, CAST(net_quantity AS DOUBLE) AS net_quantity,
-  CAST(round(CASE WHEN NOT rev THEN greatest(0, raw_line_total - (quantity - net_quantity) * unit_price) END, 2)
-    AS DOUBLE) AS net_amount, is_reconciled"""
+LEDGER_COLUMNS = f"""customer_id, invoice_no, invoice_date, quantity, unit_price, description,
+  {r('raw_line_total', 2)} AS raw_line_total, CAST(net_quantity AS DOUBLE) AS net_quantity,
+  {r('CASE WHEN NOT rev THEN greatest(0, raw_line_total - (quantity - net_quantity) * unit_price) END', 2)}
+    AS net_amount, is_reconciled"""
 
 
 def ledger_sql(days: int, last: str, item: str = "description") -> str:
@@ -371,7 +372,7 @@ def ledger(spark, d, days: int = 180, item: str | None = "description"):
 
 
 def two_digits(df):
-    return df.withColumns({c: F.round(c, 2) for c in ("raw_line_total", "net_amount")})
+    return df.withColumns({c: round_to(F.col(c), 2) for c in ("raw_line_total", "net_amount")})
 
 
 @query(
@@ -414,13 +415,13 @@ def r3(spark, d):
     "R4_report",
     ledger_sql(
         180,
-        """SELECT count(*) AS total_raw_records, count(*) FILTER (NOT rev) AS purchase_records,
+        f"""SELECT count(*) AS total_raw_records, count(*) FILTER (NOT rev) AS purchase_records,
         count(*) FILTER (rev) AS reversal_records, count(*) FILTER (rev AND is_reconciled) AS matched_reversals,
         count(*) FILTER (rev AND NOT is_reconciled) AS unmatched_reversals,
-        round(sum(raw_line_total) FILTER (NOT rev), 2) AS gross_revenue,
-        round(sum(raw_line_total - (quantity - net_quantity) * unit_price) FILTER (NOT rev AND net_quantity > 0), 2)
+        {r('sum(raw_line_total) FILTER (NOT rev)', 2)} AS gross_revenue,
+        {r('sum(raw_line_total - (quantity - net_quantity) * unit_price) FILTER (NOT rev AND net_quantity > 0)', 2)}
           AS net_settled_revenue,
-        round(count(*) FILTER (rev AND is_reconciled) * 100 / count(*) FILTER (rev), 2)
+        {r('count(*) FILTER (rev AND is_reconciled) / count(*) FILTER (rev) * 100', 2)}
           AS reconciliation_rate_pct FROM ledger""",
     ),
 )

@@ -87,6 +87,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 # ---------------------------------------------------------------- SQL
 
+
+def r(value: str, digits: int) -> str:
+    """The scaled double rounded half to even."""
+    scale = 10**digits
+    return f"(round_even(CAST({value} AS DOUBLE) * {scale}, 0) / {scale})"
+
+
+def mean(column: str) -> str:
+    return f"CAST(sum(CAST({column} AS DECIMAL(18, 4))) AS DOUBLE) / count({column})"
+
+
 MISSING = "('', 'nan', 'none', 'null')"
 MISSING_INVOICE = "('', 'nan', 'none', 'null', '0')"
 
@@ -127,9 +138,9 @@ def rfm_cte(
     snap = snapshot or (
         f"(SELECT CAST(CAST(max(invoice_date) AS DATE) + 1 AS TIMESTAMP) FROM {source})"
     )
-    total = "greatest(0, round(sum(quantity * unit_price), 2))"
+    total = f"greatest(0, {r('sum(quantity * unit_price)', 2)})"
     orders = "greatest(1, count(DISTINCT CASE WHEN quantity > 0 THEN invoice_no END))"
-    monetary = f"round({total} / {orders}, 2)" if average else total
+    monetary = r(f"{total} / {orders}", 2) if average else total
     main = f"""SELECT customer_id,
       CAST(greatest(0, date_sub('day', coalesce(max(CASE WHEN quantity > 0 THEN invoice_date END),
         max(invoice_date)), {snap})) AS BIGINT) AS recency,

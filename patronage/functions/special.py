@@ -1,16 +1,15 @@
-"""Log-gamma and log-beta differences as Column expressions."""
+"""Log-gamma on arrays, for use inside tasks."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import numpy as np
 
 SHIFT = 8
 
 
-def ln_gamma(x: Column) -> Column:
+def ln_gamma(x: np.ndarray) -> np.ndarray:
     """``ln Γ(x)`` for x > 0: Stirling's series at x + 8, taken back by the recurrence."""
     product = x
     for step in range(1, SHIFT):
@@ -18,4 +17,4 @@ def ln_gamma(x: Column) -> Column:
     y = x + SHIFT
     square = 1.0 / (y * y)
     series = (1 / 12 - square * (1 / 360 - square * (1 / 1260 - square / 1680))) / y
-    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series - F.ln(product)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(product)

@@ -68,3 +68,13 @@ def is_cancellation(invoice_no: Column) -> Column:
 def money(amount: Column) -> Column:
     """Line amount as an exact decimal, so that sums do not depend on row order."""
     return amount.cast("decimal(18,4)")
+
+
+def round_to(value: Column, digits: int) -> Column:
+    """Round the scaled double half to even, as array libraries do."""
+    return F.rint(value.cast("double") * float(10**digits)) / float(10**digits)
+
+
+def exact_mean(value: Column) -> Column:
+    """Mean of amounts from their exact sum, so that it does not depend on row order."""
+    return F.sum(money(value)).cast("double") / F.count(value)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from patronage.functions.text import money, round_to
 from patronage.operators.rfm import _as_datetime, _timestamp, calculate_rfm
 from patronage.schema import require_columns
 
@@ -126,7 +127,7 @@ def retention_summary(t1: DataFrame, t2: DataFrame) -> DataFrame:
     )
 
     def rate(part: str):
-        return F.round(F.coalesce(F.try_divide(part, "total_t1_customers"), F.lit(0.0)), 4)
+        return round_to(F.coalesce(F.try_divide(part, "total_t1_customers"), F.lit(0.0)), 4)
 
     return sums.select(
         "*", rate("retained_count").alias("retention_rate"), rate("churned_count").alias("churn_rate")
@@ -139,20 +140,20 @@ def forward_value(t1: DataFrame, t2_rfm: DataFrame) -> DataFrame:
     outcome = _one_per_customer(t2_rfm, ["customer_id", "frequency", "monetary"])
     joined = customers.join(outcome, "customer_id", "left")
     active = F.col("frequency").isNotNull()
-    spend = F.coalesce(F.col("monetary"), F.lit(0.0)).cast("decimal(18,4)")
+    spend = money(F.coalesce(F.col("monetary"), F.lit(0.0)))
     count, active_count = F.count(F.lit(1)), F.count(F.when(active, F.lit(1)))
     total = F.sum(spend)
 
-    def per(whole, digits=2):
-        return F.round(F.coalesce(F.try_divide(total.cast("double"), whole), F.lit(0.0)), digits)
+    def per(whole):
+        return round_to(F.coalesce(F.try_divide(total.cast("double"), whole), F.lit(0.0)), 2)
 
     return joined.groupBy("segment").agg(
         count.alias("customer_count"),
         active_count.alias("forward_active_count"),
-        F.round(total, 2).cast("double").alias("total_forward_spend"),
+        round_to(total, 2).alias("total_forward_spend"),
         per(count).alias("avg_forward_spend"),
-        F.round(F.avg(F.coalesce("frequency", F.lit(0))), 2).alias("avg_forward_orders"),
-        F.round(active_count * 100 / count, 2).alias("forward_retention_pct"),
+        round_to(F.avg(F.coalesce("frequency", F.lit(0))), 2).alias("avg_forward_orders"),
+        round_to(active_count / count * 100, 2).alias("forward_retention_pct"),
         per(active_count).alias("avg_spend_active_buyers"),
     )
 

@@ -18,6 +18,7 @@ from patronage.functions.text import (
     is_missing,
     money,
     parse_date,
+    round_to,
     strip,
 )
 from patronage.schema import MISSING_INVOICE_TEXT
@@ -180,11 +181,11 @@ def cleaning_report(raw: DataFrame, policy: CleaningPolicy = CleaningPolicy()) -
     revenue = gross - refund if policy.policy_type == "net" else gross
 
     def two_digits(amount: Column) -> Column:
-        return F.round(amount, 2).cast("double")
+        return round_to(amount, 2)
 
     def share(part: Column, whole: Column) -> Column:
         ratio = F.try_divide(part.cast("double"), whole.cast("double")) * 100
-        return F.round(F.when(whole > 0, F.coalesce(ratio, F.lit(0.0))).otherwise(0.0), 2)
+        return round_to(F.when(whole > 0, F.coalesce(ratio, F.lit(0.0))).otherwise(0.0), 2)
 
     return totals.select(
         before.alias("total_rows_before"),

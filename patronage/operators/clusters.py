@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from patronage.functions.order_stats import exact_percentiles, unpivot_metrics
+from patronage.functions.text import exact_mean, money, round_to
 from patronage.schema import RFM_FEATURES, require_columns
 from patronage.session import materialize
 
@@ -320,8 +321,8 @@ def cluster_profiles(clustered: DataFrame) -> DataFrame:
     require_columns(clustered, ["cluster", *RFM_FEATURES], "cluster profiles")
     sums = clustered.groupBy("cluster").agg(
         F.count("customer_id").alias("customer_count"),
-        F.sum(F.col("monetary").cast("decimal(18,4)")).alias("revenue"),
-        *[F.avg(f).alias(f"mean_{f}") for f in RFM_FEATURES],
+        F.sum(money(F.col("monetary"))).alias("revenue"),
+        *[exact_mean(F.col(f)).alias(f"mean_{f}") for f in RFM_FEATURES],
     )
     long = unpivot_metrics(clustered, ["cluster"], RFM_FEATURES)
     medians = (
@@ -338,10 +339,10 @@ def cluster_profiles(clustered: DataFrame) -> DataFrame:
     return sums.join(medians, "cluster").select(
         "cluster",
         "customer_count",
-        F.round(revenue, 2).alias("total_revenue"),
-        *[F.round(f"{s}_{f}", 2).alias(f"{s}_{f}") for f in RFM_FEATURES for s in ("mean", "median")],
-        F.round(heads, 1).alias("customer_share_pct"),
-        F.round(share, 1).alias("revenue_share_pct"),
+        round_to(revenue, 2).alias("total_revenue"),
+        *[round_to(F.col(f"{s}_{f}"), 2).alias(f"{s}_{f}") for f in RFM_FEATURES for s in ("mean", "median")],
+        round_to(heads, 1).alias("customer_share_pct"),
+        round_to(share, 1).alias("revenue_share_pct"),
     )
 
 

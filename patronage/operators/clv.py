@@ -7,12 +7,13 @@ from dataclasses import dataclass
 from datetime import date, datetime
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.functions.order_stats import exact_percentiles
 from patronage.functions.special import ln_gamma
-from patronage.functions.text import money
+from patronage.functions.text import money, round_to
 from patronage.operators.rfm import _as_datetime, _timestamp
 from patronage.schema import REQUIRED_COLUMNS, require_columns
 from patronage.session import materialize
@@ -24,6 +25,8 @@ GAMMA_GAMMA_START = (1.0, 1.0, 10.0)
 GAMMA_GAMMA_BOUNDS = ((1e-3, 50.0), (1e-3, 50.0), (1e-3, 5000.0))
 MIN_REPEAT_BUYERS = 10
 FEW_BUYERS_P, FEW_BUYERS_Q = 1.5, 3.0
+# Relative gain per round below which a fit counts as converged.
+TOLERANCE = 2e-9
 
 
 @dataclass(frozen=True)
@@ -93,21 +96,22 @@ def clv_summary(
 
 
 def _maximize(
-    evaluate: Callable[[np.ndarray], np.ndarray], start: tuple, bounds: tuple, rounds: int = 40
+    evaluate: Callable[[np.ndarray], np.ndarray], start: tuple, bounds: tuple, rounds: int = 60
 ) -> np.ndarray | None:
     """Bounded Newton ascent in log parameters; ``evaluate`` scores many points in one Spark job.
 
     Each round asks for the function around the current point (gradient and curvature by central
-    differences), then for a few damped Newton steps, and moves to the best. None if not converged.
+    differences), then for a set of damped Newton steps of several lengths, and moves to the best.
+    None if it does not converge.
     """
     low, high = np.log(np.array(bounds)).T
     at, size, h = np.log(np.array(start)), len(start), 1e-3
+    unit = np.eye(size) * h
+    pairs = [(i, j) for i in range(size) for j in range(i)]
+    offsets = [np.zeros(size)]
+    offsets += [s * unit[i] for i in range(size) for s in (1, -1)]
+    offsets += [s * (unit[i] + unit[j]) for i, j in pairs for s in (1, -1)]
     for _ in range(rounds):
-        offsets = [np.zeros(size)]
-        unit = np.eye(size) * h
-        offsets += [s * unit[i] for i in range(size) for s in (1, -1)]
-        pairs = [(i, j) for i in range(size) for j in range(i)]
-        offsets += [s * (unit[i] + unit[j]) for i, j in pairs for s in (1, -1)]
         values = evaluate(np.exp(at + np.array(offsets)))
         center, plus, minus = values[0], values[1 : 2 * size : 2], values[2 : 2 * size + 1 : 2]
         gradient = (plus - minus) / (2 * h)
@@ -118,96 +122,120 @@ def _maximize(
         free = ~(((at <= low) & (gradient < 0)) | ((at >= high) & (gradient > 0)))
         if not free.any():
             return np.exp(at)
-        g, c = gradient[free], curvature[np.ix_(free, free)]
-        scale = max(float(np.abs(np.diag(c)).max()), 1e-9)
-        eigen, basis = np.linalg.eigh(c)
+        eigen, basis = np.linalg.eigh(curvature[np.ix_(free, free)])
+        scale = max(float(np.abs(eigen).max()), 1e-12)
         steps = []
-        for damping in (0.0, 1e-6, 1e-4, 1e-2, 0.1, 1.0, 10.0, 1e3):
+        for damping in (0.0, 1e-5, 1e-4, 1e-3, 1e-2, 0.1, 1.0, 100.0):
             bend = np.maximum(np.abs(eigen), 1e-12 * scale) + damping * scale
-            step = np.zeros(size)
-            step[free] = np.clip(basis @ ((basis.T @ g) / bend), -2.0, 2.0)
-            steps.append(np.clip(at + step, low, high))
+            direction = basis @ ((basis.T @ gradient[free]) / bend)
+            direction /= max(1.0, float(np.abs(direction).max()))
+            for length in (0.3, 1.0, 2.0, 4.0):
+                step = np.zeros(size)
+                step[free] = direction * length
+                steps.append(np.clip(at + step, low, high))
         scores = evaluate(np.exp(np.array(steps)))
-        winner = int(np.nanargmax(np.where(np.isfinite(scores), scores, -np.inf)))
+        winner = int(np.argmax(np.where(np.isfinite(scores), scores, -np.inf)))
         gain = scores[winner] - center
-        if not gain > 1e-9 * (1 + abs(center)):
-            return np.exp(at if gain <= 0 else steps[winner])
-        at = steps[winner]
+        if gain > 0:
+            at = steps[winner]
+        if not gain > TOLERANCE * max(1.0, abs(center)):
+            return np.exp(at)
     return None
 
 
 def _likelihood(
-    table: DataFrame, names: list[str], term: Callable[..., Column]
+    table: DataFrame, term: Callable[[pd.DataFrame, np.ndarray], np.ndarray]
 ) -> Callable[[np.ndarray], np.ndarray]:
-    """Weighted sum of ``term`` over ``table`` for each of several parameter points at once."""
+    """Sum of ``w * term`` over ``table`` at each of several parameter points, in one pass.
+
+    Every task adds up its own rows, so one number per point and task is all that is shuffled.
+    """
 
     def evaluate(points: np.ndarray) -> np.ndarray:
-        literals = [
-            F.struct(F.lit(i).alias("point"), *[F.lit(float(v)).alias(n) for n, v in zip(names, p)])
-            for i, p in enumerate(points)
-        ]
-        per_point = table.select("*", F.explode(F.array(*literals)).alias("_at"))
-        value = term(*[F.col(f"_at.{n}") for n in names])
-        usable = F.when(F.isnan(value) | value.isNull(), F.lit(-1e6)).otherwise(value)
-        rows = (
-            per_point.groupBy("_at.point").agg(F.sum(F.col("w") * usable).alias("total")).collect()
-        )
-        totals = np.full(len(points), -np.inf)
+        def add_up(batches):
+            totals = np.zeros(len(points))
+            for batch in batches:
+                with np.errstate(all="ignore"):
+                    value = term(batch, points)
+                usable = np.where(np.isnan(value), -1e6, value)
+                totals += batch["w"].to_numpy() @ usable
+            yield pd.DataFrame({"point": np.arange(len(points)), "total": totals})
+
+        partial = table.mapInPandas(add_up, "point int, total double")
+        rows = partial.groupBy("point").agg(F.sum("total").alias("total")).collect()
+        found = np.full(len(points), -np.inf)
         for row in rows:
-            totals[row["point"]] = row["total"]
-        return totals
+            found[row["point"]] = row["total"]
+        return found
 
     return evaluate
 
 
-def bgnbd_log_likelihood(r: Column, alpha: Column, a: Column, b: Column) -> Column:
-    """Log-likelihood of a customer with columns ``x, t_x, t`` under BG/NBD."""
-    x, t_x, t = F.col("x"), F.col("t_x"), F.col("t")
+def bgnbd_terms(rows: pd.DataFrame, points: np.ndarray) -> np.ndarray:
+    """Log-likelihood of customers (rows ``x, t_x, t``) at points (columns ``r, alpha, a, b``)."""
+    x, t_x, t = (rows[c].to_numpy(dtype=float)[:, None] for c in ("x", "t_x", "t"))
+    r, alpha, a, b = np.asarray(points, dtype=float).T
     orders = ln_gamma(r + x) - ln_gamma(r) - ln_gamma(x + 1)
     dropout = ln_gamma(b + x) + ln_gamma(a + b) - ln_gamma(a + b + x) - ln_gamma(b)
-    timing = r * F.ln(alpha / (alpha + t)) - x * F.ln(alpha + t)
-    odds = a / (b + F.greatest(x - 1, F.lit(0.0))) * F.pow((alpha + t) / (alpha + t_x), r + x)
-    return orders + dropout + timing + F.when(x > 0, F.log1p(odds)).otherwise(0.0)
+    timing = r * np.log(alpha / (alpha + t)) - x * np.log(alpha + t)
+    odds = a / (b + np.maximum(x - 1, 0)) * ((alpha + t) / (alpha + t_x)) ** (r + x)
+    return orders + dropout + timing + np.where(x > 0, np.log1p(odds), 0.0)
+
+
+def bgnbd_table(summary: DataFrame) -> DataFrame:
+    """Distinct purchase histories with the number of customers that share them."""
+    return summary.groupBy(
+        F.col("frequency_repeat").cast("double").alias("x"),
+        F.col("recency_days").alias("t_x"),
+        F.col("tenure_days").alias("t"),
+    ).agg(F.count(F.lit(1)).cast("double").alias("w"))
+
+
+def bgnbd_log_likelihood(summary: DataFrame, points: list[tuple]) -> list[float]:
+    """Log-likelihood of the customers at each parameter point ``(r, alpha, a, b)``."""
+    return [float(v) for v in _likelihood(bgnbd_table(summary), bgnbd_terms)(np.array(points))]
 
 
 def fit_bgnbd(summary: DataFrame, start: tuple = BGNBD_START) -> BGNBDParameters:
-    """Maximum likelihood over distinct (x, t_x, T) with their counts; start values if it fails."""
-    table = materialize(
-        summary.groupBy(
-            F.col("frequency_repeat").cast("double").alias("x"),
-            F.col("recency_days").alias("t_x"),
-            F.col("tenure_days").alias("t"),
-        ).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    )
-    names = ["r", "alpha", "a", "b"]
-    found = _maximize(_likelihood(table, names, bgnbd_log_likelihood), start, BGNBD_BOUNDS)
+    """Maximum likelihood; the start values if it does not converge."""
+    table = materialize(bgnbd_table(summary))
+    found = _maximize(_likelihood(table, bgnbd_terms), start, BGNBD_BOUNDS)
     return BGNBDParameters(*[round(float(v), 4) for v in (start if found is None else found)])
 
 
-def gamma_gamma_log_likelihood(p: Column, q: Column, v: Column) -> Column:
-    """Log-likelihood of a repeat buyer with columns ``x, m`` under Gamma-Gamma."""
-    x, m = F.col("x"), F.col("m")
+def gamma_gamma_terms(rows: pd.DataFrame, points: np.ndarray) -> np.ndarray:
+    """Log-likelihood of repeat buyers (rows ``x, m``) at points (columns ``p, q, v``)."""
+    x, m = (rows[c].to_numpy(dtype=float)[:, None] for c in ("x", "m"))
+    p, q, v = np.asarray(points, dtype=float).T
     shape = p * x
     return (
         ln_gamma(shape + q) - ln_gamma(shape) - ln_gamma(q)
-        + q * F.ln(v) + (shape - 1) * F.ln(m) + shape * F.ln(x) - (shape + q) * F.ln(x * m + v)
+        + q * np.log(v) + (shape - 1) * np.log(m) + shape * np.log(x)
+        - (shape + q) * np.log(x * m + v)
     )
 
 
-def fit_gamma_gamma(summary: DataFrame, start: tuple = GAMMA_GAMMA_START) -> GammaGammaParameters:
+def gamma_gamma_table(summary: DataFrame) -> DataFrame:
+    """Distinct (repeat orders, mean spend) of repeat buyers with their number."""
     buyers = summary.where(F.col("frequency_repeat") >= 1)
-    table = materialize(
-        buyers.groupBy(
-            F.col("frequency_repeat").cast("double").alias("x"), F.col("monetary_avg").alias("m")
-        ).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    )
+    return buyers.groupBy(
+        F.col("frequency_repeat").cast("double").alias("x"), F.col("monetary_avg").alias("m")
+    ).agg(F.count(F.lit(1)).cast("double").alias("w"))
+
+
+def gamma_gamma_log_likelihood(summary: DataFrame, points: list[tuple]) -> list[float]:
+    """Log-likelihood of the repeat buyers at each parameter point ``(p, q, v)``."""
+    evaluate = _likelihood(gamma_gamma_table(summary), gamma_gamma_terms)
+    return [float(v) for v in evaluate(np.array(points))]
+
+
+def fit_gamma_gamma(summary: DataFrame, start: tuple = GAMMA_GAMMA_START) -> GammaGammaParameters:
+    """Maximum likelihood over repeat buyers; fixed shape values if there are too few of them."""
+    table = materialize(gamma_gamma_table(summary))
     if (table.agg(F.sum("w").alias("n")).first()["n"] or 0) < MIN_REPEAT_BUYERS:
         mean = summary.agg(F.avg("monetary_avg").alias("m")).first()["m"]
         return GammaGammaParameters(FEW_BUYERS_P, FEW_BUYERS_Q, mean)
-    names = ["p", "q", "v"]
-    found = _maximize(
-        _likelihood(table, names, gamma_gamma_log_likelihood), start, GAMMA_GAMMA_BOUNDS
-    )
+    found = _maximize(_likelihood(table, gamma_gamma_terms), start, GAMMA_GAMMA_BOUNDS)
     return GammaGammaParameters(*[round(float(v), 4) for v in (start if found is None else found)])
 
 
@@ -256,9 +284,9 @@ def customer_clv(
     spend = expected_spend(gamma_gamma, median_spend(summary))
     return summary.select(
         "customer_id",
-        F.round(alive, 4).alias("p_alive"),
-        F.round(1.0 - alive, 4).alias("churn_probability"),
-        F.round(orders, 2).alias("expected_transactions_6m"),
-        F.round(spend, 2).alias("expected_avg_spend"),
-        F.round(orders * spend, 2).alias("predicted_clv_6m"),
+        round_to(alive, 4).alias("p_alive"),
+        round_to(1.0 - alive, 4).alias("churn_probability"),
+        round_to(orders, 2).alias("expected_transactions_6m"),
+        round_to(spend, 2).alias("expected_avg_spend"),
+        round_to(orders * spend, 2).alias("predicted_clv_6m"),
     )

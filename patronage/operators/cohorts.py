@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from patronage.functions.text import round_to
 from patronage.schema import require_columns
 
 
@@ -60,7 +61,7 @@ def cohort_matrix(df: DataFrame) -> DataFrame:
         F.date_format("cohort_month", "yyyy-MM").alias("cohort_month"),
         "cohort_index",
         customers.alias("customers"),
-        F.round(customers * 100 / F.col("cohort_size"), 1).alias("retention_pct"),
+        round_to(customers / F.col("cohort_size") * 100, 1).alias("retention_pct"),
     )
 
 
@@ -74,7 +75,7 @@ def cohort_summary(matrix: DataFrame) -> DataFrame:
 
     def mean_at(month: int):
         value = F.avg(F.when(F.col("cohort_index") == month, F.col("retention_pct")))
-        return F.coalesce(F.round(value, 1), F.lit(0.0)).alias(f"avg_m{month}_retention")
+        return F.coalesce(round_to(value, 1), F.lit(0.0)).alias(f"avg_m{month}_retention")
 
     cohorts = F.count(F.when(F.col("cohort_index") == 0, F.lit(1)))
     return matrix.agg(cohorts.alias("total_cohorts"), *[mean_at(m) for m in (1, 3, 6)])

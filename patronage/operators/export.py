@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patronage.functions.hashing import sha256_percentile
+from patronage.functions.text import round_to
 
 # Export headers in output order; the monetary header carries the currency symbol.
 EXPORT_HEADERS = {
@@ -67,25 +68,25 @@ def crm_payload(
         return next((F.col(f"`{n}`") for n in names if n in present), F.lit(default))
 
     if "churn_probability" in present:
-        churn = F.round(F.col("churn_probability").cast("double") * 100, 1)
+        churn = round_to(F.col("churn_probability").cast("double") * 100, 1)
     elif "p_alive" in present:
-        churn = F.round((1.0 - F.col("p_alive").cast("double")) * 100, 1)
+        churn = round_to((1.0 - F.col("p_alive").cast("double")) * 100, 1)
     else:
         churn = F.lit(0.0)
     customer = F.col("customer_id").cast("string")
     bucket = sha256_percentile(F.concat(customer, F.lit("_" + campaign_salt)))
     return labeled.select(
         customer.alias("customer_id"),
-        F.bround(first_present(["recency"], 0).cast("double")).cast("bigint").alias("recency_days"),
-        F.bround(first_present(["frequency"], 1).cast("double")).cast("bigint").alias(
+        F.rint(first_present(["recency"], 0).cast("double")).cast("bigint").alias("recency_days"),
+        F.rint(first_present(["frequency"], 1).cast("double")).cast("bigint").alias(
             "frequency_orders"
         ),
-        F.round(first_present(["monetary"], 0.0).cast("double"), 2).alias("monetary_spend"),
+        round_to(first_present(["monetary"], 0.0).cast("double"), 2).alias("monetary_spend"),
         first_present(["segment", "Customer Segment"], "Unassigned").cast("string").alias(
             "segment_name"
         ),
         first_present(["cluster", "Cluster ID"], 0).cast("int").alias("cluster_id"),
-        F.round(first_present(["predicted_clv_6m"], 0.0).cast("double"), 2).alias(
+        round_to(first_present(["predicted_clv_6m"], 0.0).cast("double"), 2).alias(
             "predicted_clv_6m"
         ),
         churn.alias("churn_risk_pct"),

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patronage.functions.text import is_cancellation, money, strip
+from patronage.functions.text import is_cancellation, money, round_to, strip
 from patronage.schema import REQUIRED_COLUMNS, require_columns
 from patronage.session import small_lookup
 
@@ -149,15 +149,20 @@ def _settle_across_slabs(settled: DataFrame, lookback_days: int) -> DataFrame:
     ).drop("_open", "_until", "_total", "_height", "_expired", "_wanted", "_wanted_zero")
 
 
-def _fold(events: pd.DataFrame, lookback: pd.Timedelta) -> pd.DataFrame:
-    """Match returns to purchases of one customer in time order; ``''`` means any item."""
-    events = events.sort_values(ORDER, kind="stable").reset_index(drop=True)
+def _fold(events: pd.DataFrame, lookback: np.timedelta64) -> pd.DataFrame:
+    """Match returns to purchases in time order; an empty item in a return means any item.
+
+    ``events`` holds whole (customer, slab) groups one after the other, each in time order.
+    """
     left = events["_left"].to_numpy(dtype=np.int64).copy()
     hit = events["_hit"].to_numpy(dtype=bool).copy()
     dates, items = events["invoice_date"].to_numpy(), events["_item"].to_numpy()
     returns, seeks = events["_reversal"].to_numpy(), events["_seek"].to_numpy()
-    stacks: dict[str, list[int]] = {"": []}
+    starts = _group_starts(events)
+    stacks: dict[str, list[int]] = {}
     for row in range(len(events)):
+        if starts[row]:
+            stacks = {"": []}
         if not returns[row]:
             stacks[""].append(row)
             if items[row] != "":
@@ -180,14 +185,34 @@ def _fold(events: pd.DataFrame, lookback: pd.Timedelta) -> pd.DataFrame:
     return events.assign(_left=left, _hit=hit)
 
 
+def _group_starts(events: pd.DataFrame) -> np.ndarray:
+    customer, slab = events["customer_id"].to_numpy(), events["_slab"].to_numpy()
+    starts = np.ones(len(events), dtype=bool)
+    starts[1:] = (customer[1:] != customer[:-1]) | (slab[1:] != slab[:-1])
+    return starts
+
+
 def _settle_by_folding(events: DataFrame, lookback_days: int) -> DataFrame:
-    lookback = pd.Timedelta(days=lookback_days)
+    lookback = np.timedelta64(lookback_days, "D")
     start = events.withColumns({"_left": F.col("_units"), "_hit": F.lit(False)})
 
+    def fold_groups(batches):
+        # Batches are cut anywhere; the unfinished last group waits for the next one.
+        waiting = None
+        for batch in batches:
+            rows = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+            last = int(np.flatnonzero(_group_starts(rows))[-1]) if len(rows) else 0
+            if last > 0:
+                yield _fold(rows.iloc[:last].reset_index(drop=True), lookback)
+            waiting = rows.iloc[last:].reset_index(drop=True)
+        if waiting is not None and len(waiting):
+            yield _fold(waiting, lookback)
+
     def one_pass(table: DataFrame) -> DataFrame:
-        return table.groupBy("customer_id", "_slab").applyInPandas(
-            lambda group: _fold(group, lookback), table.schema
+        in_order = table.repartition("customer_id", "_slab").sortWithinPartitions(
+            "customer_id", "_slab", *ORDER
         )
+        return in_order.mapInPandas(fold_groups, table.schema)
 
     inside = one_pass(start.withColumn("_seek", F.col("_reversal")))
     open_return = _open_returns(inside)
@@ -248,10 +273,10 @@ def reconciliation_report(ledger: DataFrame) -> DataFrame:
         F.sum(F.when(~reversal & (F.col("net_quantity") > 0), money(F.col("net_amount")))).alias("net"),
     )
     reversals, found = F.col("reversal_records"), F.col("matched_reversals")
-    rate = F.round(F.try_divide(found * 100, reversals), 2)
+    rate = round_to(F.try_divide(found, reversals) * 100, 2)
 
     def amount(name: str) -> Column:
-        return F.round(F.coalesce(name, F.lit(0)), 2).cast("double")
+        return round_to(F.coalesce(name, F.lit(0)), 2)
 
     return counts.select(
         "total_raw_records",

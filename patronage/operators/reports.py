@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from patronage.functions.order_stats import exact_percentiles, unpivot_metrics, value_ranks
-from patronage.functions.text import money, strip
+from patronage.functions.text import exact_mean, money, round_to, strip
 from patronage.operators.personas import with_persona_details
 from patronage.schema import RFM_FEATURES
 
@@ -16,14 +16,10 @@ SEPARATION_VERDICTS = [(0.50, "strong"), (0.35, "moderate"), (0.20, "weak")]
 HISTOGRAM_BINS = {"recency": 30, "frequency": 25, "monetary": 30}
 
 
-def _exact(column: str) -> Column:
-    return F.col(column).cast("decimal(18,4)")
-
-
 def _percent_of_total(value: Column, digits: int | None = 1) -> Column:
     total = F.sum(value).over(W.partitionBy()).cast("double")
     share = F.when(total > 0, F.try_divide(value.cast("double"), total) * 100).otherwise(0.0)
-    return share if digits is None else F.round(share, digits)
+    return share if digits is None else round_to(share, digits)
 
 
 def filter_customers(
@@ -40,14 +36,14 @@ def filter_customers(
 
 
 def overview_kpis(labeled: DataFrame) -> DataFrame:
-    revenue = F.sum(_exact("monetary"))
+    revenue = F.sum(money(F.col("monetary")))
     customers = F.count(F.lit(1))
     return labeled.agg(
         customers.alias("customers"),
-        F.round(F.coalesce(revenue, F.lit(0)), 2).cast("double").alias("revenue"),
-        F.round(F.coalesce(F.try_divide(revenue.cast("double"), customers), F.lit(0.0)), 2).alias(
-            "avg_spend"
-        ),
+        round_to(F.coalesce(revenue, F.lit(0)), 2).alias("revenue"),
+        round_to(
+            F.coalesce(F.try_divide(revenue.cast("double"), customers), F.lit(0.0)), 2
+        ).alias("avg_spend"),
         F.countDistinct("segment").alias("segments"),
     )
 
@@ -56,16 +52,16 @@ def segment_playbook(labeled: DataFrame) -> DataFrame:
     """Per segment: size, revenue, shares, mean metrics and persona text; revenue descending."""
     grouped = labeled.groupBy("segment").agg(
         F.count(F.lit(1)).alias("customers"),
-        F.sum(_exact("monetary")).alias("revenue"),
-        *[F.avg(f).alias(f"avg_{f}") for f in RFM_FEATURES],
+        F.sum(money(F.col("monetary"))).alias("revenue"),
+        *[exact_mean(F.col(f)).alias(f"avg_{f}") for f in RFM_FEATURES],
     )
     figures = grouped.select(
         "segment",
         "customers",
         _percent_of_total(F.col("customers")).alias("customer_pct"),
-        F.round("revenue", 2).cast("double").alias("revenue"),
+        round_to(F.col("revenue"), 2).alias("revenue"),
         _percent_of_total(F.col("revenue")).alias("revenue_pct"),
-        *[F.round(f"avg_{f}", 2).alias(f"avg_{f}") for f in RFM_FEATURES],
+        *[round_to(F.col(f"avg_{f}"), 2).alias(f"avg_{f}") for f in RFM_FEATURES],
     )
     return with_persona_details(figures).orderBy(F.desc("revenue"), "segment")
 
@@ -76,7 +72,7 @@ def segment_customers(labeled: DataFrame) -> DataFrame:
 
 
 def segment_revenue(labeled: DataFrame) -> DataFrame:
-    sums = labeled.groupBy("segment").agg(F.sum(_exact("monetary")).alias("revenue"))
+    sums = labeled.groupBy("segment").agg(F.sum(money(F.col("monetary"))).alias("revenue"))
     return sums.select(
         "segment",
         F.col("revenue").cast("double").alias("revenue"),
@@ -85,13 +81,13 @@ def segment_revenue(labeled: DataFrame) -> DataFrame:
 
 
 def segment_shares(labeled: DataFrame) -> DataFrame:
-    revenue, customers = F.sum(_exact("monetary")), F.count(F.lit(1))
+    revenue, customers = F.sum(money(F.col("monetary"))), F.count(F.lit(1))
     return labeled.groupBy("segment").agg(
         customers.alias("customers"),
-        F.round(revenue, 2).cast("double").alias("revenue"),
+        round_to(revenue, 2).alias("revenue"),
         F.avg("recency").alias("avg_recency"),
         F.avg("frequency").alias("avg_frequency"),
-        F.round(revenue.cast("double") / customers, 2).alias("avg_spend_per_cust"),
+        round_to(revenue.cast("double") / customers, 2).alias("avg_spend_per_cust"),
     )
 
 
@@ -178,8 +174,8 @@ def segment_radar(labeled: DataFrame) -> DataFrame:
 
 def mean_scores(scored: DataFrame) -> DataFrame:
     return scored.agg(
-        *[F.round(F.avg(f"{s}_score"), 2).alias(f"avg_{s}_score") for s in "rfm"],
-        F.round(F.avg("rfm_total"), 1).alias("avg_rfm_total"),
+        *[round_to(F.avg(f"{s}_score"), 2).alias(f"avg_{s}_score") for s in "rfm"],
+        round_to(F.avg("rfm_total"), 1).alias("avg_rfm_total"),
     )
 
 
@@ -210,9 +206,7 @@ def order_timeline(transactions: DataFrame) -> DataFrame:
         else F.count("invoice_no")
     )
     return transactions.groupBy("customer_id", "invoice_no", "invoice_date").agg(
-        F.round(F.sum(money(F.col("quantity") * F.col("unit_price"))), 2)
-        .cast("double")
-        .alias("order_total"),
+        round_to(F.sum(money(F.col("quantity") * F.col("unit_price"))), 2).alias("order_total"),
         F.sum("quantity").alias("item_count"),
         products.alias("distinct_products"),
     )
@@ -234,7 +228,7 @@ def customer_percentiles(rfm: DataFrame) -> DataFrame:
     for metric, name in zip(RFM_FEATURES, ["recency_pct", "frequency_pct", "monetary_pct"]):
         ranks = value_ranks(rfm.select(F.col(metric).cast("double").alias("_v")), [], "_v")
         beaten = F.col("total") - F.col("n_below") if metric == "recency" else F.col("n_upto")
-        percent = F.round(beaten * 100 / F.col("total"), 1)
+        percent = round_to(beaten / F.col("total") * 100, 1)
         lookup = ranks.select("_v", percent.alias(name))
         result = result.join(lookup, F.col(metric).cast("double") == F.col("_v"), "left").drop("_v")
     return result
@@ -265,7 +259,7 @@ def retention_cells(matrix: DataFrame) -> DataFrame:
 
 def transition_cells(transitions: DataFrame) -> DataFrame:
     """Heatmap cells of a transition matrix in percent."""
-    percent = F.round(F.col("prob") * 100, 1)
+    percent = round_to(F.col("prob") * 100, 1)
     return transitions.select(
         "segment_t1",
         "segment_t2",

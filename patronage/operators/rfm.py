@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.functions.order_stats import exact_percentiles, keys_at_ranks, unpivot_metrics
-from patronage.functions.text import is_missing, money
+from patronage.functions.text import is_missing, money, round_to, exact_mean
 from patronage.schema import (
     MISSING_INVOICE_TEXT,
     REQUIRED_COLUMNS,
@@ -98,13 +98,13 @@ def calculate_rfm(
     # Whole 24-hour periods of wall-clock time, whatever the session time zone.
     age = F.extract(F.lit("DAY"), _timestamp(snapshot) - last_bought)
     spend = F.greatest(
-        F.round(F.sum(money(quantity * F.col("unit_price"))), 2), F.lit(0).cast("decimal(3,2)")
+        round_to(F.sum(money(quantity * F.col("unit_price"))), 2), F.lit(0.0)
     )
     orders = F.greatest(F.countDistinct(F.when(counted, F.col("invoice_no"))), F.lit(1))
     metrics = [
         F.greatest(age, F.lit(0)).cast("bigint").alias("recency"),
         orders.cast("bigint").alias("frequency"),
-        F.coalesce(spend, F.lit(0)).alias("monetary"),
+        spend.alias("monetary"),
         F.min(bought_on).alias("first_purchase"),
         F.max(bought_on).alias("last_purchase"),
     ]
@@ -112,9 +112,9 @@ def calculate_rfm(
         metrics.append(F.coalesce(F.mode("country", True), F.lit("Unknown")).alias("country"))
     rfm = lines.groupBy(F.col("customer_id").cast("string").alias("customer_id")).agg(*metrics)
     if use_average_monetary:
-        average = F.round(F.col("monetary") / F.col("frequency"), 2)
+        average = round_to(F.col("monetary") / F.col("frequency"), 2)
         rfm = rfm.withColumn("monetary", average)
-    return rfm.withColumn("monetary", F.col("monetary").cast("double"))
+    return rfm
 
 
 def rfm_summary(rfm: DataFrame) -> DataFrame:
@@ -123,14 +123,14 @@ def rfm_summary(rfm: DataFrame) -> DataFrame:
     long = unpivot_metrics(rfm, [], metrics)
     quartiles = exact_percentiles(long, ["metric"], "value", {"p25": 0.25, "median": 0.5, "p75": 0.75})
     moments = long.groupBy("metric").agg(
-        F.avg("value").alias("mean"),
+        exact_mean(F.col("value")).alias("mean"),
         F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
     figures = ["mean", "std", "min", "p25", "median", "p75", "max"]
     return moments.join(quartiles, "metric").select(
-        "metric", *[F.round(f, 2).alias(f) for f in figures]
+        "metric", *[round_to(F.col(f), 2).alias(f) for f in figures]
     )
 
 
@@ -188,7 +188,7 @@ def rfm_collinearity(rfm: DataFrame) -> DataFrame:
     def pearson(x: str, y: str) -> Column:
         spread = F.stddev_pop(x) * F.stddev_pop(y)
         r = F.try_divide(F.covar_pop(x, y), spread)
-        return F.round(F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0)), 4)
+        return round_to(F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0)), 4)
 
     return rfm.agg(
         pearson("recency", "frequency").alias("r_f_corr"),
