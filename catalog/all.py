@@ -2,3 +2,5 @@
 
 import catalog.ingest  # noqa: F401
 import catalog.customers  # noqa: F401
+import catalog.segments  # noqa: F401
+import catalog.dashboards  # noqa: F401

@@ -436,3 +436,10 @@ def r2_blank(spark, d):
     lines = net(spark, d, description=True).drop("is_refund")
     lines = lines.withColumn("description", F.when(blank, "").otherwise(F.col("description")))
     return reconcile.reconciliation_report(reconcile.reconciliation_ledger(lines))
+
+
+@query("R2_ledger_split_by_day", ledger_sql(180, f"SELECT {LEDGER_COLUMNS}, rev AS is_reversal FROM ledger"))
+def r2_by_day(spark, d):
+    """The same settlement with every customer treated as one that needs splitting."""
+    lines = net(spark, d, description=True).drop("is_refund")
+    return two_digits(reconcile.reconciliation_ledger(lines, hot_rows=0))

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patronage.functions.text import (
     clean_id,
@@ -61,10 +62,8 @@ def duplicate_rows(raw: DataFrame) -> DataFrame:
     return raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-def annotate_transactions(
-    raw: DataFrame, policy: CleaningPolicy = CleaningPolicy(), carry: tuple[str, ...] = ()
-) -> DataFrame:
-    """Cleaned columns plus ``removal_reason``, null for rows that stay; ``carry`` passes through."""
+def _cleaned(raw: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Cleaned columns plus ``_no_customer``; ``carry`` passes through."""
     types = {f.name: f.dataType for f in raw.schema}
     rules = {
         "customer_id": clean_id,
@@ -78,15 +77,13 @@ def annotate_transactions(
 
     no_customer = is_missing(F.col("customer_id"), types["customer_id"])
     names = [c for c in raw.columns if c not in carry]
-    return (
-        raw.select(*carry, *[cleaned(c).alias(c) for c in names], no_customer.alias("_no_customer"))
-        .withColumn("removal_reason", removal_reason(policy, types["invoice_no"]))
-        .drop("_no_customer")
+    return raw.select(
+        *carry, *[cleaned(c).alias(c) for c in names], no_customer.alias("_no_customer")
     )
 
 
-def removal_reason(policy: CleaningPolicy, invoice_type) -> Column:
-    """First rule broken, on cleaned columns plus ``_no_customer``."""
+def broken_rules(policy: CleaningPolicy, invoice_type: T.DataType) -> dict[str, Column]:
+    """Never-null conditions under which a cleaned row is removed, in order of precedence."""
     quantity, price = F.col("quantity"), F.col("unit_price")
     cancelled = is_cancellation(strip(F.col("invoice_no")))
     if policy.policy_type == "net":
@@ -94,7 +91,7 @@ def removal_reason(policy: CleaningPolicy, invoice_type) -> Column:
         bad_quantity = quantity.isNull() | (quantity == 0)
     else:
         bad_quantity = quantity.isNull() | (quantity <= 0)
-    rules = {
+    return {
         "missing_customer": F.col("_no_customer"),
         "cancelled": cancelled,
         "missing_invoice": is_missing(F.col("invoice_no"), invoice_type, MISSING_INVOICE_TEXT),
@@ -102,7 +99,27 @@ def removal_reason(policy: CleaningPolicy, invoice_type) -> Column:
         "non_positive_price": price.isNull() | (price <= 0),
         "invalid_date": F.col("invoice_date").isNull(),
     }
-    return F.coalesce(*[F.when(broken, F.lit(name)) for name, broken in rules.items()])
+
+
+def annotate_transactions(
+    raw: DataFrame, policy: CleaningPolicy = CleaningPolicy(), carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Cleaned columns plus ``removal_reason``: the first broken rule, null for rows that stay."""
+    rules = broken_rules(policy, raw.schema["invoice_no"].dataType)
+    reason = F.coalesce(*[F.when(broken, F.lit(name)) for name, broken in rules.items()])
+    return _cleaned(raw, carry).withColumn("removal_reason", reason).drop("_no_customer")
+
+
+def kept_transactions(raw: DataFrame, policy: CleaningPolicy = CleaningPolicy()) -> DataFrame:
+    """Cleaned rows that break no rule, with ``is_refund``.
+
+    Every rule is a filter of its own, so each is applied as early as its columns are known,
+    down to the scans below a join.
+    """
+    kept = _cleaned(raw)
+    for broken in broken_rules(policy, raw.schema["invoice_no"].dataType).values():
+        kept = kept.where(~broken)
+    return with_refund_flag(kept.drop("_no_customer"))
 
 
 def with_refund_flag(df: DataFrame) -> DataFrame:
@@ -125,10 +142,10 @@ def clean_transactions(
     dedupe = policy.remove_duplicates or remove_duplicates
     policy = CleaningPolicy(policy.policy_type, dedupe)
     raw = select_canonical(df, mapping)
-    kept = annotate_transactions(raw, policy).where("removal_reason is null").drop("removal_reason")
+    kept = kept_transactions(raw, policy)
     if dedupe and not duplicate_rows(raw).isEmpty():
         kept = kept.dropDuplicates()
-    return with_refund_flag(kept), cleaning_report(raw, policy)
+    return kept, cleaning_report(raw, policy)
 
 
 def cleaning_report(raw: DataFrame, policy: CleaningPolicy = CleaningPolicy()) -> DataFrame:

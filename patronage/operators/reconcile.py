@@ -13,8 +13,8 @@ reaches into its own slab or the previous one, so two passes settle everything:
 1. inside each (customer, item, slab), where no pair can be too far apart;
 2. what a return could not get there is taken from the previous slab, with the age checked.
 
-Slabs also bound the work per task: a customer with a huge history spreads over many of them.
-A return without an item takes any item of the customer. Customers with such returns go through
+Slabs also spread a long history over tasks; customers with very many rows are cut into days on
+top of that. A return without an item takes any item of the customer. Customers with such returns go through
 the same two passes per (customer, slab) in a small Python fold.
 """
 
@@ -23,16 +23,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from patronage.functions.running import group_total, running
 from patronage.functions.text import is_cancellation, money, round_to, strip
 from patronage.schema import REQUIRED_COLUMNS, require_columns
 from patronage.session import small_lookup
 
 # Quantities are compared as whole millionths, which also absorbs floating-point dust.
 UNITS = 1_000_000
+# Rows from which a customer is split into days.
+HOT_ROWS = 1_000_000
 ORDER = ["invoice_date", "_reversal", "invoice_no", "_item", "unit_price", "_units"]
 
 
@@ -70,26 +72,22 @@ def _between(value: Column, top: Column) -> Column:
     return F.least(F.greatest(value, F.lit(0)), top)
 
 
-def _settle_inside_slabs(events: DataFrame) -> DataFrame:
+def _settle_inside_slabs(events: DataFrame, block: str | None = None) -> DataFrame:
     """Add ``_left`` (units a row still holds or still wants) and ``_hit`` (took part in a match)."""
-    stack = W.partitionBy("customer_id", "_item", "_slab")
-    upto = stack.orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
-    # The same order backwards: "everything from here on" as a growing frame.
-    onward = stack.orderBy(*[F.desc(c) for c in ORDER]).rowsBetween(W.unboundedPreceding, 0)
-    units, reversal = F.col("_units"), F.col("_reversal")
+    keys = ["customer_id", "_item", "_slab"]
+    onward, back = [F.col(c) for c in ORDER], [F.desc(c) for c in ORDER]
+    units, reversal, height = F.col("_units"), F.col("_reversal"), F.col("_height")
     signed = F.when(reversal, -units).otherwise(units)
-    before = F.col("_height") - signed
-    heights = events.withColumn("_height", F.sum(signed).over(upto))
-    marks = heights.withColumns(
-        {
-            "_low": F.min(F.when(reversal & (units > 0), F.col("_height"))).over(onward),
-            "_low_zero": F.min(F.when(reversal & (units == 0), F.col("_height"))).over(onward),
-            "_floor": F.min(F.when(~reversal, before)).over(upto),
-        }
-    )
-    taken = _between(F.col("_height") - F.col("_low"), units)
-    taken = F.coalesce(taken, F.lit(0))
-    touched = (taken > 0) | F.coalesce(F.col("_low_zero") <= F.col("_height"), F.lit(False))
+    before = height - signed
+    heights = running(events, keys, onward, {"_height": ("sum", signed)}, block)
+    lows = {
+        "_low": ("min", F.when(reversal & (units > 0), height)),
+        "_low_zero": ("min", F.when(reversal & (units == 0), height)),
+    }
+    marks = running(heights, keys, back, lows, block, backward=True)
+    marks = running(marks, keys, onward, {"_floor": ("min", F.when(~reversal, before))}, block)
+    taken = F.coalesce(_between(height - F.col("_low"), units), F.lit(0))
+    touched = (taken > 0) | F.coalesce(F.col("_low_zero") <= height, F.lit(False))
     available = F.greatest(F.coalesce(before - F.col("_floor"), F.lit(0)), F.lit(0))
     return marks.withColumns(
         {
@@ -99,54 +97,65 @@ def _settle_inside_slabs(events: DataFrame) -> DataFrame:
     ).drop("_height", "_low", "_low_zero", "_floor")
 
 
-def _open_returns(settled: DataFrame) -> Column:
+def _open_returns() -> Column:
     """Returns that still look for units: some wanted, or none wanted and nothing found yet."""
     wants = (F.col("_left") > 0) | ((F.col("_units") == 0) & ~F.col("_hit"))
     return F.col("_reversal") & wants
 
 
-def _settle_across_slabs(settled: DataFrame, lookback_days: int) -> DataFrame:
+def _settle_across_slabs(
+    settled: DataFrame, lookback_days: int, by_blocks: bool = False
+) -> DataFrame:
     """Second pass: open returns against what the previous slab has left."""
-    open_return = _open_returns(settled)
-    moved = settled.withColumn("_open", open_return).withColumn(
+    keys = ["customer_id", "_item", "_slab"]
+    moved = settled.withColumn("_open", _open_returns()).withColumn(
         "_slab", F.when(F.col("_open"), F.col("_slab") - 1).otherwise(F.col("_slab"))
     )
     purchase, opened, left = ~F.col("_reversal"), F.col("_open"), F.col("_left")
-    moved = moved.withColumn(
-        "_until",
-        F.when(purchase, F.col("invoice_date") + F.expr(f"interval {int(lookback_days)} days"))
-        .otherwise(F.col("invoice_date")),
-    )
-    pair = W.partitionBy("customer_id", "_item", "_slab")
-    order = pair.orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
+    expiry = F.col("invoice_date") + F.expr(f"interval {int(lookback_days)} days")
+    moved = moved.withColumn("_until", F.when(purchase, expiry).otherwise(F.col("invoice_date")))
+    held_on = reach_on = None
+    if by_blocks:
+        held_on, reach_on = "_held_on", "_reach_on"
+        moved = moved.withColumns(
+            {
+                held_on: F.col("invoice_date").cast("date"),
+                reach_on: F.col("_until").cast("date"),
+            }
+        )
     # A purchase leaves reach after the returns dated exactly ``lookback`` days later.
-    reach = pair.orderBy(
-        "_until", F.desc("_reversal"), *[c for c in ORDER if c != "_reversal"]
-    ).rowsBetween(W.unboundedPreceding, 0)
+    by_reach = [F.col("_until"), F.desc("_reversal"), *[F.col(c) for c in ORDER if c != "_reversal"]]
     held = F.when(purchase, left).otherwise(0)
     wanted = F.when(opened, left).otherwise(0)
-    base = moved.withColumns(
-        {
-            "_total": F.sum(held).over(pair),
-            "_height": F.sum(held).over(order),
-            "_expired": F.sum(held).over(reach),
-            "_wanted": F.sum(wanted).over(reach),
-        }
-    )
-    zero = opened & (F.col("_units") == 0)
-    base = base.withColumn("_wanted_zero", F.max(F.when(zero, F.col("_wanted"))).over(reach))
-    total = F.col("_total")
-    taken = _between(F.col("_height") - (total - F.col("_wanted")), left)
-    touched = (taken > 0) | F.coalesce(total - F.col("_wanted_zero") <= F.col("_height"), F.lit(False))
+    base = group_total(moved, keys, "_total", held, held_on)
+    in_order = [F.col(c) for c in ORDER]
+    base = running(base, keys, in_order, {"_height": ("sum", held)}, held_on)
+    sums = {"_expired": ("sum", held), "_wanted": ("sum", wanted)}
+    base = running(base, keys, by_reach, sums, reach_on)
+    zero = F.when(opened & (F.col("_units") == 0), F.col("_wanted"))
+    base = running(base, keys, by_reach, {"_wanted_zero": ("max", zero)}, reach_on)
+
+    total, height = F.col("_total"), F.col("_height")
+    taken = _between(height - (total - F.col("_wanted")), left)
+    touched = (taken > 0) | F.coalesce(total - F.col("_wanted_zero") <= height, F.lit(False))
     available = F.greatest(total - F.col("_expired") - (F.col("_wanted") - left), F.lit(0))
     hit = F.when(purchase, touched & (left > 0)).otherwise(opened & (available > 0))
     got = F.when(opened, F.least(left, available)).otherwise(0)
+    extra = [c for c in (held_on, reach_on) if c]
     return base.withColumns(
         {
             "_hit": F.col("_hit") | hit,
             "_left": F.when(purchase, left - taken).otherwise(left - got),
         }
-    ).drop("_open", "_until", "_total", "_height", "_expired", "_wanted", "_wanted_zero")
+    ).drop("_open", "_until", "_total", "_height", "_expired", "_wanted", "_wanted_zero", *extra)
+
+
+def _settle(events: DataFrame, lookback_days: int, by_blocks: bool = False) -> DataFrame:
+    if not by_blocks:
+        return _settle_across_slabs(_settle_inside_slabs(events), lookback_days)
+    daily = events.withColumn("_day", F.col("invoice_date").cast("date"))
+    inside = _settle_inside_slabs(daily, "_day").drop("_day")
+    return _settle_across_slabs(inside, lookback_days, by_blocks=True)
 
 
 def _fold(events: pd.DataFrame, lookback: np.timedelta64) -> pd.DataFrame:
@@ -215,38 +224,48 @@ def _settle_by_folding(events: DataFrame, lookback_days: int) -> DataFrame:
         return in_order.mapInPandas(fold_groups, table.schema)
 
     inside = one_pass(start.withColumn("_seek", F.col("_reversal")))
-    open_return = _open_returns(inside)
-    moved = inside.withColumn("_seek", open_return).withColumn(
+    moved = inside.withColumn("_seek", _open_returns()).withColumn(
         "_slab", F.when(F.col("_seek"), F.col("_slab") - 1).otherwise(F.col("_slab"))
     )
     return one_pass(moved).drop("_seek")
 
 
 def reconciliation_ledger(
-    df: DataFrame, lookback_window_days: int = 180, item_match_col: str | None = "description"
+    df: DataFrame,
+    lookback_window_days: int = 180,
+    item_match_col: str | None = "description",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All rows with ``net_quantity``, ``net_amount`` and whether they took part in a match.
 
     For purchases ``is_reconciled`` says that a return touched them, for reversals that they found
-    a purchase.
+    a purchase. Customers with more than ``hot_rows`` rows are settled day by day within a slab,
+    with one carried row per day, so that their history spreads over tasks as well.
     """
     require_columns(df, REQUIRED_COLUMNS, "reconciliation")
-    events = _events(df, lookback_window_days, item_match_col)
-    any_item = F.col("_reversal") & (F.col("_item") == "")
-    seekers = events.where(any_item).select("customer_id").distinct()
-    by_window, by_fold = events, None
-    if item_match_col in df.columns and not events.where(any_item).isEmpty():
-        seekers = small_lookup(seekers, 100_000)
-        by_window = events.join(seekers, "customer_id", "left_anti")
-        by_fold = events.join(seekers, "customer_id", "left_semi")
-    settled = _settle_across_slabs(_settle_inside_slabs(by_window), lookback_window_days)
-    if by_fold is not None:
-        folded = _settle_by_folding(by_fold, lookback_window_days)
-        settled = settled.unionByName(folded.select(settled.columns))
+    rest = _events(df, lookback_window_days, item_match_col)
+    settled = []
+    if item_match_col in df.columns:
+        any_item = F.col("_reversal") & (F.col("_item") == "")
+        seekers = small_lookup(rest.where(any_item).select("customer_id").distinct(), 100_000)
+        if not seekers.isEmpty():
+            folded = rest.join(seekers, "customer_id", "left_semi")
+            settled.append(_settle_by_folding(folded, lookback_window_days))
+            rest = rest.join(seekers, "customer_id", "left_anti")
+    # Fewer than (rows / hot_rows) customers can be hot.
+    sizes = df.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
+    hot = small_lookup(sizes.where(F.col("n") > hot_rows).select("customer_id"), 100_000)
+    if not hot.isEmpty():
+        crowded = rest.join(hot, "customer_id", "left_semi")
+        settled.append(_settle(crowded, lookback_window_days, by_blocks=True))
+        rest = rest.join(hot, "customer_id", "left_anti")
+    result = _settle(rest, lookback_window_days)
+    for part in settled:
+        result = result.unionByName(part.select(result.columns))
     purchase = ~F.col("_reversal")
     taken = (F.col("_units") - F.col("_left")) / F.lit(float(UNITS))
     amount = F.col("raw_line_total") - taken * F.col("unit_price")
-    return settled.withColumns(
+    return result.withColumns(
         {
             "net_quantity": F.when(purchase, F.col("_left") / F.lit(float(UNITS))),
             "net_amount": F.when(purchase, F.greatest(amount, F.lit(0.0))),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from patronage.operators.cleaning import CleaningPolicy, annotate_transactions, with_refund_flag
+from patronage.operators.cleaning import CleaningPolicy, kept_transactions
 from patronage.sources.conform import select_canonical
 
 
@@ -21,5 +21,4 @@ def clean_stream(
     """Clean transactions of a stream, without de-duplication."""
     if policy.remove_duplicates:
         raise ValueError("Duplicates cannot be removed from an unbounded stream without a bound.")
-    marked = annotate_transactions(select_canonical(df, mapping), policy)
-    return with_refund_flag(marked.where("removal_reason is null").drop("removal_reason"))
+    return kept_transactions(select_canonical(df, mapping), policy)
