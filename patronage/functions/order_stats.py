@@ -75,6 +75,10 @@ def unpivot_metrics(df: DataFrame, keep: list[str], metrics: list[str]) -> DataF
     return df.select(*keep, F.explode(pairs).alias("_p")).select(*keep, "_p.metric", "_p.value")
 
 
+def _below(key: Column):
+    return lambda edge: edge < key
+
+
 def keys_at_ranks(
     df: DataFrame,
     orders: dict[str, Column],
@@ -110,7 +114,7 @@ def keys_at_ranks(
         slice_no = F.lit(0)
         if cuts[name]:
             edges = F.array(*[literal(c) for c in cuts[name]])
-            slice_no = F.size(F.filter(edges, lambda edge, k=key: edge < k))
+            slice_no = F.size(F.filter(edges, _below(key)))
         entries.append(
             F.struct(F.lit(name).alias("series"), slice_no.alias("slice"), key.alias("key"))
         )

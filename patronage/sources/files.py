@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from patronage.operators.export import escape_formulas
 
 
+def _plain_uri(uri: str) -> str:
+    return unquote(uri).replace("file:///", "file:/")
+
+
 def _encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """File paths per encoding: UTF-8 where the bytes are valid UTF-8, else Latin-1.
 
@@ -22,8 +26,8 @@ def _encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
     # The text source hands on the stored bytes unchanged.
     stored = spark.read.text(path)
     damaged = stored.where(~F.is_valid_utf8("value")).select("_metadata.file_path").distinct()
-    latin = {unquote(r["file_path"]) for r in damaged.collect()}
-    names = [unquote(f) for f in stored.inputFiles()]
+    latin = {_plain_uri(r["file_path"]) for r in damaged.collect()}
+    names = [_plain_uri(f) for f in stored.inputFiles()]
     return {
         "UTF-8": [n for n in names if n not in latin],
         "ISO-8859-1": [n for n in names if n in latin],
