@@ -18,12 +18,16 @@ def strip(text: Column) -> Column:
     return F.btrim(text.cast("string"), F.lit(WHITESPACE))
 
 
+# The rules below look at their column once: an expression used twice is computed twice when a
+# filter is moved below the projection that defines it.
+
+
 def is_missing(value: Column, dtype: T.DataType, tokens: list[str] = MISSING_TEXT) -> Column:
     """Null, NaN, or one of the texts that stand for "no value"."""
-    missing = value.isNull() | F.lower(strip(value)).isin(tokens)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        missing = missing | F.isnan(value)
-    return F.coalesce(missing, F.lit(True))
+        return value.isNull() | F.isnan(value)
+    spelled = value.cast("string").rlike(rf"(?i)^\s*({'|'.join(tokens)})\s*$")
+    return F.coalesce(spelled, F.lit(True))
 
 
 def clean_id(value: Column, dtype: T.DataType) -> Column:
@@ -34,7 +38,7 @@ def clean_id(value: Column, dtype: T.DataType) -> Column:
             value.cast("string")
         )
     elif isinstance(dtype, T.StringType):
-        text = F.regexp_replace(strip(value), r"\.0+$", "")
+        text = F.regexp_replace(value, r"^\s+|\.0+\s*$|\s+$", "")
     else:
         text = value.cast("string")
     return F.coalesce(text, F.lit(""))
@@ -42,11 +46,12 @@ def clean_id(value: Column, dtype: T.DataType) -> Column:
 
 def clean_number(value: Column, dtype: T.DataType) -> Column:
     """Number from text with currency signs, thousands separators or accounting brackets."""
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.nullif(value.cast("double"), F.lit(float("nan")))
     if isinstance(dtype, T.NumericType):
-        number = value.cast("double")
-        return F.when(~F.isnan(number), number)
-    bare = F.regexp_replace(strip(value), r"^\(\s*(.*?)\s*\)$", "-$1")
-    return F.regexp_replace(bare, r"[^0-9.\-]", "").try_cast("double")
+        return value.cast("double")
+    signed = F.regexp_replace(value, r"^\s*\(\s*(.*?)\s*\)\s*$", "-$1")
+    return F.regexp_replace(signed, r"[^0-9.\-]", "").try_cast("double")
 
 
 def parse_date(value: Column, dtype: T.DataType, formats: list[str] = DATE_FORMATS) -> Column:
@@ -55,19 +60,33 @@ def parse_date(value: Column, dtype: T.DataType, formats: list[str] = DATE_FORMA
         return value
     if isinstance(dtype, (T.TimestampType, T.DateType)):
         return value.cast("timestamp_ntz")
-    text = strip(value)
-    attempts = [text.try_cast("timestamp_ntz")]
-    attempts += [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    return F.coalesce(*attempts)
+    attempts = [F.try_to_timestamp(strip(value), F.lit(f)).cast("timestamp_ntz") for f in formats]
+    return F.coalesce(value.try_cast("timestamp_ntz"), *attempts)
+
+
+def is_cancellation(invoice_no: Column, trimmed: bool = False) -> Column:
+    """Invoice starting with C; ``trimmed`` ignores leading whitespace."""
+    pattern = r"^\s*[cC]" if trimmed else "^[cC]"
+    return F.coalesce(invoice_no.cast("string").rlike(pattern), F.lit(False))
+
+
+# Amounts are added up as whole ten-thousandths.
+TICKS = 10_000.0
+
+
+def ticks(amount: Column) -> Column:
+    """Amount as a whole number of ticks, so that sums do not depend on row order."""
+    return F.rint(amount * TICKS).cast("bigint")
 
 
-def is_cancellation(invoice_no: Column) -> Column:
-    return F.coalesce(F.upper(invoice_no.cast("string")).startswith("C"), F.lit(False))
+def exact_sum(amount: Column) -> Column:
+    """Sum of amounts within a group (a customer, an order); overflow is an error, not a wrap."""
+    return F.sum(ticks(amount)) / TICKS
 
 
-def money(amount: Column) -> Column:
-    """Line amount as an exact decimal, so that sums do not depend on row order."""
-    return amount.cast("decimal(18,4)")
+def exact_total(amount: Column) -> Column:
+    """Sum of amounts over whole tables, in 38 digits."""
+    return F.sum(ticks(amount).cast("decimal(20,0)")).cast("double") / TICKS
 
 
 def round_to(value: Column, digits: int) -> Column:
@@ -76,5 +95,5 @@ def round_to(value: Column, digits: int) -> Column:
 
 
 def exact_mean(value: Column) -> Column:
-    """Mean of amounts from their exact sum, so that it does not depend on row order."""
-    return F.sum(money(value)).cast("double") / F.count(value)
+    """Mean of amounts from their exact sum."""
+    return exact_total(value) / F.count(value)

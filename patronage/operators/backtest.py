@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from patronage.functions.text import money, round_to
+from patronage.functions.text import exact_total, round_to
 from patronage.operators.rfm import _as_datetime, _timestamp, calculate_rfm
 from patronage.schema import require_columns
 
@@ -140,12 +140,12 @@ def forward_value(t1: DataFrame, t2_rfm: DataFrame) -> DataFrame:
     outcome = _one_per_customer(t2_rfm, ["customer_id", "frequency", "monetary"])
     joined = customers.join(outcome, "customer_id", "left")
     active = F.col("frequency").isNotNull()
-    spend = money(F.coalesce(F.col("monetary"), F.lit(0.0)))
+    spend = F.coalesce(F.col("monetary"), F.lit(0.0))
     count, active_count = F.count(F.lit(1)), F.count(F.when(active, F.lit(1)))
-    total = F.sum(spend)
+    total = exact_total(spend)
 
     def per(whole):
-        return round_to(F.coalesce(F.try_divide(total.cast("double"), whole), F.lit(0.0)), 2)
+        return round_to(F.coalesce(F.try_divide(total, whole), F.lit(0.0)), 2)
 
     return joined.groupBy("segment").agg(
         count.alias("customer_count"),

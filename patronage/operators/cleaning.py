@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patronage.functions.text import (
+    TICKS,
     clean_id,
     clean_number,
     is_cancellation,
     is_missing,
-    money,
     parse_date,
     round_to,
-    strip,
+    ticks,
 )
 from patronage.schema import MISSING_INVOICE_TEXT
 from patronage.sources.conform import select_canonical
@@ -85,18 +85,18 @@ def _cleaned(raw: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 def broken_rules(policy: CleaningPolicy, invoice_type: T.DataType) -> dict[str, Column]:
     """Never-null conditions under which a cleaned row is removed, in order of precedence."""
     quantity, price = F.col("quantity"), F.col("unit_price")
-    cancelled = is_cancellation(strip(F.col("invoice_no")))
+    cancelled = is_cancellation(F.col("invoice_no"), trimmed=True)
     if policy.policy_type == "net":
         cancelled = cancelled & F.coalesce(quantity >= 0, F.lit(False))
-        bad_quantity = quantity.isNull() | (quantity == 0)
+        bad_quantity = F.coalesce(quantity == 0, F.lit(True))
     else:
-        bad_quantity = quantity.isNull() | (quantity <= 0)
+        bad_quantity = F.coalesce(quantity <= 0, F.lit(True))
     return {
         "missing_customer": F.col("_no_customer"),
         "cancelled": cancelled,
         "missing_invoice": is_missing(F.col("invoice_no"), invoice_type, MISSING_INVOICE_TEXT),
         "non_positive_qty": bad_quantity,
-        "non_positive_price": price.isNull() | (price <= 0),
+        "non_positive_price": F.coalesce(price <= 0, F.lit(True)),
         "invalid_date": F.col("invoice_date").isNull(),
     }
 
@@ -162,30 +162,40 @@ def cleaning_report(raw: DataFrame, policy: CleaningPolicy = CleaningPolicy()) -
             F.sum("_n").alias("_n"), F.sum("_dup").alias("_dup")
         )
     kept = F.col("removal_reason").isNull()
-    total = money(F.col("quantity") * F.col("unit_price"))
+    total = F.col("quantity") * F.col("unit_price")
+    weights = {"all": F.col("_n"), "once": F.lit(1).cast("bigint")}
 
-    def measures(weight: Column, suffix: str) -> list[Column]:
-        amount = F.when(kept, total * weight)
+    def add(name: str, condition: Column, value: Column) -> list[Column]:
         return [
-            F.sum(F.when(kept, weight)).alias(f"rows_{suffix}"),
-            F.sum(F.when(total > 0, amount)).alias(f"gross_{suffix}"),
-            F.sum(F.when(total < 0, -amount)).alias(f"refund_{suffix}"),
-            F.sum(F.when(kept & (total < 0), weight)).alias(f"refunds_{suffix}"),
+            F.sum(F.when(condition, value * w)).alias(f"{name}_{suffix}")
+            for suffix, w in weights.items()
         ]
 
-    one = F.lit(1).cast("bigint")
-    totals = marked.agg(
+    # First per reason and customer, so that the distinct customers are simply counted after it.
+    customer = F.when(kept, F.col("customer_id")).alias("_customer")
+    per_customer = marked.groupBy("removal_reason", customer).agg(
+        F.sum("_n").alias("_n"),
+        F.sum("_dup").alias("_dup"),
+        F.min("invoice_date").alias("first"),
+        F.max("invoice_date").alias("last"),
+        *add("rows", F.lit(True), F.lit(1).cast("bigint")),
+        *add("gross", total > 0, ticks(total)),
+        *add("refund", total < 0, -ticks(total)),
+        *add("refunds", total < 0, F.lit(1).cast("bigint")),
+    )
+    names = ["rows", "gross", "refund", "refunds"]
+    sums = [f"{name}_{suffix}" for name in names for suffix in weights]
+    totals = per_customer.agg(
         F.sum("_n").alias("before"),
         F.sum("_dup").alias("dups"),
         *[
             F.sum(F.when(F.col("removal_reason") == r, F.col("_n"))).alias(f"rows_removed_{r}")
             for r in REMOVAL_REASONS
         ],
-        F.countDistinct(F.when(kept, F.col("customer_id"))).alias("customers"),
-        F.min(F.when(kept, F.col("invoice_date"))).alias("first"),
-        F.max(F.when(kept, F.col("invoice_date"))).alias("last"),
-        *measures(F.col("_n"), "all"),
-        *measures(one, "once"),
+        F.count(F.when(kept, 1)).alias("customers"),
+        F.min(F.when(kept, F.col("first"))).alias("first"),
+        F.max(F.when(kept, F.col("last"))).alias("last"),
+        *[F.sum(F.when(kept, F.col(c).cast("decimal(20,0)"))).alias(c) for c in sums],
     )
     dedupe = F.lit(policy.remove_duplicates) & (F.col("dups") > 0)
 
@@ -194,12 +204,9 @@ def cleaning_report(raw: DataFrame, policy: CleaningPolicy = CleaningPolicy()) -
         return F.coalesce(chosen, F.lit(0))
 
     before, after = F.coalesce(F.col("before"), F.lit(0)), pick("rows").cast("bigint")
-    gross, refund = pick("gross"), pick("refund")
+    gross, refund = pick("gross").cast("double") / TICKS, pick("refund").cast("double") / TICKS
     revenue = gross - refund if policy.policy_type == "net" else gross
 
-    def two_digits(amount: Column) -> Column:
-        return round_to(amount, 2)
-
     def share(part: Column, whole: Column) -> Column:
         ratio = F.try_divide(part.cast("double"), whole.cast("double")) * 100
         return round_to(F.when(whole > 0, F.coalesce(ratio, F.lit(0.0))).otherwise(0.0), 2)
@@ -208,7 +215,7 @@ def cleaning_report(raw: DataFrame, policy: CleaningPolicy = CleaningPolicy()) -
         before.alias("total_rows_before"),
         after.alias("total_rows_after"),
         F.col("customers").alias("total_customers"),
-        two_digits(revenue).alias("total_revenue"),
+        round_to(revenue, 2).alias("total_revenue"),
         F.date_format("first", "yyyy-MM-dd").alias("date_min"),
         F.date_format("last", "yyyy-MM-dd").alias("date_max"),
         *[
@@ -218,8 +225,8 @@ def cleaning_report(raw: DataFrame, policy: CleaningPolicy = CleaningPolicy()) -
         F.coalesce(F.col("dups"), F.lit(0)).alias("duplicate_rows_detected"),
         F.lit(policy.remove_duplicates).alias("duplicates_removed"),
         F.lit(policy.policy_type).alias("policy_type"),
-        two_digits(gross).alias("gross_revenue"),
-        two_digits(refund).alias("refund_amount"),
+        round_to(gross, 2).alias("gross_revenue"),
+        round_to(refund, 2).alias("refund_amount"),
         pick("refunds").cast("bigint").alias("refund_count"),
         share(refund, gross).alias("refund_rate_pct"),
         (before - after).alias("total_rows_removed"),

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from patronage.functions.order_stats import exact_percentiles, unpivot_metrics
-from patronage.functions.text import exact_mean, money, round_to
+from patronage.functions.text import exact_mean, exact_total, round_to
 from patronage.schema import RFM_FEATURES, require_columns
 from patronage.session import materialize
 
@@ -321,7 +321,7 @@ def cluster_profiles(clustered: DataFrame) -> DataFrame:
     require_columns(clustered, ["cluster", *RFM_FEATURES], "cluster profiles")
     sums = clustered.groupBy("cluster").agg(
         F.count("customer_id").alias("customer_count"),
-        F.sum(money(F.col("monetary"))).alias("revenue"),
+        exact_total(F.col("monetary")).alias("revenue"),
         *[exact_mean(F.col(f)).alias(f"mean_{f}") for f in RFM_FEATURES],
     )
     long = unpivot_metrics(clustered, ["cluster"], RFM_FEATURES)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from patronage.functions.order_stats import exact_percentiles
 from patronage.functions.special import ln_gamma
-from patronage.functions.text import money, round_to
+from patronage.functions.text import TICKS, round_to, ticks
 from patronage.operators.rfm import _as_datetime, _timestamp
 from patronage.schema import REQUIRED_COLUMNS, require_columns
 from patronage.session import materialize
@@ -44,14 +44,20 @@ class GammaGammaParameters:
     v: float
 
 
-def order_rollup(transactions: DataFrame) -> DataFrame:
-    """One row per customer and invoice: first date and spend."""
+def _orders(transactions: DataFrame) -> DataFrame:
     require_columns(transactions, REQUIRED_COLUMNS, "lifetime value")
     return transactions.groupBy(
         F.col("customer_id").cast("string").alias("customer_id"), "invoice_no"
     ).agg(
         F.min("invoice_date").alias("order_date"),
-        F.sum(money(F.col("quantity") * F.col("unit_price"))).alias("order_spend"),
+        F.sum(ticks(F.col("quantity") * F.col("unit_price"))).alias("_ticks"),
+    )
+
+
+def order_rollup(transactions: DataFrame) -> DataFrame:
+    """One row per customer and invoice: first date and spend."""
+    return _orders(transactions).select(
+        "customer_id", "invoice_no", "order_date", (F.col("_ticks") / TICKS).alias("order_spend")
     )
 
 
@@ -63,14 +69,13 @@ def clv_summary(
     The snapshot defaults to exactly one day after the last order. The first order is the earliest,
     then the smallest invoice number.
     """
-    orders = order_rollup(transactions)
+    orders = _orders(transactions)
     if snapshot_date is None:
         last = orders.agg(F.max("order_date").cast("timestamp_ntz").alias("d")).first()["d"]
         snapshot = _timestamp(last) + F.expr("interval 1 day")
     else:
         snapshot = _timestamp(_as_datetime(snapshot_date))
-    first_spend = F.min_by("order_spend", F.struct("order_date", "invoice_no"))
-    n = F.col("total_orders")
+    n, first_value = F.col("total_orders"), F.col("first_ticks") / TICKS
 
     def whole_days(later: Column, earlier: Column) -> Column:
         return F.extract(F.lit("DAY"), later - earlier).cast("double")
@@ -79,11 +84,11 @@ def clv_summary(
         F.count(F.lit(1)).alias("total_orders"),
         F.min("order_date").alias("first"),
         F.max("order_date").alias("last"),
-        F.sum("order_spend").alias("spend"),
-        first_spend.alias("first_spend"),
+        F.sum("_ticks").alias("all_ticks"),
+        F.min_by("_ticks", F.struct("order_date", "invoice_no")).alias("first_ticks"),
     )
-    first_value = F.col("first_spend").cast("double")
-    repeat_mean = (F.col("spend") - F.col("first_spend")).cast("double") / F.nullif(n - 1, F.lit(0))
+    repeat_spend = (F.col("all_ticks") - F.col("first_ticks")) / TICKS
+    repeat_mean = F.try_divide(repeat_spend, n - 1)
     return per_customer.select(
         "customer_id",
         (n - 1).cast("int").alias("frequency_repeat"),

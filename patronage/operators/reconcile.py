@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patronage.functions.running import group_total, running
-from patronage.functions.text import is_cancellation, money, round_to, strip
+from patronage.functions.text import exact_total, is_cancellation, round_to, strip
 from patronage.schema import REQUIRED_COLUMNS, require_columns
 from patronage.session import small_lookup
 
@@ -61,7 +61,7 @@ def _events(df: DataFrame, lookback_days: int, item_col: str | None) -> DataFram
         {
             "raw_line_total": F.col("quantity") * F.col("unit_price"),
             "_reversal": reversal,
-            "_units": F.round(F.abs(F.col("quantity")) * UNITS).cast("bigint"),
+            "_units": F.rint(F.abs(F.col("quantity")) * UNITS).cast("bigint"),
             "_item": item,
             "_slab": slab,
         }
@@ -84,8 +84,8 @@ def _settle_inside_slabs(events: DataFrame, block: str | None = None) -> DataFra
         "_low": ("min", F.when(reversal & (units > 0), height)),
         "_low_zero": ("min", F.when(reversal & (units == 0), height)),
     }
-    marks = running(heights, keys, back, lows, block, backward=True)
-    marks = running(marks, keys, onward, {"_floor": ("min", F.when(~reversal, before))}, block)
+    marks = running(heights, keys, onward, {"_floor": ("min", F.when(~reversal, before))}, block)
+    marks = running(marks, keys, back, lows, block, backward=True)
     taken = F.coalesce(_between(height - F.col("_low"), units), F.lit(0))
     touched = (taken > 0) | F.coalesce(F.col("_low_zero") <= height, F.lit(False))
     available = F.greatest(F.coalesce(before - F.col("_floor"), F.lit(0)), F.lit(0))
@@ -288,14 +288,16 @@ def reconciliation_report(ledger: DataFrame) -> DataFrame:
         F.count(F.when(~reversal, 1)).alias("purchase_records"),
         F.count(F.when(reversal, 1)).alias("reversal_records"),
         F.count(F.when(reversal & matched, 1)).alias("matched_reversals"),
-        F.sum(F.when(~reversal, money(F.col("raw_line_total")))).alias("gross"),
-        F.sum(F.when(~reversal & (F.col("net_quantity") > 0), money(F.col("net_amount")))).alias("net"),
+        exact_total(F.when(~reversal, F.col("raw_line_total"))).alias("gross"),
+        exact_total(
+            F.when(~reversal & (F.col("net_quantity") > 0), F.col("net_amount"))
+        ).alias("net"),
     )
     reversals, found = F.col("reversal_records"), F.col("matched_reversals")
     rate = round_to(F.try_divide(found, reversals) * 100, 2)
 
     def amount(name: str) -> Column:
-        return round_to(F.coalesce(name, F.lit(0)), 2)
+        return round_to(F.coalesce(name, F.lit(0.0)), 2)
 
     return counts.select(
         "total_raw_records",

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.functions.order_stats import exact_percentiles, keys_at_ranks, unpivot_metrics
-from patronage.functions.text import is_missing, money, round_to, exact_mean
+from patronage.functions.text import exact_mean, exact_sum, is_missing, round_to
 from patronage.schema import (
     MISSING_INVOICE_TEXT,
     REQUIRED_COLUMNS,
     RFM_FEATURES,
     require_columns,
 )
-from patronage.session import materialize
+from patronage.session import as_stored, materialize
 
 
 def snapshot_frame(df: DataFrame) -> DataFrame:
@@ -57,64 +57,79 @@ def calculate_rfm(
 ) -> DataFrame:
     """One row per customer: recency, frequency, monetary, first/last purchase and main country.
 
-    A small scan (dates and quantity signs) validates the snapshot first; the metrics themselves
-    are one aggregation whose partial sums are formed before the shuffle.
+    The transactions are read once: they are aggregated per customer (partial sums are formed before
+    the shuffle) and stored at that grain, and the snapshot follows from the stored table. Only a
+    lookback needs an extra look at the dates first.
     """
     require_columns(df, REQUIRED_COLUMNS, "RFM calculation")
     invoice_type = df.schema["invoice_no"].dataType
     lines = df.where(~is_missing(F.col("invoice_no"), invoice_type, MISSING_INVOICE_TEXT))
     bought_on, quantity = F.col("invoice_date"), F.col("quantity")
-
-    def scan(table: DataFrame):
-        return table.agg(
-            F.max(bought_on).cast("timestamp_ntz").alias("last"),
-            F.max(quantity > 0).alias("has_purchase"),
-        ).first()
-
-    found = scan(lines)
-    if found["last"] is None:
-        raise ValueError("Cannot calculate RFM on an empty DataFrame.")
-    if snapshot_date is None:
-        snapshot = _midnight_after(found["last"])
-    else:
-        snapshot = _as_datetime(snapshot_date)
-        if snapshot < found["last"]:
-            raise ValueError(
-                f"Snapshot date ({snapshot:%Y-%m-%d}) cannot be earlier than the latest "
-                f"transaction date ({found['last']:%Y-%m-%d})."
-            )
+    snapshot = None if snapshot_date is None else _as_datetime(snapshot_date)
     if lookback_days:
+        latest = lines.agg(F.max(bought_on).cast("timestamp_ntz").alias("last")).first()
+        snapshot = _checked_snapshot(latest["last"], snapshot)
         start = snapshot - timedelta(days=lookback_days)
         lines = lines.where(bought_on.between(_timestamp(start), _timestamp(snapshot)))
-        found = scan(lines)
-        if found["last"] is None:
-            raise ValueError(
-                f"No transactions found within the lookback window of {lookback_days} days."
-            )
-    # Without a single purchase in the whole table, orders are counted over all rows.
-    counted = quantity > 0 if found["has_purchase"] else F.lit(True)
-
-    last_bought = F.coalesce(F.max(F.when(quantity > 0, bought_on)), F.max(bought_on))
-    # Whole 24-hour periods of wall-clock time, whatever the session time zone.
-    age = F.extract(F.lit("DAY"), _timestamp(snapshot) - last_bought)
-    spend = F.greatest(
-        round_to(F.sum(money(quantity * F.col("unit_price"))), 2), F.lit(0.0)
-    )
-    orders = F.greatest(F.countDistinct(F.when(counted, F.col("invoice_no"))), F.lit(1))
-    metrics = [
-        F.greatest(age, F.lit(0)).cast("bigint").alias("recency"),
-        orders.cast("bigint").alias("frequency"),
-        spend.alias("monetary"),
+
+    customer = F.col("customer_id").cast("string").alias("customer_id")
+    purchase = quantity > 0
+    measures = [
         F.min(bought_on).alias("first_purchase"),
         F.max(bought_on).alias("last_purchase"),
+        F.max(F.when(purchase, bought_on)).alias("last_bought"),
+        F.countDistinct(F.when(purchase, F.col("invoice_no"))).alias("orders"),
+        exact_sum(quantity * F.col("unit_price")).alias("spend"),
     ]
     if "country" in df.columns:
-        metrics.append(F.coalesce(F.mode("country", True), F.lit("Unknown")).alias("country"))
-    rfm = lines.groupBy(F.col("customer_id").cast("string").alias("customer_id")).agg(*metrics)
+        measures.append(F.coalesce(F.mode("country", True), F.lit("Unknown")).alias("country"))
+    table = materialize(lines.groupBy(customer).agg(*measures))
+
+    found = table.agg(
+        F.max("last_purchase").cast("timestamp_ntz").alias("last"),
+        F.count("last_bought").alias("buyers"),
+    ).first()
+    if lookback_days and found["last"] is None:
+        raise ValueError(
+            f"No transactions found within the lookback window of {lookback_days} days."
+        )
+    if not lookback_days:
+        snapshot = _checked_snapshot(found["last"], snapshot)
+    if found["buyers"] == 0:
+        # Without a single purchase in the whole table, orders are counted over all rows.
+        invoices = lines.groupBy(customer).agg(F.countDistinct("invoice_no").alias("orders"))
+        table = materialize(table.drop("orders").join(invoices, "customer_id"))
+
+    # Whole 24-hour periods of wall-clock time, whatever the session time zone.
+    last = F.coalesce("last_bought", "last_purchase")
+    age = F.extract(F.lit("DAY"), _timestamp(snapshot) - last)
+    orders = F.greatest(F.col("orders"), F.lit(1))
+    monetary = F.greatest(round_to(F.coalesce("spend", F.lit(0.0)), 2), F.lit(0.0))
     if use_average_monetary:
-        average = round_to(F.col("monetary") / F.col("frequency"), 2)
-        rfm = rfm.withColumn("monetary", average)
-    return rfm
+        monetary = round_to(monetary / orders, 2)
+    columns = [
+        "customer_id",
+        F.greatest(age, F.lit(0)).cast("bigint").alias("recency"),
+        orders.cast("bigint").alias("frequency"),
+        monetary.alias("monetary"),
+        "first_purchase",
+        "last_purchase",
+    ]
+    return as_stored(table.select(*columns, *[c for c in ["country"] if c in table.columns]))
+
+
+def _checked_snapshot(last: datetime | None, snapshot: datetime | None) -> datetime:
+    """The given snapshot, or the midnight after the ``last`` transaction."""
+    if last is None:
+        raise ValueError("Cannot calculate RFM on an empty DataFrame.")
+    if snapshot is None:
+        return _midnight_after(last)
+    if snapshot < last:
+        raise ValueError(
+            f"Snapshot date ({snapshot:%Y-%m-%d}) cannot be earlier than the latest "
+            f"transaction date ({last:%Y-%m-%d})."
+        )
+    return snapshot
 
 
 def rfm_summary(rfm: DataFrame) -> DataFrame:
@@ -174,11 +189,13 @@ def compute_rfm_quintiles(rfm: DataFrame, sort_below: int = 200_000) -> DataFram
             above = [(key > keys[name][b]).cast("int") for b in borders]
             scores[name] = sum(above, F.lit(1))
     scored = table.select("*", *[scores[s].cast("int").alias(f"{s}_score") for s in "rfm"])
-    return scored.withColumns(
-        {
-            "rfm_score": F.concat(*[F.col(f"{s}_score").cast("string") for s in "rfm"]),
-            "rfm_total": F.col("r_score") + F.col("f_score") + F.col("m_score"),
-        }
+    return as_stored(
+        scored.withColumns(
+            {
+                "rfm_score": F.concat(*[F.col(f"{s}_score").cast("string") for s in "rfm"]),
+                "rfm_total": F.col("r_score") + F.col("f_score") + F.col("m_score"),
+            }
+        )
     )
 
 

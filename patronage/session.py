@@ -46,10 +46,22 @@ def materialize(df: DataFrame) -> DataFrame:
     Iterative steps read the stored table, so a lost executor costs a re-read instead of a
     recomputation from the raw transactions, and later plans know the real size of the data.
     """
+    if _stored(df):
+        return df
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/patronage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return as_stored(spark.read.schema(df.schema).parquet(path))
+
+
+def as_stored(df: DataFrame) -> DataFrame:
+    """Mark a scan of a stored table, or a cheap projection of one: storing it again gains nothing."""
+    df.__dict__["_stored"] = True
+    return df
+
+
+def _stored(df: DataFrame) -> bool:
+    return df.__dict__.get("_stored", False)
 
 
 def small_lookup(df: DataFrame, max_rows: int = 10_000) -> DataFrame:

@@ -33,7 +33,7 @@ def retail_transactions(
 
     returned = F.col("l_returnflag") == "R"
     unit_cents = F.expr(
-        "(2 * cast(round(l_extendedprice * 100) as bigint) + cast(l_quantity as bigint))"
+        "(2 * cast(rint(l_extendedprice * 100) as bigint) + cast(l_quantity as bigint))"
         " div (2 * cast(l_quantity as bigint))"
     )
     columns = [
