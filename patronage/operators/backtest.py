@@ -9,36 +9,61 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from patronage.functions.text import exact_total, round_to
-from patronage.operators.rfm import _as_datetime, _timestamp, calculate_rfm
+from patronage.operators.rfm import (
+    _as_datetime,
+    _midnight_after,
+    _timestamp,
+    customer_totals,
+    invoiced_lines,
+    rfm_from_totals,
+)
 from patronage.schema import require_columns
 
 CHURNED = "Churned (Inactive)"
 MIN_SPAN_DAYS = 7
 
 
-def split_windows(df: DataFrame, cutoff: datetime | date | str) -> tuple[DataFrame, DataFrame]:
-    """Transactions up to ``cutoff`` (inclusive) and after it."""
-    require_columns(df, ["invoice_date"], "window split")
-    cutoff = _as_datetime(cutoff)
-    bounds = df.agg(
-        F.min("invoice_date").cast("timestamp_ntz").alias("first"),
-        F.max("invoice_date").cast("timestamp_ntz").alias("last"),
-    ).first()
-    if bounds["first"] is None:
+def _check_cutoff(cutoff: datetime, first: datetime | None, last: datetime | None) -> None:
+    if first is None:
         raise ValueError("DataFrame is empty or has no valid 'invoice_date'.")
-    if not bounds["first"] <= cutoff < bounds["last"]:
+    if not first <= cutoff < last:
         raise ValueError(
             f"Cutoff date '{cutoff:%Y-%m-%d}' must fall strictly within dataset date range "
-            f"({bounds['first']:%Y-%m-%d} to {bounds['last']:%Y-%m-%d})."
+            f"({first:%Y-%m-%d} to {last:%Y-%m-%d})."
         )
+
+
+def _bounds(df: DataFrame, first: str, last: str):
+    return df.agg(
+        F.min(first).cast("timestamp_ntz").alias("first"),
+        F.max(last).cast("timestamp_ntz").alias("last"),
+    ).first()
+
+
+def split_windows(df: DataFrame, cutoff: datetime | date | str) -> tuple[DataFrame, DataFrame]:
+    """Transactions up to ``cutoff`` (inclusive) and after it."""
+    require_columns(df, ["invoice_date"], "window split")
+    cutoff = _as_datetime(cutoff)
+    _check_cutoff(cutoff, *_bounds(df, "invoice_date", "invoice_date"))
     at = _timestamp(cutoff)
     return df.where(F.col("invoice_date") <= at), df.where(F.col("invoice_date") > at)
 
 
 def windowed_rfm(df: DataFrame, cutoff: datetime | date | str) -> tuple[DataFrame, DataFrame]:
-    """RFM of both windows: the first as of ``cutoff``, the second as of its own last day."""
-    before, after = split_windows(df, cutoff)
-    return calculate_rfm(before, snapshot_date=cutoff), calculate_rfm(after)
+    """RFM of both windows: the first as of ``cutoff``, the second as of its own last day.
+
+    One aggregation by customer and window reads the transactions once for both.
+    """
+    cutoff = _as_datetime(cutoff)
+    later = F.col("invoice_date") > _timestamp(cutoff)
+    lines = invoiced_lines(df).where(F.col("invoice_date").isNotNull()).withColumn("_later", later)
+    totals = customer_totals(lines, "_later")
+    first, last = _bounds(totals, "first_purchase", "last_purchase")
+    _check_cutoff(cutoff, first, last)
+    return tuple(
+        rfm_from_totals(totals.where(side).drop("_later"), lines.where(side), snapshot)
+        for side, snapshot in ((~F.col("_later"), cutoff), (F.col("_later"), _midnight_after(last)))
+    )
 
 
 def default_cutoff(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from patronage.functions.special import ln_gamma
 from patronage.functions.text import TICKS, round_to, ticks
 from patronage.operators.rfm import _as_datetime, _timestamp
 from patronage.schema import REQUIRED_COLUMNS, require_columns
-from patronage.session import materialize
+from patronage.session import as_stored, materialize
 
 # Start points and bounds of both fits, and the stand-in for too few repeat buyers.
 BGNBD_START = (1.0, 10.0, 1.0, 1.0)
@@ -69,27 +69,31 @@ def clv_summary(
     The snapshot defaults to exactly one day after the last order. The first order is the earliest,
     then the smallest invoice number.
     """
-    orders = _orders(transactions)
-    if snapshot_date is None:
-        last = orders.agg(F.max("order_date").cast("timestamp_ntz").alias("d")).first()["d"]
-        snapshot = _timestamp(last) + F.expr("interval 1 day")
-    else:
-        snapshot = _timestamp(_as_datetime(snapshot_date))
     n, first_value = F.col("total_orders"), F.col("first_ticks") / TICKS
 
     def whole_days(later: Column, earlier: Column) -> Column:
         return F.extract(F.lit("DAY"), later - earlier).cast("double")
 
-    per_customer = orders.groupBy("customer_id").agg(
+    # Stored per customer, so that the last order of all costs no second pass over the orders.
+    orders = _orders(transactions).groupBy("customer_id")
+    per_customer = orders.agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.min("order_date").alias("first"),
         F.max("order_date").alias("last"),
         F.sum("_ticks").alias("all_ticks"),
         F.min_by("_ticks", F.struct("order_date", "invoice_no")).alias("first_ticks"),
     )
+    if snapshot_date is None:
+        per_customer = materialize(per_customer)
+        last = per_customer.agg(F.max("last").cast("timestamp_ntz").alias("d")).first()["d"]
+        if last is None:
+            raise ValueError("Cannot summarize an empty DataFrame.")
+        snapshot = _timestamp(last) + F.expr("interval 1 day")
+    else:
+        snapshot = _timestamp(_as_datetime(snapshot_date))
     repeat_spend = (F.col("all_ticks") - F.col("first_ticks")) / TICKS
     repeat_mean = F.try_divide(repeat_spend, n - 1)
-    return per_customer.select(
+    summary = per_customer.select(
         "customer_id",
         (n - 1).cast("int").alias("frequency_repeat"),
         F.greatest(whole_days(F.col("last"), F.col("first")), F.lit(0.0)).alias("recency_days"),
@@ -98,6 +102,7 @@ def clv_summary(
         F.greatest(first_value, F.lit(0.01)).alias("first_order_value"),
         n.cast("int").alias("total_orders"),
     )
+    return as_stored(summary) if snapshot_date is None else summary
 
 
 def _maximize(

@@ -61,10 +61,7 @@ def calculate_rfm(
     the shuffle) and stored at that grain, and the snapshot follows from the stored table. Only a
     lookback needs an extra look at the dates first.
     """
-    require_columns(df, REQUIRED_COLUMNS, "RFM calculation")
-    invoice_type = df.schema["invoice_no"].dataType
-    lines = df.where(~is_missing(F.col("invoice_no"), invoice_type, MISSING_INVOICE_TEXT))
-    bought_on, quantity = F.col("invoice_date"), F.col("quantity")
+    lines, bought_on = invoiced_lines(df), F.col("invoice_date")
     snapshot = None if snapshot_date is None else _as_datetime(snapshot_date)
     if lookback_days:
         latest = lines.agg(F.max(bought_on).cast("timestamp_ntz").alias("last")).first()
@@ -72,7 +69,27 @@ def calculate_rfm(
         start = snapshot - timedelta(days=lookback_days)
         lines = lines.where(bought_on.between(_timestamp(start), _timestamp(snapshot)))
 
-    customer = F.col("customer_id").cast("string").alias("customer_id")
+    table = customer_totals(lines)
+    found = table.agg(F.max("last_purchase").cast("timestamp_ntz").alias("last")).first()
+    if lookback_days and found["last"] is None:
+        raise ValueError(
+            f"No transactions found within the lookback window of {lookback_days} days."
+        )
+    if not lookback_days:
+        snapshot = _checked_snapshot(found["last"], snapshot)
+    return rfm_from_totals(table, lines, snapshot, use_average_monetary)
+
+
+def invoiced_lines(df: DataFrame) -> DataFrame:
+    """Rows with a real invoice number."""
+    require_columns(df, REQUIRED_COLUMNS, "RFM calculation")
+    invoice_type = df.schema["invoice_no"].dataType
+    return df.where(~is_missing(F.col("invoice_no"), invoice_type, MISSING_INVOICE_TEXT))
+
+
+def customer_totals(lines: DataFrame, within: str | None = None) -> DataFrame:
+    """Stored totals per customer, and per value of the column ``within`` if given."""
+    bought_on, quantity = F.col("invoice_date"), F.col("quantity")
     purchase = quantity > 0
     measures = [
         F.min(bought_on).alias("first_purchase"),
@@ -81,25 +98,22 @@ def calculate_rfm(
         F.countDistinct(F.when(purchase, F.col("invoice_no"))).alias("orders"),
         exact_sum(quantity * F.col("unit_price")).alias("spend"),
     ]
-    if "country" in df.columns:
+    if "country" in lines.columns:
         measures.append(F.coalesce(F.mode("country", True), F.lit("Unknown")).alias("country"))
-    table = materialize(lines.groupBy(customer).agg(*measures))
+    keys = [F.col("customer_id").cast("string").alias("customer_id")]
+    keys += [F.col(within)] if within else []
+    return materialize(lines.groupBy(*keys).agg(*measures))
 
-    found = table.agg(
-        F.max("last_purchase").cast("timestamp_ntz").alias("last"),
-        F.count("last_bought").alias("buyers"),
-    ).first()
-    if lookback_days and found["last"] is None:
-        raise ValueError(
-            f"No transactions found within the lookback window of {lookback_days} days."
-        )
-    if not lookback_days:
-        snapshot = _checked_snapshot(found["last"], snapshot)
-    if found["buyers"] == 0:
+
+def rfm_from_totals(
+    table: DataFrame, lines: DataFrame, snapshot: datetime, use_average_monetary: bool = False
+) -> DataFrame:
+    """Metrics as of ``snapshot`` from the totals of ``lines``."""
+    if table.where("last_bought is not null").isEmpty():
         # Without a single purchase in the whole table, orders are counted over all rows.
+        customer = F.col("customer_id").cast("string").alias("customer_id")
         invoices = lines.groupBy(customer).agg(F.countDistinct("invoice_no").alias("orders"))
         table = materialize(table.drop("orders").join(invoices, "customer_id"))
-
     # Whole 24-hour periods of wall-clock time, whatever the session time zone.
     last = F.coalesce("last_bought", "last_purchase")
     age = F.extract(F.lit("DAY"), _timestamp(snapshot) - last)

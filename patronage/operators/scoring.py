@@ -68,9 +68,9 @@ def save_model_version(
 
     The metadata is written last, so an interrupted save never shows up in the catalog.
     """
-    kmeans = model.stages[-1]
-    if not isinstance(model, PipelineModel) or not isinstance(kmeans, KMeansModel):
+    if not isinstance(model, PipelineModel) or not isinstance(model.stages[-1], KMeansModel):
         raise TypeError("model must be a PipelineModel that ends in K-Means")
+    kmeans = model.stages[-1]
     spark = mapping.sparkSession
     numbers = [re.match(r"v(\d+)_", name) for name in _entries(spark, folder, "*")]
     number = 1 + max([int(m.group(1)) for m in numbers if m], default=0)
