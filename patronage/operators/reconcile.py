@@ -244,21 +244,25 @@ def reconciliation_ledger(
     """
     require_columns(df, REQUIRED_COLUMNS, "reconciliation")
     rest = _events(df, lookback_window_days, item_match_col)
+    # One look at all customers for the few that need another way; (rows / hot_rows) can be hot.
+    any_item = F.col("_reversal") & (F.col("_item") == "")
+    special = small_lookup(
+        rest.groupBy("customer_id")
+        .agg(F.max(any_item).alias("_seeks"), F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_seeks") | (F.col("_n") > hot_rows))
+        .select("customer_id", "_seeks"),
+        100_000,
+    )
+    kinds = {r["_seeks"] for r in special.select("_seeks").distinct().collect()}
     settled = []
-    if item_match_col in df.columns:
-        any_item = F.col("_reversal") & (F.col("_item") == "")
-        seekers = small_lookup(rest.where(any_item).select("customer_id").distinct(), 100_000)
-        if not seekers.isEmpty():
-            folded = rest.join(seekers, "customer_id", "left_semi")
-            settled.append(_settle_by_folding(folded, lookback_window_days))
-            rest = rest.join(seekers, "customer_id", "left_anti")
-    # Fewer than (rows / hot_rows) customers can be hot.
-    sizes = df.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
-    hot = small_lookup(sizes.where(F.col("n") > hot_rows).select("customer_id"), 100_000)
-    if not hot.isEmpty():
-        crowded = rest.join(hot, "customer_id", "left_semi")
-        settled.append(_settle(crowded, lookback_window_days, by_blocks=True))
-        rest = rest.join(hot, "customer_id", "left_anti")
+    if kinds:
+        rest = rest.join(special, "customer_id", "left")
+        chosen, crowd = rest.where("_seeks").drop("_seeks"), rest.where("not _seeks").drop("_seeks")
+        rest = rest.where("_seeks is null").drop("_seeks")
+        if True in kinds:
+            settled.append(_settle_by_folding(chosen, lookback_window_days))
+        if False in kinds:
+            settled.append(_settle(crowd, lookback_window_days, by_blocks=True))
     result = _settle(rest, lookback_window_days)
     for part in settled:
         result = result.unionByName(part.select(result.columns))
