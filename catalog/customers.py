@@ -29,7 +29,6 @@ from catalog.inputs import (
     scored,
     scored_cte,
     sql,
-    tx,
 )
 from catalog.registry import query
 from patronage.functions.text import round_to

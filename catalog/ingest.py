@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.inputs import (
-    GROSS,
     MISSING,
     NET,
     RAW,
     TX,
-    gross,
     marked_cte,
     net,
     number_sql,
@@ -24,7 +22,6 @@ from catalog.registry import query
 from patronage.functions.text import clean_id, clean_number, is_missing, round_to
 from patronage.operators import cleaning, reconcile
 from patronage.operators.cleaning import CleaningPolicy
-from patronage.operators.export import escape_formulas
 from patronage.sources import files
 from patronage.sources.conform import conform_transactions, select_canonical
 

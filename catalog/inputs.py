@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from patronage.operators.cleaning import CleaningPolicy, clean_transactions
 from patronage.operators.personas import label_segments
 from patronage.operators.rfm import calculate_rfm, compute_rfm_quintiles
-from patronage.session import checkpoint_dir, materialize
+from patronage.session import checkpoint_dir
 from patronage.sources.retail_view import purchase_events, retail_transactions
 
 # ---------------------------------------------------------------- DataFrames

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.inputs import (
-    CLUSTERED,
     CLUSTERS,
     EVENTS,
     GROSS,
-    LABELED,
     LABELS,
     RFM,
     SCORED,

@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-import random
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
