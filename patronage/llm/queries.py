@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import line_dedup
+from patronage.llm import line_dedup, token_files
 from patronage.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256")
     )
+
+
+@query("op5_token_files")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = token_files.write_token_segments(
+        table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2
+    )
+    return token_files.read_token_index(segments)
