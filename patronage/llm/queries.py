@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import line_dedup, token_files
+from patronage.llm import line_dedup, packing, token_files
 from patronage.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2
     )
     return token_files.read_token_index(segments)
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=1)
+    return pieces.drop("ids")
