@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import line_dedup, packing, sharding, token_files
+from patronage.llm import imatch, line_dedup, packing, sharding, token_files, url_filter
 from patronage.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,46 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op4_imatch")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return imatch.compare_with_edits(docs, imatch.lexicon(docs))
+
+
+RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+@query(
+    "op3_url_filter",
+    r"""
+    WITH rules(rule_host, rule_path, rule_verdict) AS (
+      VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+             ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+    rests AS (
+      SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+      FROM pages),
+    parts AS (
+      SELECT page_id,
+             translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path
+      FROM rests),
+    ranked AS (
+      SELECT p.*, r.*, row_number() OVER (
+               PARTITION BY page_id ORDER BY length(rule_host) + length(rule_path) DESC NULLS LAST) AS place
+      FROM parts p LEFT JOIN rules r
+        ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+    SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(rule_verdict, 'allow') AS verdict
+    FROM ranked WHERE place = 1
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page.page_id", "host", "path", "rule", "verdict")
