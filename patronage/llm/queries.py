@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import imatch, line_dedup, packing, sharding, token_files, url_filter
-from patronage.llm.common import table
+from patronage.llm import chat, imatch, line_dedup, packing, sharding, token_files, url_filter
+from patronage.llm.common import store, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,30 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return judged.select("page.page_id", "host", "path", "rule", "verdict")
+
+
+@query(
+    "op6_chat_format",
+    """
+    WITH turns AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+    sized AS (
+      SELECT *, CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15
+                          ELSE 22 + length(role) END + length(text) + CASE WHEN conv_id = -1 THEN 3 ELSE 0 END AS chars
+      FROM turns)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+           sum(chars)::BIGINT AS formatted_chars
+    FROM sized GROUP BY conv_id
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clash = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", clash), (-1, 1, "assistant", clash)], "conv_id long, turn long, role string, text string"
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_conversations(store(chat.format_turns(turns)))
