@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import chat, imatch, line_dedup, packing, sharding, token_files, url_filter
-from patronage.llm.common import store, table
+from patronage.llm import chat, decontaminate, imatch, line_dedup, packing, quality_fm, sharding, token_files, url_filter
+from patronage.llm.common import NULL_ID, store, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +151,19 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.read_conversations(store(chat.format_turns(turns)))
+
+
+@query("op10_quality_fm")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_fm.score_quality(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    )
+    return scored.select("doc.doc_id", "held_out", "score", "predicted")
+
+
+@query("op7_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, n_tokens, n_equal): the benchmark items that each document leaks."""
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    doc_id = F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id")
+    return leaks.select(doc_id, "item_id", "n_tokens", "n_equal")

@@ -1,6 +1,7 @@
 """64-bit hashes of words and word shingles, computed for many texts at once with numpy.
 
-A word is a run of bytes other than space and 0x09-0x0D; A-Z counts as a-z."""
+A word is a run of bytes other than space and 0x09-0x0D; A-Z counts as a-z. With ``plain``, the other
+ASCII signs separate words, too."""
 
 from __future__ import annotations
 
@@ -15,6 +16,7 @@ _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _VALUE = np.arange(1, 257, dtype=np.uint64)
 _VALUE[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]
 _VALUE[_BLANK] = 0
+_SIGN = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _powers: list[np.ndarray] = []
 
 
@@ -42,10 +44,10 @@ def _power_tables() -> list[np.ndarray]:
     return _powers
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts that lie in ``data`` at ``offsets``, and for each text where
     its words start (one entry more than texts)."""
-    starts, ends = word_places(data, offsets)
+    starts, ends = word_places(data, offsets, plain)
     hashes = np.empty(len(starts), np.uint64)
     power, inverse = _power_tables()
     first = 0
@@ -67,10 +69,10 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(hashes), np.searchsorted(starts, offsets)
 
 
-def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_places(data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """First byte of each word and the byte after its last."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~_BLANK[data]
+    inside[1:-1] = ~(_SIGN if plain else _BLANK)[data]
     border = np.zeros(len(data) + 1, bool)
     border[offsets] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | border))
