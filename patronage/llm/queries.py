@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import chat, decontaminate, imatch, line_dedup, packing, quality_fm, sharding, token_files, url_filter
+from patronage.llm import chat, decontaminate, imatch, line_dedup, near_dedup, packing, quality_fm, sharding, token_files, url_filter
 from patronage.llm.common import NULL_ID, store, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     doc_id = F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id")
     return leaks.select(doc_id, "item_id", "n_tokens", "n_equal")
+
+
+@query("op2_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
