@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from patronage.llm import chat, decontaminate, imatch, line_dedup, near_dedup, packing, quality_fm, sharding, token_files, url_filter
 from patronage.llm.common import NULL_ID, store, table
 
@@ -172,3 +173,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
