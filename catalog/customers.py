@@ -31,7 +31,7 @@ from catalog.inputs import (
     sql,
 )
 from catalog.registry import query
-from patronage.functions.text import round_to
+from patronage.functions.text import exact_sum, round_to
 from patronage.operators import clv, cohorts, export, governance
 from patronage.operators.rfm import (
     calculate_rfm,
@@ -59,6 +59,24 @@ def f2(spark, d):
     return rfm(spark, d, country=True)
 
 
+# Unit prices of eight digits after the point, as of metered services.
+TINY = "tiny AS (SELECT * REPLACE (CAST(unit_price AS DOUBLE) / 1000000 AS unit_price) FROM gross)"
+
+
+@query(
+    "F2b_tiny_prices",
+    sql(
+        TX, GROSS, TINY,
+        f"""SELECT customer_id, {r('sum(CAST(quantity * unit_price AS DECIMAL(38, 12)))', 6)} AS spend,
+        CAST(count(*) AS BIGINT) AS n FROM tiny GROUP BY customer_id""",
+    ),
+)
+def f2b_tiny(spark, d):
+    lines = gross(spark, d).withColumn("unit_price", F.col("unit_price") / 1_000_000)
+    spend = round_to(exact_sum(F.col("quantity") * F.col("unit_price")), 6)
+    return lines.groupBy("customer_id").agg(spend.alias("spend"), F.count(F.lit(1)).alias("n"))
+
+
 @query("F2_rfm_net_refunds", sql(TX, NET, rfm_cte("net"), "SELECT * FROM rfm"))
 def f2_net(spark, d):
     return calculate_rfm(net(spark, d))

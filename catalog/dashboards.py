@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.customers import ACTIVITY, ALIVE, BGNBD, COHORTS, GAMMA_GAMMA, SUMMARY, summary
 from catalog.inputs import (
+    CLUSTERS,
     GROSS,
     LABELS,
     LABELS_COUNTRY,
@@ -25,7 +26,8 @@ from catalog.segments import (
     DETAILS,
     PERSONA_TABLE,
     TRANSITIONS,
-    k2a,
+    score_evaluation,
+    score_evaluation_cte,
     window_labels,
     windows,
 )
@@ -206,9 +208,17 @@ def d11(spark, d):
     return reports.top_scores(scored(spark, d))
 
 
-@query("D12_separation")
+@query(
+    "D12_separation",
+    sql(
+        *CLUSTERS, score_evaluation_cte(),
+        "SELECT *, CASE "
+        + " ".join(f"WHEN silhouette >= {limit} THEN '{name}'" for limit, name in reports.SEPARATION_VERDICTS)
+        + " ELSE 'poor' END AS separation FROM evaluation",
+    ),
+)
 def d12(spark, d):
-    return reports.separation_report(k2a(spark, d))
+    return reports.separation_report(score_evaluation(spark, d))
 
 
 TIMELINE = f"""SELECT customer_id, invoice_no, invoice_date, {r('sum(quantity * unit_price)', 2)} AS order_total,

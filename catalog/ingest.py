@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog.inputs import (
     MISSING,
@@ -19,7 +20,7 @@ from catalog.inputs import (
     tx,
 )
 from catalog.registry import query
-from patronage.functions.text import clean_id, clean_number, is_missing, round_to
+from patronage.functions.text import clean_id, clean_number, is_missing, parse_date, round_to
 from patronage.operators import cleaning, reconcile
 from patronage.operators.cleaning import CleaningPolicy
 from patronage.sources import files
@@ -44,6 +45,20 @@ def s1(spark, d):
     return files.read_csv(spark, path)
 
 
+@query(
+    "S1_csv_header_orders",
+    "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS c_mktsegment "
+    "FROM customer",
+)
+def s1_orders(spark, d):
+    """One folder with files whose headers name other columns in another order."""
+    path = scratch(spark, "csv")
+    customer = spark.read.parquet(f"{d}/customer.parquet")
+    files.write_csv(customer.where("c_custkey % 2 = 0"), path, ["c_mktsegment", "c_custkey", "c_name"])
+    files.write_csv(customer.where("c_custkey % 2 = 1"), path, ["c_name", "c_custkey"], mode="append")
+    return files.read_csv(spark, path)
+
+
 @query(
     "S2_encoding_fallback",
     "SELECT CAST(p_partkey AS VARCHAR) AS id, 'Café ' || p_name AS name, '£' || p_size AS size FROM part",
@@ -241,6 +256,31 @@ removal_query("C8_quantity_net", "non_positive_qty", "net")
 removal_query("C9_price", "non_positive_price", "gross")
 removal_query("C10_invalid_date", "invalid_date", "gross")
 
+# Ten ways to write a date, dealt out by order; layouts with a clock get a time of day.
+LAYOUTS = [
+    "M/d/yyyy h:mm a", "dd/MM/yyyy", "MM-dd-yyyy HH:mm", "yyyyMMdd", "yyyy.MM.dd", "MMM d, yyyy", "MMMM d yyyy HH:mm:ss",
+    "dd-MMM-yyyy HH:mm", "M/d/yy H:mm", "yyyy/M/d",
+]
+DAY_FIRST = 1  # only where the day is above 12 can it be told from a month
+
+
+@query(
+    "C10_date_layouts",
+    f"""SELECT o_orderkey, CASE WHEN o_orderkey % 10 IN ({', '.join(str(i) for i, x in enumerate(LAYOUTS) if 'm' in x)})
+      THEN date_trunc('day', o_orderdate) + to_minutes(CAST(o_orderkey % 1440 AS INTEGER))
+      ELSE date_trunc('day', o_orderdate) END AS written
+    FROM orders WHERE o_orderkey % 10 <> {DAY_FIRST} OR day(o_orderdate) > 12""",
+)
+def c10_layouts(spark, d):
+    orders = spark.read.parquet(f"{d}/orders.parquet").selectExpr(
+        "o_orderkey",
+        "cast(date_trunc('day', o_orderdate) AS timestamp) + make_interval(0, 0, 0, 0, 0, o_orderkey % 1440) AS t",
+    )
+    number = F.col("o_orderkey") % 10
+    text = F.coalesce(*[F.when(number == i, F.date_format("t", layout)) for i, layout in enumerate(LAYOUTS)])
+    kept = orders.where((number != DAY_FIRST) | (F.dayofmonth("t") > 12))
+    return kept.select("o_orderkey", parse_date(text, T.StringType()).alias("written"))
+
 KEPT = """kept AS (SELECT * EXCLUDE (removal_reason), quantity * unit_price AS total,
   quantity * unit_price < 0 OR upper(invoice_no) LIKE 'C%' AS is_refund
   FROM marked WHERE removal_reason IS NULL)"""
@@ -343,7 +383,7 @@ SIGNED = """ev AS (SELECT *, quantity < 0 OR upper(invoice_no) LIKE 'C%' AS rev,
 # One window per (customer, item): a purchase has lost the drop from its height to the lowest height
 # within the lookback; a return finds what lies above the lowest purchase base within the lookback.
 STACK = """heights AS (SELECT *, sum(CASE WHEN rev THEN -u ELSE u END) OVER (PARTITION BY customer_id, item
-    ORDER BY invoice_date, rev, invoice_no, unit_price, u ROWS UNBOUNDED PRECEDING) AS s FROM ev),
+    ORDER BY invoice_date, rev, invoice_no, {tie}unit_price, u ROWS UNBOUNDED PRECEDING) AS s FROM ev),
 marks AS (SELECT *,
     min(CASE WHEN rev THEN s END) OVER (PARTITION BY customer_id, item ORDER BY invoice_date
       RANGE BETWEEN CURRENT ROW AND INTERVAL {days} DAYS FOLLOWING) AS low,
@@ -360,7 +400,7 @@ LEDGER_COLUMNS = f"""customer_id, invoice_no, invoice_date, quantity, unit_price
 
 
 def ledger_sql(days: int, last: str, item: str = "description") -> str:
-    return sql(TX, NET, SIGNED.format(item=item, source="net"), STACK.format(days=days), last)
+    return sql(TX, NET, SIGNED.format(item=item, source="net"), STACK.format(days=days, tie=""), last)
 
 
 def ledger(spark, d, days: int = 180, item: str | None = "description"):
@@ -435,8 +475,37 @@ def r2_blank(spark, d):
     return reconcile.reconciliation_report(reconcile.reconciliation_ledger(lines))
 
 
+# Credit notes of every seventh customer name no item; those of customer 14 have no customer either.
+UNNAMED = """unnamed AS (SELECT * REPLACE (CASE WHEN CAST(customer_id AS BIGINT) % 7 = 0 AND quantity < 0 THEN ''
+    ELSE description END AS description, nullif(customer_id, '14') AS customer_id) FROM net)"""
+
+
+@query(
+    "R2_blank_customers",
+    sql(
+        TX, NET, UNNAMED,
+        SIGNED.format(
+            item="CASE WHEN customer_id IS NULL OR CAST(customer_id AS BIGINT) % 7 = 0 THEN '*' ELSE description END",
+            source="unnamed",
+        ),
+        STACK.format(days=180, tie="lower(trim(description)), "),
+        f"SELECT {LEDGER_COLUMNS}, rev AS is_reversal FROM ledger",
+    ),
+)
+def r2_blank_customers(spark, d):
+    lines = net(spark, d, description=True).drop("is_refund")
+    unnamed = F.expr("try_cast(customer_id AS bigint) % 7 = 0 AND quantity < 0")
+    lines = lines.withColumns(
+        {
+            "description": F.when(unnamed, "").otherwise(F.col("description")),
+            "customer_id": F.nullif(F.col("customer_id"), F.lit("14")),
+        }
+    )
+    return two_digits(reconcile.reconciliation_ledger(lines))
+
+
 @query("R2_ledger_split_by_day", ledger_sql(180, f"SELECT {LEDGER_COLUMNS}, rev AS is_reversal FROM ledger"))
 def r2_by_day(spark, d):
     """The same settlement with every customer treated as one that needs splitting."""
     lines = net(spark, d, description=True).drop("is_refund")
-    return two_digits(reconcile.reconciliation_ledger(lines, hot_rows=0))
+    return two_digits(reconcile.reconciliation_ledger(lines, by_day=True))

@@ -8,6 +8,7 @@ from catalog.inputs import (
     CLUSTERS,
     EVENTS,
     GROSS,
+    LABELED,
     LABELS,
     RFM,
     SCORED,
@@ -22,6 +23,7 @@ from catalog.inputs import (
     r,
     rfm,
     rfm_cte,
+    scored,
     scored_cte,
     scratch,
     sql,
@@ -74,16 +76,16 @@ def scaled_clusters(spark, d):
     return clusters.preprocess_rfm(clustered(spark, d))[0]
 
 
-@query("K2a_evaluate_k")
-def k2a(spark, d):
-    scaled, _ = clusters.preprocess_rfm(materialize(rfm(spark, d)))
-    return clusters.evaluate_clusters(scaled, starts=3)
-
-
 def _distance(a: str, b: str) -> str:
     return " + ".join(f"pow({a}.{c} - {b}.{c}, 2)" for c in ZS)
 
 
+def _square(alias: str = "") -> str:
+    dot = f"{alias}." if alias else ""
+    return " + ".join(f"pow({dot}{c}, 2)" for c in ZS)
+
+
+# The silhouette from all pairs of customers, which the engine does without.
 VALIDITY = f"""centers AS (SELECT cluster, count(*) AS n, {', '.join(f'avg({c}) AS {c}' for c in ZS)}
   FROM scaled GROUP BY cluster),
 overall AS (SELECT {', '.join(f'avg({c}) AS {c}' for c in ZS)} FROM scaled),
@@ -94,47 +96,128 @@ scatter AS (SELECT cluster, avg(sqrt(d2)) AS s FROM own GROUP BY cluster),
 worst AS (SELECT a.cluster, max((x.s + y.s) / sqrt({_distance('a', 'b')})) AS m
   FROM centers a JOIN centers b ON a.cluster <> b.cluster JOIN scatter x ON x.cluster = a.cluster
   JOIN scatter y ON y.cluster = b.cluster GROUP BY a.cluster),
-drawn AS (SELECT * FROM scaled ORDER BY md5(customer_id || ':42'), customer_id LIMIT 2000),
-pairs AS (SELECT p.customer_id, p.cluster, q.cluster AS other, sum(sqrt({_distance('p', 'q')})) AS total,
-  count(*) AS n FROM drawn p, drawn q GROUP BY ALL),
+pairs AS (SELECT p.customer_id, p.cluster, q.cluster AS other, sum({_distance('p', 'q')}) AS total,
+  count(*) AS n FROM scaled p, scaled q GROUP BY ALL),
 sides AS (SELECT customer_id, min(total / n) FILTER (other <> cluster) AS outside,
   min(total / nullif(n - 1, 0)) FILTER (other = cluster) AS inside FROM pairs GROUP BY customer_id),
 widths AS (SELECT coalesce((outside - inside) / greatest(outside, inside), 0) AS width FROM sides)"""
 
+INDICES = f"""SELECT CAST((SELECT count(*) FROM centers) AS INTEGER) AS k, count(*) AS n,
+  {r('(SELECT w FROM within_)', 2)} AS inertia, {r('(SELECT avg(width) FROM widths)', 4)} AS silhouette,
+  {r("""(SELECT b FROM between_) / ((SELECT count(*) FROM centers) - 1)
+    / ((SELECT w FROM within_) / (count(*) - (SELECT count(*) FROM centers)))""", 2)} AS calinski_harabasz,
+  {r('(SELECT avg(m) FROM worst)', 4)} AS davies_bouldin FROM scaled"""
+
+
+@query("K2bcd_validity", sql(*CLUSTERS, scaled_cte("clustered"), VALIDITY, INDICES))
+def k2_validity(spark, d):
+    return clusters.cluster_validity(materialize(scaled_clusters(spark, d)), ZS)
+
 
 @query(
-    "K2bcd_validity",
+    "K2a_evaluate_k",
     sql(
-        *CLUSTERS, scaled_cte("clustered"), VALIDITY,
-        f"""SELECT CAST((SELECT count(*) FROM centers) AS INTEGER) AS k, count(*) AS n,
-        {r('(SELECT w FROM within_)', 2)} AS inertia, {r('(SELECT avg(width) FROM widths)', 4)} AS silhouette,
-        {r('(SELECT b FROM between_) / 4 / ((SELECT w FROM within_) / (count(*) - 5))', 2)}
-          AS calinski_harabasz, {r('(SELECT avg(m) FROM worst)', 4)} AS davies_bouldin FROM scaled""",
+        *RFM, scaled_cte("rfm"),
+        f"""SELECT CAST(k AS INTEGER) AS k, CAST(round(sum({_square()})) AS BIGINT) AS total_square,
+        false AS low_variance, true AS separated FROM scaled, range(2, 9) AS t(k) GROUP BY k""",
     ),
 )
-def k2_validity(spark, d):
-    return clusters.cluster_validity(materialize(scaled_clusters(spark, d)), ZS)
+def k2a(spark, d):
+    """Each fitted k: inertia and the between-cluster part of Calinski-Harabasz add up to all squares."""
+    table = materialize(rfm(spark, d))
+    scaled, _ = clusters.preprocess_rfm(table)
+    n = table.count()
+    between = F.col("inertia") * F.col("calinski_harabasz") * (F.col("k") - 1) / (n - F.col("k"))
+    return clusters.evaluate_clusters(scaled).select(
+        "k",
+        F.round(F.col("inertia") + between).cast("bigint").alias("total_square"),
+        "low_variance",
+        (F.col("silhouette") > 0).alias("separated"),
+    )
+
+
+def score_evaluation_cte() -> str:
+    """Indices of two to five clusters made by merging the best spend scores."""
+    parts = [
+        f"""(WITH scaled AS (SELECT * EXCLUDE (cluster), least(m_score, {k}) - 1 AS cluster FROM all_scaled),
+        {VALIDITY} {INDICES})"""
+        for k in range(2, 6)
+    ]
+    return f"{scaled_cte('clustered', 'all_scaled')}, evaluation AS ({' UNION ALL '.join(parts)})"
+
+
+def score_evaluation(spark, d):
+    scaled = materialize(scaled_clusters(spark, d))
+    parts = [
+        clusters.cluster_validity(scaled.withColumn("cluster", F.least("m_score", F.lit(k)) - 1), ZS)
+        for k in range(2, 6)
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("K2e_best_k")
+@query(
+    "K2e_best_k",
+    sql(
+        *CLUSTERS, score_evaluation_cte(),
+        """SELECT (SELECT k FROM evaluation ORDER BY silhouette DESC, k LIMIT 1) AS best_k,
+        (SELECT max(silhouette) FROM evaluation) AS best_silhouette,
+        (SELECT k FROM evaluation ORDER BY calinski_harabasz DESC, k LIMIT 1) AS best_k_calinski,
+        (SELECT k FROM evaluation ORDER BY davies_bouldin, k LIMIT 1) AS best_k_davies""",
+    ),
+)
 def k2e(spark, d):
-    return clusters.best_k(k2a(spark, d))
+    return clusters.best_k(score_evaluation(spark, d))
+
+
+# Fixed centroids in scaled space, so that both engines measure the same distances.
+CENTROIDS = [[1.2, -1.0, -1.1], [0.1, 0.0, 0.2], [-0.9, 0.9, 0.8], [-1.5, 1.8, 2.0]]
+
 
+def nearest_cte(source: str, name: str, centers: list[list[float]] = CENTROIDS) -> str:
+    """``source`` without its scaled columns, with the number of the nearest centre."""
+    squares = [" + ".join(f"pow({c} - ({v}), 2)" for c, v in zip(ZS, center)) for center in centers]
+    return f"""{name} AS (SELECT * EXCLUDE ({', '.join(ZS)}, away),
+      CAST(list_position(away, list_min(away)) - 1 AS INTEGER) AS cluster
+      FROM (SELECT *, [{', '.join(squares)}] AS away FROM {source}))"""
 
-@query("K3_kmeans_quality")
+
+NEAREST = [*RFM, scaled_cte("rfm"), nearest_cte("scaled", "clustered")]
+
+
+@query(
+    "K3_kmeans_quality",
+    sql(
+        *RFM, scaled_cte("rfm"),
+        f"""SELECT count(*) AS n, CAST(round(sum({_square()})) AS BIGINT) AS total_square, true AS labels_are_nearest,
+        true AS centers_are_means, true AS beats_spend_scores FROM scaled""",
+    ),
+)
 def k3(spark, d):
-    """Size and centre of each fitted cluster, numbered from dormant to best."""
-    table = materialize(rfm(spark, d))
-    scaled, _ = clusters.preprocess_rfm(table)
+    """A fit with all its starts, held against what any good fit must show."""
+    scaled, _ = clusters.preprocess_rfm(materialize(scored(spark, d)))
+    scaled = materialize(scaled)
     labeled_rows, model = clusters.run_kmeans(scaled, 4)
-    _, order = clusters.align_centroids(model.clusterCenters())
-    return clusters.cluster_centers(clusters.relabel_clusters(labeled_rows, order), RFM_FEATURES)
+    centers = [[float(v) for v in c] for c in model.clusterCenters()]
+    away, nearest = clusters.nearest_center_sql(centers, ZS)
+    wrong = labeled_rows.withColumn("_away", F.expr(away)).where(f"cluster <> {nearest}").count()
+    means = {row["cluster"]: row for row in clusters.cluster_centers(labeled_rows, ZS).collect()}
+    gap = max(abs(means[i][c] - v) for i, center in enumerate(centers) for c, v in zip(ZS, center))
+    by_score = clusters.cluster_validity(scaled.withColumn("cluster", F.least("m_score", F.lit(4)) - 1), ZS).first()
+    found = clusters.cluster_validity(labeled_rows, ZS).first()
+    between = found["inertia"] * found["calinski_harabasz"] * 3 / (found["n"] - 4)
+    return spark.createDataFrame(
+        [(found["n"], round(found["inertia"] + between), wrong == 0, gap < 0.05, found["inertia"] <= by_score["inertia"])],
+        "n bigint, total_square bigint, labels_are_nearest boolean, centers_are_means boolean, "
+        "beats_spend_scores boolean",
+    )
 
 
-@query("K4_labeled_customers")
+@query("K4_labeled_customers", sql(*NEAREST, "SELECT customer_id, cluster FROM clustered"))
 def k4(spark, d):
+    """Labels by given centres; K3 holds the fitted ones to the same rule."""
     scaled, _ = clusters.preprocess_rfm(materialize(rfm(spark, d)))
-    return clusters.run_kmeans(scaled, 5, starts=3)[0]
+    away, nearest = clusters.nearest_center_sql(CENTROIDS, ZS)
+    return scaled.withColumn("_away", F.expr(away)).select("customer_id", F.expr(nearest).alias("cluster"))
 
 
 @query(
@@ -204,10 +287,6 @@ def k7(spark, d):
     return clusters.mark_whales(materialize(rfm(spark, d)), 0.98)
 
 
-# Fixed centroids in scaled space, so that both engines measure the same distances.
-CENTROIDS = [[1.2, -1.0, -1.1], [0.1, 0.0, 0.2], [-0.9, 0.9, 0.8], [-1.5, 1.8, 2.0]]
-
-
 def _to_centroid(c: list[float]) -> str:
     return "sqrt(" + " + ".join(f"pow({z} - ({v}), 2)" for z, v in zip(ZS, c)) + ")"
 
@@ -227,9 +306,16 @@ def k8(spark, d):
     return confident.select("customer_id", round_to(F.col("confidence"), 6).alias("confidence"))
 
 
-@query("K9_fitted_model_labels")
+def given_model(table, centers=CENTROIDS):
+    """Model of given centres on the metrics' own scale, and the customers it labels."""
+    scaler = clusters.fit_scaler(table, guard=False)
+    model = clusters.segment_model(scaler, centers, clusters.inertia_of(scaler.transform(table), centers, ZS))
+    return model, model.transform(table).drop(*ZS)
+
+
+@query("K9_fitted_model_labels", sql(*NEAREST, "SELECT * FROM clustered"))
 def k9(spark, d):
-    return clusters.fit_rfm_pipeline(rfm(spark, d), 4, starts=3)[1]
+    return given_model(materialize(rfm(spark, d)))[1]
 
 
 # ---------------------------------------------------------------- personas
@@ -256,8 +342,6 @@ RANKS = """ranks AS (SELECT customer_id, (r_score - 1) / 4 AS rr, (f_score - 1)
     sql(*SCORED, RANKS, f"SELECT customer_id, {persona_sql('rr', 'fr', 'mr')} AS persona FROM ranks"),
 )
 def p2(spark, d):
-    from catalog.inputs import scored
-
     ranks = [(F.col(f"{s}_score") - 1) / 4 for s in "rfm"]
     return scored(spark, d).select("customer_id", personas.classify(*ranks).alias("persona"))
 
@@ -273,8 +357,6 @@ FINE = "clustered AS (SELECT *, (r_score - 1) * 5 + f_score - 1 AS cluster FROM
 
 @query("P3_many_tiers", sql(*SCORED, FINE, mapping_cte(), "SELECT * FROM mapping"))
 def p3_many(spark, d):
-    from catalog.inputs import scored
-
     fine = scored(spark, d).withColumn("cluster", F.expr("(r_score - 1) * 5 + f_score - 1"))
     return personas.persona_mapping(fine)
 
@@ -421,20 +503,17 @@ def b5(spark, d):
     return backtest.retention_summary(*windows(spark, d))
 
 
-@query(
-    "B6_forward_value",
-    sql(
-        *window_labels(),
-        f"""SELECT segment, count(*) AS customer_count, count(b.customer_id) AS forward_active_count,
+FORWARD = f"""SELECT segment, count(*) AS customer_count, count(b.customer_id) AS forward_active_count,
         {r('coalesce(sum(b.monetary), 0)', 2)} AS total_forward_spend,
         {r('coalesce(sum(CAST(b.monetary AS DECIMAL(18, 2))), 0) / count(*)', 2)} AS avg_forward_spend,
         {r('avg(coalesce(b.frequency, 0))', 2)} AS avg_forward_orders,
         {r('count(b.customer_id) / count(*) * 100', 2)} AS forward_retention_pct,
         coalesce({r('sum(CAST(b.monetary AS DECIMAL(18, 2))) / nullif(count(b.customer_id), 0)', 2)}, 0)
           AS avg_spend_active_buyers
-        FROM l1 LEFT JOIN rfm2 b ON b.customer_id = l1.customer_id GROUP BY segment""",
-    ),
-)
+        FROM l1 LEFT JOIN rfm2 b ON b.customer_id = l1.customer_id GROUP BY segment"""
+
+
+@query("B6_forward_value", sql(*window_labels(), FORWARD))
 def b6(spark, d):
     t1, t2 = windows(spark, d)
     return backtest.forward_value(t1, t2)
@@ -451,14 +530,30 @@ def b7(spark, d):
     return backtest.migration_details(*windows(spark, d))
 
 
-@query("B8_backtest_retention")
+def _scaled_like(source: str, model: str, name: str) -> str:
+    """``source`` scaled by the centre and spread of ``model``."""
+    stats = ", ".join(f"avg(ln(1 + {f})) AS c_{f}, stddev_pop(ln(1 + {f})) AS s_{f}" for f in RFM_FEATURES)
+    scaled = ", ".join(f"(ln(1 + {f}) - c_{f}) / s_{f} AS z_{f}" for f in RFM_FEATURES)
+    return f"""{name}_stats AS (SELECT {stats} FROM {model}),
+    {name} AS (SELECT x.*, {scaled} FROM {source} x, {name}_stats)"""
+
+
+PROJECTED = [
+    *WINDOW_RFM, scaled_cte("rfm1", "scaled1"), nearest_cte("scaled1", "c1"),
+    _scaled_like("rfm2", "rfm1", "scaled2"), nearest_cte("scaled2", "c2"), mapping_cte("c1"),
+    "l1 AS (SELECT c1.*, segment FROM c1 JOIN mapping USING (cluster))",
+    "l2 AS (SELECT c2.*, coalesce(segment, 'Other') AS segment FROM c2 LEFT JOIN mapping USING (cluster))",
+]
+
+
+@query("B8_backtest_retention", sql(*PROJECTED, FORWARD))
 def b8(spark, d):
-    return backtest_segments(gross(spark, d), CUTOFF, starts=3).forward
+    return backtest_segments(gross(spark, d), CUTOFF, centers=CENTROIDS).forward
 
 
-@query("B9_projected_segments")
+@query("B9_projected_segments", sql(*PROJECTED, "SELECT * FROM l2"))
 def b9(spark, d):
-    return backtest_segments(gross(spark, d), CUTOFF, starts=3).t2
+    return backtest_segments(gross(spark, d), CUTOFF, centers=CENTROIDS).t2
 
 
 @query(
@@ -489,53 +584,93 @@ def b11(spark, d):
 # ---------------------------------------------------------------- saved models
 
 
-def fitted(spark, d, k: int = 4):
-    table = materialize(rfm(spark, d))
-    model, rows = clusters.fit_rfm_pipeline(table, k, starts=3)
-    return table, model, personas.persona_mapping(rows)
-
-
-@query("M1_batch_scoring")
+@query("M1_batch_scoring", sql(*NEAREST, mapping_cte(), LABELED, "SELECT * FROM labeled"))
 def m1(spark, d):
-    table, model, mapping = fitted(spark, d)
-    return scoring.score_customers(model, mapping, table)
+    table = materialize(rfm(spark, d))
+    model, rows = given_model(table)
+    return scoring.score_customers(model, personas.persona_mapping(rows), table)
 
 
 def two_versions(spark, d) -> str:
-    folder = scratch(spark, "models")
+    """Versions of three and of four centres."""
+    folder, table = scratch(spark, "models"), materialize(rfm(spark, d))
     for k in (3, 4):
-        table, model, mapping = fitted(spark, d, k)
+        model, rows = given_model(table, CENTROIDS[:k])
+        mapping = personas.persona_mapping(rows)
         scoring.save_model_version(
             model, mapping, folder, customer_count=table.count(), notes=f"k={k}"
         )
     return folder
 
 
-@query("M2_saved_versions")
+def version_ctes() -> list[str]:
+    parts = [*RFM, scaled_cte("rfm")]
+    for k in (3, 4):
+        parts += [nearest_cte("scaled", f"c{k}", CENTROIDS[:k]), mapping_cte(f"c{k}", f"m{k}")]
+    return parts
+
+
+def _inertia(k: int) -> str:
+    squares = [" + ".join(f"pow({c} - ({v}), 2)" for c, v in zip(ZS, center)) for center in CENTROIDS[:k]]
+    return r(f"(SELECT sum(list_min([{', '.join(squares)}])) FROM scaled)", 1)
+
+
+def version_name():
+    return F.regexp_extract("version_id", r"^(v\d+_k\d+)_\d{8}_\d{6}$", 1).alias("version")
+
+
+@query(
+    "M2_saved_versions",
+    sql(*version_ctes(), "SELECT 'v1_k3' AS version, * FROM m3 UNION ALL SELECT 'v2_k4', * FROM m4"),
+)
 def m2(spark, d):
-    return scoring.list_model_versions(spark, two_versions(spark, d)).drop("eval_metrics")
+    versions = scoring.list_model_versions(spark, two_versions(spark, d))
+    named = versions.select(version_name(), F.explode("cluster_map").alias("cluster", "segment"))
+    return named.withColumn("cluster", F.col("cluster").cast("int"))
 
 
-@query("S9_version_catalog")
+@query(
+    "S9_version_catalog",
+    sql(
+        *version_ctes(),
+        " UNION ALL ".join(
+            f"""SELECT 'v{k - 2}_k{k}' AS version, {k} AS k, {_inertia(k)} AS inertia, count(*) AS customer_count,
+            'k={k}' AS notes, '{','.join(RFM_FEATURES)}' AS features FROM rfm"""
+            for k in (3, 4)
+        ),
+    ),
+)
 def s9(spark, d):
     versions = scoring.list_model_versions(spark, two_versions(spark, d))
-    return versions.select("version_id", "k", "inertia", "customer_count", "notes")
+    return versions.select(
+        version_name(), "k", round_to(F.col("inertia"), 1).alias("inertia"), "customer_count", "notes",
+        F.array_join("feature_names", ",").alias("features"),
+    )
 
 
-@query("M3_reloaded_model")
+@query("M3_reloaded_model", sql(*NEAREST, mapping_cte(), LABELED, "SELECT * FROM labeled"))
 def m3(spark, d):
-    folder = scratch(spark, "models")
-    table, model, mapping = fitted(spark, d)
-    version = scoring.save_model_version(model, mapping, folder)
+    folder, table = scratch(spark, "models"), materialize(rfm(spark, d))
+    model, rows = given_model(table)
+    version = scoring.save_model_version(model, personas.persona_mapping(rows), folder)
     loaded, names, _ = scoring.load_model_version(spark, folder, version)
     return scoring.score_customers(loaded, names, table)
 
 
-@query("M4_compare_versions")
+@query(
+    "M4_compare_versions",
+    sql(
+        *version_ctes(),
+        f"""SELECT 3 AS k_a, 4 AS k_b, 1 AS k_delta, {_inertia(3)} AS inertia_a, {_inertia(4)} AS inertia_b,
+        0.0 AS silhouette_a, 0.0 AS silhouette_b, 0.0 AS silhouette_delta""",
+    ),
+)
 def m4(spark, d):
     versions = scoring.list_model_versions(spark, two_versions(spark, d))
     newest, oldest = [row["version_id"] for row in versions.select("version_id").collect()]
-    return scoring.compare_versions(versions, oldest, newest)
+    found = scoring.compare_versions(versions, oldest, newest).drop("inertia_delta")
+    rounded = {c: round_to(F.col(c), 1) for c in ("inertia_a", "inertia_b")}
+    return found.withColumns(rounded)
 
 
 @query("segmentation_run")
@@ -543,4 +678,4 @@ def whole(spark, d):
     """Raw lines to labeled and scored customers in one call."""
     from catalog.inputs import raw_lines
 
-    return segment_customers(raw_lines(spark, d), k_values=[3, 4], starts=2).labeled
+    return segment_customers(raw_lines(spark, d)).labeled

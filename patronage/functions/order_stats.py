@@ -75,8 +75,8 @@ def unpivot_metrics(df: DataFrame, keep: list[str], metrics: list[str]) -> DataF
     return df.select(*keep, F.explode(pairs).alias("_p")).select(*keep, "_p.metric", "_p.value")
 
 
-def _below(key: Column):
-    return lambda edge: edge < key
+# Slices are cut until each holds at most this many rows, which one task sorts; pivots per cut.
+SLICE_ROWS, PIVOTS = 50_000, 255
 
 
 def keys_at_ranks(
@@ -84,14 +84,15 @@ def keys_at_ranks(
     orders: dict[str, Column],
     ranks: dict[str, list[int]],
     rows: int,
-    sort_below: int = 200_000,
-    pivots: int = 255,
+    slice_rows: int = SLICE_ROWS,
 ) -> dict[str, dict[int, Column]]:
     """Sort keys standing at 1-based ``ranks`` of each total order in ``orders``.
 
     ``orders`` maps a series name to a struct Column (the same struct type for all) whose ascending
-    order is total; ``rows`` is the row count of ``df``. What reaches the driver is a sample of a
-    fixed size, one count per slice and the wanted keys themselves, returned as literals.
+    order is total; ``rows`` is the row count of ``df``. Slices of the order that hold a wanted rank are
+    cut at sampled pivots again and again until they are small, so no task sorts more than ``slice_rows`` rows
+    whatever the size of the table. What reaches the driver is samples of a fixed size, one count
+    per slice and the wanted keys themselves, returned as literals.
     """
     key_type = df.select(next(iter(orders.values())).alias("k")).schema["k"].dataType
 
@@ -99,61 +100,80 @@ def keys_at_ranks(
         parts = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(key, key_type.fields)]
         return F.struct(*parts)
 
-    cuts: dict[str, list] = {name: [] for name in orders}
-    if rows > sort_below:
-        wanted = pivots * 80
-        sample = df.sample(min(1.0, wanted / rows), seed=42)
-        drawn = sample.select(*[k.alias(name) for name, k in orders.items()]).collect()
-        for name in orders:
-            keys = sorted(tuple(row[name]) for row in drawn)
-            step = max(1, len(keys) // (pivots + 1))
-            cuts[name] = keys[step::step][:pivots]
-
-    entries = []
-    for name, key in orders.items():
-        slice_no = F.lit(0)
-        if cuts[name]:
-            edges = F.array(*[literal(c) for c in cuts[name]])
-            slice_no = F.size(F.filter(edges, _below(key)))
-        entries.append(
-            F.struct(F.lit(name).alias("series"), slice_no.alias("slice"), key.alias("key"))
-        )
-    long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-
-    sizes: dict[tuple[str, int], int] = {(name, 0): rows for name in orders}
-    if any(cuts.values()):
-        counted = long.groupBy("series", "slice").agg(F.count(F.lit(1)).alias("n")).collect()
-        sizes = {(r["series"], r["slice"]): r["n"] for r in counted}
-
-    targets: dict[tuple[str, int, int], int] = {}
-    for name, wanted_ranks in ranks.items():
-        for rank in wanted_ranks:
-            left = rank
-            for slice_no in range(len(cuts[name]) + 1):
-                size = sizes.get((name, slice_no), 0)
-                if left <= size:
-                    targets[(name, slice_no, left)] = rank
+    # Each wanted (series, rank) to its slice (above a key, up to a key), the slice's size and the rank in it.
+    wanted = {(name, rank): ((None, None), rows, rank) for name, found in ranks.items() for rank in found}
+    while any(size > slice_rows for _, size, _ in wanted.values()):
+        wide = {(name, span): size for (name, _), (span, size, _) in wanted.items() if size > slice_rows}
+        cuts = _cut_points(df, orders, wide, literal)
+        counts = _slice_sizes(df, orders, cuts, literal)
+        for target, (span, size, rank) in wanted.items():
+            edges = cuts.get((target[0], span))
+            if not edges:
+                continue
+            for low, high in zip([span[0], *edges], [*edges, span[1]]):
+                inside = counts.get((target[0], (low, high)), 0)
+                if rank <= inside:
+                    wanted[target] = ((low, high), inside, rank)
                     break
-                left -= size
-
-    def one_of(columns: list[str], tuples: set[tuple]) -> Column:
-        tests = F.lit(False)
-        for values in sorted(tuples):
-            match = F.lit(True)
-            for column, value in zip(columns, values):
-                match = match & (F.col(column) == value)
-            tests = tests | match
-        return tests
-
-    in_slice = W.partitionBy("series", "slice").orderBy("key")
-    found = (
-        long.where(one_of(["series", "slice"], {t[:2] for t in targets}))
-        .withColumn("pos", F.row_number().over(in_slice))
-        .where(one_of(["series", "slice", "pos"], set(targets)))
-        .collect()
+                rank -= inside
+
+    spans = sorted({(name, span) for (name, _), (span, _, _) in wanted.items()}, key=repr)
+    number = {span: i for i, span in enumerate(spans)}
+    entries = [
+        F.when(_inside(orders[name], span, literal), F.struct(F.lit(i).alias("slice"), orders[name].alias("key")))
+        for (name, span), i in number.items()
+    ]
+    long = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+    in_slice = W.partitionBy("slice").orderBy("key")
+    places = {target: (number[target[0], span], left) for target, (span, _, left) in wanted.items()}
+    is_wanted = F.array_contains(
+        F.array(*[F.struct(F.lit(i).alias("slice"), F.lit(left).alias("pos")) for i, left in set(places.values())]),
+        F.struct("slice", "pos"),
     )
+    found = long.withColumn("pos", F.row_number().over(in_slice)).where(is_wanted).collect()
     result: dict[str, dict[int, Column]] = {name: {} for name in orders}
-    keys = {(r["series"], r["slice"], r["pos"]): r["key"] for r in found}
-    for target, rank in targets.items():
-        result[target[0]][rank] = literal(keys[target])
+    keys = {(row["slice"], row["pos"]): row["key"] for row in found}
+    for (name, rank), place in places.items():
+        result[name][rank] = literal(keys[place])
     return result
+
+
+def _inside(key: Column, span: tuple, literal) -> Column:
+    low, high = span
+    test = F.lit(True) if low is None else key > literal(low)
+    return test if high is None else test & (key <= literal(high))
+
+
+def _cut_points(df: DataFrame, orders: dict[str, Column], wide: dict, literal) -> dict:
+    """Some keys inside each slice, from a sample of about 80 per pivot."""
+    out = {}
+    for (name, span), size in wide.items():
+        part = df.select(orders[name].alias("key")).where(_inside(F.col("key"), span, literal))
+        drawn = part.sample(min(1.0, 80 * PIVOTS / size), seed=42).collect()
+        keys = sorted(tuple(row["key"]) for row in drawn)
+        step = max(1, len(keys) // (PIVOTS + 1))
+        # Keys are distinct, so a slice with two drawn keys or more gets smaller.
+        out[name, span] = keys[step - 1 : -1 : step][:PIVOTS]
+    return out
+
+
+def _below(key: Column):
+    return lambda edge: edge < key
+
+
+def _slice_sizes(df: DataFrame, orders: dict[str, Column], cuts: dict, literal) -> dict:
+    """Rows between neighbouring cut points, all slices in one pass."""
+    numbered = list(cuts.items())
+    entries = []
+    for i, ((name, span), edges) in enumerate(numbered):
+        below = F.size(F.filter(F.array(*map(literal, edges)), _below(orders[name]))) if edges else F.lit(0)
+        entries.append(
+            F.when(_inside(orders[name], span, literal), F.struct(F.lit(i).alias("cut"), below.alias("part")))
+        )
+    long = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+    sizes = {}
+    for row in long.groupBy("cut", "part").agg(F.count(F.lit(1)).alias("n")).collect():
+        (name, span), edges = numbered[row["cut"]]
+        bounds = [span[0], *edges, span[1]]
+        sizes[name, (bounds[row["part"]], bounds[row["part"] + 1])] = row["n"]
+    return sizes

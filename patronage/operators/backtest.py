@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from patronage.functions.text import exact_total, round_to
+from patronage.functions.text import exact_sum, round_to
 from patronage.operators.rfm import (
     _as_datetime,
     _midnight_after,
@@ -167,7 +167,7 @@ def forward_value(t1: DataFrame, t2_rfm: DataFrame) -> DataFrame:
     active = F.col("frequency").isNotNull()
     spend = F.coalesce(F.col("monetary"), F.lit(0.0))
     count, active_count = F.count(F.lit(1)), F.count(F.when(active, F.lit(1)))
-    total = exact_total(spend)
+    total = exact_sum(spend)
 
     def per(whole):
         return round_to(F.coalesce(F.try_divide(total, whole), F.lit(0.0)), 2)

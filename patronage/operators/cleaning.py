@@ -6,23 +6,23 @@ breaks, so the clean table is a filter and the report is one aggregation.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patronage.functions.text import (
-    TICKS,
     clean_id,
     clean_number,
+    exact,
     is_cancellation,
     is_missing,
     parse_date,
     round_to,
-    ticks,
 )
 from patronage.schema import MISSING_INVOICE_TEXT
+from patronage.session import materialize
 from patronage.sources.conform import select_canonical
 
 # Removal reasons in the order in which they apply, with their report wording.
@@ -38,10 +38,12 @@ REMOVAL_REASONS = {
 
 @dataclass(frozen=True)
 class CleaningPolicy:
-    """``gross`` drops returns and cancellations; ``net`` keeps returns as refunds."""
+    """``gross`` drops returns and cancellations; ``net`` keeps returns as refunds; ``day_first``: ``1/2/2011`` is a
+    day in February."""
 
     policy_type: str = "gross"
     remove_duplicates: bool = False
+    day_first: bool = False
 
     def __post_init__(self) -> None:
         if self.policy_type not in ("gross", "net"):
@@ -62,12 +64,12 @@ def duplicate_rows(raw: DataFrame) -> DataFrame:
     return raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-def _cleaned(raw: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def _cleaned(raw: DataFrame, policy: CleaningPolicy, carry: tuple[str, ...] = ()) -> DataFrame:
     """Cleaned columns plus ``_no_customer``; ``carry`` passes through."""
     types = {f.name: f.dataType for f in raw.schema}
     rules = {
         "customer_id": clean_id,
-        "invoice_date": parse_date,
+        "invoice_date": lambda value, dtype: parse_date(value, dtype, policy.day_first),
         "quantity": clean_number,
         "unit_price": clean_number,
     }
@@ -107,7 +109,7 @@ def annotate_transactions(
     """Cleaned columns plus ``removal_reason``: the first broken rule, null for rows that stay."""
     rules = broken_rules(policy, raw.schema["invoice_no"].dataType)
     reason = F.coalesce(*[F.when(broken, F.lit(name)) for name, broken in rules.items()])
-    return _cleaned(raw, carry).withColumn("removal_reason", reason).drop("_no_customer")
+    return _cleaned(raw, policy, carry).withColumn("removal_reason", reason).drop("_no_customer")
 
 
 def kept_transactions(raw: DataFrame, policy: CleaningPolicy = CleaningPolicy()) -> DataFrame:
@@ -116,7 +118,7 @@ def kept_transactions(raw: DataFrame, policy: CleaningPolicy = CleaningPolicy())
     Every rule is a filter of its own, so each is applied as early as its columns are known,
     down to the scans below a join.
     """
-    kept = _cleaned(raw)
+    kept = _cleaned(raw, policy)
     for broken in broken_rules(policy, raw.schema["invoice_no"].dataType).values():
         kept = kept.where(~broken)
     return with_refund_flag(kept.drop("_no_customer"))
@@ -140,12 +142,20 @@ def clean_transactions(
     """
     policy = policy or CleaningPolicy()
     dedupe = policy.remove_duplicates or remove_duplicates
-    policy = CleaningPolicy(policy.policy_type, dedupe)
+    policy = replace(policy, remove_duplicates=dedupe)
     raw = select_canonical(df, mapping)
-    kept = kept_transactions(raw, policy)
-    if dedupe and not duplicate_rows(raw).isEmpty():
+    if not dedupe:
+        return kept_transactions(raw, policy), cleaning_report(raw, policy)
+    # Collapsed and stored once: the question for copies, the rows and the report all read that table.
+    copies = materialize(_with_copies(raw))
+    kept = kept_transactions(copies.select(raw.columns), policy)
+    if not copies.where("_n > 1").isEmpty():
         kept = kept.dropDuplicates()
-    return kept, cleaning_report(raw, policy)
+    return kept, _report(copies, raw.columns, policy)
+
+
+def _with_copies(raw: DataFrame) -> DataFrame:
+    return raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def cleaning_report(raw: DataFrame, policy: CleaningPolicy = CleaningPolicy()) -> DataFrame:
@@ -154,20 +164,23 @@ def cleaning_report(raw: DataFrame, policy: CleaningPolicy = CleaningPolicy()) -
     Rows are first collapsed to distinct raw rows with their number of copies, which yields the
     duplicate count and shrinks what the later steps see.
     """
-    copies = raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("_n"))
+    return _report(_with_copies(raw), raw.columns, policy)
+
+
+def _report(copies: DataFrame, columns: list[str], policy: CleaningPolicy) -> DataFrame:
     copies = copies.withColumn("_dup", F.when(F.col("_n") > 1, F.col("_n")).otherwise(F.lit(0)))
     marked = annotate_transactions(copies, policy, carry=("_n", "_dup"))
     if policy.remove_duplicates:
-        marked = marked.groupBy(*raw.columns, "removal_reason").agg(
+        marked = marked.groupBy(*columns, "removal_reason").agg(
             F.sum("_n").alias("_n"), F.sum("_dup").alias("_dup")
         )
     kept = F.col("removal_reason").isNull()
     total = F.col("quantity") * F.col("unit_price")
     weights = {"all": F.col("_n"), "once": F.lit(1).cast("bigint")}
 
-    def add(name: str, condition: Column, value: Column) -> list[Column]:
+    def add(name: str, condition: Column, value: Column, kind=lambda number: number) -> list[Column]:
         return [
-            F.sum(F.when(condition, value * w)).alias(f"{name}_{suffix}")
+            F.sum(F.when(condition, kind(value * w))).alias(f"{name}_{suffix}")
             for suffix, w in weights.items()
         ]
 
@@ -179,8 +192,8 @@ def cleaning_report(raw: DataFrame, policy: CleaningPolicy = CleaningPolicy()) -
         F.min("invoice_date").alias("first"),
         F.max("invoice_date").alias("last"),
         *add("rows", F.lit(True), F.lit(1).cast("bigint")),
-        *add("gross", total > 0, ticks(total)),
-        *add("refund", total < 0, -ticks(total)),
+        *add("gross", total > 0, total, exact),
+        *add("refund", total < 0, -total, exact),
         *add("refunds", total < 0, F.lit(1).cast("bigint")),
     )
     names = ["rows", "gross", "refund", "refunds"]
@@ -195,7 +208,7 @@ def cleaning_report(raw: DataFrame, policy: CleaningPolicy = CleaningPolicy()) -
         F.count(F.when(kept, 1)).alias("customers"),
         F.min(F.when(kept, F.col("first"))).alias("first"),
         F.max(F.when(kept, F.col("last"))).alias("last"),
-        *[F.sum(F.when(kept, F.col(c).cast("decimal(20,0)"))).alias(c) for c in sums],
+        *[F.sum(F.when(kept, F.col(c))).alias(c) for c in sums],
     )
     dedupe = F.lit(policy.remove_duplicates) & (F.col("dups") > 0)
 
@@ -204,7 +217,7 @@ def cleaning_report(raw: DataFrame, policy: CleaningPolicy = CleaningPolicy()) -
         return F.coalesce(chosen, F.lit(0))
 
     before, after = F.coalesce(F.col("before"), F.lit(0)), pick("rows").cast("bigint")
-    gross, refund = pick("gross").cast("double") / TICKS, pick("refund").cast("double") / TICKS
+    gross, refund = pick("gross").cast("double"), pick("refund").cast("double")
     revenue = gross - refund if policy.policy_type == "net" else gross
 
     def share(part: Column, whole: Column) -> Column:

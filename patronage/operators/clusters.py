@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from itertools import permutations
 
 import numpy as np
-import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -16,18 +14,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from patronage.functions.order_stats import exact_percentiles, unpivot_metrics
-from patronage.functions.text import exact_mean, exact_total, round_to
+from patronage.functions.text import exact_mean, exact_sum, round_to
 from patronage.schema import RFM_FEATURES, require_columns
 from patronage.session import materialize
 
-# Cluster counts tried, smallest table worth clustering, seed, starts per fit,
-# spread below which features count as constant, and the silhouette sample size.
+# Cluster counts tried, smallest table worth clustering, seed, starts per fit and the
+# spread below which features count as constant.
 K_MIN, K_MAX = 2, 8
 MIN_CUSTOMERS = 10
 SEED = 42
 STARTS = 10
 LOW_SPREAD = 0.01
-SILHOUETTE_SAMPLE = 2000
 MAX_CLUSTERS = 1000
 
 
@@ -74,8 +71,7 @@ def fit_scaler(
     ).first()
     if stats["n"] < MIN_CUSTOMERS:
         raise ValueError(
-            f"Dataset has only {stats['n']} customers. "
-            f"A minimum of {MIN_CUSTOMERS} customers is required for meaningful clustering."
+            f"The table holds {stats['n']} customers; clusters need {MIN_CUSTOMERS} or more."
         )
     center = [stats[f"mean_{f}"] for f in features]
     spread = [stats[f"std_{f}"] for f in features]
@@ -128,7 +124,7 @@ def run_kmeans(
     """Best of several seeded K-Means starts on scaled features; labels in ``cluster``."""
     n = scaled.count()
     if k < 2 or k >= n:
-        raise ValueError(f"Invalid cluster count k={k} for {n} samples.")
+        raise ValueError(f"k={k} is not between 2 and {n - 1}.")
     vectors = _vectors(scaled, features).select("features").persist()
     try:
         model = _best_start(vectors, k, seed, starts)
@@ -144,61 +140,80 @@ def cluster_centers(df: DataFrame, features: list[str], cluster: str = "cluster"
     )
 
 
-def _center_literals(centers: list, features: list[str], cluster: str) -> Column:
-    rows = [
-        F.struct(
-            F.lit(r[cluster]).alias("cluster"),
-            F.array(*[F.lit(float(r[f])) for f in features]).alias("at"),
-        )
-        for r in centers
-    ]
-    return F.array(*rows)
-
-
 def _squared_distance(features: list[str], at: Column) -> Column:
     return sum(((F.col(f) - at[i]) ** 2 for i, f in enumerate(features)), F.lit(0.0))
 
 
-def cluster_validity(
-    df: DataFrame, features: list[str], cluster: str = "cluster", key: str = "customer_id"
-) -> DataFrame:
+def cluster_validity(df: DataFrame, features: list[str], cluster: str = "cluster") -> DataFrame:
     """One row: ``k, n, inertia, silhouette, calinski_harabasz, davies_bouldin`` of given labels.
 
-    Two aggregations over the customers and a look at a fixed-size sample; pairs of customers are
-    formed only between a customer of the sample and the sample.
+    Two aggregations over all customers. The silhouette is the one of squared distances: the mean
+    squared distance of a customer to a cluster follows from that cluster's size, mean and mean square, so no
+    pairs of customers are formed and none are left out.
     """
-    centers = cluster_centers(df, features, cluster).orderBy(cluster).collect()
-    k, n = len(centers), sum(r["n"] for r in centers)
-    if k > MAX_CLUSTERS:
-        raise ValueError(f"{k} clusters exceed the supported {MAX_CLUSTERS}.")
-    own = F.element_at(
-        F.filter(
-            _center_literals(centers, features, cluster), lambda c: c["cluster"] == F.col(cluster)
-        ),
-        1,
-    )["at"]
+    square = sum((F.col(f).cast("double") ** 2 for f in features), F.lit(0.0))
+    centers = (
+        df.groupBy(cluster)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.avg(F.col(f).cast("double")).alias(f) for f in features],
+            F.avg(square).alias("_square"),
+        )
+        .limit(MAX_CLUSTERS + 1)
+        .collect()
+    )
+    if len(centers) > MAX_CLUSTERS:
+        raise ValueError(f"More clusters than the {MAX_CLUSTERS} that can be compared.")
+    centers.sort(key=lambda row: row[cluster])
+    k, n = len(centers), sum(row["n"] for row in centers)
+    away = F.array(
+        *[
+            F.struct(
+                F.lit(row[cluster]).alias("cluster"),
+                F.lit(row["n"]).alias("n"),
+                _squared_distance(features, [F.lit(float(row[f])) for f in features]).alias("to_center"),
+                (square + F.lit(row["_square"]) - 2 * _dot(features, row)).alias("to_members"),
+            )
+            for row in centers
+        ]
+    )
+    placed = df.select(cluster, away.alias("_away")).select(
+        cluster,
+        F.element_at(F.filter("_away", lambda c: c["cluster"] == F.col(cluster)), 1).alias("_own"),
+        F.array_min(
+            F.transform(F.filter("_away", lambda c: c["cluster"] != F.col(cluster)), lambda c: c["to_members"])
+        ).alias("_outside"),
+    )
+    outside = F.greatest(F.col("_outside"), F.lit(0.0))
+    inside = F.greatest(F.col("_own.to_members"), F.lit(0.0)) * F.col("_own.n") / (F.col("_own.n") - 1)
+    width = F.when(
+        F.col("_own.n") > 1, F.coalesce(F.try_divide(outside - inside, F.greatest(outside, inside)), F.lit(0.0))
+    ).otherwise(0.0)
     spread = (
-        df.select(cluster, _squared_distance(features, own).alias("d2"))
-        .groupBy(cluster)
-        .agg(F.sum("d2").alias("within"), F.avg(F.sqrt("d2")).alias("mean_distance"))
+        placed.groupBy(cluster)
+        .agg(
+            F.sum("_own.to_center").alias("within"),
+            F.avg(F.sqrt("_own.to_center")).alias("mean_distance"),
+            F.sum(width).alias("widths"),
+        )
         .collect()
     )
-    within = sum(r["within"] for r in spread)
-    scatter = {r[cluster]: r["mean_distance"] for r in spread}
+    within = sum(row["within"] for row in spread)
     if k < 2:
         indices = (0.0, 0.0, 99.0)
     else:
-        points = np.array([[r[f] for f in features] for r in centers], dtype=float)
-        sizes = np.array([r["n"] for r in centers], dtype=float)
+        points = np.array([[row[f] for f in features] for row in centers], dtype=float)
+        sizes = np.array([row["n"] for row in centers], dtype=float)
         mean = (points * sizes[:, None]).sum(0) / n
         between = float((sizes * ((points - mean) ** 2).sum(1)).sum())
         calinski = 1.0 if within == 0 else (between / (k - 1)) / (within / max(n - k, 1))
         gaps = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
-        s = np.array([scatter[r[cluster]] for r in centers])
+        scatter = {row[cluster]: row["mean_distance"] for row in spread}
+        s = np.array([scatter[row[cluster]] for row in centers])
         np.fill_diagonal(gaps, np.inf)
         gaps[gaps == 0] = np.inf
         davies = float(((s[:, None] + s[None]) / gaps).max(1).mean())
-        indices = (silhouette(df, features, cluster, key), calinski, davies)
+        indices = (sum(row["widths"] for row in spread) / n, calinski, davies)
     row = (k, n, round(within, 2), round(indices[0], 4), round(indices[1], 2), round(indices[2], 4))
     return df.sparkSession.createDataFrame(
         [row],
@@ -207,45 +222,8 @@ def cluster_validity(
     )
 
 
-def silhouette(
-    df: DataFrame,
-    features: list[str],
-    cluster: str = "cluster",
-    key: str = "customer_id",
-    sample_size: int = SILHOUETTE_SAMPLE,
-    seed: int = SEED,
-) -> float:
-    """Mean Euclidean silhouette over at most ``sample_size`` rows drawn by a hash of the key."""
-    draw = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
-    columns = [F.col(f).cast("double").alias(f) for f in features]
-    drawn = df.orderBy(draw, key).limit(sample_size).select(cluster, *columns)
-    sample = drawn.toPandas()
-    labels, owner = np.unique(sample[cluster].to_numpy(), return_inverse=True)
-    if len(labels) < 2:
-        return 0.0
-    points = sample[features].to_numpy(dtype=float)
-    member = np.eye(len(labels))[owner]
-    sizes = member.sum(0)
-
-    def widths(batches):
-        for batch in batches:
-            mine = np.searchsorted(labels, batch[cluster].to_numpy())
-            x = batch[features].to_numpy(dtype=float)
-            distance = np.sqrt(((x[:, None] - points[None]) ** 2).sum(-1)) @ member
-            rows = np.arange(len(x))
-            inside = distance[rows, mine] / np.maximum(sizes[mine] - 1, 1)
-            outside = distance / sizes
-            outside[rows, mine] = np.inf
-            nearest = outside.min(1)
-            width = (nearest - inside) / np.maximum(np.maximum(inside, nearest), 1e-300)
-            width[sizes[mine] == 1] = 0.0
-            yield pd.DataFrame({"width": width})
-
-    spark = df.sparkSession
-    rows = spark.createDataFrame(sample, drawn.schema).repartition(
-        max(1, min(len(sample) // 250, spark.sparkContext.defaultParallelism))
-    )
-    return float(rows.mapInPandas(widths, "width double").agg(F.avg("width")).first()[0])
+def _dot(features: list[str], center) -> Column:
+    return sum((F.col(f).cast("double") * F.lit(float(center[f])) for f in features), F.lit(0.0))
 
 
 def evaluate_clusters(
@@ -254,10 +232,9 @@ def evaluate_clusters(
     features: list[str] = RFM_FEATURES,
     seed: int = SEED,
     starts: int = STARTS,
-    key: str = "customer_id",
 ) -> DataFrame:
     """One row per k with its validity indices, ``low_variance`` and a ``warning`` if any."""
-    table = materialize(scaled.select(key, *[z(f) for f in features]))
+    table = materialize(scaled.select(*[z(f) for f in features]))
     zs = [z(f) for f in features]
     n = table.count()
     if k_values is None:
@@ -266,7 +243,7 @@ def evaluate_clusters(
     else:
         k_values = [k for k in k_values if 2 <= k < n]
         if not k_values:
-            raise ValueError(f"Insufficient samples ({n}) for evaluated k_range.")
+            raise ValueError(f"None of the cluster counts lies between 2 and {n - 1}.")
     # Spread of all scaled cells together, around their common mean.
     cells = sum((F.col(c) for c in zs), F.lit(0.0))
     squares = sum((F.col(c) ** 2 for c in zs), F.lit(0.0))
@@ -281,8 +258,7 @@ def evaluate_clusters(
     )
     if spread < LOW_SPREAD:
         warning = (
-            "Dataset has near-zero variance across RFM features. "
-            "Clustering may not reveal distinct behavioral segments."
+            "All customers have almost the same metrics; clusters of them mean little."
         )
         return spark.createDataFrame(
             [(k, 0.0, 0.0, None, None, True, warning) for k in k_values], schema
@@ -292,8 +268,8 @@ def evaluate_clusters(
         rows = []
         for k in k_values:
             model = _best_start(vectors, k, seed, starts)
-            labeled = model.transform(vectors).select(key, *zs, "cluster")
-            v = cluster_validity(labeled, zs, key=key).first()
+            labeled = model.transform(vectors).select(*zs, "cluster")
+            v = cluster_validity(labeled, zs).first()
             rows.append(
                 (k, round(model.summary.trainingCost, 2), v["silhouette"],
                  v["calinski_harabasz"], v["davies_bouldin"], False, None)
@@ -321,7 +297,7 @@ def cluster_profiles(clustered: DataFrame) -> DataFrame:
     require_columns(clustered, ["cluster", *RFM_FEATURES], "cluster profiles")
     sums = clustered.groupBy("cluster").agg(
         F.count("customer_id").alias("customer_count"),
-        exact_total(F.col("monetary")).alias("revenue"),
+        exact_sum(F.col("monetary")).alias("revenue"),
         *[exact_mean(F.col(f)).alias(f"mean_{f}") for f in RFM_FEATURES],
     )
     long = unpivot_metrics(clustered, ["cluster"], RFM_FEATURES)
@@ -354,21 +330,45 @@ def align_centroids(
     Works on the k centroids only; ``relabel_clusters`` applies the numbering to the customers.
     """
     centroids = np.asarray(centroids, dtype=float)
-    k = len(centroids)
     if anchors is not None and np.shape(anchors) == centroids.shape:
-        if k > K_MAX:
-            raise ValueError(f"Pairing with anchors supports at most {K_MAX} clusters, got {k}.")
-        cost = np.sqrt(((centroids[:, None] - np.asarray(anchors, float)[None]) ** 2).sum(-1))
-        pairing = min(permutations(range(k)), key=lambda p: cost[range(k), list(p)].sum())
-        mapping = dict(enumerate(pairing))
+        distance = np.sqrt(((centroids[:, None] - np.asarray(anchors, float)[None]) ** 2).sum(-1))
+        numbers = cheapest_pairing(distance)
     else:
         signs = [-1, 1, 1] if centroids.shape[1] >= 3 else [1] * centroids.shape[1]
         health = centroids[:, : len(signs)] @ np.array(signs, dtype=float)
-        mapping = {int(old): new for new, old in enumerate(np.argsort(health, kind="stable"))}
-    aligned = np.zeros_like(centroids)
-    for old, new in mapping.items():
-        aligned[new] = centroids[old]
-    return aligned, mapping
+        numbers = np.argsort(np.argsort(health, kind="stable"), kind="stable")
+    return centroids[np.argsort(numbers)], dict(enumerate(numbers.tolist()))
+
+
+def cheapest_pairing(cost: np.ndarray) -> np.ndarray:
+    """Column for each row of a square table, each used once, at the least total cost (Hungarian method)."""
+    k = len(cost)
+    row_price, column_price = np.zeros(k), np.zeros(k)
+    owner = np.full(k, -1)
+    for row in range(k):
+        # Grow a tree of cheapest alternating paths from this row until it meets a free column.
+        slack, reached_from, done = np.full(k, np.inf), np.full(k, -1), np.zeros(k, bool)
+        column, current = -1, row
+        while True:
+            gap = cost[current] - row_price[current] - column_price
+            better = ~done & (gap < slack)
+            slack[better], reached_from[better] = gap[better], column
+            following = int(np.where(done, np.inf, slack).argmin())
+            step = slack[following]
+            row_price[row] += step
+            row_price[owner[done]] += step
+            column_price[done] -= step
+            slack[~done] -= step
+            done[following] = True
+            column = following
+            if owner[column] < 0:
+                break
+            current = owner[column]
+        while column >= 0:
+            before = reached_from[column]
+            owner[column] = owner[before] if before >= 0 else row
+            column = before
+    return np.argsort(owner)
 
 
 def relabel_clusters(clustered: DataFrame, mapping: dict[int, int]) -> DataFrame:
@@ -420,13 +420,43 @@ def boundary_confidence(
     )
 
 
-def rfm_stages(scaler: Scaler) -> list:
-    """Saved-model stages from raw metrics to the feature vector."""
+@dataclass(frozen=True)
+class SegmentModel:
+    """Raw metrics to ``cluster`` (the nearest of ``centers`` in scaled space) in plain SQL stages."""
+
+    pipeline: PipelineModel
+    k: int
+    inertia: float | None = None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.pipeline.transform(df)
+
+
+def nearest_center_sql(centers: list[list[float]], columns: list[str]) -> tuple[str, str]:
+    """SQL for the squared distances to all centres, and for the number of the nearest in ``_away``."""
+    distances = [
+        " + ".join(f"power(`{c}` - ({float(v)!r}D), 2)" for c, v in zip(columns, center)) for center in centers
+    ]
+    return f"array({', '.join(distances)})", "cast(array_position(_away, array_min(_away)) - 1 AS int)"
+
+
+def segment_model(scaler: Scaler, centers: list[list[float]], inertia: float | None = None) -> SegmentModel:
+    """Model from known centres, such as those of a fit or of an earlier version."""
+    columns = [z(f) for f in scaler.features]
     scaled = ", ".join(f"{e} AS {name}" for name, e in scaler.sql().items())
-    return [
+    away, nearest = nearest_center_sql(centers, columns)
+    stages = [
         SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"),
-        VectorAssembler(inputCols=[z(f) for f in scaler.features], outputCol="features"),
+        SQLTransformer(statement=f"SELECT *, {away} AS _away FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT * EXCEPT (_away), {nearest} AS cluster FROM __THIS__"),
     ]
+    return SegmentModel(PipelineModel(stages=stages), len(centers), inertia)
+
+
+def inertia_of(scaled: DataFrame, centers: list[list[float]], columns: list[str]) -> float:
+    """Sum of squared distances to the nearest centre."""
+    away, _ = nearest_center_sql(centers, columns)
+    return scaled.agg(F.sum(F.expr(f"array_min({away})"))).first()[0]
 
 
 def fit_rfm_pipeline(
@@ -436,17 +466,15 @@ def fit_rfm_pipeline(
     seed: int = SEED,
     scaler_type: str = "standard",
     starts: int = STARTS,
-) -> tuple[PipelineModel, DataFrame]:
+) -> tuple[SegmentModel, DataFrame]:
     """One model from raw metrics to ``cluster``, and the labeled input."""
     table = materialize(rfm)
     scaler = fit_scaler(table, features, scaler_type, guard=False)
-    stages = rfm_stages(scaler)
-    prepared = Pipeline(stages=stages).fit(table)
-    vectors = prepared.transform(table).select("features").persist()
+    vectors = _vectors(scaler.transform(table), features).select("features").persist()
     try:
         kmeans = _best_start(vectors, k, seed, starts)
     finally:
         vectors.unpersist()
-    model = PipelineModel(stages=[*prepared.stages, kmeans])
-    labeled = model.transform(table).drop("features", *[z(f) for f in features])
-    return model, labeled
+    centers = [[float(v) for v in c] for c in kmeans.clusterCenters()]
+    model = segment_model(scaler, centers, kmeans.summary.trainingCost)
+    return model, model.transform(table).drop(*[z(f) for f in features])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from patronage.functions.order_stats import exact_percentiles
 from patronage.functions.special import ln_gamma
-from patronage.functions.text import TICKS, round_to, ticks
+from patronage.functions.text import exact, round_to
 from patronage.operators.rfm import _as_datetime, _timestamp
 from patronage.schema import REQUIRED_COLUMNS, require_columns
 from patronage.session import as_stored, materialize
@@ -50,14 +50,14 @@ def _orders(transactions: DataFrame) -> DataFrame:
         F.col("customer_id").cast("string").alias("customer_id"), "invoice_no"
     ).agg(
         F.min("invoice_date").alias("order_date"),
-        F.sum(ticks(F.col("quantity") * F.col("unit_price"))).alias("_ticks"),
+        F.sum(exact(F.col("quantity") * F.col("unit_price"))).alias("_spend"),
     )
 
 
 def order_rollup(transactions: DataFrame) -> DataFrame:
     """One row per customer and invoice: first date and spend."""
     return _orders(transactions).select(
-        "customer_id", "invoice_no", "order_date", (F.col("_ticks") / TICKS).alias("order_spend")
+        "customer_id", "invoice_no", "order_date", F.col("_spend").cast("double").alias("order_spend")
     )
 
 
@@ -69,7 +69,7 @@ def clv_summary(
     The snapshot defaults to exactly one day after the last order. The first order is the earliest,
     then the smallest invoice number.
     """
-    n, first_value = F.col("total_orders"), F.col("first_ticks") / TICKS
+    n, first_value = F.col("total_orders"), F.col("first_spend").cast("double")
 
     def whole_days(later: Column, earlier: Column) -> Column:
         return F.extract(F.lit("DAY"), later - earlier).cast("double")
@@ -80,8 +80,8 @@ def clv_summary(
         F.count(F.lit(1)).alias("total_orders"),
         F.min("order_date").alias("first"),
         F.max("order_date").alias("last"),
-        F.sum("_ticks").alias("all_ticks"),
-        F.min_by("_ticks", F.struct("order_date", "invoice_no")).alias("first_ticks"),
+        F.sum("_spend").alias("all_spend"),
+        F.min_by("_spend", F.struct("order_date", "invoice_no")).alias("first_spend"),
     )
     if snapshot_date is None:
         per_customer = materialize(per_customer)
@@ -91,7 +91,7 @@ def clv_summary(
         snapshot = _timestamp(last) + F.expr("interval 1 day")
     else:
         snapshot = _timestamp(_as_datetime(snapshot_date))
-    repeat_spend = (F.col("all_ticks") - F.col("first_ticks")) / TICKS
+    repeat_spend = (F.col("all_spend") - F.col("first_spend")).cast("double")
     repeat_mean = F.try_divide(repeat_spend, n - 1)
     summary = per_customer.select(
         "customer_id",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from patronage.functions.hashing import hmac_sha256_hex
 from patronage.functions.text import strip
 from patronage.schema import RFM_FEATURES, require_columns
+from patronage.session import materialize
 
 
 def pseudonymize_customer_ids(df: DataFrame, salt: str, column: str = "customer_id") -> DataFrame:
@@ -28,12 +29,13 @@ def erase_customers(
     """
     wanted = ids.select(strip(F.col("customer_id")).alias("_id")).distinct()
     keyed = clustered.withColumn("_id", strip(F.col("customer_id")))
-    unknown = wanted.join(keyed, "_id", "left_anti").limit(5).collect()
+    # The customers are read and joined once; what is asked of them afterwards reads the stored result.
+    marked = materialize(keyed.join(wanted.withColumn("_erased", F.lit(True)), "_id", "left"))
+    matched = marked.where("_erased").select("_id").distinct()
+    unknown = wanted.join(matched, "_id", "left_anti").limit(5).collect()
     if unknown:
-        raise KeyError(f"Customers not found in clustered dataset: {[r['_id'] for r in unknown]}")
-
-    remaining = keyed.join(wanted, "_id", "left_anti").drop("_id")
-    marked = keyed.join(wanted.withColumn("_erased", F.lit(True)), "_id", "left")
+        raise KeyError(f"No such customers: {[r['_id'] for r in unknown]}")
+    remaining = marked.where("_erased is null").select(*clustered.columns)
     gone = F.col("_erased").isNotNull()
     effect = marked.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("_n"),

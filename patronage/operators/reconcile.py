@@ -13,9 +13,10 @@ reaches into its own slab or the previous one, so two passes settle everything:
 1. inside each (customer, item, slab), where no pair can be too far apart;
 2. what a return could not get there is taken from the previous slab, with the age checked.
 
-Slabs also spread a long history over tasks; customers with very many rows are cut into days on
-top of that. A return without an item takes any item of the customer. Customers with such returns go through
-the same two passes per (customer, slab) in a small Python fold.
+Slabs also spread a long history over tasks; with ``by_day`` they are cut into days on top of that. A
+return without an item takes any item of the customer. Where all returns of a customer are such, the customer's
+purchases form one stack and nothing else changes; customers with returns of both kinds go through
+the same two passes per (customer, slab) in a small Python fold. A null customer is a customer like others.
 """
 
 from __future__ import annotations
@@ -27,14 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patronage.functions.running import group_total, running
-from patronage.functions.text import exact_total, is_cancellation, round_to, strip
+from patronage.functions.text import exact_sum, is_cancellation, round_to, strip
 from patronage.schema import REQUIRED_COLUMNS, require_columns
-from patronage.session import small_lookup
+from patronage.session import materialize
 
 # Quantities are compared as whole millionths, which also absorbs floating-point dust.
 UNITS = 1_000_000
-# Rows from which a customer is split into days.
-HOT_ROWS = 1_000_000
 ORDER = ["invoice_date", "_reversal", "invoice_no", "_item", "unit_price", "_units"]
 
 
@@ -63,6 +62,7 @@ def _events(df: DataFrame, lookback_days: int, item_col: str | None) -> DataFram
             "_reversal": reversal,
             "_units": F.rint(F.abs(F.col("quantity")) * UNITS).cast("bigint"),
             "_item": item,
+            "_lane": item,
             "_slab": slab,
         }
     )
@@ -74,7 +74,7 @@ def _between(value: Column, top: Column) -> Column:
 
 def _settle_inside_slabs(events: DataFrame, block: str | None = None) -> DataFrame:
     """Add ``_left`` (units a row still holds or still wants) and ``_hit`` (took part in a match)."""
-    keys = ["customer_id", "_item", "_slab"]
+    keys = ["customer_id", "_lane", "_slab"]
     onward, back = [F.col(c) for c in ORDER], [F.desc(c) for c in ORDER]
     units, reversal, height = F.col("_units"), F.col("_reversal"), F.col("_height")
     signed = F.when(reversal, -units).otherwise(units)
@@ -107,7 +107,7 @@ def _settle_across_slabs(
     settled: DataFrame, lookback_days: int, by_blocks: bool = False
 ) -> DataFrame:
     """Second pass: open returns against what the previous slab has left."""
-    keys = ["customer_id", "_item", "_slab"]
+    keys = ["customer_id", "_lane", "_slab"]
     moved = settled.withColumn("_open", _open_returns()).withColumn(
         "_slab", F.when(F.col("_open"), F.col("_slab") - 1).otherwise(F.col("_slab"))
     )
@@ -206,16 +206,26 @@ def _settle_by_folding(events: DataFrame, lookback_days: int) -> DataFrame:
     start = events.withColumns({"_left": F.col("_units"), "_hit": F.lit(False)})
 
     def fold_groups(batches):
-        # Batches are cut anywhere; the unfinished last group waits for the next one.
-        waiting = None
+        # Batches are cut anywhere; the unfinished last group waits, in pieces, until it ends.
+        waiting = []
         for batch in batches:
-            rows = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
-            last = int(np.flatnonzero(_group_starts(rows))[-1]) if len(rows) else 0
-            if last > 0:
-                yield _fold(rows.iloc[:last].reset_index(drop=True), lookback)
-            waiting = rows.iloc[last:].reset_index(drop=True)
-        if waiting is not None and len(waiting):
-            yield _fold(waiting, lookback)
+            if not len(batch):
+                continue
+            rows = pd.concat([*[w.iloc[-1:] for w in waiting[-1:]], batch], ignore_index=True)
+            starts = np.flatnonzero(_group_starts(rows)) - (1 if waiting else 0)
+            starts = starts[starts >= 0] if waiting else starts
+            if not len(starts):
+                waiting.append(batch)
+                continue
+            first, last = int(starts[0]), int(starts[-1])
+            if waiting:
+                ended = pd.concat([*waiting, batch.iloc[:first]], ignore_index=True)
+                yield _fold(ended, lookback)
+            if last > first:
+                yield _fold(batch.iloc[first:last].reset_index(drop=True), lookback)
+            waiting = [batch.iloc[last:]]
+        if waiting:
+            yield _fold(pd.concat(waiting, ignore_index=True), lookback)
 
     def one_pass(table: DataFrame) -> DataFrame:
         in_order = table.repartition("customer_id", "_slab").sortWithinPartitions(
@@ -234,38 +244,36 @@ def reconciliation_ledger(
     df: DataFrame,
     lookback_window_days: int = 180,
     item_match_col: str | None = "description",
-    hot_rows: int = HOT_ROWS,
+    by_day: bool = False,
 ) -> DataFrame:
     """All rows with ``net_quantity``, ``net_amount`` and whether they took part in a match.
 
     For purchases ``is_reconciled`` says that a return touched them, for reversals that they found
-    a purchase. Customers with more than ``hot_rows`` rows are settled day by day within a slab,
-    with one carried row per day, so that their history spreads over tasks as well.
+    a purchase. ``by_day`` settles day by day within a slab, with one carried row per day, so that the history
+    of a single (customer, item) spreads over tasks as well; the result is the same.
     """
     require_columns(df, REQUIRED_COLUMNS, "reconciliation")
     rest = _events(df, lookback_window_days, item_match_col)
-    # One look at all customers for the few that need another way; (rows / hot_rows) can be hot.
-    any_item = F.col("_reversal") & (F.col("_item") == "")
-    special = small_lookup(
-        rest.groupBy("customer_id")
-        .agg(F.max(any_item).alias("_seeks"), F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_seeks") | (F.col("_n") > hot_rows))
-        .select("customer_id", "_seeks"),
-        100_000,
-    )
-    kinds = {r["_seeks"] for r in special.select("_seeks").distinct().collect()}
-    settled = []
-    if kinds:
-        rest = rest.join(special, "customer_id", "left")
-        chosen, crowd = rest.where("_seeks").drop("_seeks"), rest.where("not _seeks").drop("_seeks")
-        rest = rest.where("_seeks is null").drop("_seeks")
-        if True in kinds:
-            settled.append(_settle_by_folding(chosen, lookback_window_days))
-        if False in kinds:
-            settled.append(_settle(crowd, lookback_window_days, by_blocks=True))
-    result = _settle(rest, lookback_window_days)
-    for part in settled:
-        result = result.unionByName(part.select(result.columns))
+    result = None
+    if item_match_col is not None and item_match_col in df.columns:
+        # One look at all rows for the customers with returns that name no item.
+        unnamed = F.when(F.col("_reversal"), F.col("_item") == "")
+        seekers = materialize(
+            rest.groupBy(F.col("customer_id").alias("_who"))
+            .agg(F.max(unnamed).alias("_some"), F.min(unnamed).alias("_all"))
+            .where("_some")
+            .select("_who", "_all")
+        )
+        kinds = {row["_all"] for row in seekers.select("_all").distinct().collect()}
+        if kinds:
+            rest = rest.join(seekers, F.col("customer_id").eqNullSafe(F.col("_who")), "left").drop("_who")
+            lane = F.when(F.col("_all"), F.lit("*")).otherwise(F.col("_lane"))
+            if False in kinds:
+                mixed = rest.where("not _all").drop("_all")
+                result = _settle_by_folding(mixed, lookback_window_days)
+            rest = rest.withColumn("_lane", lane).where("coalesce(_all, true)").drop("_all")
+    settled = _settle(rest, lookback_window_days, by_day)
+    result = settled if result is None else settled.unionByName(result.select(settled.columns))
     purchase = ~F.col("_reversal")
     taken = (F.col("_units") - F.col("_left")) / F.lit(float(UNITS))
     amount = F.col("raw_line_total") - taken * F.col("unit_price")
@@ -276,7 +284,7 @@ def reconciliation_ledger(
             "is_reconciled": F.col("_hit"),
             "is_reversal": F.col("_reversal"),
         }
-    ).drop("_reversal", "_units", "_item", "_slab", "_left", "_hit")
+    ).drop("_reversal", "_units", "_item", "_lane", "_slab", "_left", "_hit")
 
 
 def settled_purchases(ledger: DataFrame) -> DataFrame:
@@ -292,8 +300,8 @@ def reconciliation_report(ledger: DataFrame) -> DataFrame:
         F.count(F.when(~reversal, 1)).alias("purchase_records"),
         F.count(F.when(reversal, 1)).alias("reversal_records"),
         F.count(F.when(reversal & matched, 1)).alias("matched_reversals"),
-        exact_total(F.when(~reversal, F.col("raw_line_total"))).alias("gross"),
-        exact_total(
+        exact_sum(F.when(~reversal, F.col("raw_line_total"))).alias("gross"),
+        exact_sum(
             F.when(~reversal & (F.col("net_quantity") > 0), F.col("net_amount"))
         ).alias("net"),
     )

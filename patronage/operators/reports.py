@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from patronage.functions.order_stats import exact_percentiles, unpivot_metrics, value_ranks
-from patronage.functions.text import exact_mean, exact_sum, exact_total, round_to, strip
+from patronage.functions.text import exact_mean, exact_sum, round_to, strip
 from patronage.operators.personas import with_persona_details
 from patronage.schema import RFM_FEATURES
 
@@ -36,7 +36,7 @@ def filter_customers(
 
 
 def overview_kpis(labeled: DataFrame) -> DataFrame:
-    revenue = exact_total(F.col("monetary"))
+    revenue = exact_sum(F.col("monetary"))
     customers = F.count(F.lit(1))
     return labeled.agg(
         customers.alias("customers"),
@@ -52,7 +52,7 @@ def segment_playbook(labeled: DataFrame) -> DataFrame:
     """Per segment: size, revenue, shares, mean metrics and persona text; revenue descending."""
     grouped = labeled.groupBy("segment").agg(
         F.count(F.lit(1)).alias("customers"),
-        exact_total(F.col("monetary")).alias("revenue"),
+        exact_sum(F.col("monetary")).alias("revenue"),
         *[exact_mean(F.col(f)).alias(f"avg_{f}") for f in RFM_FEATURES],
     )
     figures = grouped.select(
@@ -72,7 +72,7 @@ def segment_customers(labeled: DataFrame) -> DataFrame:
 
 
 def segment_revenue(labeled: DataFrame) -> DataFrame:
-    sums = labeled.groupBy("segment").agg(exact_total(F.col("monetary")).alias("revenue"))
+    sums = labeled.groupBy("segment").agg(exact_sum(F.col("monetary")).alias("revenue"))
     return sums.select(
         "segment",
         F.col("revenue").cast("double").alias("revenue"),
@@ -81,7 +81,7 @@ def segment_revenue(labeled: DataFrame) -> DataFrame:
 
 
 def segment_shares(labeled: DataFrame) -> DataFrame:
-    revenue, customers = exact_total(F.col("monetary")), F.count(F.lit(1))
+    revenue, customers = exact_sum(F.col("monetary")), F.count(F.lit(1))
     return labeled.groupBy("segment").agg(
         customers.alias("customers"),
         round_to(revenue, 2).alias("revenue"),

@@ -7,7 +7,7 @@ from datetime import date, datetime, time, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronage.functions.order_stats import exact_percentiles, keys_at_ranks, unpivot_metrics
+from patronage.functions.order_stats import SLICE_ROWS, exact_percentiles, keys_at_ranks, unpivot_metrics
 from patronage.functions.text import exact_mean, exact_sum, is_missing, round_to
 from patronage.schema import (
     MISSING_INVOICE_TEXT,
@@ -180,7 +180,7 @@ def _score_orders() -> dict[str, Column]:
     }
 
 
-def compute_rfm_quintiles(rfm: DataFrame, sort_below: int = 200_000) -> DataFrame:
+def compute_rfm_quintiles(rfm: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Add 1-5 scores ``r_score, f_score, m_score``, their text and their sum.
 
     The bin of a customer follows from its position among all customers. Instead of sorting
@@ -197,7 +197,7 @@ def compute_rfm_quintiles(rfm: DataFrame, sort_below: int = 200_000) -> DataFram
         # Position p (from 1) lies in bin ceil((p - 1) * bins / (n - 1)), at least 1.
         borders = [s * (n - 1) // bins + 1 for s in range(1, bins)]
         orders = _score_orders()
-        keys = keys_at_ranks(table, orders, {s: borders for s in orders}, n, sort_below)
+        keys = keys_at_ranks(table, orders, {s: borders for s in orders}, n, slice_rows)
         scores = {}
         for name, key in orders.items():
             above = [(key > keys[name][b]).cast("int") for b in borders]

@@ -7,10 +7,10 @@ import re
 from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patronage.operators.clusters import SegmentModel
 from patronage.schema import RFM_FEATURES
 from patronage.session import small_lookup
 
@@ -24,7 +24,7 @@ VERSION_SCHEMA = (
 
 
 def score_customers(
-    model: PipelineModel,
+    model: SegmentModel,
     mapping: DataFrame,
     rfm: DataFrame,
     features: list[str] = RFM_FEATURES,
@@ -33,7 +33,7 @@ def score_customers(
     """Add ``cluster`` and ``segment`` from raw metrics; map-only apart from the tiny mapping."""
     for feature in features:
         if feature not in rfm.columns:
-            raise ValueError(f"Feature column '{feature}' missing from input DataFrame.")
+            raise ValueError(f"Scoring needs the column '{feature}'.")
     scored = model.transform(rfm).select(*rfm.columns, "cluster")
     named = scored.join(small_lookup(mapping.select("cluster", "segment")), "cluster", "left")
     return named.select(
@@ -56,7 +56,7 @@ def _entries(spark: SparkSession, folder: str, pattern: str) -> list[str]:
 
 
 def save_model_version(
-    model: PipelineModel,
+    model: SegmentModel,
     mapping: DataFrame,
     folder: str,
     evaluation: DataFrame | None = None,
@@ -68,13 +68,12 @@ def save_model_version(
 
     The metadata is written last, so an interrupted save never shows up in the catalog.
     """
-    if not isinstance(model, PipelineModel) or not isinstance(model.stages[-1], KMeansModel):
-        raise TypeError("model must be a PipelineModel that ends in K-Means")
-    kmeans = model.stages[-1]
+    if not isinstance(model, SegmentModel):
+        raise TypeError("Only a SegmentModel can be saved as a version.")
     spark = mapping.sparkSession
     numbers = [re.match(r"v(\d+)_", name) for name in _entries(spark, folder, "*")]
     number = 1 + max([int(m.group(1)) for m in numbers if m], default=0)
-    now, k = datetime.now(timezone.utc), len(kmeans.clusterCenters())
+    now, k = datetime.now(timezone.utc), model.k
     version = f"v{number}_k{k}_{now:%Y%m%d_%H%M%S}"
 
     tried = [r.asDict() for r in evaluation.orderBy("k").collect()] if evaluation else []
@@ -83,10 +82,7 @@ def save_model_version(
     own = next((m for m in metrics if m["k"] == k), None)
     best = max((m["silhouette"] for m in metrics), default=None)
     silhouette = own["silhouette"] if own else best
-    if kmeans.hasSummary:
-        inertia = kmeans.summary.trainingCost
-    else:
-        inertia = own["inertia"] if own else 0.0
+    inertia = model.inertia if model.inertia is not None else (own["inertia"] if own else 0.0)
     record = {
         "version_id": version,
         "created_at": now.isoformat(),
@@ -99,7 +95,7 @@ def save_model_version(
         "eval_metrics": metrics or None,
         "notes": notes,
     }
-    model.write().save(f"{folder}/{version}/model")
+    model.pipeline.write().save(f"{folder}/{version}/model")
     text = spark.createDataFrame([(json.dumps(record),)], "value string")
     text.coalesce(1).write.text(f"{folder}/{version}/metadata")
     return version
@@ -120,16 +116,18 @@ def list_model_versions(spark: SparkSession, folder: str) -> DataFrame:
 
 def load_model_version(
     spark: SparkSession, folder: str, version: str
-) -> tuple[PipelineModel, DataFrame, DataFrame]:
+) -> tuple[SegmentModel, DataFrame, DataFrame]:
     """Model, ``cluster, segment`` mapping and the catalog row of a saved version."""
     for part in ("model/metadata", "metadata"):
         if not _entries(spark, folder, f"{version}/{part}"):
-            raise FileNotFoundError(f"Missing required artifact: '{folder}/{version}/{part}'")
+            raise FileNotFoundError(f"Version {version} in {folder} lacks {part}.")
     row = spark.read.schema(VERSION_SCHEMA).json(f"{folder}/{version}/metadata")
     mapping = row.select(F.explode("cluster_map").alias("cluster", "segment")).select(
         F.col("cluster").cast("int").alias("cluster"), "segment"
     )
-    return PipelineModel.load(f"{folder}/{version}/model"), mapping, row
+    known = row.select("k", "inertia").first()
+    model = SegmentModel(PipelineModel.load(f"{folder}/{version}/model"), known["k"], known["inertia"])
+    return model, mapping, row
 
 
 def best_version(versions: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from patronage.operators.cleaning import CleaningPolicy, clean_transactions
 from patronage.operators.clusters import (
-    MIN_CUSTOMERS,
+    STARTS,
     best_k,
     evaluate_clusters,
     preprocess_rfm,
@@ -40,14 +40,12 @@ def segment_customers(
     k: int | None = None,
     k_values: list[int] | None = None,
     scaler_type: str = "standard",
-    starts: int = 10,
+    starts: int = STARTS,
     **rfm_options,
 ) -> Segmentation:
     """The whole analysis; ``k`` defaults to the best silhouette over ``k_values``."""
     clean, report = clean_transactions(raw, mapping, policy=policy)
     clean = materialize(clean)
-    if clean.select("customer_id").distinct().limit(MIN_CUSTOMERS).count() < MIN_CUSTOMERS:
-        raise ValueError(f"A minimum of {MIN_CUSTOMERS} customers is required for clustering.")
     rfm = materialize(calculate_rfm(clean, **rfm_options))
     scaled, _ = preprocess_rfm(rfm, scaler_type=scaler_type)
     evaluation = evaluate_clusters(scaled, k_values, starts=starts)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, datetime
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from patronage.operators.backtest import (
@@ -15,7 +14,7 @@ from patronage.operators.backtest import (
     transition_matrix,
     windowed_rfm,
 )
-from patronage.operators.clusters import SEED, fit_scaler, rfm_stages, run_kmeans, z
+from patronage.operators.clusters import SEED, STARTS, SegmentModel, fit_scaler, run_kmeans, segment_model, z
 from patronage.operators.personas import label_segments
 from patronage.operators.scoring import score_customers
 from patronage.schema import RFM_FEATURES
@@ -29,7 +28,7 @@ class Backtest:
     t1: DataFrame
     t2: DataFrame
     mapping: DataFrame
-    model: PipelineModel
+    model: SegmentModel
     transitions: DataFrame
     retention: DataFrame
     forward: DataFrame
@@ -37,17 +36,26 @@ class Backtest:
 
 
 def backtest_segments(
-    df: DataFrame, cutoff: datetime | date | str, k: int = 4, seed: int = SEED, starts: int = 10
+    df: DataFrame,
+    cutoff: datetime | date | str,
+    k: int = 4,
+    seed: int = SEED,
+    starts: int = STARTS,
+    centers: list[list[float]] | None = None,
 ) -> Backtest:
-    """Fit on the first window, project that model unchanged onto the second, compare."""
+    """Fit on the first window, project that model unchanged onto the second, compare.
+
+    ``centers`` (in the scaled space of the first window) are judged instead of a fit if given."""
     t1_rfm, t2_rfm = (materialize(t) for t in windowed_rfm(df, cutoff))
     scaler = fit_scaler(t1_rfm)
-    scaled = scaler.transform(t1_rfm)
-    k = min(k, max(2, t1_rfm.count() - 1))
-    clustered, kmeans = run_kmeans(scaled, k, seed=seed, starts=starts)
-    t1, mapping = label_segments(clustered.drop(*[z(f) for f in RFM_FEATURES]))
+    if centers is None:
+        k = min(k, max(2, t1_rfm.count() - 1))
+        _, kmeans = run_kmeans(scaler.transform(t1_rfm), k, seed=seed, starts=starts)
+        centers = [[float(v) for v in c] for c in kmeans.clusterCenters()]
+    model = segment_model(scaler, centers)
+    clustered = model.transform(t1_rfm).drop(*[z(f) for f in RFM_FEATURES])
+    t1, mapping = label_segments(clustered)
     t1 = materialize(t1)
-    model = PipelineModel(stages=[*rfm_stages(scaler), kmeans])
     t2 = materialize(score_customers(model, mapping, t2_rfm, unknown=OTHER))
     return Backtest(
         t1,

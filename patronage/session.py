@@ -33,7 +33,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
         raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
     folder = tempfile.mkdtemp(prefix="patronage-")
     spark.conf.set("spark.checkpoint.dir", folder)

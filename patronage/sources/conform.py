@@ -56,13 +56,15 @@ def select_canonical(df: DataFrame, mapping: dict[str, str | None] | None = None
     return df.select(*[F.col(f"`{mapping[c]}`").alias(c) for c in present])
 
 
-def conform_transactions(df: DataFrame, mapping: dict[str, str | None] | None = None) -> DataFrame:
+def conform_transactions(
+    df: DataFrame, mapping: dict[str, str | None] | None = None, day_first: bool = False
+) -> DataFrame:
     """Canonical columns with their types; text that does not parse becomes null."""
     raw = select_canonical(df, mapping)
     types = {f.name: f.dataType for f in raw.schema}
     converted = {
         "customer_id": lambda c: F.when(c.isNotNull(), clean_id(c, types["customer_id"])),
-        "invoice_date": lambda c: parse_date(c, types["invoice_date"]),
+        "invoice_date": lambda c: parse_date(c, types["invoice_date"], day_first),
         "quantity": lambda c: clean_number(c, types["quantity"]),
         "unit_price": lambda c: clean_number(c, types["unit_price"]),
     }

@@ -17,21 +17,30 @@ def _plain_uri(uri: str) -> str:
     return unquote(uri).replace("file:///", "file:/")
 
 
-def _encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """File paths per encoding: UTF-8 where the bytes are valid UTF-8, else Latin-1.
+def _groups(spark: SparkSession, path: str) -> dict[tuple[str, str], list[str]]:
+    """File paths by encoding and header: UTF-8 where the bytes are valid UTF-8, else Latin-1.
 
-    Lines are checked where they lie (a line never breaks a UTF-8 sequence), so no file is held
-    whole; only the names of files with invalid lines come back.
+    One look at the bytes, one row per file. Lines are checked where they lie (a line never breaks a
+    UTF-8 sequence), so no file is held whole; headers are told apart by a digest of their bytes.
     """
     # The text source hands on the stored bytes unchanged.
-    stored = spark.read.text(path)
-    damaged = stored.where(~F.is_valid_utf8("value")).select("_metadata.file_path").distinct()
-    latin = {_plain_uri(r["file_path"]) for r in damaged.collect()}
-    names = [_plain_uri(f) for f in stored.inputFiles()]
-    return {
-        "UTF-8": [n for n in names if n not in latin],
-        "ISO-8859-1": [n for n in names if n in latin],
-    }
+    lines = spark.read.text(path).where("length(btrim(value)) > 0").select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
+        "value",
+    )
+    files = lines.groupBy("file").agg(
+        F.max(~F.is_valid_utf8("value")).alias("latin"),
+        F.md5(F.min_by("value", "place").cast("binary")).alias("header"),
+        F.startswith(F.min_by("value", "place"), F.lit("PAR1")).alias("parquet"),
+    )
+    groups: dict[tuple[str, str], list[str]] = {}
+    for row in files.orderBy("file").collect():
+        if row["parquet"]:
+            raise ValueError(f"'{path}' holds Parquet files among others.")
+        key = ("ISO-8859-1" if row["latin"] else "UTF-8", row["header"])
+        groups.setdefault(key, []).append(_plain_uri(row["file"]))
+    return groups
 
 
 def read_csv(
@@ -39,21 +48,21 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header, every column as text so that leading zeros survive.
 
-    Without ``encoding`` each file is read as UTF-8, or as Latin-1 if it is not valid UTF-8.
+    Without ``encoding`` each file is read by its own header, as UTF-8, or as Latin-1 if it is not valid UTF-8.
+    With it the files are read once, and a file whose header differs from the first one's is an error.
     """
     reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
     if encoding:
-        table = reader.option("encoding", encoding).csv(path)
+        table = reader.option("enforceSchema", False).option("encoding", encoding).csv(path)
     else:
         table = None
-        for name, files in _encodings(spark, path).items():
-            if files:
-                part = reader.option("encoding", name).csv(files)
-                table = part if table is None else table.unionByName(part, allowMissingColumns=True)
+        for (name, _), files in _groups(spark, path).items():
+            part = reader.option("encoding", name).csv(files)
+            table = part if table is None else table.unionByName(part, allowMissingColumns=True)
     if table is None or not table.columns:
-        raise ValueError(f"'{path}' is completely empty.")
+        raise ValueError(f"'{path}' is empty.")
     if table.isEmpty():
-        raise ValueError(f"'{path}' contains no data rows.")
+        raise ValueError(f"'{path}' has a header but no data rows.")
     return table
 
 
@@ -66,12 +75,12 @@ def object_uri(bucket: str, key: str, scheme: str = "s3a") -> str:
     bucket = (bucket or "").replace("s3://", "").strip("/\\")
     key = (key or "").lstrip("/\\")
     if not bucket or not key:
-        raise ValueError("Both bucket name and object key must be provided.")
+        raise ValueError("An object needs a bucket and a key.")
     return f"{scheme}://{bucket}/{key}"
 
 
 def read_table(spark: SparkSession, uri: str) -> DataFrame:
-    """Parquet by suffix, or by the four magic bytes of the stored files, else CSV."""
+    """Parquet by suffix or by the four magic bytes of a stored file, else CSV; a mixture of both is an error."""
     if is_parquet(uri):
         return spark.read.parquet(uri)
     return spark.read.parquet(uri) if _has_parquet_magic(spark, uri) else read_csv(spark, uri)
@@ -104,7 +113,7 @@ def write_table(df: DataFrame, uri: str, fmt: str = "parquet", mode: str = "erro
         raise ValueError("A target location must be provided.")
     fmt = fmt.lower().strip()
     if fmt not in ("parquet", "csv"):
-        raise ValueError(f"Unsupported format '{fmt}'. Supported formats are 'parquet' and 'csv'.")
+        raise ValueError(f"Cannot write '{fmt}', only parquet or csv.")
     if df.isEmpty():
         raise ValueError("Cannot write an empty DataFrame.")
     writer = write_parquet if fmt == "parquet" else write_csv

@@ -86,7 +86,7 @@ def test_migration(labels):
 
 
 def test_end_to_end(log):
-    result = backtest_segments(log, "2023-03-15", k=3, starts=2)
+    result = backtest_segments(log, "2023-03-15", k=3)
     retention = one(result.retention)
     assert retention["retained_count"] + retention["churned_count"] == result.t1.count()
     sums = result.transitions.groupBy("segment_t1").agg(F.sum("prob").alias("p")).collect()
@@ -148,16 +148,27 @@ def test_versions(spark, bundle, rfm_base, tmp_path):
     loaded, names, _ = scoring.load_model_version(spark, folder, first)
     again = scoring.score_customers(loaded, names, rfm_base)
     assert again.exceptAll(scoring.score_customers(model, mapping, rfm_base)).isEmpty()
+    assert (loaded.k, loaded.inertia) == (3, pytest.approx(model.inertia, abs=1e-3))
     with pytest.raises(FileNotFoundError):
         scoring.load_model_version(spark, folder, "v3_k9_broken")
     with pytest.raises(TypeError):
-        scoring.save_model_version(loaded.stages[-1], names, folder)
+        scoring.save_model_version(loaded.pipeline, names, folder)
 
 
 def test_whole_segmentation(spark, sf):
     from catalog.inputs import raw_lines
 
-    result = segment_customers(raw_lines(spark, sf), k_values=[3], starts=2)
+    result = segment_customers(raw_lines(spark, sf), k_values=[3])
     assert result.labeled.where("segment is null or rfm_score is null").isEmpty()
     assert result.labeled.count() == one(result.report)["total_customers"]
     assert result.mapping.count() == 3 and result.cohorts.count() > 0
+
+
+def test_segmentation_with_all_defaults(rfm_base, transactions):
+    rows = [(r["customer_id"], f"N{r['customer_id']}-{i}", f"2024-0{1 + i % 6}-1{i % 9}", 1, r["monetary"] / r["frequency"])
+            for r in rfm_base.collect() for i in range(r["frequency"])]
+    result = segment_customers(transactions(rows))
+    evaluation = by(result.evaluation, "k")
+    assert sorted(evaluation) == list(range(2, 9))
+    assert one(result.best)["best_silhouette"] == max(e["silhouette"] for e in evaluation.values())
+    assert result.labeled.count() == 30 and result.mapping.count() == one(result.best)["best_k"]

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from patronage.functions.text import parse_date
 from patronage.operators.cleaning import (
     CleaningPolicy,
     annotate_transactions,
@@ -121,6 +124,39 @@ def test_bad_dates_go_and_known_layouts_stay(spark):
     assert dates == ["2010-12-01 08:26:00", "2023-01-01 00:00:00", "2023-01-01 05:00:00"]
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_date_layouts(spark, zone):
+    same = ["12/31/2010 8:26 PM", "31/12/2010 20:26", "31-12-2010 20:26:00", "2010.12.31 20:26", "Dec 31, 2010 8:26pm",
+            "December 31 2010 20:26", "31-Dec-2010 20:26", "12/31/10 20:26", "2010-12-31T20:26:00Z", " 2010/12/31 20:26 "]
+    cases = {text: "2010-12-31 20:26:00" for text in same} | {
+        "20101231": "2010-12-31 00:00:00", "2/1/2011": "2011-02-01 00:00:00", "3/10/2024 2:30": "2024-03-10 02:30:00",
+        "12/1/1999 12:05 a.m.": "1999-12-01 00:05:00", "13/13/2010": None, "31/2/2011": None, "12/1/2010 25:00": None,
+        "1 Foo 2010": None, "1.2.3": None, "": None}
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(t,) for t in cases], "t string")
+        parsed = df.select("t", parse_date(F.col("t"), T.StringType()).cast("string").alias("d"),
+                           parse_date(F.col("t"), T.StringType(), day_first=True).cast("string").alias("e")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert {r["t"]: r["d"] for r in parsed} == cases
+    swapped = {r["t"]: r["e"] for r in parsed if r["e"] != r["d"]}
+    assert swapped == {"2/1/2011": "2011-01-02 00:00:00", "3/10/2024 2:30": "2024-10-03 02:30:00",
+                       "12/1/1999 12:05 a.m.": "1999-01-12 00:05:00"}
+
+
+def test_day_first_policy(spark):
+    rows = [("1", "1", "2/1/2011", "1", "1")]
+    for day_first, month in ((False, "2011-02-01"), (True, "2011-01-02")):
+        clean, report = clean_transactions(text_rows(spark, rows), policy=CleaningPolicy(day_first=day_first))
+        assert one(report)["date_min"] == month and str(one(clean)["invoice_date"])[:10] == month
+
+
+def test_tiny_amounts_add_up(spark):
+    rows = [("1", str(i), "2023-01-01", "1", "0.00004") for i in range(1000)]
+    assert one(clean_transactions(text_rows(spark, rows))[1])["total_revenue"] == 0.04
+
+
 def test_net_policy_keeps_refunds(spark):
     rows = [
         ("1001", "1", "2023-01-01", "2", "10"),

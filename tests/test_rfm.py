@@ -162,13 +162,13 @@ def expected_scores(rows):
     return {k: (r[k], f[k], m[k]) for k in r}
 
 
-@pytest.mark.parametrize("n, sort_below", [(2, 10), (13, 10**6), (400, 0), (1999, 0)])
-def test_scores_equal_ranking_with_and_without_pivots(spark, n, sort_below):
+@pytest.mark.parametrize("n, slice_rows", [(2, 10), (13, 10**6), (400, 3), (1999, 40), (1999, 700)])
+def test_scores_equal_ranking_with_and_without_pivots(spark, n, slice_rows):
     rng = random.Random(n)
     # A third of the customers share one value of everything.
     rows = [(f"{i:05d}", *((7, 1, 9.99) if i % 3 == 0 else
              (rng.randrange(30), rng.randrange(1, 4), rng.randrange(5000) / 100))) for i in range(n)]
-    scored = compute_rfm_quintiles(spark.createDataFrame(rows, RFM), sort_below)
+    scored = compute_rfm_quintiles(spark.createDataFrame(rows, RFM), slice_rows)
     found = {r["customer_id"]: (r["r_score"], r["f_score"], r["m_score"]) for r in scored.collect()}
     assert found == expected_scores(rows)
 

@@ -31,6 +31,27 @@ def test_csv_encodings_are_told_apart_per_file(spark, tmp_path):
     assert {(r["id"], r["Description"]) for r in rows} == {("1", "Café"), ("2", "Café")}
 
 
+def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("CustomerID,InvoiceNo\nc1,i1\nc2,i2\n")
+    (tmp_path / "b.csv").write_text("InvoiceNo,CustomerID,Note\ni3,c3,x\n")
+    (tmp_path / "c.csv").write_bytes("\nInvoiceNo,CustomerID\ni4,\xe9\n".encode("latin-1"))
+    (tmp_path / "d.csv").write_text("")
+    rows = files.read_csv(spark, str(tmp_path)).collect()
+    assert {(r["CustomerID"], r["InvoiceNo"], r["Note"]) for r in rows} == {
+        ("c1", "i1", None), ("c2", "i2", None), ("c3", "i3", "x"), ("é", "i4", None)}
+    (tmp_path / "c.csv").unlink()
+    (tmp_path / "d.csv").unlink()
+    with pytest.raises(Exception, match="header"):
+        files.read_csv(spark, str(tmp_path), encoding="UTF-8").collect()
+
+
+def test_a_mixture_of_formats_is_refused(spark, tmp_path):
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "t"))
+    (tmp_path / "t" / "a.csv").write_text("id\n1\n")
+    with pytest.raises(Exception, match="Parquet|parquet"):
+        files.read_table(spark, str(tmp_path / "t")).collect()
+
+
 def test_empty_csv_is_refused(spark, tmp_path):
     empty, header = tmp_path / "e.csv", tmp_path / "h.csv"
     empty.write_bytes(b"")
@@ -84,7 +105,7 @@ def test_conform_types(spark):
 
 def test_write_guards(spark, tmp_path):
     df = spark.createDataFrame([(1,)], "a int")
-    with pytest.raises(ValueError, match="Unsupported format"):
+    with pytest.raises(ValueError, match="Cannot write"):
         files.write_table(df, str(tmp_path / "x"), fmt="xlsx")
     with pytest.raises(ValueError, match="empty"):
         files.write_table(df.where("a > 1"), str(tmp_path / "x"))
