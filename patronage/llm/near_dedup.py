@@ -6,11 +6,12 @@ into an odd sketch: each flips one of 512 bits, so that the ones in the XOR of t
 many samples differ. Pairs whose sketches differ far more than any pair of similarity 0.8 are dropped;
 those left are confirmed on their whole sets.
 
-Equal sets are one class from the start, whatever the number of copies. In a band's group not all
-pairs are tried: all members are compared with one of them, then only members of different components, with a member
-of the largest component, as long as that saves pairs; last, all pairs that still lie in different components
-are tried. So no link that could join two components is lost, while a group of n near copies costs
-about n comparisons.
+Equal sets are one class from the start, whatever the number of copies. The others are dealt to cells of about 512
+documents: a document's cell is a slice of the largest group that it shares a band with. Every two cells
+that have a band in common make a unit, the work of one task, whose memory is bounded by two cells. Each pair of documents with a
+common band meets in just one unit. There, pairs are tried from the most alike on, and only if they
+are not connected yet; a unit returns the links that connect its documents, fewer than it has documents,
+so neither pairs nor links grow with the square of a group.
 
 Nulls: a null or empty text has no shingles and is linked with nothing; a row without doc_id is a group of its own
 (component null, kept). Rows with one doc_id count as one document that has the links of all of them.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.llm.common import chunks, store, text_bytes
@@ -33,10 +34,8 @@ from patronage.llm.words import hash_words, mix, seeds, shingle_sets
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 
-#: Comparing with one member per group is repeated while more pairs than this per member are left ...
-_PAIRS_PER_MEMBER = 2
-#: ... and at most so often; all pairs left are tried then.
-_STAR_ROUNDS = 6
+#: Documents of a cell; a unit holds the sets of two cells at most.
+CELL = 512
 
 _SAMPLES = BANDS * ROWS
 _XOR, _TIMES = seeds(_SAMPLES, 21), seeds(_SAMPLES, 22)
@@ -71,77 +70,81 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
 
 def _links(heads: DataFrame, rows: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between representatives; all components of the link graph are complete."""
+    """Confirmed links (a, b) between representatives that connect whatever is connected."""
     exploded = heads.select("id", F.explode("bands").alias("band"))
-    shared = exploded.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("center")).filter("size > 1")
-    groups = store(exploded.join(shared, "band").select("band", "id", "center"))
-    sketches = heads.select("id", "n", "sketch")
-    pairs = groups.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b"))
-    tried = store(_likely(pairs.distinct(), sketches, percent))
-    sets = _sets(rows, tried, None, shingle_words)
-    links = store(_confirmed(tried, sets, percent))
-    groups = groups.filter("id <> center").select("band", "id")
-    for step in range(_STAR_ROUNDS + 1):
-        groups = store(_open_groups(groups, connected(links)))
-        left = groups.groupBy("band", "component").agg(F.count("*").alias("m"))
-        left = left.groupBy("band").agg(F.expr("sum(m) * sum(m) - sum(m * m)").alias("pairs"), F.sum("m").alias("m"))
-        n_pairs, n_members = left.agg(F.sum("pairs") / 2, F.sum("m")).first()
-        if not n_pairs:
-            return links
-        last = step == _STAR_ROUNDS or n_pairs <= _PAIRS_PER_MEMBER * n_members
-        if last:
-            pairs = _all_pairs(groups)
-        else:
-            centers = _centers(groups, step)
-            starred = groups.join(centers, "band")
-            pairs = starred.filter("component <> center_component").select(
-                F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")
-            )
-            groups = starred.filter("id <> center").select("band", "id")
-        new = _likely(pairs.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), sketches, percent)
-        new = store(new)
-        sets = _sets(rows, new, sets, shingle_words)
-        tried = tried.unionByName(new)
-        links = store(links.unionByName(_confirmed(new, sets, percent)))
-        if last:
-            return links
-    return links
-
-
-def _open_groups(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """(band, id, component) of the groups whose members are in several components."""
-    placed = groups.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    several = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return placed.join(several.filter("low <> high").select("band"), "band", "left_semi")
-
-
-def _centers(groups: DataFrame, step: int) -> DataFrame:
-    """(band, center, center_component): some member of the group's largest component."""
-    sizes = groups.groupBy("band", "component").agg(
-        F.count("*").alias("m"), F.max(F.struct(F.xxhash64("id", F.lit(step)).alias("draw"), "id")).alias("some")
-    )
-    best = sizes.groupBy("band").agg(F.max(F.struct("m", "some", "component")).alias("best"))
-    return best.select("band", F.col("best.some.id").alias("center"), F.col("best.component").alias("center_component"))
-
-
-def _all_pairs(groups: DataFrame) -> DataFrame:
-    one = groups.select("band", F.col("id").alias("a"), F.col("component").alias("component_a"))
-    other = groups.select("band", F.col("id").alias("b"), F.col("component").alias("component_b"))
-    return one.join(other, "band").filter("a < b and component_a <> component_b").select("a", "b")
-
+    shared = exploded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    groups = store(exploded.join(shared, "band").select("band", "id", "size"))
+    largest = groups.groupBy("id").agg(F.max(F.struct("size", "band")).alias("g"))
+    slices = F.ceil(F.col("g.size") / CELL)
+    cell = F.xxhash64("g.band", F.pmod(F.xxhash64("id"), slices)).alias("cell")
+    placed = groups.select("band", "id").join(largest.select("id", cell), "id")
+    units = store(_units(placed))
+    sets = _sets(rows, groups.select("id").distinct(), shingle_words)
+    dealt = units.join(sets, "id").join(heads.select("id", "sketch"), "id")
+    work = dealt.groupBy("first", "second").applyInArrow(_connect(percent), "a long, b long")
+    return store(work.distinct())
+
+
+def _units(placed: DataFrame) -> DataFrame:
+    """(first, second, id, cell): the documents of every two cells that share a band, as far as they share it."""
+    cells = placed.groupBy("band", "cell").agg(F.count("*").alias("n"))
+    cells = cells.select("band", F.col("cell").alias("other"), "n")
+    met = placed.join(cells, "band").filter("cell <> other or n > 1")
+    return met.select(
+        F.least("cell", "other").alias("first"), F.greatest("cell", "other").alias("second"), "id", "cell"
+    ).distinct()
+
+
+def _connect(percent: int):
+    most = _most_different(percent)
+
+    def run(key: tuple, unit: pa.Table) -> pa.Table:
+        first, second = key[0].as_py(), key[1].as_py()
+        ids, cells = unit.column("id").to_numpy(), unit.column("cell").to_numpy()
+        order = np.lexsort((ids, cells != first))
+        ids, cells = ids[order], cells[order]
+        sets = [np.asarray(unit.column("shingles")[i].values) for i in order.tolist()]
+        sketches = np.stack([np.asarray(unit.column("sketch")[i].values) for i in order.tolist()]).view(np.uint64)
+        sizes = np.array([len(s) for s in sets])
+        left = np.arange(len(ids)) if first == second else np.flatnonzero(cells == first)
+        right = left if first == second else np.flatnonzero(cells == second)
+        found = []
+        for i in left.tolist():
+            partners = right[right > i] if first == second else right
+            fits = 100 * np.minimum(sizes[i], sizes[partners]) >= percent * np.maximum(sizes[i], sizes[partners])
+            partners = partners[fits]
+            apart = np.bitwise_count(sketches[partners] ^ sketches[i]).sum(axis=1)
+            near = apart <= most
+            found.append((apart[near], np.full(near.sum(), i), partners[near]))
+        apart, one, other = (np.concatenate(c) for c in zip(*found, strict=True)) if found else ([], [], [])
+        root = list(range(len(ids)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        links = []
+        nearest_first = np.argsort(apart, kind="stable")
+        for i, j in zip(one[nearest_first].tolist(), other[nearest_first].tolist(), strict=True):
+            x, y = find(i), find(j)
+            if x != y and _similar(sets[i], sets[j], percent):
+                root[x] = y
+                links.append((int(ids[i]), int(ids[j])))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose odd sketches are near enough."""
-    for side in ("a", "b"):
-        of = sketches.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
-        pairs = pairs.join(of, side)
-    differ = sum((_bits_apart(i) for i in range(1, SKETCH_BITS // 64)), _bits_apart(0))
-    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.filter(sizes & (differ <= _most_different(percent))).select("a", "b").distinct()
+    return run
 
 
-def _bits_apart(word: int) -> Column:
-    return F.bit_count(F.col("sketch_a").getItem(word).bitwiseXOR(F.col("sketch_b").getItem(word)))
+def _similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have ``percent`` % of their union in common."""
+    if len(one) < len(other):
+        one, other = other, one
+    at = np.minimum(np.searchsorted(one, other), len(one) - 1)
+    common = int(np.count_nonzero(one[at] == other))
+    return 100 * common >= percent * (len(one) + len(other) - common)
 
 
 def _most_different(percent: int) -> int:
@@ -152,26 +155,10 @@ def _most_different(percent: int) -> int:
     return int(bits + 14)
 
 
-def _sets(rows: DataFrame, pairs: DataFrame, known: DataFrame | None, shingle_words: int) -> DataFrame:
-    """(id, shingles) of the documents of ``pairs``, besides those that are known."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    if known is not None:
-        ids = store(ids.join(known.select("id"), "id", "left_anti"))
-        if ids.isEmpty():
-            return known
+def _sets(rows: DataFrame, ids: DataFrame, shingle_words: int) -> DataFrame:
+    """(id, shingles) of the documents with these ids, sorted as signed numbers."""
     wanted = rows.join(ids.hint("shuffle_hash"), "id", "left_semi")
-    sets = store(wanted.mapInArrow(_shingles(shingle_words), "id long, shingles array<long>"))
-    return sets if known is None else known.unionByName(sets)
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
-    both = pairs.select("a", "b")
-    for side in ("b", "a"):
-        both = both.join(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - common
-    return both.filter(100 * common >= percent * union).select("a", "b")
+    return wanted.mapInArrow(_shingles(shingle_words), "id long, shingles array<long>")
 
 
 _SIGNED = "id long, n long, set1 long, set2 long, bands array<long>, sketch array<long>"
@@ -206,7 +193,7 @@ def _shingles(shingle_words: int):
             for part in chunks(batch, "text"):
                 sets = shingle_sets(*hash_words(*text_bytes(part.column("text"))), shingle_words)
                 offsets = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
-                values = pa.array(np.concatenate(sets).view(np.int64))
+                values = pa.array(np.concatenate([np.sort(s.view(np.int64)) for s in sets]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "shingles"]
                 )

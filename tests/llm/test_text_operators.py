@@ -101,16 +101,14 @@ def family(draw, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("stars", [False, True])
-def test_near_copies_match_all_pairs(make_docs, monkeypatch, stars):
+@pytest.mark.parametrize("cell", [512, 5])
+def test_near_copies_match_all_pairs(make_docs, monkeypatch, cell):
     draw = random.Random(8)
     texts = [" ".join(words_of(draw, draw.randint(0, 60))) for _ in range(40)]
     texts += family(draw, words_of(draw, 120), 70, 9) + family(draw, words_of(draw, 30), 20, 2)
     texts += [texts[50]] * 15 + [texts[0].upper(), "One two", "one TWO\n", "one two three", "", "Ä b", "ä b"]
     draw.shuffle(texts)
-    if stars:
-        monkeypatch.setattr(near_dedup, "_PAIRS_PER_MEMBER", 0)
-        monkeypatch.setattr(near_dedup, "_STAR_ROUNDS", 2)
+    monkeypatch.setattr(near_dedup, "CELL", cell)
     truth = components_by_force(list(enumerate(texts)), 4)
     rows = near_dedup.near_duplicates(make_docs(texts), 4, 80).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == truth
