@@ -303,6 +303,36 @@ def v3(spark, d):
     return spark.createDataFrame([astuple(found)], "r double, alpha double, a double, b double")
 
 
+def beats_others(likelihood, found: tuple, others: list[tuple], bounds: tuple) -> bool:
+    """Whether the fit is as likely as given points, and as all points inside the bounds of the fit that are a tenth away
+    in one parameter."""
+    around = [
+        tuple(min(max(v * (factor if i == j else 1), low), high) for j, (v, (low, high)) in enumerate(zip(found, bounds)))
+        for i in range(len(found)) for factor in (0.9, 1.1)
+    ]
+    at_fit, *rest = likelihood([found, *others, *around])
+    return at_fit >= max(rest) - 0.01
+
+
+@query(
+    "V3_fit_quality",
+    sql(
+        *summary_ctes("gross"), ALIVE,
+        "SELECT count(*) AS customers, CAST(sum(x) AS BIGINT) AS repeat_orders, true AS best FROM model",
+    ),
+)
+def v3_quality(spark, d):
+    table = materialize(summary(spark, d))
+    found = astuple(clv.fit_bgnbd(table))
+    others = [astuple(p) for p in POINTS] + [clv.BGNBD_START]
+    best = beats_others(lambda points: clv.bgnbd_log_likelihood(table, points), found, others, clv.BGNBD_BOUNDS)
+    return table.agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.sum("frequency_repeat").alias("repeat_orders"),
+        F.lit(best).alias("best"),
+    )
+
+
 @query(
     "V4_p_alive",
     sql(*summary_ctes("gross"), ALIVE, f"SELECT customer_id, {r('alive', 6)} AS p_alive FROM valued"),
@@ -348,6 +378,27 @@ def v6(spark, d):
     return spark.createDataFrame([astuple(found)], "p double, q double, v double")
 
 
+@query(
+    "V6_fit_quality",
+    sql(
+        *summary_ctes("gross"), ALIVE,
+        f"""SELECT count(*) AS buyers, {r('sum(CAST(x * monetary_avg AS DECIMAL(38, 8)))', 0)} AS repeat_spend, true AS best
+        FROM model WHERE x > 0""",
+    ),
+)
+def v6_quality(spark, d):
+    table = materialize(summary(spark, d))
+    found = astuple(clv.fit_gamma_gamma(table))
+    others = [(P, Q, V), clv.GAMMA_GAMMA_START]
+    best = beats_others(lambda points: clv.gamma_gamma_log_likelihood(table, points), found, others, clv.GAMMA_GAMMA_BOUNDS)
+    buyers = table.where("frequency_repeat > 0")
+    return buyers.agg(
+        F.count(F.lit(1)).alias("buyers"),
+        round_to(exact_sum(F.col("frequency_repeat") * F.col("monetary_avg")), 0).alias("repeat_spend"),
+        F.lit(best).alias("best"),
+    )
+
+
 @query(
     "V7_expected_spend",
     sql(*summary_ctes("ev"), ALIVE, f"SELECT customer_id, {r('spend', 6)} AS spend FROM valued"),

@@ -275,6 +275,25 @@ def k6_anchors(spark, d):
     return clusters.relabel_clusters(renamed, mapping).select("customer_id", "cluster")
 
 
+TWELVE = "((r_score - 1) * 5 + m_score - 1) % 12"
+
+
+@query(
+    "K6_align_twelve",
+    sql(*SCORED, f"SELECT customer_id, CAST({TWELVE} AS INTEGER) AS cluster FROM scored"),
+)
+def k6_twelve(spark, d):
+    """More clusters than could be paired by trying all orders."""
+    table = materialize(clusters.preprocess_rfm(scored(spark, d).withColumn("cluster", F.expr(TWELVE)))[0])
+    anchors = clusters.cluster_centers(table, ZS).orderBy("cluster").collect()
+    renamed = table.withColumn("cluster", (F.col("cluster") * 5 + 3) % 12)
+    fresh = clusters.cluster_centers(renamed, ZS).orderBy("cluster").collect()
+    _, mapping = clusters.align_centroids(
+        [[row[c] for c in ZS] for row in fresh], [[row[c] for c in ZS] for row in anchors]
+    )
+    return clusters.relabel_clusters(renamed, mapping).select("customer_id", "cluster")
+
+
 @query(
     "K7_whales",
     sql(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime
@@ -206,11 +207,17 @@ def bgnbd_log_likelihood(summary: DataFrame, points: list[tuple]) -> list[float]
     return [float(v) for v in _likelihood(bgnbd_table(summary), bgnbd_terms)(np.array(points))]
 
 
+def _settled(found: np.ndarray | None, start: tuple) -> list[float]:
+    if found is None:
+        warnings.warn("The fit did not converge; the start values are used.", stacklevel=3)
+    return [round(float(v), 4) for v in (start if found is None else found)]
+
+
 def fit_bgnbd(summary: DataFrame, start: tuple = BGNBD_START) -> BGNBDParameters:
     """Maximum likelihood; the start values if it does not converge."""
     table = materialize(bgnbd_table(summary))
     found = _maximize(_likelihood(table, bgnbd_terms), start, BGNBD_BOUNDS)
-    return BGNBDParameters(*[round(float(v), 4) for v in (start if found is None else found)])
+    return BGNBDParameters(*_settled(found, start))
 
 
 def gamma_gamma_terms(rows: pd.DataFrame, points: np.ndarray) -> np.ndarray:
@@ -246,7 +253,7 @@ def fit_gamma_gamma(summary: DataFrame, start: tuple = GAMMA_GAMMA_START) -> Gam
         mean = summary.agg(F.avg("monetary_avg").alias("m")).first()["m"]
         return GammaGammaParameters(FEW_BUYERS_P, FEW_BUYERS_Q, mean)
     found = _maximize(_likelihood(table, gamma_gamma_terms), start, GAMMA_GAMMA_BOUNDS)
-    return GammaGammaParameters(*[round(float(v), 4) for v in (start if found is None else found)])
+    return GammaGammaParameters(*_settled(found, start))
 
 
 def p_alive(params: BGNBDParameters) -> Column:

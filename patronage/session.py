@@ -40,6 +40,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_stored_paths: list[str] = []
+
+
+def new_table_path(spark: SparkSession) -> str:
+    """Where the next stored table goes; :func:`release_tables` removes it."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/patronage-{uuid.uuid4().hex}"
+    _stored_paths.append(path)
+    return path
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Remove all tables that this process has stored; DataFrames that read them can no longer be used."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _stored_paths:
+        path = jvm.org.apache.hadoop.fs.Path(_stored_paths.pop())
+        removed += path.getFileSystem(conf).delete(path, True)
+    return removed
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Store ``df`` once as Parquet in the shared folder and return a scan of it.
 
@@ -49,7 +69,7 @@ def materialize(df: DataFrame) -> DataFrame:
     if _stored(df):
         return df
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/patronage-{uuid.uuid4().hex}"
+    path = new_table_path(spark)
     df.write.parquet(path)
     return as_stored(spark.read.schema(df.schema).parquet(path))
 

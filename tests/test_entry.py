@@ -19,3 +19,14 @@ def test_sample_of_queries_against_sql(spark, sf):
     for name in ("C13_report_net", "F4_quintiles", "H4_retention", "V8_customer_clv", "R2_ledger"):
         good, note = compare(spark, db, sf, name, queries[name], oracles[name])
         assert good, f"{name}: {note}"
+
+
+def test_stored_tables_can_be_released(spark):
+    from patronage.session import materialize, release_tables
+
+    release_tables(spark)
+    stored = materialize(spark.range(5))
+    (file,) = {f.rsplit("/", 1)[0] for f in stored.inputFiles()}
+    assert release_tables(spark) == 1 and release_tables(spark) == 0
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
