@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.session import checkpoint_dir
+from patronage.session import new_table_path
 
 #: Stands for a null id where ids are compared; nulls therefore come first.
 NULL_ID = -(2**63)
@@ -28,7 +27,7 @@ def store(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it: a later stage, or the retry
     of a lost one, reads the files instead of running everything again."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = new_table_path(spark)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
