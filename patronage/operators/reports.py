@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -220,20 +221,34 @@ def customer_timeline(transactions: DataFrame, customer_id: str) -> DataFrame:
 def customer_percentiles(rfm: DataFrame) -> DataFrame:
     """Share of customers each customer equals or beats, per metric, one digit.
 
-    Distinct values are ranked by counting and joined back, so no window spans all customers. The
-    metrics are joined one at a time on their value; adaptive skew handling splits a value that
-    very many customers share.
+    Distinct values are ranked by counting, so no window spans all customers. With one digit there are
+    at most 1001 shares: the values where they change go to the driver, and each customer's share is
+    found among them without a shuffle, however many customers have one value.
     """
     result = rfm
     for metric, name in zip(RFM_FEATURES, ["recency_pct", "frequency_pct", "monetary_pct"]):
         ranks = value_ranks(rfm.select(F.col(metric).cast("double").alias("_v")), [], "_v")
         beaten = F.col("total") - F.col("n_below") if metric == "recency" else F.col("n_upto")
-        percent = round_to(beaten / F.col("total") * 100, 1)
-        lookup = ranks.select("_v", percent.alias(name))
-        result = result.join(lookup, F.col(metric).cast("double") == F.col("_v"), "left").drop("_v")
+        percent = round_to(beaten / F.col("total") * 100, 1).alias("share")
+        steps = ranks.select("_v", percent).groupBy("share").agg(F.min("_v").alias("from")).collect()
+        result = _with_share(result, metric, name, sorted((row["from"], row["share"]) for row in steps))
     return result
 
 
+def _with_share(df: DataFrame, metric: str, name: str, steps: list[tuple[float, float]]) -> DataFrame:
+    """Add the share of the last step that is not above the metric."""
+    known = F.col(metric).isNotNull()
+    if len(steps) < 2:
+        return df.withColumn(name, F.when(known, F.lit(steps[0][1] if steps else None).cast("double")))
+    splits = [-float("inf"), *(start for start, _ in steps[1:]), float("inf")]
+    placed = Bucketizer(splits=splits, inputCol="_v", outputCol="_step", handleInvalid="keep").transform(
+        df.withColumn("_v", F.coalesce(F.col(metric).cast("double"), F.lit(0.0)))
+    )
+    shares = F.array(*[F.lit(share) for _, share in steps])
+    share = F.when(known, F.try_element_at(shares, F.col("_step").cast("int") + 1))
+    return placed.withColumn(name, share).drop("_v", "_step")
+
+
 def customer_profile(labeled: DataFrame, customer_id: str) -> DataFrame:
     return labeled.where(strip(F.col("customer_id")) == F.lit(customer_id.strip()))
 
