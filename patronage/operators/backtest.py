@@ -25,11 +25,10 @@ MIN_SPAN_DAYS = 7
 
 def _check_cutoff(cutoff: datetime, first: datetime | None, last: datetime | None) -> None:
     if first is None:
-        raise ValueError("DataFrame is empty or has no valid 'invoice_date'.")
+        raise ValueError("The table is empty or without dates, so it cannot be split.")
     if not first <= cutoff < last:
         raise ValueError(
-            f"Cutoff date '{cutoff:%Y-%m-%d}' must fall strictly within dataset date range "
-            f"({first:%Y-%m-%d} to {last:%Y-%m-%d})."
+            f"A cutoff of {cutoff:%Y-%m-%d} leaves one side empty: rows run from {first:%Y-%m-%d} to {last:%Y-%m-%d}."
         )
 
 
@@ -121,9 +120,12 @@ def transition_matrix(t1: DataFrame, t2: DataFrame, churn_label: str = CHURNED)
     rows = (
         pairs.withColumn("columns", columns)
         .where("in_t1")
+        # A real segment may bear the churn label: one sum for each target first.
+        .groupBy("segment_t1", "columns", target.alias("target"))
+        .agg(F.sum("n").alias("n"))
         .groupBy("segment_t1", "columns")
         .agg(
-            F.map_from_entries(F.collect_list(F.struct(target.alias("k"), "n"))).alias("by_target"),
+            F.map_from_entries(F.collect_list(F.struct("target", "n"))).alias("by_target"),
             F.sum("n").alias("row_total"),
         )
     )

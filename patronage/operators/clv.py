@@ -88,7 +88,7 @@ def clv_summary(
         per_customer = materialize(per_customer)
         last = per_customer.agg(F.max("last").cast("timestamp_ntz").alias("d")).first()["d"]
         if last is None:
-            raise ValueError("Cannot summarize an empty DataFrame.")
+            raise ValueError("The table is empty: no orders to summarize.")
         snapshot = _timestamp(last) + F.expr("interval 1 day")
     else:
         snapshot = _timestamp(_as_datetime(snapshot_date))

@@ -28,7 +28,7 @@ def default_snapshot_date(df: DataFrame) -> datetime:
     require_columns(df, ["invoice_date"], "snapshot date")
     snapshot = snapshot_frame(df).first()["snapshot_date"]
     if snapshot is None:
-        raise ValueError("No valid dates found in 'invoice_date' column.")
+        raise ValueError("The table has no dates to take a snapshot from.")
     return snapshot
 
 
@@ -73,7 +73,7 @@ def calculate_rfm(
     found = table.agg(F.max("last_purchase").cast("timestamp_ntz").alias("last")).first()
     if lookback_days and found["last"] is None:
         raise ValueError(
-            f"No transactions found within the lookback window of {lookback_days} days."
+            f"The {lookback_days} days before the snapshot (the lookback) hold no rows."
         )
     if not lookback_days:
         snapshot = _checked_snapshot(found["last"], snapshot)
@@ -135,13 +135,12 @@ def rfm_from_totals(
 def _checked_snapshot(last: datetime | None, snapshot: datetime | None) -> datetime:
     """The given snapshot, or the midnight after the ``last`` transaction."""
     if last is None:
-        raise ValueError("Cannot calculate RFM on an empty DataFrame.")
+        raise ValueError("The table is empty: nothing to compute metrics from.")
     if snapshot is None:
         return _midnight_after(last)
     if snapshot < last:
         raise ValueError(
-            f"Snapshot date ({snapshot:%Y-%m-%d}) cannot be earlier than the latest "
-            f"transaction date ({last:%Y-%m-%d})."
+            f"Rows up to {last:%Y-%m-%d} lie after the snapshot of {snapshot:%Y-%m-%d}."
         )
     return snapshot
 

@@ -36,14 +36,8 @@ COLUMN_ALIASES = {
     "description": ["description", "product_name", "item_description", "item_name", "product"],
 }
 
-# Currency code to symbol.
-CURRENCY_SYMBOLS = {
-    "USD": "$", "EUR": "€", "GBP": "£", "INR": "₹", "JPY": "¥", "CAD": "C$", "AUD": "A$",
-}
-
-
 def require_columns(df: DataFrame, columns: list[str], purpose: str) -> None:
     """Raise ``ValueError`` naming every column of ``columns`` that ``df`` lacks."""
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns for {purpose}: {missing}")
+        raise ValueError(f"{purpose} needs columns that are not there: {missing}")

@@ -39,8 +39,7 @@ def mapping_issues(
             continue
         if header in first_use:
             issues.append(
-                f"Duplicate column mapping: '{header}' is mapped to both "
-                f"'{first_use[header]}' and '{canonical}'"
+                f"{first_use[header]} and {canonical} both point to '{header}'"
             )
         first_use.setdefault(header, canonical)
     return issues
