@@ -6,8 +6,8 @@ into an odd sketch: each flips one of 512 bits, so that the ones in the XOR of t
 many samples differ. Pairs whose sketches differ far more than any pair of similarity 0.8 are dropped;
 those left are confirmed on their whole sets.
 
-Equal sets are one class from the start, whatever the number of copies. The others are dealt to cells of about 512
-documents: a document's cell is a slice of the largest group that it shares a band with. Every two cells
+Equal sets are one class from the start, whatever the number of copies. The others are dealt to cells of about 1024
+documents: documents that share bands mostly get one label, and a label's documents are sliced by a hash. Every two cells
 that have a band in common make a unit, the work of one task, whose memory is bounded by two cells. Each pair of documents with a
 common band meets in just one unit. There, pairs are tried from the most alike on, and only if they
 are not connected yet; a unit returns the links that connect its documents, fewer than it has documents,
@@ -34,8 +34,8 @@ from patronage.llm.words import hash_words, mix, seeds, shingle_sets
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 
-#: Documents of a cell; a unit holds the sets of two cells at most.
-CELL = 512
+#: Documents of a cell, and shingles of a cell; a unit holds the sets of two cells at most (64 MB).
+CELL, CELL_SHINGLES = 1024, 4 << 20
 
 _SAMPLES = BANDS * ROWS
 _XOR, _TIMES = seeds(_SAMPLES, 21), seeds(_SAMPLES, 22)
@@ -71,13 +71,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
 def _links(heads: DataFrame, rows: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between representatives that connect whatever is connected."""
-    exploded = heads.select("id", F.explode("bands").alias("band"))
-    shared = exploded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    groups = store(exploded.join(shared, "band").select("band", "id", "size"))
-    largest = groups.groupBy("id").agg(F.max(F.struct("size", "band")).alias("g"))
-    slices = F.ceil(F.col("g.size") / CELL)
-    cell = F.xxhash64("g.band", F.pmod(F.xxhash64("id"), slices)).alias("cell")
-    placed = groups.select("band", "id").join(largest.select("id", cell), "id")
+    exploded = heads.select("id", "n", F.explode("bands").alias("band"))
+    shared = exploded.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("center")).filter("size > 1")
+    groups = store(exploded.join(shared, "band").select("band", "id", "n", "center"))
+    # The smallest id that a document shares a band with: near copies of one another mostly have the same.
+    labels = groups.groupBy("id").agg(F.min("center").alias("label"), F.max("n").alias("n"))
+    sizes = labels.groupBy("label").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    slices = F.greatest(F.ceil(F.col("members") / CELL), F.ceil(F.col("shingles") / CELL_SHINGLES))
+    cell = F.xxhash64("label", F.pmod(F.xxhash64("id"), slices)).alias("cell")
+    placed = groups.select("band", "id").join(labels.join(sizes, "label").select("id", cell), "id")
     units = store(_units(placed))
     sets = _sets(rows, groups.select("id").distinct(), shingle_words)
     dealt = units.join(sets, "id").join(heads.select("id", "sketch"), "id")

@@ -101,7 +101,7 @@ def family(draw, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("cell", [512, 5])
+@pytest.mark.parametrize("cell", [1024, 5])
 def test_near_copies_match_all_pairs(make_docs, monkeypatch, cell):
     draw = random.Random(8)
     texts = [" ".join(words_of(draw, draw.randint(0, 60))) for _ in range(40)]
