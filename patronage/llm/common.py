@@ -42,16 +42,20 @@ def block_count(spark: SparkSession) -> int:
     return max(1, min(MAX_BLOCKS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def ordered_blocks(df: DataFrame, key: str, name: str = "block") -> tuple[DataFrame, int]:
+def ordered_blocks(
+    df: DataFrame, key: str, name: str = "block", weight: Column | None = None
+) -> tuple[DataFrame, int]:
     """Number the rows by ranges of the numeric column ``key``: all rows of block i come before
     those of block i+1, equal keys share a block. Returns the frame and the number of blocks.
+    Blocks have about as many rows each, or as much ``weight`` (small whole numbers).
 
     The pivots are approximate quantiles, at most ``MAX_BLOCKS`` numbers on the driver."""
     from pyspark.ml.feature import Bucketizer  # here, as workers import this module too
 
     blocks = block_count(df.sparkSession)
     shares = [i / blocks for i in range(1, blocks)] or [0.5]
-    pivots = df.agg(F.percentile_approx(key, shares, 20 * max(100, blocks))).first()[0] or []
+    weighed = df if weight is None else df.select(F.explode(F.array_repeat(key, weight)).alias(key))
+    pivots = weighed.agg(F.percentile_approx(key, shares, 20 * max(100, blocks))).first()[0] or []
     splits = [-float("inf"), *sorted({float(p) for p in pivots}), float("inf")]
     if len(splits) < 3:
         return df.withColumn(name, F.lit(0)), 1

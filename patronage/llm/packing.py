@@ -32,6 +32,9 @@ DIMENSIONS, BITS = 3, 10
 #: Words fall into so many buckets, each with a direction of its own.
 BUCKETS = 4096
 
+#: Tokens that count as one when documents are dealt to blocks.
+WEIGHED_TOKENS = 1024
+
 _ENCODED = "id long, curve_key long, n_tokens long, width int, ids binary"
 _PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -45,7 +48,9 @@ def pack_documents(
     (``sequence_id``, ``offset``); ``ids`` are little-endian 16- or 32-bit numbers, ``ids_crc32`` is over 32 bits."""
     keyed = docs.select(known_id().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     encoded = store(keyed.mapInArrow(_encode(tokenizer, end_id, blanks_count, seed), _ENCODED))
-    numbered, blocks = ordered_blocks(encoded, "curve_key")
+    # Long documents lie close together on the curve, so blocks are balanced by tokens, not by documents.
+    weight = (F.col("n_tokens") / WEIGHED_TOKENS).cast("int") + 1
+    numbered, blocks = ordered_blocks(encoded, "curve_key", weight=weight)
     totals = numbered.groupBy("block").agg(F.sum("n_tokens")).orderBy("block").collect()  # at most MAX_BLOCKS
     starts, total = {}, 0
     for block, n in totals:
