@@ -61,10 +61,10 @@ def score_quality(
         scored = rows.withColumn("score", score)
     else:
         machine = FMClassifier(
-            featuresCol="inputs", labelCol="label", factorSize=FACTORS, maxIter=120, stepSize=0.05, regParam=1e-4,
+            featuresCol="inputs", labelCol="label", factorSize=FACTORS, maxIter=60, stepSize=0.05, regParam=1e-4,
             initStd=0.05, seed=10, solver="adamW",
         )
-        model = machine.fit(sample.coalesce(16))
+        model = machine.fit(sample.coalesce(8))
         scored = model.transform(_inputs(rows, "_text"))
         scored = scored.withColumn("score", vector_to_array("probability").getItem(1))
     return scored.select("doc", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -73,9 +73,9 @@ def score_quality(
 def _inputs(rows: DataFrame, column: str) -> DataFrame:
     """``rows`` with the vector ``inputs`` in place of the text ``column``."""
     text = F.coalesce(F.col(column), F.lit(""))
-    split = rows.withColumn("_whole", text).withColumn(
-        "_words", F.filter(F.split(F.lower("_whole"), _BLANKS), lambda w: w != "")
-    )
+    trimmed = F.btrim(F.lower("_whole"), F.lit(" \t\n\v\f\r"))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _BLANKS))
+    split = rows.withColumn("_whole", text).withColumn("_words", words)
     names = []
     for name, value in _structure().items():
         split = split.withColumn(f"_{name}", value)
@@ -96,7 +96,7 @@ def _structure() -> dict[str, Column]:
         """Share of the characters that ``rest`` lacks."""
         return (F.length(whole) - F.length(rest)) / chars
 
-    pairs = F.zip_with(F.slice(words, 2, count), words, lambda a, b: a.eqNullSafe(b))
+    repeats = F.filter(words, lambda word, i: word == F.get(words, i + 1))
     return {
         "capitals": share(F.regexp_replace(whole, r"\p{Lu}+", "")),
         "signs": share(F.regexp_replace(whole, r"[^\p{L}\p{N}\s]+", "")),
@@ -107,7 +107,7 @@ def _structure() -> dict[str, Column]:
         "blanks": share(F.translate(whole, " \t\n\r", "")),
         "lines": share(F.translate(whole, "\n", "")),
         "distinct": F.size(F.array_distinct(words)) / count,
-        "repeats": F.size(F.filter(pairs, lambda same: same)) / count,
+        "repeats": F.size(repeats) / count,
         "word_length": F.least(F.length(whole) / count / 40, F.lit(1.0)),
         "length": F.least(F.log2(chars + 1.0) / 32, F.lit(1.0)),
     }
