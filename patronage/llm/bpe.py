@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 _LINE, _SPACE, _ANY_BLANK = re.compile(r"\n(?=\S)"), re.compile(r" (?=\S)"), re.compile(r"\s")
 
 #: A process forgets its pieces when it has this many; longer pieces are not kept.
-CACHED_PIECES, CACHED_CHARS = 800_000, 48
+CACHED_PIECES, CACHED_CHARS = 1_100_000, 48
 
 _loaded: dict[tuple[str, bool], "TextEncoder"] = {}
 
