@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced seeds.
 
-Tokens are words without ASCII signs, lower-cased. A mask of 11 token positions looks at eight
-and ignores three, so a window matches in spite of substitutions there; three masks ignore
-different places. The masked hashes of the test items are joined with those of all documents; around each
+Tokens are words without ASCII signs, lower-cased. A mask looks at seven positions of a window of 8 to 13 tokens
+and ignores the others, so a window matches in spite of substitutions there. The seven masks were chosen so that any
+13 to 25 tokens of which four fifths are equal have a hit, wherever the others are (the tests go through all places);
+a longer stretch with that share has a part of 13 to 25 tokens with it, too. The masked hashes of the test items are joined with those of all documents; around each
 hit the document and the item are laid side by side and compared token by token. A document leaks an item if
 in some stretch of at least ``min_tokens`` tokens the share ``min_share`` of them is equal.
 
@@ -10,7 +11,7 @@ A bitmap of the items' hashes keeps windows that cannot match from leaving the s
 window, at most ``MAX_BITMAP_BITS`` in all: more items make it less selective, not larger, and the join is exact.
 Hits in one neighbourhood of a document travel as one row with the tokens around them.
 
-Items or documents of fewer than 11 tokens share no window: too little to tell from chance.
+Items or documents of fewer than 13 tokens share no stretch: too little to tell from chance.
 Nulls: null texts have no tokens; null ids stay null, rows that share a doc_id are told apart by their text.
 Empty tables give an empty result.
 """
@@ -21,15 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.llm.common import NULL_ID, chunks, integers, known_id, store, text_bytes
 from patronage.llm.words import hash_words, mix, seeds
 
-MASKS = ("11101011011", "11011010111", "10111101101")
-SPAN = 11
+MASKS = (
+    "11110111", "110100010111", "11101001011", "1100110011001", "1100101001011", "1000011001111", "1111000110001",
+)
+SPAN = max(map(len, MASKS))
 
+#: The masks find all stretches with at least these.
 MIN_TOKENS, MIN_SHARE = 13, 0.8
 
 #: Tokens that go with a hit on either side of it.
@@ -40,7 +45,6 @@ MAX_BITMAP_BITS = 1 << 28
 #: Windows of the items are broadcast up to this number (24 bytes each); beyond it the planner picks the join.
 BROADCAST_WINDOWS = 1 << 21
 
-_STEPS = seeds(len(MASKS) * SPAN, 13).reshape(len(MASKS), SPAN)
 _NEAR = "id long, row long, start int, tokens array<long>, places array<int>, hashes array<long>"
 
 
@@ -51,6 +55,8 @@ def find_leaks(
     its tokens are equal. ``id``/``row`` are the columns of :func:`with_keys`.
 
     ``docs``: doc_id, text; ``items``: item_id, text."""
+    if min_tokens < MIN_TOKENS or min_share < MIN_SHARE:
+        raise ValueError(f"The masks find stretches of {MIN_TOKENS} tokens and a share of {MIN_SHARE} or more, not less.")
     spark = docs.sparkSession
     listed = items.select(known_id("item_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     windows = store(listed.mapInArrow(_item_windows, "item_id long, tokens array<long>, places array<int>, hashes array<long>"))
@@ -96,16 +102,13 @@ def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     return kept.select("doc.*")
 
 
-def masked_hashes(tokens: np.ndarray) -> np.ndarray:
-    """One row per mask, one column per window."""
-    n = len(tokens) - SPAN + 1
-    if n <= 0:
-        return np.zeros((len(MASKS), 0), np.uint64)
-    out = np.zeros((len(MASKS), n), np.uint64)
-    for row, (mask, steps) in enumerate(zip(MASKS, _STEPS, strict=True)):
-        for i, looked_at in enumerate(mask):
-            if looked_at == "1":
-                out[row] += tokens[i : i + n] * steps[i]
+def masked_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
+    """One hash per window."""
+    n = max(0, len(tokens) - len(mask) + 1)
+    out = np.full(n, xxhash.xxh3_64_intdigest(mask), np.uint64)
+    for i, (looked_at, step) in enumerate(zip(mask, seeds(len(mask), 13), strict=True)):
+        if looked_at == "1":
+            out += tokens[i : i + n] * step
     return mix(out)
 
 
@@ -145,17 +148,28 @@ def _passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _passing(
+    bitmap: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, mask: str
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, text and hash of the windows that pass the bitmap."""
+    hashes = masked_hashes(tokens, mask)
+    place = np.flatnonzero(_passes(bitmap, hashes))
+    owner = np.searchsorted(bounds, place, side="right") - 1
+    inside = place + len(mask) <= bounds[owner + 1]  # a window that crosses into the next text is none
+    return place[inside], owner[inside], hashes[place[inside]]
+
+
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tokens, places = hash_words(*text_bytes(batch.column("text")), plain=True)
         own = [tokens[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
-        hashes = [masked_hashes(t) for t in own]
+        hashes = [[masked_hashes(t, mask) for mask in MASKS] for t in own]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("item_id"),
                 _lists(own, pa.int64()),
-                _lists([np.tile(np.arange(h.shape[1]), len(MASKS)) for h in hashes], pa.int32()),
-                _lists([h.ravel() for h in hashes], pa.int64()),
+                _lists([np.concatenate([np.arange(len(m)) for m in h]) for h in hashes], pa.int32()),
+                _lists([np.concatenate(h) for h in hashes], pa.int64()),
             ],
             ["item_id", "tokens", "places", "hashes"],
         )
@@ -176,15 +190,11 @@ def _doc_hits(shared):
         for batch in batches:
             for part in chunks(batch, "text"):
                 tokens, bounds = hash_words(*text_bytes(part.column("text")), plain=True)
-                hashes = masked_hashes(tokens)
-                if not hashes.shape[1]:
-                    continue
                 ids, rows = integers(part.column("id")), integers(part.column("row"))
-                mask, place = np.nonzero(_passes(bitmap, hashes))
-                owner = np.searchsorted(bounds, place, side="right") - 1
-                inside = place + SPAN <= bounds[owner + 1]  # a window that crosses into the next text is none
-                order = np.argsort(place[inside], kind="stable")
-                mask, place, owner = mask[inside][order], place[inside][order], owner[inside][order]
+                hits = [_passing(bitmap, tokens, bounds, mask) for mask in MASKS]
+                place, owner, hashes = (np.concatenate(column) for column in zip(*hits, strict=True))
+                order = np.argsort(place, kind="stable")
+                place, owner, hashes = place[order], owner[order], hashes[order]
                 if not len(place):
                     continue
                 apart = (place[1:] - place[:-1] > SPAN) | (owner[1:] != owner[:-1])
@@ -201,7 +211,7 @@ def _doc_hits(shared):
                         pa.array([f - int(bounds[o]) for f, o in zip(first, of, strict=True)], pa.int32()),
                         _lists([tokens[f:e] for f, e in zip(first, last, strict=True)], pa.int64()),
                         _lists([place[g] - bounds[o] for g, o in zip(groups, of, strict=True)], pa.int32()),
-                        _lists([hashes[mask[g], place[g]] for g in groups], pa.int64()),
+                        _lists([hashes[g] for g in groups], pa.int64()),
                     ],
                     names,
                 )

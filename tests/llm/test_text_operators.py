@@ -269,6 +269,38 @@ def test_leaks_survive_substitutions(spark, make_docs, odd_docs, no_docs):
     assert decontaminate.find_leaks(no_docs, listed).count() == decontaminate.find_leaks(docs, listed.limit(0)).count() == 0
 
 
+def leaks_by_force(docs, items, min_tokens=13, share=0.8):
+    """(doc, item) pairs by the rule itself: each item laid beside each document at every shift."""
+    out = set()
+    for d, doc in docs:
+        for i, item in items:
+            if any(
+                decontaminate.longest_stretch(np.array([a == b for a, b in zip(item[max(0, -s) :], doc[max(0, s) :], strict=False)], bool), min_tokens, share)[0]
+                for s in range(1 - len(item), len(doc))
+            ):
+                out.add((d, i))
+    return out
+
+
+def test_leaks_match_the_rule_by_force(spark, make_docs):
+    draw = random.Random(11)
+    items = [words_of(draw, n) for n in (13, 13, 14, 15, 15, 16, 18, 20, 25, 30)]
+    docs = []
+    for item in items * 8:
+        words, n = list(item), len(item) // 5 + draw.randint(0, 1)
+        for place in draw.sample(range(len(words)), n):
+            words[place] = f"other{place}"
+        docs.append([*words_of(draw, draw.randint(0, 20)), *words[draw.choice((0, 0, 2)) :], *words_of(draw, 5)])
+    docs.append(["x", "other1", "other2", *items[0][3:], "y"])
+    docs.append([items[0][0], "other1", "other2", *items[0][3:]])
+    listed = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = {(r.id, r.item_id) for r in decontaminate.find_leaks(make_docs([" ".join(d) for d in docs]), listed).collect()}
+    expected = leaks_by_force(list(enumerate(docs)), list(enumerate(items)))
+    assert found == expected and 20 < len(found) < len(docs)
+    with pytest.raises(ValueError):
+        decontaminate.find_leaks(make_docs(["a"]), listed, min_share=0.7)
+
+
 # ---------------------------------------------------------------- 8 lines
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -100,6 +101,21 @@ def test_hilbert_neighbours():
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
 
 
+def test_masks_hit_every_stretch():
+    """All places of the substitutions. A stretch of 26 tokens or more has a part of 13 or more with the share."""
+    masks = [(sum(1 << i for i, c in enumerate(mask) if c == "1"), len(mask)) for mask in decontaminate.MASKS]
+    for n in range(13, 31):
+        others = n // 5
+        places = itertools.combinations(range(n), others)
+        while some := list(itertools.islice(places, 1 << 17)):
+            changed = (1 << np.array(some, np.int64)).sum(axis=1)
+            hit = np.zeros(len(changed), bool)
+            for mask, span in masks:
+                for start in range(n - span + 1):
+                    hit |= changed & (mask << start) == 0
+            assert hit.all(), (n, some[int(np.argmin(hit))])
+
+
 def test_longest_stretch():
     equal = np.array([1] * 10 + [0] + [1] * 5 + [0] * 30 + [1] * 20, bool)
     assert decontaminate.longest_stretch(equal, 13, 0.8) == (25, 20)
