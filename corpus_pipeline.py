@@ -46,8 +46,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark item."""
-    return decontaminate.without_leaks(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
+    """Documents that hold no passage of a benchmark item, and no short item as a whole."""
+    return decontaminate.without_leaks(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds.
 
-Tokens are words without ASCII signs, lower-cased. A mask looks at seven positions of a window of 8 to 13 tokens
+Tokens are words without ASCII signs, lower-cased, and single characters of scripts without blanks. A mask looks at seven positions of a window of 8 to 13 tokens
 and ignores the others, so a window matches in spite of substitutions there. The seven masks were chosen so that any
 13 to 25 tokens of which four fifths are equal have a hit, wherever the others are (the tests go through all places);
 a longer stretch with that share has a part of 13 to 25 tokens with it, too. The masked hashes of the test items are joined with those of all documents; around each
@@ -11,7 +11,9 @@ A bitmap of the items' hashes keeps windows that cannot match from leaving the s
 window, at most ``MAX_BITMAP_BITS`` in all: more items make it less selective, not larger, and the join is exact.
 Hits in one neighbourhood of a document travel as one row with the tokens around them.
 
-Items or documents of fewer than 13 tokens share no stretch: too little to tell from chance.
+An item of fewer than ``min_tokens`` tokens has no such stretch. With ``short_items`` it is leaked by a document that holds
+all its tokens one after the other: such an item has one window, under a mask that looks at all its positions, and the
+documents' windows of the lengths of such items are hashed, too. Without, such items are not looked for.
 Nulls: null texts have no tokens; null ids stay null, rows that share a doc_id are told apart by their text.
 Empty tables give an empty result.
 """
@@ -32,7 +34,6 @@ from patronage.llm.words import hash_words, mix, seeds
 MASKS = (
     "11110111", "110100010111", "11101001011", "1100110011001", "1100101001011", "1000011001111", "1111000110001",
 )
-SPAN = max(map(len, MASKS))
 
 #: The masks find all stretches with at least these.
 MIN_TOKENS, MIN_SHARE = 13, 0.8
@@ -49,7 +50,11 @@ _NEAR = "id long, row long, start int, tokens array<long>, places array<int>, ha
 
 
 def find_leaks(
-    docs: DataFrame, items: DataFrame, min_tokens: int = MIN_TOKENS, min_share: float = MIN_SHARE
+    docs: DataFrame,
+    items: DataFrame,
+    min_tokens: int = MIN_TOKENS,
+    min_share: float = MIN_SHARE,
+    short_items: bool = False,
 ) -> DataFrame:
     """(id, row, item_id, n_tokens, n_equal): the items that a document leaks, with the longest stretch and how many of
     its tokens are equal. ``id``/``row`` are the columns of :func:`with_keys`.
@@ -59,13 +64,20 @@ def find_leaks(
         raise ValueError(f"The masks find stretches of {MIN_TOKENS} tokens and a share of {MIN_SHARE} or more, not less.")
     spark = docs.sparkSession
     listed = items.select(known_id("item_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    windows = store(listed.mapInArrow(_item_windows, "item_id long, tokens array<long>, places array<int>, hashes array<long>"))
+    windows = store(
+        listed.mapInArrow(
+            _item_windows(min_tokens, short_items), "item_id long, tokens array<long>, places array<int>, hashes array<long>"
+        )
+    )
+    size = F.size("tokens")
+    lengths = windows.filter((size > 0) & (size < min_tokens)).select(size.alias("n")).distinct().collect() if short_items else []
+    masks = [*MASKS, *("1" * r.n for r in lengths)]  # fewer than min_tokens lengths
     spread = windows.select("item_id", F.explode(F.arrays_zip("places", "hashes")).alias("w")).select(
         "item_id", F.col("w.places").alias("item_place"), F.col("w.hashes").alias("hash")
     )
     n = spread.count()
     bitmap = spark.sparkContext.broadcast(_bitmap(spread, n))
-    near = store(with_keys(docs).select("id", "row", "text").mapInArrow(_doc_hits(bitmap), _NEAR))
+    near = store(with_keys(docs).select("id", "row", "text").mapInArrow(_doc_hits(bitmap, masks), _NEAR))
     hits = near.select("id", "row", "start", F.explode(F.arrays_zip("places", "hashes")).alias("w")).select(
         "id", "row", "start", F.col("w.places").alias("place"), F.col("w.hashes").alias("hash")
     )
@@ -95,9 +107,9 @@ def with_keys(docs: DataFrame) -> DataFrame:
     )
 
 
-def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, short_items: bool = False) -> DataFrame:
     """The rows of ``docs`` that leak no item."""
-    leaking = find_leaks(docs, items).select("id", "row").distinct()
+    leaking = find_leaks(docs, items, short_items=short_items).select("id", "row").distinct()
     kept = with_keys(docs).drop("text").join(leaking.hint("shuffle_hash"), ["id", "row"], "left_anti")
     return kept.select("doc.*")
 
@@ -159,20 +171,29 @@ def _passing(
     return place[inside], owner[inside], hashes[place[inside]]
 
 
-def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        tokens, places = hash_words(*text_bytes(batch.column("text")), plain=True)
-        own = [tokens[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
-        hashes = [[masked_hashes(t, mask) for mask in MASKS] for t in own]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("item_id"),
-                _lists(own, pa.int64()),
-                _lists([np.concatenate([np.arange(len(m)) for m in h]) for h in hashes], pa.int32()),
-                _lists([np.concatenate(h) for h in hashes], pa.int64()),
-            ],
-            ["item_id", "tokens", "places", "hashes"],
-        )
+def _item_windows(min_tokens: int, short_items: bool):
+    def masks(n: int) -> tuple[str, ...]:
+        if n >= min_tokens:
+            return MASKS
+        return ("1" * n,) if n and short_items else ()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, places = hash_words(*text_bytes(batch.column("text")), plain=True, single=True)
+            own = [tokens[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
+            none = np.zeros(0, np.uint64)
+            hashes = [[none, *(masked_hashes(t, mask) for mask in masks(len(t)))] for t in own]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("item_id"),
+                    _lists(own, pa.int64()),
+                    _lists([np.concatenate([np.arange(len(m)) for m in h]) for h in hashes], pa.int32()),
+                    _lists([np.concatenate(h) for h in hashes], pa.int64()),
+                ],
+                ["item_id", "tokens", "places", "hashes"],
+            )
+
+    return run
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -182,27 +203,28 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values).cast(kind))
 
 
-def _doc_hits(shared):
+def _doc_hits(shared, masks: list[str]):
+    span = max(map(len, masks))
     names = ["id", "row", "start", "tokens", "places", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
         for batch in batches:
             for part in chunks(batch, "text"):
-                tokens, bounds = hash_words(*text_bytes(part.column("text")), plain=True)
+                tokens, bounds = hash_words(*text_bytes(part.column("text")), plain=True, single=True)
                 ids, rows = integers(part.column("id")), integers(part.column("row"))
-                hits = [_passing(bitmap, tokens, bounds, mask) for mask in MASKS]
+                hits = [_passing(bitmap, tokens, bounds, mask) for mask in masks]
                 place, owner, hashes = (np.concatenate(column) for column in zip(*hits, strict=True))
                 order = np.argsort(place, kind="stable")
                 place, owner, hashes = place[order], owner[order], hashes[order]
                 if not len(place):
                     continue
-                apart = (place[1:] - place[:-1] > SPAN) | (owner[1:] != owner[:-1])
+                apart = (place[1:] - place[:-1] > span) | (owner[1:] != owner[:-1])
                 groups = np.split(np.arange(len(place)), np.flatnonzero(apart) + 1)
                 of = [int(owner[g[0]]) for g in groups]
                 first = [max(int(bounds[o]), int(place[g[0]]) - AROUND) for g, o in zip(groups, of, strict=True)]
                 last = [
-                    min(int(bounds[o + 1]), int(place[g[-1]]) + SPAN + AROUND) for g, o in zip(groups, of, strict=True)
+                    min(int(bounds[o + 1]), int(place[g[-1]]) + span + AROUND) for g, o in zip(groups, of, strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -230,7 +252,10 @@ def _verify(min_tokens: int, min_share: float):
                 # Token j of the item lies beside token j + shift of the document, place j + shift - start of the slice.
                 low, high = max(0, start - shift), min(len(item), start - shift + len(doc))
                 equal = item[low:high] == doc[low + shift - start : high + shift - start]
-                length, same = _longest(equal, min_tokens, min_share)
+                if len(item) < min_tokens:
+                    length = same = len(item) if len(equal) == len(item) and equal.all() else 0
+                else:
+                    length, same = _longest(equal, min_tokens, min_share)
                 if length:
                     found.append((*keys, length, same))
             columns = list(zip(*found, strict=True)) or [()] * 5

@@ -165,7 +165,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_decontamination")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, n_tokens, n_equal): the benchmark items that each document leaks."""
-    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    leaks = decontaminate.find_leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_items=True
+    )
     doc_id = F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id")
     return leaks.select(doc_id, "item_id", "n_tokens", "n_equal")
 

@@ -7,6 +7,7 @@ import hashlib
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from patronage.llm import (
-    chat, decontaminate, imatch, line_dedup, near_dedup, packing, quality_fm, sharding, token_files, url_filter,
+    chat, decontaminate, imatch, line_dedup, near_dedup, packing, quality_fm, queries, sharding, token_files, url_filter,
 )
 
 
@@ -301,6 +302,37 @@ def test_leaks_match_the_rule_by_force(spark, make_docs):
         decontaminate.find_leaks(make_docs(["a"]), listed, min_share=0.7)
 
 
+def test_short_items_leak_as_a_whole(spark, make_docs, odd_docs):
+    draw = random.Random(5)
+    items = [words_of(draw, n) for n in (1, 4, 10, 11, 12)]
+    texts = [" ".join([*words_of(draw, 30), *w, *words_of(draw, 30)]) for w in items]
+    texts += [" ".join([*w[:-1], "other", *words_of(draw, 30)]) for w in items[1:]] + [" ".join(items[2]), " ".join(items[2][1:])]
+    texts += ["前文。水是由氢和氧组成的吗?后文", "水是由氢和氮组成的吗", "前文这个城市的人口在过去十年里增长了多少倍后文", "其他"]
+    chinese = ["水是由氢和氧组成的吗", "这个城市的人口在过去二年里增长了多少倍"]
+    rows = [(i, t) for i, t in enumerate([*(" ".join(w).upper() for w in items), *chinese])]
+    listed = spark.createDataFrame([*rows, (7, ""), (8, None)], "item_id long, text string")
+    docs = make_docs(texts)
+    found = {(r.id, r.item_id): (r.n_tokens, r.n_equal) for r in decontaminate.find_leaks(docs, listed, short_items=True).collect()}
+    expected = {(i, j): (len(w),) * 2 for i, t in enumerate(texts[:11]) for j, w in enumerate(items)
+                if f" {' '.join(w)} " in f" {t} "}
+    assert found == expected | {(11, 5): (10, 10), (13, 6): (19, 18)}
+    assert {(i, i) for i in range(5)} | {(9, 2)} <= set(found) and (5, 1) not in found
+    kept = {r.doc_id for r in decontaminate.without_leaks(docs, listed, short_items=True).collect()}
+    assert kept == set(range(len(texts))) - {d for d, _ in found}
+    assert decontaminate.without_leaks(odd_docs, listed, short_items=True).count() == odd_docs.count()
+
+
+def test_op7_and_the_pipeline_look_for_short_items(spark, make_docs, tmp_path):
+    docs = make_docs(["one two three four five", "one two four three five", None]).selectExpr(
+        "doc_id", "text", "'en' lang", "'s' source", "length(text) n_chars"
+    )
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "Two, three, four!")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = queries.QUERIES["op7_decontamination"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in found] == [(0, 1, 3, 3)]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()) == [1, 2]
+
+
 # ---------------------------------------------------------------- 8 lines
 
 
