@@ -1,9 +1,9 @@
 """I-Match fingerprints with randomised lexicons.
 
 A term (word) is in the lexicon if its inverse document frequency over the whole corpus lies in a band.
-A fingerprint has one signature for the whole lexicon and one for each of 64 random subsets
+A fingerprint has one signature for the whole lexicon and one for each of 176 random subsets
 of it: the hash of the document's sorted distinct terms in that subset. The subsets keep 1/8 down to
-1/1024 of the terms, eight draws each, so that short and long texts alike have subsets with one or
+1/2^24 of the terms, eight draws each, so that short and long texts alike have subsets with one or
 two of their terms, which survive an edit. A signature starts with its number of terms (one digit); likeness is
 the share of equal signatures among those that have one or two terms on either side.
 
@@ -39,6 +39,9 @@ MAX_LEXICON = 1 << 21
 #: Subset i keeps the terms whose i-th hash lies in the lowest 1/2**_LEVELS[i].
 _LEVELS = np.repeat(np.arange(3, 11), 8)
 _SEEDS = seeds(len(_LEVELS), 4)
+#: The levels after those have eight hashes together: level l keeps the terms whose hash starts with l - 1 zeros and a one.
+_FAR = np.arange(11, 25)
+_FAR_SEEDS = seeds(8, 5)
 _DIGITS = 6
 _EMPTY = "0" * _DIGITS
 
@@ -158,10 +161,26 @@ def _fingerprint(own: np.ndarray, terms: np.ndarray) -> str:
         band = own[terms[at] == own]
         own = band if len(band) else own
     if not len(own):
-        return _EMPTY * (len(_LEVELS) + 1)
+        return _EMPTY * (1 + len(_LEVELS) + len(_FAR) * len(_FAR_SEEDS))
     draws = mix(own[None, :] ^ _SEEDS[:, None]) >> (64 - _LEVELS).astype(np.uint64)[:, None]
     subsets = [own, *(own[row] for row in draws == 0)]
-    return "".join([_signature(s) if len(s) else _EMPTY for s in subsets])
+    return "".join([_signature(s) if len(s) else _EMPTY for s in subsets] + _far_signatures(own))
+
+
+def _far_signatures(own: np.ndarray) -> list[str]:
+    out = [_EMPTY] * (len(_FAR) * len(_FAR_SEEDS))
+    draws = mix(own[None, :] ^ _FAR_SEEDS[:, None])
+    draw, term = np.nonzero(draws < np.uint64(1 << (65 - int(_FAR[0]))))
+    # Number of the level, counted from the last: its smallest hash is a power of two.
+    borders = np.uint64(1) << (64 - _FAR[::-1]).astype(np.uint64)
+    level = len(_FAR) - np.searchsorted(borders, draws[draw, term], side="right")
+    draw, term, level = (x[level < len(_FAR)] for x in (draw, term, level))
+    place = level * len(_FAR_SEEDS) + draw
+    order = np.argsort(place, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+        if len(part):
+            out[place[part[0]]] = _signature(own[term[part]])
+    return out
 
 
 def _signature(sorted_terms: np.ndarray) -> str:

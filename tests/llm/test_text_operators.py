@@ -190,6 +190,12 @@ def test_edits_and_likeness(make_docs, odd_docs, no_docs):
     assert imatch.compare_with_edits(no_docs, imatch.lexicon(no_docs)).count() == 0
 
 
+def test_edits_of_long_texts(make_docs):
+    docs = make_docs([" ".join(f"d{i}w{j}" for j in range(n)) for i, n in enumerate((5000, 8000, 20_000, 50_000))])
+    rows = imatch.compare_with_edits(docs, np.zeros(0, np.uint64)).collect()
+    assert len(rows) == 4 and all(r.near_edited > 0.15 and r.near_next < 0.05 for r in rows)
+
+
 def test_lexicon_is_the_band_over_all_documents(make_docs):
     texts = [f"all {'some' if i < 30 else ''} {'few' if i < 3 else ''} own{i}" for i in range(100)]
     docs = make_docs(texts)

@@ -128,3 +128,20 @@ def test_likeness():
     assert imatch.likeness(a, a) == 1.0
     empty = imatch._fingerprint(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     assert imatch.likeness(a, empty) == 0.0 and imatch.likeness(empty, empty) == 1.0
+
+
+@pytest.mark.parametrize("n", [300, 3000, 5000, 8000, 50_000, 300_000])
+def test_likeness_of_long_texts(n):
+    """An edit of a third of the terms leaves about the same likeness whatever the length."""
+    draw, none = np.random.default_rng(n), np.zeros(0, np.uint64)
+
+    def marks(*parts):
+        return imatch._fingerprint(np.unique(np.concatenate(parts)), none)
+
+    edited, other = [], []
+    for _ in range(8):
+        kept, own, new = (draw.integers(0, 2**63, size, np.uint64) for size in (n - n // 3, n // 3, n // 3))
+        mark = marks(kept, own)
+        edited.append(imatch.likeness(mark, marks(kept, new)))
+        other.append(imatch.likeness(mark, marks(draw.integers(0, 2**63, n, np.uint64))))
+    assert np.mean(edited) > 0.2 and min(edited) > 0 and max(other) < 0.05
