@@ -25,7 +25,10 @@ from catalog.registry import query
 from catalog.segments import (
     DETAILS,
     PERSONA_TABLE,
+    TOTAL_SQUARE,
     TRANSITIONS,
+    fitted_evaluation,
+    scaled_cte,
     score_evaluation,
     score_evaluation_cte,
     window_labels,
@@ -221,6 +224,21 @@ def d12(spark, d):
     return reports.separation_report(score_evaluation(spark, d))
 
 
+@query(
+    "D12_separation_fitted",
+    sql(
+        *RFM, scaled_cte("rfm"),
+        f"SELECT CAST(k AS INTEGER) AS k, {TOTAL_SQUARE}, true AS verdict_follows FROM range(2, 9) AS t(k)",
+    ),
+)
+def d12_fitted(spark, d):
+    """Verdicts on fitted clusters, each held against the limits of the silhouette."""
+    report = reports.separation_report(fitted_evaluation(spark, d))
+    verdict = "CASE " + " ".join(f"WHEN silhouette >= {limit} THEN '{name}'" for limit, name in reports.SEPARATION_VERDICTS)
+    follows = F.expr(f"separation = {verdict} ELSE 'poor' END").alias("verdict_follows")
+    return report.select("k", "total_square", follows)
+
+
 TIMELINE = f"""SELECT customer_id, invoice_no, invoice_date, {r('sum(quantity * unit_price)', 2)} AS order_total,
   sum(quantity) AS item_count, count(DISTINCT description) AS distinct_products FROM gross"""
 

@@ -169,6 +169,42 @@ def k2e(spark, d):
     return clusters.best_k(score_evaluation(spark, d))
 
 
+TOTAL_SQUARE = f"(SELECT CAST(round(sum({_square()})) AS BIGINT) FROM scaled) AS total_square"
+
+
+def fitted_evaluation(spark, d):
+    """All fits that evaluate_clusters makes by default, and for each k the squares it splits, as in K2a."""
+    table = materialize(rfm(spark, d))
+    scaled, _ = clusters.preprocess_rfm(table)
+    n = table.count()
+    between = F.col("inertia") * F.col("calinski_harabasz") * (F.col("k") - 1) / (n - F.col("k"))
+    total = F.round(F.col("inertia") + between).cast("bigint")
+    return materialize(clusters.evaluate_clusters(scaled).withColumn("total_square", total))
+
+
+@query(
+    "K2e_best_k_fitted",
+    sql(
+        *RFM, scaled_cte("rfm"),
+        f"""SELECT criterion, {TOTAL_SQUARE}, true AS is_best
+        FROM (VALUES ('silhouette'), ('calinski_harabasz'), ('davies_bouldin')) AS t(criterion)""",
+    ),
+)
+def k2e_fitted(spark, d):
+    """The best k of fitted clusters by each criterion: no other k is better, nor as good and smaller."""
+    evaluation = fitted_evaluation(spark, d)
+    best = clusters.best_k(evaluation).first()
+    rows = {row["k"]: row for row in evaluation.collect()}
+    found = []
+    for criterion, column, sign in (
+        ("silhouette", "best_k", -1), ("calinski_harabasz", "best_k_calinski", -1), ("davies_bouldin", "best_k_davies", 1)
+    ):
+        first = min(rows, key=lambda k: (sign * rows[k][criterion], k))
+        is_best = best[column] == first and best["best_silhouette"] == max(row["silhouette"] for row in rows.values())
+        found.append((criterion, rows[best[column]]["total_square"], is_best))
+    return spark.createDataFrame(found, "criterion string, total_square bigint, is_best boolean")
+
+
 # Fixed centroids in scaled space, so that both engines measure the same distances.
 CENTROIDS = [[1.2, -1.0, -1.1], [0.1, 0.0, 0.2], [-0.9, 0.9, 0.8], [-1.5, 1.8, 2.0]]
 
@@ -337,6 +373,31 @@ def k9(spark, d):
     return given_model(materialize(rfm(spark, d)))[1]
 
 
+@query(
+    "K9_fit_rfm_pipeline",
+    sql(
+        *RFM, scaled_cte("rfm"),
+        f"""SELECT count(*) AS n, {TOTAL_SQUARE}, CAST(4 AS INTEGER) AS k, true AS inertia_is_that_of_labels,
+        true AS labels_are_nearest FROM scaled""",
+    ),
+)
+def k9_fit(spark, d):
+    """A model fitted from raw metrics to labels, held against what its labels must show."""
+    table = materialize(rfm(spark, d))
+    model, labels = clusters.fit_rfm_pipeline(table, 4)
+    scaled = materialize(clusters.fit_scaler(table, guard=False).transform(labels))
+    found = clusters.cluster_validity(scaled, ZS).first()
+    between = found["inertia"] * found["calinski_harabasz"] * (found["k"] - 1) / (found["n"] - found["k"])
+    means = [[row[c] for c in ZS] for row in clusters.cluster_centers(scaled, ZS).orderBy("cluster").collect()]
+    away, nearest = clusters.nearest_center_sql(means, ZS)
+    wrong = scaled.withColumn("_away", F.expr(away)).where(f"cluster <> {nearest}").count()
+    return spark.createDataFrame(
+        [(found["n"], round(found["inertia"] + between), found["k"],
+          abs(found["inertia"] - model.inertia) <= 0.001 * found["inertia"], wrong <= 0.001 * found["n"])],
+        "n bigint, total_square bigint, k int, inertia_is_that_of_labels boolean, labels_are_nearest boolean",
+    )
+
+
 # ---------------------------------------------------------------- personas
 
 NORM_COLUMNS = ", ".join(f"{r(c, 6)} AS {c}" for c in ["r_norm", "f_norm", "m_norm", "composite"])

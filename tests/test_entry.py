@@ -21,6 +21,21 @@ def test_sample_of_queries_against_sql(spark, sf):
         assert good, f"{name}: {note}"
 
 
+def test_fitted_queries_against_sql(spark, sf, monkeypatch):
+    from catalog.check import compare, connect
+    from patronage.operators import clusters
+
+    fits = []
+    fit = clusters._best_start
+    monkeypatch.setattr(clusters, "_best_start", lambda vectors, k, seed, starts: fits.append((k, starts)) or fit(vectors, k, seed, starts))
+    db, queries, oracles = connect(sf), entry.queries(), entry.oracle_sql()
+    for name, ks in (("K2e_best_k_fitted", range(2, 9)), ("D12_separation_fitted", range(2, 9)), ("K9_fit_rfm_pipeline", [4])):
+        good, note = compare(spark, db, sf, name, queries[name], oracles[name])
+        assert good, f"{name}: {note}"
+        assert fits == [(k, 10) for k in ks], name
+        fits.clear()
+
+
 def test_stored_tables_can_be_released(spark):
     from patronage.session import materialize, release_tables
 
