@@ -17,6 +17,7 @@ _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _VALUE = np.arange(1, 257, dtype=np.uint64)
 _VALUE[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]
 _VALUE[_BLANK] = 0
+_EXACT = np.arange(1, 257, dtype=np.uint64)
 _SIGN = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _powers: list[np.ndarray] = []
 
@@ -59,10 +60,11 @@ def _power_tables() -> list[np.ndarray]:
 
 
 def hash_words(
-    data: np.ndarray, offsets: np.ndarray, plain: bool = False, single: bool = False
+    data: np.ndarray, offsets: np.ndarray, plain: bool = False, single: bool = False, fold: bool = True
 ) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts that lie in ``data`` at ``offsets``, and for each text where
-    its words start (one entry more than texts)."""
+    its words start (one entry more than texts). Without ``fold``, A-Z differs from a-z."""
+    value = _VALUE if fold else _EXACT
     starts, ends = word_places(data, offsets, plain, single)
     hashes = np.empty(len(starts), np.uint64)
     power, inverse = _power_tables()
@@ -71,13 +73,13 @@ def hash_words(
         low = starts[first]
         last = int(np.searchsorted(ends, low + PIECE, side="right"))
         if last <= first:
-            word = data[low : ends[first]].tobytes().lower()
-            hashes[first] = xxhash.xxh3_64_intdigest(word)
+            word = data[low : ends[first]].tobytes()
+            hashes[first] = xxhash.xxh3_64_intdigest(word.lower() if fold else word)
             first += 1
             continue
         high = ends[last - 1]
         sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_VALUE[data[low:high]] * power[: high - low], out=sums[1:])
+        np.cumsum(value[data[low:high]] * power[: high - low], out=sums[1:])
         s, e = starts[first:last] - low, ends[first:last] - low
         hashes[first:last] = (sums[e] - sums[s]) * inverse[s]
         first = last
