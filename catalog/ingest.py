@@ -448,31 +448,83 @@ def r3(spark, d):
     return two_digits(reconcile.settled_purchases(ledger(spark, d)))
 
 
-@query(
-    "R4_report",
-    ledger_sql(
-        180,
-        f"""SELECT count(*) AS total_raw_records, count(*) FILTER (NOT rev) AS purchase_records,
-        count(*) FILTER (rev) AS reversal_records, count(*) FILTER (rev AND is_reconciled) AS matched_reversals,
-        count(*) FILTER (rev AND NOT is_reconciled) AS unmatched_reversals,
-        {r('sum(raw_line_total) FILTER (NOT rev)', 2)} AS gross_revenue,
-        {r('sum(raw_line_total - (quantity - net_quantity) * unit_price) FILTER (NOT rev AND net_quantity > 0)', 2)}
-          AS net_settled_revenue,
-        {r('count(*) FILTER (rev AND is_reconciled) / count(*) FILTER (rev) * 100', 2)}
-          AS reconciliation_rate_pct FROM ledger""",
-    ),
-)
+REPORT = f"""SELECT count(*) AS total_raw_records, count(*) FILTER (NOT rev) AS purchase_records,
+  count(*) FILTER (rev) AS reversal_records, count(*) FILTER (rev AND is_reconciled) AS matched_reversals,
+  count(*) FILTER (rev AND NOT is_reconciled) AS unmatched_reversals,
+  {r('sum(raw_line_total) FILTER (NOT rev)', 2)} AS gross_revenue,
+  {r('sum(raw_line_total - (quantity - net_quantity) * unit_price) FILTER (NOT rev AND net_quantity > 0)', 2)}
+    AS net_settled_revenue,
+  {r('count(*) FILTER (rev AND is_reconciled) / count(*) FILTER (rev) * 100', 2)}
+    AS reconciliation_rate_pct FROM ledger"""
+
+
+@query("R4_report", ledger_sql(180, REPORT))
 def r4(spark, d):
     return reconcile.reconciliation_report(ledger(spark, d))
 
 
-@query("R2_blank_item_returns")
-def r2_blank(spark, d):
+# The checksum's byte table, then one step of it for each byte.
+CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(
+    list_concat([i::UBIGINT], list_resize([]::UBIGINT[], 8, 0)),
+    lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END)) AS crcs)"""
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of an ASCII text, next to ``crc_table``."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i::INT, 1))::UBIGINT)"
+    steps = f"list_reduce(list_prepend(4294967295::UBIGINT, {codes}), "
+    return f"xor({steps} lambda c, b: xor(c // 256, crcs[(xor(c % 256, b) + 1)::INT])), 4294967295::UBIGINT)"
+
+
+# Each customer's lines one after the other, with the list of open purchases: the rule itself, without stacks or slabs.
+WALK = """steps AS (SELECT *, row_number() OVER (PARTITION BY customer_id
+    ORDER BY invoice_date, rev, invoice_no, item, unit_price, u) AS step FROM ev),
+walk AS (
+  SELECT DISTINCT customer_id, 0::BIGINT AS step, false AS found,
+    []::STRUCT(k BIGINT, item VARCHAR, d TIMESTAMP, u BIGINT)[] AS open FROM ev
+  UNION ALL
+  SELECT s.customer_id, s.step,
+    s.rev AND len(list_filter(w.open, lambda x: x.d >= s.invoice_date - INTERVAL 180 DAYS AND s.item IN ('', x.item))) > 0,
+    CASE WHEN NOT s.rev THEN list_append(w.open, {'k': s.step, 'item': s.item, 'd': s.invoice_date, 'u': s.u})
+    ELSE list_filter(list_transform(w.open, lambda x, i: {'k': x.k, 'item': x.item, 'd': x.d, 'u': x.u - CASE
+        WHEN x.d >= s.invoice_date - INTERVAL 180 DAYS AND s.item IN ('', x.item) THEN greatest(0, least(x.u, s.u
+          - coalesce(list_sum(list_transform(w.open[i + 1:], lambda y: CASE
+              WHEN y.d >= s.invoice_date - INTERVAL 180 DAYS AND s.item IN ('', y.item) THEN y.u ELSE 0 END)), 0)))
+        ELSE 0 END}), lambda x: x.u > 0) END
+  FROM walk w JOIN steps s ON s.customer_id = w.customer_id AND s.step = w.step + 1),
+ends AS (SELECT customer_id, unnest(max_by(open, step), recursive := true) FROM walk GROUP BY customer_id),
+ledger AS (
+  SELECT s.*, s.quantity * s.unit_price AS raw_line_total,
+    CASE WHEN NOT rev THEN coalesce(e.u, 0) / 1000000 END AS net_quantity,
+    CASE WHEN rev THEN w.found ELSE coalesce(e.u, 0) < s.u END AS is_reconciled
+  FROM steps s JOIN walk w USING (customer_id, step) LEFT JOIN ends e ON e.customer_id = s.customer_id AND e.k = s.step)"""
+
+
+def blank_returns_sql(last: str) -> str:
+    unnamed = f"""unnamed AS (SELECT * EXCLUDE (crcs) REPLACE (CASE WHEN invoice_no LIKE 'C%' AND
+      {crc32_sql('invoice_no')} % 7 = 0 THEN '' ELSE description END AS description) FROM net, crc_table)"""
+    parts = sql(TX, NET, CRC_TABLE, unnamed, SIGNED.format(item="description", source="unnamed"), WALK, last)
+    return parts.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def blank_returns(spark, d):
     """Every seventh credit note names no item and so takes back any item of the customer."""
     blank = F.col("invoice_no").startswith("C") & (F.crc32("invoice_no") % 7 == 0)
     lines = net(spark, d, description=True).drop("is_refund")
-    lines = lines.withColumn("description", F.when(blank, "").otherwise(F.col("description")))
-    return reconcile.reconciliation_report(reconcile.reconciliation_ledger(lines))
+    return lines.withColumn("description", F.when(blank, "").otherwise(F.col("description")))
+
+
+@query(
+    "R2_blank_item_ledger",
+    blank_returns_sql(f"SELECT {LEDGER_COLUMNS}, rev AS is_reversal FROM ledger"),
+)
+def r2_blank_ledger(spark, d):
+    return two_digits(reconcile.reconciliation_ledger(blank_returns(spark, d)))
+
+
+@query("R2_blank_item_returns", blank_returns_sql(REPORT))
+def r2_blank(spark, d):
+    return reconcile.reconciliation_report(reconcile.reconciliation_ledger(blank_returns(spark, d)))
 
 
 # Credit notes of every seventh customer name no item; those of customer 14 have no customer either.

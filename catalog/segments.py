@@ -114,25 +114,76 @@ def k2_validity(spark, d):
     return clusters.cluster_validity(materialize(scaled_clusters(spark, d)), ZS)
 
 
+# Silhouette of Euclidean distances from all pairs of customers.
+EUCLIDEAN = f"""pairs AS (SELECT p.customer_id, p.cluster, q.cluster AS other, sum(sqrt({_distance('p', 'q')})) AS total,
+  count(*) AS n FROM scaled p, scaled q GROUP BY ALL),
+sides AS (SELECT customer_id, min(total / n) FILTER (other <> cluster) AS outside,
+  min(total / nullif(n - 1, 0)) FILTER (other = cluster) AS inside FROM pairs GROUP BY customer_id)"""
+
+
+@query(
+    "K2b_euclidean_silhouette",
+    sql(
+        *CLUSTERS, scaled_cte("clustered"), EUCLIDEAN,
+        f"""SELECT CAST((SELECT count(DISTINCT cluster) FROM scaled) AS INTEGER) AS k, count(*) AS n,
+        {r('avg(coalesce((outside - inside) / greatest(outside, inside), 0))', 4)} AS silhouette, true AS within_error
+        FROM sides""",
+    ),
+)
+def k2b(spark, d):
+    """The silhouette of all references the tables allow, and one of 400 that must lie within its error of it."""
+    scaled = materialize(scaled_clusters(spark, d))
+    exact = clusters.euclidean_silhouette(scaled, ZS)
+    few = clusters.euclidean_silhouette(scaled, ZS, references=400).first()
+    gap = F.abs(F.col("silhouette") - few["silhouette"]) <= max(0.01, 6 * few["std_error"])
+    return exact.select("k", "n", "silhouette", gap.alias("within_error"))
+
+
+def checked_evaluation(spark, d):
+    """All fits that evaluate_clusters makes by default, each held against what a good fit must show.
+
+    ``total_square``: inertia and the between-cluster part of Calinski-Harabasz add up to all squares. ``centers_are_means``
+    of the customers nearest to them. ``beats_scores``: as many groups made from quintile scores are no better.
+    """
+    scaled, _ = clusters.preprocess_rfm(materialize(scored(spark, d)))
+    scaled = materialize(scaled)
+    n = scaled.count()
+    evaluation = materialize(clusters.evaluate_clusters(scaled))
+    checks = []
+    for row in evaluation.collect():
+        k, centers = row["k"], row["centers"]
+        away, nearest = clusters.nearest_center_sql(centers, ZS)
+        near = scaled.withColumn("_away", F.expr(away)).withColumn("cluster", F.expr(nearest))
+        means = {r["cluster"]: r for r in clusters.cluster_centers(near, ZS).collect()}
+        gap = max(abs(means[i][c] - v) for i, center in enumerate(centers) for c, v in zip(ZS, center))
+        # k groups: spend scores, the upper ones split by recency beyond five.
+        upper = F.expr(f"if(m_score > {10 - k} and r_score >= 3, 5, 0)")
+        group = F.least("m_score", F.lit(k)) - 1 + (upper if k > 5 else F.lit(0))
+        by_score = clusters.cluster_centers(scaled.withColumn("cluster", group), ZS).collect()
+        square = sum(r["n"] * sum(r[c] ** 2 for c in ZS) for r in by_score)
+        total = scaled.agg(F.sum(sum((F.col(c) ** 2 for c in ZS), F.lit(0.0)))).first()[0]
+        between = row["inertia"] * row["calinski_harabasz"] * (k - 1) / (n - k)
+        checks.append((k, round(row["inertia"] + between), gap < 0.01, row["inertia"] <= total - square))
+    table = spark.createDataFrame(checks, "k int, total_square bigint, centers_are_means boolean, beats_scores boolean")
+    return evaluation.join(F.broadcast(table), "k")  # seven rows
+
+
+TOTAL_SQUARE = f"(SELECT CAST(round(sum({_square()})) AS BIGINT) FROM scaled) AS total_square"
+
+
 @query(
     "K2a_evaluate_k",
     sql(
         *RFM, scaled_cte("rfm"),
-        f"""SELECT CAST(k AS INTEGER) AS k, CAST(round(sum({_square()})) AS BIGINT) AS total_square,
-        false AS low_variance, true AS separated FROM scaled, range(2, 9) AS t(k) GROUP BY k""",
+        f"""SELECT CAST(k AS INTEGER) AS k, {TOTAL_SQUARE}, false AS low_variance, true AS separated,
+        true AS centers_are_means, true AS beats_scores FROM range(2, 9) AS t(k)""",
     ),
 )
 def k2a(spark, d):
-    """Each fitted k: inertia and the between-cluster part of Calinski-Harabasz add up to all squares."""
-    table = materialize(rfm(spark, d))
-    scaled, _ = clusters.preprocess_rfm(table)
-    n = table.count()
-    between = F.col("inertia") * F.col("calinski_harabasz") * (F.col("k") - 1) / (n - F.col("k"))
-    return clusters.evaluate_clusters(scaled).select(
-        "k",
-        F.round(F.col("inertia") + between).cast("bigint").alias("total_square"),
-        "low_variance",
-        (F.col("silhouette") > 0).alias("separated"),
+    """Each fitted k, see ``checked_evaluation``."""
+    separated = (F.col("silhouette") > 0) & (F.col("silhouette_squared") > F.col("silhouette"))
+    return checked_evaluation(spark, d).select(
+        "k", "total_square", "low_variance", separated.alias("separated"), "centers_are_means", "beats_scores"
     )
 
 
@@ -169,30 +220,17 @@ def k2e(spark, d):
     return clusters.best_k(score_evaluation(spark, d))
 
 
-TOTAL_SQUARE = f"(SELECT CAST(round(sum({_square()})) AS BIGINT) FROM scaled) AS total_square"
-
-
-def fitted_evaluation(spark, d):
-    """All fits that evaluate_clusters makes by default, and for each k the squares it splits, as in K2a."""
-    table = materialize(rfm(spark, d))
-    scaled, _ = clusters.preprocess_rfm(table)
-    n = table.count()
-    between = F.col("inertia") * F.col("calinski_harabasz") * (F.col("k") - 1) / (n - F.col("k"))
-    total = F.round(F.col("inertia") + between).cast("bigint")
-    return materialize(clusters.evaluate_clusters(scaled).withColumn("total_square", total))
-
-
 @query(
     "K2e_best_k_fitted",
     sql(
         *RFM, scaled_cte("rfm"),
-        f"""SELECT criterion, {TOTAL_SQUARE}, true AS is_best
+        f"""SELECT criterion, {TOTAL_SQUARE}, true AS is_best, true AS centers_are_means, true AS beats_scores
         FROM (VALUES ('silhouette'), ('calinski_harabasz'), ('davies_bouldin')) AS t(criterion)""",
     ),
 )
 def k2e_fitted(spark, d):
     """The best k of fitted clusters by each criterion: no other k is better, nor as good and smaller."""
-    evaluation = fitted_evaluation(spark, d)
+    evaluation = materialize(checked_evaluation(spark, d))
     best = clusters.best_k(evaluation).first()
     rows = {row["k"]: row for row in evaluation.collect()}
     found = []
@@ -201,8 +239,12 @@ def k2e_fitted(spark, d):
     ):
         first = min(rows, key=lambda k: (sign * rows[k][criterion], k))
         is_best = best[column] == first and best["best_silhouette"] == max(row["silhouette"] for row in rows.values())
-        found.append((criterion, rows[best[column]]["total_square"], is_best))
-    return spark.createDataFrame(found, "criterion string, total_square bigint, is_best boolean")
+        chosen = rows[best[column]]
+        found.append((criterion, chosen["total_square"], is_best, chosen["centers_are_means"], chosen["beats_scores"]))
+    return spark.createDataFrame(
+        found,
+        "criterion string, total_square bigint, is_best boolean, centers_are_means boolean, beats_scores boolean",
+    )
 
 
 # Fixed centroids in scaled space, so that both engines measure the same distances.
@@ -368,7 +410,7 @@ def given_model(table, centers=CENTROIDS):
     return model, model.transform(table).drop(*ZS)
 
 
-@query("K9_fitted_model_labels", sql(*NEAREST, "SELECT * FROM clustered"))
+@query("K9_given_model_labels", sql(*NEAREST, "SELECT * FROM clustered"))
 def k9(spark, d):
     return given_model(materialize(rfm(spark, d)))[1]
 
@@ -378,12 +420,12 @@ def k9(spark, d):
     sql(
         *RFM, scaled_cte("rfm"),
         f"""SELECT count(*) AS n, {TOTAL_SQUARE}, CAST(4 AS INTEGER) AS k, true AS inertia_is_that_of_labels,
-        true AS labels_are_nearest FROM scaled""",
+        true AS labels_are_nearest, true AS beats_spend_scores FROM scaled""",
     ),
 )
 def k9_fit(spark, d):
     """A model fitted from raw metrics to labels, held against what its labels must show."""
-    table = materialize(rfm(spark, d))
+    table = materialize(scored(spark, d))
     model, labels = clusters.fit_rfm_pipeline(table, 4)
     scaled = materialize(clusters.fit_scaler(table, guard=False).transform(labels))
     found = clusters.cluster_validity(scaled, ZS).first()
@@ -391,10 +433,13 @@ def k9_fit(spark, d):
     means = [[row[c] for c in ZS] for row in clusters.cluster_centers(scaled, ZS).orderBy("cluster").collect()]
     away, nearest = clusters.nearest_center_sql(means, ZS)
     wrong = scaled.withColumn("_away", F.expr(away)).where(f"cluster <> {nearest}").count()
+    by_score = clusters.cluster_validity(scaled.withColumn("cluster", F.least("m_score", F.lit(4)) - 1), ZS).first()
     return spark.createDataFrame(
         [(found["n"], round(found["inertia"] + between), found["k"],
-          abs(found["inertia"] - model.inertia) <= 0.001 * found["inertia"], wrong <= 0.001 * found["n"])],
-        "n bigint, total_square bigint, k int, inertia_is_that_of_labels boolean, labels_are_nearest boolean",
+          abs(found["inertia"] - model.inertia) <= 0.001 * found["inertia"], wrong <= 0.001 * found["n"],
+          found["inertia"] <= by_score["inertia"])],
+        "n bigint, total_square bigint, k int, inertia_is_that_of_labels boolean, labels_are_nearest boolean, "
+        "beats_spend_scores boolean",
     )
 
 
@@ -636,6 +681,42 @@ def b9(spark, d):
     return backtest_segments(gross(spark, d), CUTOFF, centers=CENTROIDS).t2
 
 
+@query(
+    "B8_fitted_backtest",
+    sql(
+        *WINDOW_RFM, scaled_cte("rfm1"),
+        f"""SELECT (SELECT count(*) FROM rfm1) AS t1_customers, (SELECT count(*) FROM rfm2) AS t2_customers,
+        (SELECT count(*) FROM rfm1 JOIN rfm2 USING (customer_id)) AS retained, {TOTAL_SQUARE},
+        true AS labels_are_nearest, true AS centers_are_means, true AS t2_uses_t1_model, true AS rows_add_up""",
+    ),
+)
+def b8_fitted(spark, d):
+    """The backtest with its own fit on the first window: centres, labels of both windows by them, and row totals."""
+    result = backtest_segments(gross(spark, d), CUTOFF)
+    columns = [F.col(c) for c in ZS]
+    scaler = clusters.fit_scaler(result.t1)
+    t1, t2 = (materialize(scaler.transform(table)) for table in (result.t1, result.t2))
+    centers = result.centers
+    away, nearest = clusters.nearest_center_sql(centers, ZS)
+
+    def wrong(table):
+        return table.withColumn("_away", F.expr(away)).where(f"cluster <> {nearest}").count()
+
+    means = {row["cluster"]: row for row in clusters.cluster_centers(t1, ZS).collect()}
+    gap = max(abs(means[i][c] - v) for i, center in enumerate(centers) for c, v in zip(ZS, center))
+    n1, n2 = t1.count(), t2.count()
+    retention = result.retention.first()
+    moved = result.transitions.agg(F.sum("n").alias("n")).first()["n"]
+    forward = result.forward.agg(F.sum("customer_count").alias("n")).first()["n"]
+    square = t1.agg(F.sum(sum((c**2 for c in columns), F.lit(0.0)))).first()[0]
+    return spark.createDataFrame(
+        [(n1, n2, retention["retained_count"], round(square), wrong(t1) == 0, gap < 0.01, wrong(t2) == 0,
+          moved == n1 and forward == n1 and result.migration.count() == n1)],
+        "t1_customers bigint, t2_customers bigint, retained bigint, total_square bigint, labels_are_nearest boolean, "
+        "centers_are_means boolean, t2_uses_t1_model boolean, rows_add_up boolean",
+    )
+
+
 @query(
     "B10_default_cutoff",
     sql(

@@ -7,14 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from patronage.functions.order_stats import exact_percentiles, unpivot_metrics
 from patronage.functions.text import exact_mean, exact_sum, round_to
+from patronage.operators.kmeans import KMeansFit, best_fits, euclidean_silhouette, fit_many, weighted_points
 from patronage.schema import RFM_FEATURES, require_columns
 from patronage.session import materialize
 
@@ -98,20 +98,15 @@ def preprocess_rfm(
     return scaler.transform(rfm), scaler
 
 
-def _vectors(scaled: DataFrame, features: list[str]) -> DataFrame:
-    assembler = VectorAssembler(inputCols=[z(f) for f in features], outputCol="features")
-    return assembler.transform(scaled)
+def _fits(scaled: DataFrame, columns: list[str], k_values: list[int], seed: int, starts: int) -> dict[int, KMeansFit]:
+    """The best of several seeded starts for each k."""
+    return best_fits(fit_many(weighted_points(scaled, columns), columns, k_values, starts, seed))
 
 
-def _best_start(vectors: DataFrame, k: int, seed: int, starts: int) -> KMeansModel:
-    def fit(start: int) -> KMeansModel:
-        return KMeans(
-            k=k, seed=seed + start, maxIter=100, tol=1e-4, predictionCol="cluster"
-        ).fit(vectors)
-
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        models = list(pool.map(fit, range(starts)))
-    return min(models, key=lambda m: m.summary.trainingCost)
+def label_by_centers(scaled: DataFrame, columns: list[str], centers: list[list[float]]) -> DataFrame:
+    """Add ``cluster``, the number of the nearest centre."""
+    away, nearest = nearest_center_sql(centers, columns)
+    return scaled.withColumn("_away", F.expr(away)).withColumn("cluster", F.expr(nearest)).drop("_away")
 
 
 def run_kmeans(
@@ -120,17 +115,14 @@ def run_kmeans(
     features: list[str] = RFM_FEATURES,
     seed: int = SEED,
     starts: int = STARTS,
-) -> tuple[DataFrame, KMeansModel]:
+) -> tuple[DataFrame, KMeansFit]:
     """Best of several seeded K-Means starts on scaled features; labels in ``cluster``."""
     n = scaled.count()
     if k < 2 or k >= n:
         raise ValueError(f"k={k} is not between 2 and {n - 1}.")
-    vectors = _vectors(scaled, features).select("features").persist()
-    try:
-        model = _best_start(vectors, k, seed, starts)
-    finally:
-        vectors.unpersist()
-    return model.transform(_vectors(scaled, features)).drop("features"), model
+    columns = [z(f) for f in features]
+    fit = _fits(scaled, columns, [k], seed, starts)[k]
+    return label_by_centers(scaled, columns, fit.centers), fit
 
 
 def cluster_centers(df: DataFrame, features: list[str], cluster: str = "cluster") -> DataFrame:
@@ -233,7 +225,10 @@ def evaluate_clusters(
     seed: int = SEED,
     starts: int = STARTS,
 ) -> DataFrame:
-    """One row per k with its validity indices, ``low_variance`` and a ``warning`` if any."""
+    """One row per k: indices and centres of the best of ``starts`` fits, ``low_variance`` and a ``warning`` if any.
+
+    All fits run together. ``silhouette`` is the mean over Euclidean distances (see :func:`euclidean_silhouette`),
+    ``silhouette_squared`` that of :func:`cluster_validity`."""
     table = materialize(scaled.select(*[z(f) for f in features]))
     zs = [z(f) for f in features]
     n = table.count()
@@ -254,28 +249,26 @@ def evaluate_clusters(
     spark = table.sparkSession
     schema = (
         "k int, inertia double, silhouette double, calinski_harabasz double, "
-        "davies_bouldin double, low_variance boolean, warning string"
+        "davies_bouldin double, low_variance boolean, warning string, silhouette_squared double, "
+        "centers array<array<double>>"
     )
     if spread < LOW_SPREAD:
         warning = (
             "All customers have almost the same metrics; clusters of them mean little."
         )
         return spark.createDataFrame(
-            [(k, 0.0, 0.0, None, None, True, warning) for k in k_values], schema
+            [(k, 0.0, 0.0, None, None, True, warning, 0.0, None) for k in k_values], schema
         )
-    vectors = _vectors(table, features).persist()
-    try:
-        rows = []
-        for k in k_values:
-            model = _best_start(vectors, k, seed, starts)
-            labeled = model.transform(vectors).select(*zs, "cluster")
-            v = cluster_validity(labeled, zs).first()
-            rows.append(
-                (k, round(model.summary.trainingCost, 2), v["silhouette"],
-                 v["calinski_harabasz"], v["davies_bouldin"], False, None)
-            )
-    finally:
-        vectors.unpersist()
+    fits = _fits(table, zs, k_values, seed, starts)
+
+    def indices(k: int) -> tuple:
+        labeled = label_by_centers(table, zs, fits[k].centers)
+        v, width = cluster_validity(labeled, zs).first(), euclidean_silhouette(labeled, zs, seed=seed).first()
+        return (k, round(fits[k].cost, 2), width["silhouette"], v["calinski_harabasz"], v["davies_bouldin"], False, None,
+                v["silhouette"], fits[k].centers)
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        rows = list(pool.map(indices, k_values))
     return spark.createDataFrame(rows, schema)
 
 
@@ -470,11 +463,7 @@ def fit_rfm_pipeline(
     """One model from raw metrics to ``cluster``, and the labeled input."""
     table = materialize(rfm)
     scaler = fit_scaler(table, features, scaler_type, guard=False)
-    vectors = _vectors(scaler.transform(table), features).select("features").persist()
-    try:
-        kmeans = _best_start(vectors, k, seed, starts)
-    finally:
-        vectors.unpersist()
-    centers = [[float(v) for v in c] for c in kmeans.clusterCenters()]
-    model = segment_model(scaler, centers, kmeans.summary.trainingCost)
-    return model, model.transform(table).drop(*[z(f) for f in features])
+    columns = [z(f) for f in features]
+    fit = _fits(scaler.transform(table), columns, [k], seed, starts)[k]
+    model = segment_model(scaler, fit.centers, fit.cost)
+    return model, model.transform(table).drop(*columns)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.functions.order_stats import exact_percentiles
-from patronage.functions.special import ln_gamma
+from patronage.functions.special import digamma, ln_gamma, trigamma
 from patronage.functions.text import exact, round_to
 from patronage.operators.rfm import _as_datetime, _timestamp
 from patronage.schema import REQUIRED_COLUMNS, require_columns
@@ -26,8 +26,8 @@ GAMMA_GAMMA_START = (1.0, 1.0, 10.0)
 GAMMA_GAMMA_BOUNDS = ((1e-3, 50.0), (1e-3, 50.0), (1e-3, 5000.0))
 MIN_REPEAT_BUYERS = 10
 FEW_BUYERS_P, FEW_BUYERS_Q = 1.5, 3.0
-# Relative gain per round below which a fit counts as converged.
-TOLERANCE = 2e-9
+# Slope per customer, by logarithms of the parameters, below which a fit counts as converged.
+TOLERANCE = 1e-9
 
 
 @dataclass(frozen=True)
@@ -106,54 +106,77 @@ def clv_summary(
     return as_stored(summary) if snapshot_date is None else summary
 
 
-def _maximize(
-    evaluate: Callable[[np.ndarray], np.ndarray], start: tuple, bounds: tuple, rounds: int = 60
-) -> np.ndarray | None:
-    """Bounded Newton ascent in log parameters; ``evaluate`` scores many points in one Spark job.
+#: Per row and point: log-likelihood, its slope by each parameter, and its curvature by each pair of them.
+Terms = Callable[[pd.DataFrame, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-    Each round asks for the function around the current point (gradient and curvature by central
-    differences), then for a set of damped Newton steps of several lengths, and moves to the best.
-    None if it does not converge.
+
+def _maximize(table: DataFrame, terms: Terms, start: tuple, bounds: tuple, rounds: int = 60) -> np.ndarray | None:
+    """Bounded Newton ascent in log parameters with exact slopes and curvatures, one Spark job a round.
+
+    A round scores steps of several dampings and lengths from the point before; the best of them comes with the slopes
+    that the next round starts from. None if it does not converge.
     """
     low, high = np.log(np.array(bounds)).T
-    at, size, h = np.log(np.array(start)), len(start), 1e-3
-    unit = np.eye(size) * h
-    pairs = [(i, j) for i in range(size) for j in range(i)]
-    offsets = [np.zeros(size)]
-    offsets += [s * unit[i] for i in range(size) for s in (1, -1)]
-    offsets += [s * (unit[i] + unit[j]) for i, j in pairs for s in (1, -1)]
+    at, size = np.log(np.array(start)), len(start)
+    (n, value), (slope,), (bend,) = _sums(table, terms, np.exp(at)[None])
     for _ in range(rounds):
-        values = evaluate(np.exp(at + np.array(offsets)))
-        center, plus, minus = values[0], values[1 : 2 * size : 2], values[2 : 2 * size + 1 : 2]
-        gradient = (plus - minus) / (2 * h)
-        curvature = np.diag((plus - 2 * center + minus) / h**2)
-        for (i, j), up, down in zip(pairs, values[2 * size + 1 :: 2], values[2 * size + 2 :: 2]):
-            mixed = (up + down - plus[i] - minus[i] - plus[j] - minus[j] + 2 * center) / (2 * h**2)
-            curvature[i, j] = curvature[j, i] = mixed
+        # By logarithms: d/dln(p) = p d/dp.
+        scale = np.exp(at)
+        gradient, curvature = slope * scale, bend * np.outer(scale, scale) + np.diag(slope * scale)
         free = ~(((at <= low) & (gradient < 0)) | ((at >= high) & (gradient > 0)))
-        if not free.any():
+        if not free.any() or np.abs(gradient[free]).max() <= TOLERANCE * n:
             return np.exp(at)
         eigen, basis = np.linalg.eigh(curvature[np.ix_(free, free)])
-        scale = max(float(np.abs(eigen).max()), 1e-12)
+        largest = max(float(np.abs(eigen).max()), 1e-12)
         steps = []
-        for damping in (0.0, 1e-5, 1e-4, 1e-3, 1e-2, 0.1, 1.0, 100.0):
-            bend = np.maximum(np.abs(eigen), 1e-12 * scale) + damping * scale
-            direction = basis @ ((basis.T @ gradient[free]) / bend)
+        for damping in (0.0, 1e-4, 1e-2, 1.0):
+            direction = basis @ ((basis.T @ gradient[free]) / (np.maximum(np.abs(eigen), 1e-12 * largest) + damping * largest))
             direction /= max(1.0, float(np.abs(direction).max()))
-            for length in (0.3, 1.0, 2.0, 4.0):
+            for length in (0.3, 1.0, 2.5):
                 step = np.zeros(size)
                 step[free] = direction * length
                 steps.append(np.clip(at + step, low, high))
-        scores = evaluate(np.exp(np.array(steps)))
-        winner = int(np.argmax(np.where(np.isfinite(scores), scores, -np.inf)))
-        gain = scores[winner] - center
-        if gain > 0:
-            at = steps[winner]
-        if not gain > TOLERANCE * max(1.0, abs(center)):
+        values, slopes, bends = _sums(table, terms, np.exp(np.array(steps)))
+        scores = np.where(np.isfinite(values[1:]), values[1:], -np.inf)
+        winner = int(np.argmax(scores))
+        # No step gains more than the rounding of the sum itself.
+        settled = not scores[winner] - value > 1e-14 * abs(value)
+        if scores[winner] >= value:
+            at, value, slope, bend = steps[winner], scores[winner], slopes[winner], bends[winner]
+        if settled:
             return np.exp(at)
     return None
 
 
+def _sums(table: DataFrame, terms: Terms, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over ``table`` weighted by ``w``, in one pass: the weights and the log-likelihood at each point; slopes; curvatures.
+
+    Every task adds up its own rows, so one row per point and task is all that is shuffled.
+    """
+    many, size = points.shape
+    width = 2 + size + size * size
+
+    def add_up(batches):
+        totals = np.zeros((many, width))
+        for batch in batches:
+            for begin in range(0, len(batch), 8192):
+                rows = batch.iloc[begin : begin + 8192]
+                w = rows["w"].to_numpy()
+                with np.errstate(all="ignore"):
+                    value, slope, bend = terms(rows, points)
+                totals[:, 0] += w.sum()
+                totals[:, 1] += w @ np.where(np.isnan(value), -1e6, value)
+                totals[:, 2 : 2 + size] += np.einsum("n,nps->ps", w, slope)
+                totals[:, 2 + size :] += np.einsum("n,npst->pst", w, bend).reshape(many, -1)
+        yield pd.DataFrame({"point": np.arange(many), "sums": list(totals)})
+
+    each = table.mapInPandas(add_up, "point int, sums array<double>").select("point", F.posexplode("sums"))
+    out = np.zeros((many, width))
+    for row in each.groupBy("point", "pos").agg(F.sum("col").alias("total")).collect():
+        out[row["point"], row["pos"]] = row["total"]
+    return np.append(out[0, 0], out[:, 1]), out[:, 2 : 2 + size], out[:, 2 + size :].reshape(many, size, size)
+
+
 def _likelihood(
     table: DataFrame, term: Callable[[pd.DataFrame, np.ndarray], np.ndarray]
 ) -> Callable[[np.ndarray], np.ndarray]:
@@ -189,8 +212,38 @@ def bgnbd_terms(rows: pd.DataFrame, points: np.ndarray) -> np.ndarray:
     orders = ln_gamma(r + x) - ln_gamma(r) - ln_gamma(x + 1)
     dropout = ln_gamma(b + x) + ln_gamma(a + b) - ln_gamma(a + b + x) - ln_gamma(b)
     timing = r * np.log(alpha / (alpha + t)) - x * np.log(alpha + t)
-    odds = a / (b + np.maximum(x - 1, 0)) * ((alpha + t) / (alpha + t_x)) ** (r + x)
-    return orders + dropout + timing + np.where(x > 0, np.log1p(odds), 0.0)
+    ln_odds = np.log(a) - np.log(b + np.maximum(x - 1, 0)) + (r + x) * (np.log(alpha + t) - np.log(alpha + t_x))
+    return orders + dropout + timing + np.where(x > 0, np.logaddexp(0.0, ln_odds), 0.0)
+
+
+def bgnbd_slopes(rows: pd.DataFrame, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`bgnbd_terms` with their slopes and curvatures by ``r, alpha, a, b``."""
+    x, t_x, t = (rows[c].to_numpy(dtype=float)[:, None] for c in ("x", "t_x", "t"))
+    r, alpha, a, b = np.asarray(points, dtype=float).T
+    late, early, before = 1 / (alpha + t), 1 / (alpha + t_x), b + np.maximum(x - 1, 0)
+    gap = np.log(alpha + t) - np.log(alpha + t_x)
+    slope, bend = np.zeros((*gap.shape, 4)), np.zeros((*gap.shape, 4, 4))
+    slope[..., 0] = digamma(r + x) - digamma(r) + np.log(alpha) - np.log(alpha + t)
+    slope[..., 1] = r / alpha - (r + x) * late
+    slope[..., 2] = digamma(a + b) - digamma(a + b + x)
+    slope[..., 3] = slope[..., 2] + digamma(b + x) - digamma(b)
+    bend[..., 0, 0] = trigamma(r + x) - trigamma(r)
+    bend[..., 0, 1] = bend[..., 1, 0] = 1 / alpha - late
+    bend[..., 1, 1] = (r + x) * late**2 - r / alpha**2
+    bend[..., 2, 2] = bend[..., 2, 3] = bend[..., 3, 2] = trigamma(a + b) - trigamma(a + b + x)
+    bend[..., 3, 3] = bend[..., 2, 2] + trigamma(b + x) - trigamma(b)
+    # Odds of having left: ln(1 + q) for buyers who came back, q a product of powers.
+    ln_q = np.log(a) - np.log(before) + (r + x) * gap
+    share = np.where(x > 0, 1 / (1 + np.exp(-ln_q)), 0.0)
+    by = np.stack([gap, (r + x) * (late - early), np.broadcast_to(1 / a, gap.shape), -1 / before], axis=-1)
+    twice = np.zeros_like(bend)
+    twice[..., 0, 1] = twice[..., 1, 0] = late - early
+    twice[..., 1, 1] = (r + x) * (early**2 - late**2)
+    twice[..., 2, 2] = -1 / a**2
+    twice[..., 3, 3] = 1 / before**2
+    slope += share[..., None] * by
+    bend += share[..., None, None] * twice + (share * (1 - share))[..., None, None] * by[..., :, None] * by[..., None, :]
+    return bgnbd_terms(rows, points), slope, bend
 
 
 def bgnbd_table(summary: DataFrame) -> DataFrame:
@@ -216,7 +269,7 @@ def _settled(found: np.ndarray | None, start: tuple) -> list[float]:
 def fit_bgnbd(summary: DataFrame, start: tuple = BGNBD_START) -> BGNBDParameters:
     """Maximum likelihood; the start values if it does not converge."""
     table = materialize(bgnbd_table(summary))
-    found = _maximize(_likelihood(table, bgnbd_terms), start, BGNBD_BOUNDS)
+    found = _maximize(table, bgnbd_slopes, start, BGNBD_BOUNDS)
     return BGNBDParameters(*_settled(found, start))
 
 
@@ -232,6 +285,24 @@ def gamma_gamma_terms(rows: pd.DataFrame, points: np.ndarray) -> np.ndarray:
     )
 
 
+def gamma_gamma_slopes(rows: pd.DataFrame, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`gamma_gamma_terms` with their slopes and curvatures by ``p, q, v``."""
+    x, m = (rows[c].to_numpy(dtype=float)[:, None] for c in ("x", "m"))
+    p, q, v = np.asarray(points, dtype=float).T
+    shape, whole = p * x, 1 / (x * m + v)
+    slope, bend = np.zeros((*shape.shape, 3)), np.zeros((*shape.shape, 3, 3))
+    slope[..., 0] = x * (digamma(shape + q) - digamma(shape) + np.log(m) + np.log(x) + np.log(whole))
+    slope[..., 1] = digamma(shape + q) - digamma(q) + np.log(v) + np.log(whole)
+    slope[..., 2] = q / v - (shape + q) * whole
+    bend[..., 0, 0] = x**2 * (trigamma(shape + q) - trigamma(shape))
+    bend[..., 0, 1] = bend[..., 1, 0] = x * trigamma(shape + q)
+    bend[..., 0, 2] = bend[..., 2, 0] = -x * whole
+    bend[..., 1, 1] = trigamma(shape + q) - trigamma(q)
+    bend[..., 1, 2] = bend[..., 2, 1] = 1 / v - whole
+    bend[..., 2, 2] = (shape + q) * whole**2 - q / v**2
+    return gamma_gamma_terms(rows, points), slope, bend
+
+
 def gamma_gamma_table(summary: DataFrame) -> DataFrame:
     """Distinct (repeat orders, mean spend) of repeat buyers with their number."""
     buyers = summary.where(F.col("frequency_repeat") >= 1)
@@ -252,7 +323,7 @@ def fit_gamma_gamma(summary: DataFrame, start: tuple = GAMMA_GAMMA_START) -> Gam
     if (table.agg(F.sum("w").alias("n")).first()["n"] or 0) < MIN_REPEAT_BUYERS:
         mean = summary.agg(F.avg("monetary_avg").alias("m")).first()["m"]
         return GammaGammaParameters(FEW_BUYERS_P, FEW_BUYERS_Q, mean)
-    found = _maximize(_likelihood(table, gamma_gamma_terms), start, GAMMA_GAMMA_BOUNDS)
+    found = _maximize(table, gamma_gamma_slopes, start, GAMMA_GAMMA_BOUNDS)
     return GammaGammaParameters(*_settled(found, start))
 
 

@@ -15,8 +15,9 @@ reaches into its own slab or the previous one, so two passes settle everything:
 
 Slabs also spread a long history over tasks; with ``by_day`` they are cut into days on top of that. A
 return without an item takes any item of the customer. Where all returns of a customer are such, the customer's
-purchases form one stack and nothing else changes; customers with returns of both kinds go through
-the same two passes per (customer, slab) in a small Python fold. A null customer is a customer like others.
+purchases form one stack and nothing else changes. Customers with returns of both kinds are settled day by day, then slab
+by slab, by a stream over the returns still open and the purchases they can reach, which holds open purchases
+only. A null customer is a customer like others.
 """
 
 from __future__ import annotations
@@ -63,6 +64,8 @@ def _events(df: DataFrame, lookback_days: int, item_col: str | None) -> DataFram
             "_units": F.rint(F.abs(F.col("quantity")) * UNITS).cast("bigint"),
             "_item": item,
             "_lane": item,
+            # Never null, so that groups and the joins of their parts treat a null customer like others.
+            "_who": F.coalesce(F.concat(F.lit("="), F.col("customer_id").cast("string")), F.lit("")),
             "_slab": slab,
         }
     )
@@ -74,7 +77,7 @@ def _between(value: Column, top: Column) -> Column:
 
 def _settle_inside_slabs(events: DataFrame, block: str | None = None) -> DataFrame:
     """Add ``_left`` (units a row still holds or still wants) and ``_hit`` (took part in a match)."""
-    keys = ["customer_id", "_lane", "_slab"]
+    keys = ["_who", "_lane", "_slab"]
     onward, back = [F.col(c) for c in ORDER], [F.desc(c) for c in ORDER]
     units, reversal, height = F.col("_units"), F.col("_reversal"), F.col("_height")
     signed = F.when(reversal, -units).otherwise(units)
@@ -107,7 +110,7 @@ def _settle_across_slabs(
     settled: DataFrame, lookback_days: int, by_blocks: bool = False
 ) -> DataFrame:
     """Second pass: open returns against what the previous slab has left."""
-    keys = ["customer_id", "_lane", "_slab"]
+    keys = ["_who", "_lane", "_slab"]
     moved = settled.withColumn("_open", _open_returns()).withColumn(
         "_slab", F.when(F.col("_open"), F.col("_slab") - 1).otherwise(F.col("_slab"))
     )
@@ -158,86 +161,143 @@ def _settle(events: DataFrame, lookback_days: int, by_blocks: bool = False) -> D
     return _settle_across_slabs(inside, lookback_days, by_blocks=True)
 
 
-def _fold(events: pd.DataFrame, lookback: np.timedelta64) -> pd.DataFrame:
-    """Match returns to purchases in time order; an empty item in a return means any item.
+class _OpenPurchases:
+    """Purchases of one group that hold units, newest last, by item and all together.
 
-    ``events`` holds whole (customer, slab) groups one after the other, each in time order.
+    A purchase is ``[row, units, clock, hit]``. It is dropped when its units are used up or too old for all later
+    returns, and then reported as (row, units, hit).
     """
-    left = events["_left"].to_numpy(dtype=np.int64).copy()
-    hit = events["_hit"].to_numpy(dtype=bool).copy()
-    dates, items = events["invoice_date"].to_numpy(), events["_item"].to_numpy()
-    returns, seeks = events["_reversal"].to_numpy(), events["_seek"].to_numpy()
-    starts = _group_starts(events)
-    stacks: dict[str, list[int]] = {}
-    for row in range(len(events)):
-        if starts[row]:
-            stacks = {"": []}
-        if not returns[row]:
-            stacks[""].append(row)
-            if items[row] != "":
-                stacks.setdefault(items[row], []).append(row)
-            continue
-        stack = stacks.get(items[row], [])
-        while seeks[row] and stack:
-            top = stack[-1]
-            if left[top] <= 0:
+
+    def __init__(self) -> None:
+        self.everything: list[list] = []
+        self.by_item: dict[str, list[list]] = {}
+        self.used_up = 0
+
+    def add(self, row: int, units: int, clock: int, item: str, hit: bool) -> None:
+        purchase = [row, units, clock, hit]
+        self.everything.append(purchase)
+        if item != "":
+            self.by_item.setdefault(item, []).append(purchase)
+
+    def take(self, units: int, clock: int, item: str, oldest: int, closed: list[tuple]) -> tuple[int, bool]:
+        """Units still wanted after looking at all purchases from ``oldest`` on, and whether there was one. An empty item
+        takes any."""
+        stack, found = self.everything if item == "" else self.by_item.get(item, []), False
+        while stack:
+            newest = stack[-1]
+            if newest[1] <= 0:
                 stack.pop()
                 continue
-            if dates[row] - dates[top] > lookback:
+            if newest[2] < oldest:
+                if item == "":
+                    self.close(closed)
+                else:
+                    stack.clear()
                 break
-            units = min(left[top], left[row])
-            left[top] -= units
-            left[row] -= units
-            hit[top] = hit[row] = True
-            if left[row] <= 0:
+            part = min(newest[1], units)
+            newest[1] -= part
+            units -= part
+            newest[3] = found = True
+            if newest[1] <= 0:
+                stack.pop()
+                self.used_up += 1
+                closed.append((newest[0], 0, True))
+            if units <= 0:
                 break
-    return events.assign(_left=left, _hit=hit)
+        if self.used_up > 64 and 2 * self.used_up > len(self.everything):
+            self.everything = [p for p in self.everything if p[1] > 0]
+            lanes = {lane: [p for p in stack if p[1] > 0] for lane, stack in self.by_item.items()}
+            self.by_item = {lane: stack for lane, stack in lanes.items() if stack}
+            self.used_up = 0
+        return units, found
 
+    def close(self, closed: list[tuple]) -> None:
+        """Report all that are left, and forget them."""
+        closed.extend((row, units, hit) for row, units, _, hit in self.everything if units > 0)
+        self.everything, self.by_item, self.used_up = [], {}, 0
 
-def _group_starts(events: pd.DataFrame) -> np.ndarray:
-    customer, slab = events["customer_id"].to_numpy(), events["_slab"].to_numpy()
-    starts = np.ones(len(events), dtype=bool)
-    starts[1:] = (customer[1:] != customer[:-1]) | (slab[1:] != slab[:-1])
-    return starts
 
+def _stream(lookback_days: int):
+    """Match returns to purchases in time order, group by group, holding open purchases only."""
+    reach = int(lookback_days) * 86_400 * UNITS
 
-def _settle_by_folding(events: DataFrame, lookback_days: int) -> DataFrame:
-    lookback = np.timedelta64(lookback_days, "D")
-    start = events.withColumns({"_left": F.col("_units"), "_hit": F.lit(False)})
-
-    def fold_groups(batches):
-        # Batches are cut anywhere; the unfinished last group waits, in pieces, until it ends.
-        waiting = []
+    def run(batches):
+        open_purchases, last = _OpenPurchases(), None
         for batch in batches:
-            if not len(batch):
-                continue
-            rows = pd.concat([*[w.iloc[-1:] for w in waiting[-1:]], batch], ignore_index=True)
-            starts = np.flatnonzero(_group_starts(rows)) - (1 if waiting else 0)
-            starts = starts[starts >= 0] if waiting else starts
-            if not len(starts):
-                waiting.append(batch)
-                continue
-            first, last = int(starts[0]), int(starts[-1])
-            if waiting:
-                ended = pd.concat([*waiting, batch.iloc[:first]], ignore_index=True)
-                yield _fold(ended, lookback)
-            if last > first:
-                yield _fold(batch.iloc[first:last].reset_index(drop=True), lookback)
-            waiting = [batch.iloc[last:]]
-        if waiting:
-            yield _fold(pd.concat(waiting, ignore_index=True), lookback)
-
-    def one_pass(table: DataFrame) -> DataFrame:
-        in_order = table.repartition("customer_id", "_slab").sortWithinPartitions(
-            "customer_id", "_slab", *ORDER
-        )
-        return in_order.mapInPandas(fold_groups, table.schema)
+            closed: list[tuple] = []
+            clocks = batch["invoice_date"].to_numpy().astype("datetime64[us]").astype(np.int64).tolist()
+            columns = [batch[c].tolist() for c in ("_row", "_group", "_item", "_reversal", "_left", "_hit")]
+            for clock, row, group, item, is_return, units, hit in zip(clocks, *columns):
+                if group != last:
+                    open_purchases.close(closed)
+                    last = group
+                if is_return:
+                    units, found = open_purchases.take(units, clock, item, clock - reach, closed)
+                    closed.append((row, units, hit or found))
+                else:
+                    open_purchases.add(row, units, clock, item, hit)
+            yield pd.DataFrame(closed, columns=["_row", "_now", "_met"])
+        closed = []
+        open_purchases.close(closed)
+        yield pd.DataFrame(closed, columns=["_row", "_now", "_met"])
+
+    return run
+
+
+def _match(state: DataFrame, keys: list[str], lookback_days: int, block: str | None = None, apart: bool = False) -> DataFrame:
+    """``state`` after the open returns of each group have looked for purchases of their group.
+
+    Only open returns, and purchases that one of them can reach, are streamed: a later return of the group must name the
+    item, or none. ``apart`` says that all returns of a group come after all its purchases. Then the newest units of
+    an item, as many as the group's returns want of it or of any item, are all that can be touched.
+    """
+    wants, holds = _open_returns(), ~F.col("_reversal") & (F.col("_left") > 0)
+    blank = wants & (F.col("_item") == "")
+    back, lane = [F.desc(c) for c in ORDER], [*keys, "_item"]
+    live = state.where(wants | holds).withColumns({"_named": wants.cast("int"), "_blank": blank.cast("int")})
+    live = running(live, lane, back, {"_named_later": ("max", F.col("_named"))}, block, backward=True)
+    live = running(live, keys, back, {"_blank_later": ("max", F.col("_blank"))}, block, backward=True)
+    part = wants | (F.col("_named_later") + F.col("_blank_later") > 0)
+    if apart:
+        held, wanted = F.when(holds, F.col("_left")).otherwise(0), F.when(wants, F.col("_left")).otherwise(0)
+        live = running(live, lane, back, {"_newer": ("sum", held)}, block, backward=True)
+        live = group_total(live, lane, "_of_item", wanted, block)
+        live = group_total(live, keys, "_of_any", F.when(blank, wanted).otherwise(0), block)
+        part = part & (wants | (F.col("_newer") - held <= F.col("_of_item") + F.col("_of_any")))
+    group = F.concat_ws("/", F.hex(keys[0]), F.col(keys[1]))
+    streamed = (
+        live.where(part)
+        .withColumn("_group", group)
+        .repartition("_group")
+        .sortWithinPartitions("_group", *ORDER)
+        .select("_row", "_group", "invoice_date", "_item", "_reversal", "_left", "_hit")
+        .mapInPandas(_stream(lookback_days), "_row bigint, _now bigint, _met boolean")
+    )
+    # The sides are of like size and one row each; no broadcast of what grows with the data.
+    changed = state.join(streamed.hint("shuffle_hash"), "_row", "left")
+    return materialize(
+        changed.withColumns({"_left": F.coalesce("_now", "_left"), "_hit": F.coalesce("_met", "_hit")}).drop("_now", "_met")
+    )
+
 
-    inside = one_pass(start.withColumn("_seek", F.col("_reversal")))
-    moved = inside.withColumn("_seek", _open_returns()).withColumn(
-        "_slab", F.when(F.col("_seek"), F.col("_slab") - 1).otherwise(F.col("_slab"))
+def _settle_mixed(events: DataFrame, lookback_days: int) -> DataFrame:
+    """Customers whose returns name an item sometimes: days first, then slabs, then each slab with the one before.
+
+    What a return finds among the newest purchases does not depend on older ones, so a stretch of time can be
+    settled by itself and what its returns still want is looked for before it. Days are small and run side by side; what
+    they leave open is little, and the purchases that it can reach are all that a slab's task sees, one at a time.
+    """
+    numbered = materialize(events.withColumn("_row", F.monotonically_increasing_id()))
+    state = numbered.select("_row", "_who", "_slab", *ORDER).withColumns(
+        {"_left": F.col("_units"), "_hit": F.lit(False), "_day": F.unix_date(F.col("invoice_date").cast("date")).cast("bigint")}
     )
-    return one_pass(moved).drop("_seek")
+    if lookback_days >= 1:
+        state = _match(state, ["_who", "_day"], lookback_days)
+    state = _match(state, ["_who", "_slab"], lookback_days, "_day")
+    before = F.when(_open_returns(), F.col("_slab") - 1).otherwise(F.col("_slab"))
+    state = _match(state.withColumn("_slab", before), ["_who", "_slab"], lookback_days, "_day", apart=True)
+    outcome = state.select("_row", "_left", "_hit")
+    return numbered.join(outcome.hint("shuffle_hash"), "_row").drop("_row")
 
 
 def reconciliation_ledger(
@@ -259,18 +319,18 @@ def reconciliation_ledger(
         # One look at all rows for the customers with returns that name no item.
         unnamed = F.when(F.col("_reversal"), F.col("_item") == "")
         seekers = materialize(
-            rest.groupBy(F.col("customer_id").alias("_who"))
+            rest.groupBy("_who")
             .agg(F.max(unnamed).alias("_some"), F.min(unnamed).alias("_all"))
             .where("_some")
             .select("_who", "_all")
         )
         kinds = {row["_all"] for row in seekers.select("_all").distinct().collect()}
         if kinds:
-            rest = rest.join(seekers, F.col("customer_id").eqNullSafe(F.col("_who")), "left").drop("_who")
+            rest = rest.join(seekers, "_who", "left")
             lane = F.when(F.col("_all"), F.lit("*")).otherwise(F.col("_lane"))
             if False in kinds:
                 mixed = rest.where("not _all").drop("_all")
-                result = _settle_by_folding(mixed, lookback_window_days)
+                result = _settle_mixed(mixed, lookback_window_days)
             rest = rest.withColumn("_lane", lane).where("coalesce(_all, true)").drop("_all")
     settled = _settle(rest, lookback_window_days, by_day)
     result = settled if result is None else settled.unionByName(result.select(settled.columns))
@@ -284,7 +344,7 @@ def reconciliation_ledger(
             "is_reconciled": F.col("_hit"),
             "is_reversal": F.col("_reversal"),
         }
-    ).drop("_reversal", "_units", "_item", "_lane", "_slab", "_left", "_hit")
+    ).drop("_reversal", "_units", "_item", "_lane", "_who", "_slab", "_left", "_hit")
 
 
 def settled_purchases(ledger: DataFrame) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from patronage.operators.cleaning import CleaningPolicy, clean_transactions
 from patronage.operators.clusters import (
     STARTS,
     best_k,
     evaluate_clusters,
+    label_by_centers,
     preprocess_rfm,
     run_kmeans,
     z,
@@ -48,10 +50,14 @@ def segment_customers(
     clean = materialize(clean)
     rfm = materialize(calculate_rfm(clean, **rfm_options))
     scaled, _ = preprocess_rfm(rfm, scaler_type=scaler_type)
-    evaluation = evaluate_clusters(scaled, k_values, starts=starts)
+    evaluation = materialize(evaluate_clusters(scaled, k_values, starts=starts))
     best = best_k(evaluation)
     chosen = k or best.first()["best_k"]
-    clustered, _ = run_kmeans(scaled, chosen, starts=starts)
+    fitted = evaluation.where(F.col("k") == chosen).select("centers").first()
+    if fitted is not None and fitted["centers"] is not None:
+        clustered = label_by_centers(scaled, [z(f) for f in RFM_FEATURES], fitted["centers"])
+    else:
+        clustered, _ = run_kmeans(scaled, chosen, starts=starts)
     labeled, personas = label_segments(clustered.drop(*[z(f) for f in RFM_FEATURES]))
     scored = compute_rfm_quintiles(labeled)
     return Segmentation(clean, report, evaluation, best, scored, personas, cohort_matrix(clean))

@@ -29,6 +29,7 @@ class Backtest:
     t2: DataFrame
     mapping: DataFrame
     model: SegmentModel
+    centers: list[list[float]]
     transitions: DataFrame
     retention: DataFrame
     forward: DataFrame
@@ -62,6 +63,7 @@ def backtest_segments(
         t2,
         mapping,
         model,
+        centers,
         transition_matrix(t1, t2),
         retention_summary(t1, t2),
         forward_value(t1, t2_rfm),

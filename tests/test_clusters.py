@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patronage.operators import clusters
+from patronage.operators import kmeans
 from patronage.operators.clusters import (
     align_centroids,
     best_k,
@@ -139,6 +140,81 @@ def test_silhouette_sees_every_row(spark):
     assert one(cluster_validity(df, ["u", "v"]))["silhouette"] == pytest.approx(width.mean(), abs=1e-4)
 
 
+def euclidean_widths(x, label):
+    distance = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    names, owner = np.unique(label, return_inverse=True)
+    sums, sizes, rows = distance @ np.eye(len(names))[owner], np.bincount(owner), np.arange(len(x))
+    inside, outside = sums[rows, owner] / np.maximum(sizes[owner] - 1, 1), sums / sizes
+    outside[rows, owner] = np.inf
+    width = (outside.min(1) - inside) / np.maximum(inside, outside.min(1))
+    width[sizes[owner] == 1] = 0
+    return width
+
+
+def test_euclidean_silhouette_is_exact_on_small_tables(spark):
+    x, label, df = points(5, 900, spark)
+    again = df.unionByName(df.where("cluster = 1"))  # equal rows count as often as they occur
+    x2, label2 = np.vstack([x, x[label == 1]]), np.append(label, label[label == 1])
+    for table, at, of in ((df, x, label), (again, x2, label2)):
+        found = one(kmeans.euclidean_silhouette(table, ["u", "v"]))
+        assert (found["k"], found["n"], found["std_error"]) == (4, len(at), 0.0)
+        assert found["silhouette"] == pytest.approx(euclidean_widths(at, of).mean(), abs=1e-4)
+    alone = one(kmeans.euclidean_silhouette(df.withColumn("cluster", F.lit(1)), ["u", "v"]))
+    assert (alone["k"], alone["silhouette"]) == (1, 0.0)
+    single = df.withColumn("cluster", F.when(F.col("customer_id") == "7", 9).otherwise(F.col("cluster")))
+    width = euclidean_widths(x, np.where(np.arange(900) == 7, 9, label)).mean()
+    assert one(kmeans.euclidean_silhouette(single, ["u", "v"]))["silhouette"] == pytest.approx(width, abs=1e-4)
+
+
+def test_sampled_silhouette_stays_within_its_error(spark):
+    """Fitted groups of unlike size and spread, a few references of them, several draws."""
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(0, 1, (3000, 2)), rng.normal(5, 0.3, (500, 2)), rng.standard_t(3, (400, 2)) + [9, -4]])
+    label = np.repeat([0, 1, 2], [3000, 500, 400])
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, label)], "u double, v double, cluster int")
+    exact = euclidean_widths(x, label).mean()
+    for seed in range(3):
+        found = one(kmeans.euclidean_silhouette(df, ["u", "v"], references=600, seed=seed))
+        assert 0 < found["std_error"] < 0.02
+        assert abs(found["silhouette"] - exact) <= max(0.005, 4 * found["std_error"])
+    larger = one(kmeans.euclidean_silhouette(df, ["u", "v"], references=4000))
+    assert abs(larger["silhouette"] - exact) < 0.005
+
+
+def test_all_fits_in_few_passes_and_as_good_as_spark_ml(spark, monkeypatch):
+    """At most a hundred passes for all k and starts; no k costs more than the best of as many starts of Spark ML."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(rng.uniform(-4, 4, 3), rng.uniform(0.2, 1), (200, 3)) for _ in range(6)])
+    df = spark.createDataFrame([tuple(map(float, p)) for p in x], "a double, b double, c double")
+    passes = []
+    assign = kmeans._assign
+    monkeypatch.setattr(kmeans, "_assign", lambda *args: passes.append(len(args[2])) or assign(*args))
+    fits = kmeans.fit_many(kmeans.weighted_points(df, ["a", "b", "c"]), ["a", "b", "c"], [2, 4, 6], 5, 42)
+    assert len(fits) == 15 and len(passes) <= 100
+    assert min(passes[5:-1]) < 15  # settled fits drop out
+    vectors = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    for k, fit in kmeans.best_fits(fits).items():
+        costs = [KMeans(k=k, seed=s, maxIter=100).fit(vectors).summary.trainingCost for s in range(5)]
+        assert fit.cost <= min(costs) * (1 + 1e-4)
+        centers = np.array(fit.centers)
+        label = ((x[:, None] - centers[None]) ** 2).sum(-1).argmin(1)
+        assert np.allclose([x[label == c].mean(0) for c in range(k)], centers, atol=1e-3)
+    again = kmeans.fit_many(kmeans.weighted_points(df.repartition(7), ["a", "b", "c"]), ["a", "b", "c"], [4], 2, 42)
+    assert {job: pytest.approx(fit.cost) for job, fit in again.items()} == {
+        job: fit.cost for job, fit in kmeans.fit_many(
+            kmeans.weighted_points(df, ["a", "b", "c"]), ["a", "b", "c"], [4], 2, 42).items()}
+
+
+def test_fits_of_few_and_of_equal_points(spark):
+    df = spark.createDataFrame([(1.0,)] * 5 + [(2.0,)] * 3 + [(9.0,)], "a double")
+    fits = kmeans.best_fits(kmeans.fit_many(kmeans.weighted_points(df, ["a"]), ["a"], [2, 3, 5], 3, 1))
+    assert sorted(c[0] for c in fits[3].centers) == [1.0, 2.0, 9.0] and fits[3].cost == 0
+    assert len(fits[5].centers) == 3 and fits[2].cost == pytest.approx(8 * 0.234375, abs=1e-9)
+
+
 def test_too_many_clusters_are_refused_early(spark):
     with pytest.raises(ValueError, match="1000"):
         cluster_validity(spark.range(1500).selectExpr("id AS cluster", "id AS u"), ["u"])

@@ -3,7 +3,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 import math
+from dataclasses import astuple
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +136,42 @@ def test_fits_beat_start_and_neighbours(spark):
     assert scores[0] > scores[1] and scores[0] >= max(scores[2:]) - 1e-3
 
 
+def test_slopes_and_curvatures_are_derivatives():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 9, 40).astype(float)
+    t_x = np.where(x > 0, rng.integers(0, 200, 40), 0).astype(float)
+    rows = pd.DataFrame({"x": x, "t_x": t_x, "t": t_x + rng.integers(1, 100, 40)})
+    spend = pd.DataFrame({"x": np.maximum(x, 1), "m": rng.gamma(3, 20, 40)})
+    for table, terms, slopes, at in (
+        (rows, clv.bgnbd_terms, clv.bgnbd_slopes, [[1.3, 20, 0.7, 2.5], [0.2, 5, 0.1, 0.3], [4, 900, 0.001, 40]]),
+        (spend, clv.gamma_gamma_terms, clv.gamma_gamma_slopes, [[1.3, 2, 30.0], [5, 0.4, 3], [40, 2.2, 4000]]),
+    ):
+        at = np.array(at, float)
+        value, slope, bend = slopes(table, at)
+        assert np.array_equal(value, terms(table, at))
+        for i in range(at.shape[1]):
+            step = np.zeros_like(at)
+            step[:, i] = 1e-5 * at[:, i]
+            width = 2 * step[:, i][None, :]
+            assert slope[..., i] == pytest.approx((terms(table, at + step) - terms(table, at - step)) / width, rel=1e-4, abs=2e-5)
+            change = (slopes(table, at + step)[1] - slopes(table, at - step)[1]) / width[..., None]
+            assert bend[..., i, :] == pytest.approx(change, rel=1e-4, abs=2e-5)
+
+
+def test_fits_are_flat_at_the_top(spark):
+    """Slopes at the fitted points vanish in every direction that is not held by a bound."""
+    df = simulated(spark)
+    for table, slopes, found, bounds in (
+        (clv.bgnbd_table(df), clv.bgnbd_slopes, astuple(clv.fit_bgnbd(df)), clv.BGNBD_BOUNDS),
+        (clv.gamma_gamma_table(df), clv.gamma_gamma_slopes, astuple(clv.fit_gamma_gamma(df)), clv.GAMMA_GAMMA_BOUNDS),
+    ):
+        rows = table.toPandas()
+        at = np.array([found])
+        slope = np.einsum("n,nps->s", rows["w"].to_numpy(), slopes(rows, at)[1]) * at[0] / rows["w"].sum()
+        for value, (low, high), s in zip(found, bounds, slope):
+            assert abs(s) < 1e-3 or (value == low and s < 0) or (value == high and s > 0)
+
+
 def test_too_few_repeat_buyers(spark):
     df = spark.createDataFrame([("a", 1, 1.0, 2.0, 10.0), ("b", 0, 0.0, 2.0, 30.0)], SUMMARY)
     assert clv.fit_gamma_gamma(df) == clv.GammaGammaParameters(1.5, 3.0, 20.0)

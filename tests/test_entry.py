@@ -26,13 +26,18 @@ def test_fitted_queries_against_sql(spark, sf, monkeypatch):
     from patronage.operators import clusters
 
     fits = []
-    fit = clusters._best_start
-    monkeypatch.setattr(clusters, "_best_start", lambda vectors, k, seed, starts: fits.append((k, starts)) or fit(vectors, k, seed, starts))
+    fit = clusters.fit_many
+    record = lambda points, columns, ks, starts, seed: fits.append((list(ks), starts)) or fit(points, columns, ks, starts, seed)
+    monkeypatch.setattr(clusters, "fit_many", record)
     db, queries, oracles = connect(sf), entry.queries(), entry.oracle_sql()
-    for name, ks in (("K2e_best_k_fitted", range(2, 9)), ("D12_separation_fitted", range(2, 9)), ("K9_fit_rfm_pipeline", [4])):
+    all_ks = list(range(2, 9))
+    for name, ks in (
+        ("K2a_evaluate_k", all_ks), ("K2e_best_k_fitted", all_ks), ("D12_separation_fitted", all_ks),
+        ("K9_fit_rfm_pipeline", [4]), ("B8_fitted_backtest", [4]),
+    ):
         good, note = compare(spark, db, sf, name, queries[name], oracles[name])
         assert good, f"{name}: {note}"
-        assert fits == [(k, 10) for k in ks], name
+        assert fits == [(ks, 10)], name
         fits.clear()
 
 
