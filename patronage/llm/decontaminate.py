@@ -9,12 +9,14 @@ in some stretch of at least ``min_tokens`` tokens the share ``min_share`` of the
 
 A bitmap of the items' hashes keeps windows that cannot match from leaving the scan. It has 64 bits for each
 window, at most ``MAX_BITMAP_BITS`` in all: more items make it less selective, not larger, and the join is exact.
-Hits in one neighbourhood of a document travel as one row with the tokens around them.
+Hits in one neighbourhood of a document travel as one row with the tokens around them; an overlap with a damaged gap of
+over a hundred tokens is reported by its longer part.
 
 An item of fewer than ``min_tokens`` tokens has no such stretch. With ``short_items`` it is leaked by a document that holds
 all its tokens one after the other: such an item has one window, under a mask that looks at all its positions, and the
 documents' windows of the lengths of such items are hashed, too. Without, such items are not looked for.
-Nulls: null texts have no tokens; null ids stay null, rows that share a doc_id are told apart by their text.
+Nulls: null texts have no tokens; null ids stay null, rows that share a doc_id are told apart by 128 bits
+of hashes of their text.
 Empty tables give an empty result.
 """
 
@@ -46,7 +48,7 @@ MAX_BITMAP_BITS = 1 << 28
 #: Windows of the items are broadcast up to this number (24 bytes each); beyond it the planner picks the join.
 BROADCAST_WINDOWS = 1 << 21
 
-_NEAR = "id long, row long, start int, tokens array<long>, places array<int>, hashes array<long>"
+_NEAR = "id long, row long, row2 long, start int, tokens array<long>, places array<int>, hashes array<long>"
 
 
 def find_leaks(
@@ -56,8 +58,8 @@ def find_leaks(
     min_share: float = MIN_SHARE,
     short_items: bool = False,
 ) -> DataFrame:
-    """(id, row, item_id, n_tokens, n_equal): the items that a document leaks, with the longest stretch and how many of
-    its tokens are equal. ``id``/``row`` are the columns of :func:`with_keys`.
+    """(id, row, row2, item_id, n_tokens, n_equal): the items that a document leaks, with the longest stretch and how many of
+    its tokens are equal. The first three are columns of :func:`with_keys`.
 
     ``docs``: doc_id, text; ``items``: item_id, text."""
     if min_tokens < MIN_TOKENS or min_share < MIN_SHARE:
@@ -77,40 +79,44 @@ def find_leaks(
     )
     n = spread.count()
     bitmap = spark.sparkContext.broadcast(_bitmap(spread, n))
-    near = store(with_keys(docs).select("id", "row", "text").mapInArrow(_doc_hits(bitmap, masks), _NEAR))
-    hits = near.select("id", "row", "start", F.explode(F.arrays_zip("places", "hashes")).alias("w")).select(
-        "id", "row", "start", F.col("w.places").alias("place"), F.col("w.hashes").alias("hash")
+    near = store(with_keys(docs).select("id", "row", "row2", "text").mapInArrow(_doc_hits(bitmap, masks), _NEAR))
+    place = ["id", "row", "row2", "start"]
+    hits = near.select(*place, F.explode(F.arrays_zip("places", "hashes")).alias("w")).select(
+        *place, F.col("w.places").alias("place"), F.col("w.hashes").alias("hash")
     )
     side = F.broadcast(spread) if n <= BROADCAST_WINDOWS else spread
     shift = (F.col("place") - F.col("item_place")).alias("shift")
-    aligned = hits.join(side, "hash").select("id", "row", "start", "item_id", shift).distinct()
-    laid = aligned.join(near.select("id", "row", "start", "tokens"), ["id", "row", "start"]).join(
+    # The tokens around a hit travel once for each item, with all the ways the two lie side by side.
+    aligned = hits.join(side, "hash").select(*place, "item_id", shift).groupBy(*place, "item_id")
+    aligned = aligned.agg(F.collect_set("shift").alias("shifts"))
+    laid = aligned.join(near.select(*place, "tokens"), place).join(
         windows.select("item_id", F.col("tokens").alias("item_tokens")), "item_id"
     )
     found = laid.mapInArrow(
-        _verify(min_tokens, min_share), "id long, row long, item_id long, n_tokens long, n_equal long"
+        _verify(min_tokens, min_share), "id long, row long, row2 long, item_id long, n_tokens long, n_equal long"
     )
     best = F.max(F.struct("n_tokens", "n_equal")).alias("best")
-    grouped = found.groupBy("id", "row", "item_id").agg(best)
+    grouped = found.groupBy("id", "row", "row2", "item_id").agg(best)
     item_id = F.when(F.col("item_id") != NULL_ID, F.col("item_id")).alias("item_id")
-    return grouped.select("id", "row", item_id, "best.*")
+    return grouped.select("id", "row", "row2", item_id, "best.*")
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    """(doc, id, row, text): the whole row as a struct, and what identifies it and its text."""
+    """(doc, id, row, row2, text): the whole row as a struct, what identifies it (two hashes of the text), its text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
         known_id().alias("id"),
-        F.crc32(text).alias("row"),
+        F.xxhash64(text).alias("row"),
+        F.xxhash64(F.lit(2), text).alias("row2"),
         text.alias("text"),
     )
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, short_items: bool = False) -> DataFrame:
     """The rows of ``docs`` that leak no item."""
-    leaking = find_leaks(docs, items, short_items=short_items).select("id", "row").distinct()
-    kept = with_keys(docs).drop("text").join(leaking.hint("shuffle_hash"), ["id", "row"], "left_anti")
+    leaking = find_leaks(docs, items, short_items=short_items).select("id", "row", "row2").distinct()
+    kept = with_keys(docs).drop("text").join(leaking.hint("shuffle_hash"), ["id", "row", "row2"], "left_anti")
     return kept.select("doc.*")
 
 
@@ -129,14 +135,15 @@ def longest_stretch(equal: np.ndarray, min_tokens: int, min_share: float) -> tup
     ``min_share`` or more; (0, 0) if there is none."""
     counts = np.append(0, np.cumsum(equal))
     places = np.arange(len(counts))
-    length = places[None, :] - places[:, None]
-    same = counts[None, :] - counts[:, None]
-    # Whole numbers: a share of 0.8 must not fail by rounding.
-    fits = (length >= min_tokens) & (1000 * same >= round(1000 * min_share) * length)
-    if not fits.any():
+    # Whole numbers: a share of 0.8 must not fail by rounding. A stretch fits if this does not fall from its start to its end.
+    level = 1000 * counts - round(1000 * min_share) * places
+    lowest = np.minimum.accumulate(level)
+    start = np.searchsorted(-lowest, -level, side="left")  # the first place that is not above
+    length = places - start
+    best = int(length.max())
+    if best < min_tokens:
         return 0, 0
-    best = int(length[fits].max())
-    return best, int(same[fits & (length == best)].max())
+    return best, int((counts - counts[start])[length == best].max())
 
 
 def _bitmap(windows: DataFrame, n: int) -> np.ndarray:
@@ -205,21 +212,21 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 def _doc_hits(shared, masks: list[str]):
     span = max(map(len, masks))
-    names = ["id", "row", "start", "tokens", "places", "hashes"]
+    names = ["id", "row", "row2", "start", "tokens", "places", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
         for batch in batches:
             for part in chunks(batch, "text"):
                 tokens, bounds = hash_words(*text_bytes(part.column("text")), plain=True, single=True)
-                ids, rows = integers(part.column("id")), integers(part.column("row"))
+                ids, rows, rows2 = (integers(part.column(c)) for c in ("id", "row", "row2"))
                 hits = [_passing(bitmap, tokens, bounds, mask) for mask in masks]
                 place, owner, hashes = (np.concatenate(column) for column in zip(*hits, strict=True))
                 order = np.argsort(place, kind="stable")
                 place, owner, hashes = place[order], owner[order], hashes[order]
                 if not len(place):
                     continue
-                apart = (place[1:] - place[:-1] > span) | (owner[1:] != owner[:-1])
+                apart = (place[1:] - place[:-1] > span + 2 * AROUND) | (owner[1:] != owner[:-1])
                 groups = np.split(np.arange(len(place)), np.flatnonzero(apart) + 1)
                 of = [int(owner[g[0]]) for g in groups]
                 first = [max(int(bounds[o]), int(place[g[0]]) - AROUND) for g, o in zip(groups, of, strict=True)]
@@ -230,6 +237,7 @@ def _doc_hits(shared, masks: list[str]):
                     [
                         pa.array(ids[of]),
                         pa.array(rows[of]),
+                        pa.array(rows2[of]),
                         pa.array([f - int(bounds[o]) for f, o in zip(first, of, strict=True)], pa.int32()),
                         _lists([tokens[f:e] for f, e in zip(first, last, strict=True)], pa.int64()),
                         _lists([place[g] - bounds[o] for g, o in zip(groups, of, strict=True)], pa.int32()),
@@ -245,29 +253,25 @@ def _verify(min_tokens: int, min_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            columns = [batch.column(c) for c in ("id", "row", "item_id", "start", "shift", "tokens", "item_tokens")]
+            names = ("id", "row", "row2", "item_id", "start", "shifts", "tokens", "item_tokens")
+            columns = [batch.column(c) for c in names]
             for i in range(batch.num_rows):
-                *keys, start, shift = (c[i].as_py() for c in columns[:5])
-                doc, item = (c[i].values.to_numpy() for c in columns[5:])
-                # Token j of the item lies beside token j + shift of the document, place j + shift - start of the slice.
-                low, high = max(0, start - shift), min(len(item), start - shift + len(doc))
-                equal = item[low:high] == doc[low + shift - start : high + shift - start]
-                if len(item) < min_tokens:
-                    length = same = len(item) if len(equal) == len(item) and equal.all() else 0
-                else:
-                    length, same = _longest(equal, min_tokens, min_share)
-                if length:
-                    found.append((*keys, length, same))
-            columns = list(zip(*found, strict=True)) or [()] * 5
+                *keys, start = (c[i].as_py() for c in columns[:5])
+                shifts, doc, item = (c[i].values.to_numpy() for c in columns[5:])
+                best = (0, 0)
+                for shift in shifts.tolist():
+                    # Token j of the item lies beside token j + shift of the document, place j + shift - start of the slice.
+                    low, high = max(0, start - shift), min(len(item), start - shift + len(doc))
+                    equal = item[low:high] == doc[low + shift - start : high + shift - start]
+                    if len(item) >= min_tokens:
+                        best = max(best, longest_stretch(equal, min_tokens, min_share))
+                    elif len(equal) == len(item) and equal.all():
+                        best = (len(item), len(item))
+                if best[0]:
+                    found.append((*keys, *best))
+            columns = list(zip(*found, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns], ["id", "row", "item_id", "n_tokens", "n_equal"]
+                [pa.array(c, pa.int64()) for c in columns], ["id", "row", "row2", "item_id", "n_tokens", "n_equal"]
             )
 
     return run
-
-
-def _longest(equal: np.ndarray, min_tokens: int, min_share: float, piece: int = 2048) -> tuple[int, int]:
-    """:func:`longest_stretch` in overlapping pieces, so that a book beside a book takes little memory."""
-    if len(equal) <= piece:
-        return longest_stretch(equal, min_tokens, min_share)
-    return max(longest_stretch(equal[s : s + piece], min_tokens, min_share) for s in range(0, len(equal), piece // 2))

@@ -6,7 +6,7 @@ line that a third of all documents hold is spread over many tasks; runs cut by a
 are settled from two summary rows per partition. The result is a compressed bitmap per document, not text.
 
 Nulls: a null or empty text is one empty line; a null doc_id counts as one document below all
-others. Rows that share a doc_id are told apart by their text. An empty table gives an empty
+others. Rows that share a doc_id are told apart by 128 bits of hashes of their text. An empty table gives an empty
 result, extra columns are carried through.
 """
 
@@ -26,22 +26,22 @@ from patronage.llm.common import block_count, integers, known_id, store, texts
 #: The ASCII white space that is stripped off both ends of a line to get its key.
 BLANKS = " \t\n\v\f\r"
 
-_LINES = "h1 long, h2 long, id long, row long, pos int"
-_STREAM = "kind int, h1 long, h2 long, id long, row long, pos int, docs long"
+_LINES = "h1 long, h2 long, id long, row long, row2 long, pos int"
+_STREAM = "kind int, h1 long, h2 long, id long, row long, row2 long, pos int, docs long"
 _DROP, _OPEN, _SUMMARY = 0, 1, 2
 
 
 def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(id, row, n_dropped, keep) for each document that loses lines; ``id``/``row`` are the columns
+    """(id, row, row2, n_dropped, keep) for each document that loses lines; the first three are the columns
     of :func:`with_keys`, ``keep`` is for :func:`kept_lines`.
 
     A line's key is the line stripped of blanks with A-Z lower-cased. Keys of at least ``min_chars``
     code points in at least ``min_docs`` documents lose their lines except in the largest doc_id."""
-    keyed = with_keys(docs).select("id", "row", "text")
+    keyed = with_keys(docs).select("id", "row", "row2", "text")
     lines = store(keyed.mapInArrow(_emit_lines(min_chars), _LINES))
     ordered = lines.repartitionByRange(
         block_count(docs.sparkSession), F.col("h1"), F.col("h2"), F.col("id").desc()
-    ).sortWithinPartitions("h1", "h2", F.col("id").desc(), "row", "pos")
+    ).sortWithinPartitions("h1", "h2", F.col("id").desc(), "row", "row2", "pos")
     streamed = store(ordered.mapInArrow(_first_occurrences(min_docs), _STREAM))
     # At most two summaries per partition: the bound of this broadcast.
     cut = F.broadcast(
@@ -50,7 +50,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
         .agg(F.sum("docs").alias("all_docs"), F.max("id").alias("first_id"))
         .filter(F.col("all_docs") >= min_docs)
     )
-    place = ["id", "row", "pos"]
+    place = ["id", "row", "row2", "pos"]
     settled = (
         streamed.filter(F.col("kind") == _OPEN)
         .join(cut, ["h1", "h2"])
@@ -58,17 +58,18 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
         .select(place)
     )
     dropped = streamed.filter(F.col("kind") == _DROP).select(place).unionByName(settled)
-    grouped = dropped.groupBy("id", "row").agg(F.collect_set("pos").alias("dropped"))
-    return grouped.mapInArrow(_pack, "id long, row long, n_dropped long, keep binary")
+    grouped = dropped.groupBy("id", "row", "row2").agg(F.collect_set("pos").alias("dropped"))
+    return grouped.mapInArrow(_pack, "id long, row long, row2 long, n_dropped long, keep binary")
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    """(doc, id, row, text): the whole row as a struct, and what identifies it and its text."""
+    """(doc, id, row, row2, text): the whole row as a struct, what identifies it (two hashes of the text), its text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
         known_id().alias("id"),
-        F.crc32(text).alias("row"),
+        F.xxhash64(text).alias("row"),
+        F.xxhash64(F.lit(2), text).alias("row2"),
         text.alias("text"),
     )
 
@@ -77,7 +78,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     """(doc, text, n_lines, n_dropped) for each row of ``docs``: ``doc`` is the row as it was, ``text``
     the lines that stay, joined by a line feed."""
     bitmaps = line_bitmaps(docs, min_chars, min_docs)
-    joined = with_keys(docs).join(bitmaps.hint("shuffle_hash"), ["id", "row"], "left")
+    joined = with_keys(docs).join(bitmaps.hint("shuffle_hash"), ["id", "row", "row2"], "left")
     joined = joined.select("doc", "text", F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), "keep")
     schema = joined.select("doc", "text").schema.add("n_lines", "long").add("n_dropped", "long")
     return joined.mapInArrow(_apply, schema)
@@ -95,7 +96,7 @@ def kept_lines(text: str, keep: bytes | None) -> list[str]:
 def _emit_lines(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = integers(batch.column("id")), integers(batch.column("row"))
+            ids, rows, rows2 = (integers(batch.column(c)) for c in ("id", "row", "row2"))
             digests, owner, places = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 for pos, line in enumerate(text.split("\n")):
@@ -105,20 +106,20 @@ def _emit_lines(min_chars: int):
                         owner.append(i)
                         places.append(pos)
                 if len(digests) > 200_000:
-                    yield _line_batch(digests, ids[owner], rows[owner], places)
+                    yield _line_batch(digests, ids[owner], rows[owner], rows2[owner], places)
                     digests, owner, places = [], [], []
             if digests:
-                yield _line_batch(digests, ids[owner], rows[owner], places)
+                yield _line_batch(digests, ids[owner], rows[owner], rows2[owner], places)
 
     return run
 
 
-def _line_batch(digests, ids, rows, places) -> pa.RecordBatch:
+def _line_batch(digests, ids, rows, rows2, places) -> pa.RecordBatch:
     halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays(
         [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(ids), pa.array(rows),
-         pa.array(places, pa.int32())],
-        ["h1", "h2", "id", "row", "pos"],
+         pa.array(rows2), pa.array(places, pa.int32())],
+        ["h1", "h2", "id", "row", "row2", "pos"],
     )
 
 
@@ -131,7 +132,7 @@ def _first_occurrences(min_docs: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h1, h2, ids, rows, pos = (integers(batch.column(c)) for c in ("h1", "h2", "id", "row", "pos"))
+            h1, h2, ids, rows, rows2, pos = (integers(batch.column(c)) for c in ("h1", "h2", "id", "row", "row2", "pos"))
             ends = np.flatnonzero(np.append((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]), True)) + 1
             starts = np.append(0, ends[:-1])
             # A short run inside the batch can neither reach min_docs nor touch a border.
@@ -149,7 +150,7 @@ def _first_occurrences(min_docs: int):
                 run_ids = ids[s:e]
                 docs += int(np.count_nonzero(run_ids[1:] != run_ids[:-1])) + (last != int(run_ids[0]))
                 last = int(run_ids[-1])
-                part = (h1[s:e], h2[s:e], run_ids, rows[s:e], pos[s:e])
+                part = (h1[s:e], h2[s:e], run_ids, rows[s:e], rows2[s:e], pos[s:e])
                 if opening:
                     out.append(_rows(_OPEN, part))
                 elif docs < min_docs:
@@ -171,11 +172,11 @@ def _rows(kind: int, part: tuple) -> tuple:
 
 
 def _summary(key: tuple[int, int], docs: int, first: int) -> tuple:
-    values = (_SUMMARY, key[0], key[1], first, 0, 0, docs)
+    values = (_SUMMARY, key[0], key[1], first, 0, 0, 0, docs)
     return tuple(np.array([v], t) for v, t in zip(values, _STREAM_TYPES, strict=True))
 
 
-_STREAM_TYPES = (np.int32, np.int64, np.int64, np.int64, np.int64, np.int32, np.int64)
+_STREAM_TYPES = (np.int32, np.int64, np.int64, np.int64, np.int64, np.int64, np.int32, np.int64)
 
 
 def _stream_batch(parts: list[tuple]) -> pa.RecordBatch:
@@ -183,7 +184,7 @@ def _stream_batch(parts: list[tuple]) -> pa.RecordBatch:
         np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate(_STREAM_TYPES)
     ]
     arrays = [pa.array(c.astype(t)) for c, t in zip(columns, _STREAM_TYPES, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, ["kind", "h1", "h2", "id", "row", "pos", "docs"])
+    return pa.RecordBatch.from_arrays(arrays, ["kind", "h1", "h2", "id", "row", "row2", "pos", "docs"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +199,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.append(keep, np.ones(-len(keep) % 8, np.uint8))
             bitmaps.append(zlib.compress(np.packbits(keep, bitorder="little").tobytes()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("row"), pa.array(counts, pa.int64()), pa.array(bitmaps, pa.binary())],
-            ["id", "row", "n_dropped", "keep"],
-        )
+            [batch.column("id"), batch.column("row"), batch.column("row2"), pa.array(counts, pa.int64()),
+             pa.array(bitmaps, pa.binary())],
+            ["id", "row", "row2", "n_dropped", "keep"],
+        )
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -110,7 +110,7 @@ def _encode(tokenizer: str, end_id: int, blanks_count: bool, seed: int):
                 cells = curve_cells(*hash_words(*text_bytes(part.column("text"))), seed)
                 ids = integers(part.column("id"))
                 keys = (cells << 32) | (mix(ids.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-                encoded = [data + end for data in text_encoder.encode(texts(part.column("text")))]
+                encoded = [data + end for data in text_encoder.encode(part.column("text"))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids), pa.array(keys), pa.array([len(e) // width for e in encoded], pa.int64()),
                      pa.array(np.full(len(ids), width, np.int32)), pa.array(encoded, pa.binary())],

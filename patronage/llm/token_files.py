@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.llm.bpe import encoder
-from patronage.llm.common import NULL_ID, by_block, chunks, integers, known_id, ordered_blocks, store, texts
+from patronage.llm.common import NULL_ID, by_block, chunks, integers, known_id, ordered_blocks, store
 from patronage.llm.elias_fano import EliasFano, encode
 
 SEGMENT_IDS = 1 << 20
@@ -73,7 +73,7 @@ def _segments(tokenizer: str, end_id: int, blanks_count: bool, segment_ids: int)
 
         for batch in batches:
             for part in chunks(batch, "text"):
-                encoded = text_encoder.encode(texts(part.column("text")))
+                encoded = text_encoder.encode(part.column("text"))
                 numbers, ids = integers(part.column("block")), integers(part.column("id"))
                 for number, owner, data in zip(numbers.tolist(), ids.tolist(), encoded, strict=True):
                     if parts and (number != block or size >= segment_ids * width):

@@ -56,3 +56,16 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeats of a kept id and copies without id are rows like others; an id comes before none."""
+    prose = [" ".join(f"w{n}x{i}" for i in range(60)) for n in range(4)]
+    near = prose[0].replace("w0x30", "other")
+    rows = [(1, prose[0]), (1, prose[0]), (None, prose[0]), (None, near), (2, near), (None, prose[1]), (None, prose[1]),
+            (7, prose[2]), (7, prose[3]), (None, ""), (None, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.keep_one_of_near_copies(spark, docs.repartition(5), SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted(
+        [(1, prose[0]), (None, prose[1]), (7, prose[2]), (7, prose[3]), (None, ""), (None, None), (3, "")], key=str
+    )
