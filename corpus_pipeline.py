@@ -38,11 +38,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies (five words, similarity of 0.8 or more)."""
-    judged = near_dedup.near_duplicates(docs.select("doc_id", "text"), shingle_words=5, percent=80)
-    gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.select(COLUMNS).join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    return kept.select(COLUMNS)
+    """One row of each group of near copies (five words, similarity of 0.8 or more): that with the smallest doc_id, null ids
+    last, of equal ids any. Rows are linked by a number of their own, so null and repeated ids are rows like others."""
+    numbered = store(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+    judged = near_dedup.near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), shingle_words=5, percent=80)
+    groups = judged.select(F.col("doc_id").alias("_row"), "component_id")
+    ids = numbered.select("_row", "doc_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first")
+    # Groups of one need no more than themselves; the others are few columns.
+    stays = ids.join(groups.hint("shuffle_hash"), "_row").groupBy("component_id").agg(first).select("first._row")
+    return numbered.join(stays.hint("shuffle_hash"), "_row", "left_semi").select(COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
