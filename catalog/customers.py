@@ -28,6 +28,7 @@ from catalog.inputs import (
     rfm_cte,
     scored,
     scored_cte,
+    scratch,
     sql,
 )
 from catalog.registry import query
@@ -42,6 +43,7 @@ from patronage.operators.rfm import (
 )
 from patronage.plans import activation
 from patronage.session import materialize
+from patronage.sources import files
 
 # ---------------------------------------------------------------- metrics and scores
 
@@ -109,6 +111,18 @@ def f2j(spark, d):
     return rfm(spark, d).orderBy(F.desc("monetary"), "customer_id")
 
 
+@query(
+    "F2j_ordered_sink",
+    sql(*RFM, "SELECT row_number() OVER (ORDER BY monetary DESC, customer_id) - 1 AS position, customer_id, monetary FROM rfm"),
+)
+def f2j_sink(spark, d):
+    """The metrics written by spend, and the customer at each place of the files."""
+    uri = files.write_table(
+        rfm(spark, d), scratch(spark, "ordered") + ".parquet", order_by=[F.desc("monetary"), "customer_id"]
+    )
+    return files.with_positions(spark, uri).select("position", "customer_id", "monetary")
+
+
 @query(
     "F3_summary",
     sql(

@@ -19,6 +19,7 @@ from catalog.inputs import (
     r,
     rfm,
     scored,
+    scratch,
     sql,
 )
 from catalog.registry import query
@@ -286,6 +287,18 @@ def d15_lines(spark, d):
     return reports.customer_lines(gross(spark, d, country=True, description=True), "42")
 
 
+@query(
+    "D15_stored_lines",
+    sql(TX, GROSS, "SELECT * FROM gross WHERE customer_id = '42' ORDER BY invoice_date DESC, invoice_no"),
+)
+def d15_stored(spark, d):
+    """All line items stored by customer, and one customer looked up."""
+    path = scratch(spark, "lines")
+    name = "lines_" + path.rsplit("-", 1)[1]
+    reports.store_by_customer(gross(spark, d, country=True, description=True), name, path)
+    return reports.stored_lines(spark, name, " 42 ")
+
+
 @query(
     "D16_preview",
     sql(*LABELS, "SELECT * FROM labeled ORDER BY monetary DESC, customer_id LIMIT 100"),

@@ -261,7 +261,7 @@ LAYOUTS = [
     "M/d/yyyy h:mm a", "dd/MM/yyyy", "MM-dd-yyyy HH:mm", "yyyyMMdd", "yyyy.MM.dd", "MMM d, yyyy", "MMMM d yyyy HH:mm:ss",
     "dd-MMM-yyyy HH:mm", "M/d/yy H:mm", "yyyy/M/d",
 ]
-DAY_FIRST = 1  # only where the day is above 12 can it be told from a month
+DAY_FIRST = 1  # this layout is read with the day first
 
 
 @query(
@@ -269,7 +269,7 @@ DAY_FIRST = 1  # only where the day is above 12 can it be told from a month
     f"""SELECT o_orderkey, CASE WHEN o_orderkey % 10 IN ({', '.join(str(i) for i, x in enumerate(LAYOUTS) if 'm' in x)})
       THEN date_trunc('day', o_orderdate) + to_minutes(CAST(o_orderkey % 1440 AS INTEGER))
       ELSE date_trunc('day', o_orderdate) END AS written
-    FROM orders WHERE o_orderkey % 10 <> {DAY_FIRST} OR day(o_orderdate) > 12""",
+    FROM orders""",
 )
 def c10_layouts(spark, d):
     orders = spark.read.parquet(f"{d}/orders.parquet").selectExpr(
@@ -278,8 +278,10 @@ def c10_layouts(spark, d):
     )
     number = F.col("o_orderkey") % 10
     text = F.coalesce(*[F.when(number == i, F.date_format("t", layout)) for i, layout in enumerate(LAYOUTS)])
-    kept = orders.where((number != DAY_FIRST) | (F.dayofmonth("t") > 12))
-    return kept.select("o_orderkey", parse_date(text, T.StringType()).alias("written"))
+    read = F.when(number == DAY_FIRST, parse_date(text, T.StringType(), day_first=True)).otherwise(
+        parse_date(text, T.StringType())
+    )
+    return orders.select("o_orderkey", read.alias("written"))
 
 KEPT = """kept AS (SELECT * EXCLUDE (removal_reason), quantity * unit_price AS total,
   quantity * unit_price < 0 OR upper(invoice_no) LIKE 'C%' AS is_refund
@@ -354,6 +356,20 @@ def c14(spark, d):
     return cleaning.clean_transactions(raw_lines(spark, d))[0].orderBy("invoice_date")
 
 
+@query(
+    "C14_ordered_sink",
+    sql(
+        *MARKED["gross"], KEPT,
+        "SELECT row_number() OVER (ORDER BY invoice_date) - 1 AS position, invoice_date FROM kept",
+    ),
+)
+def c14_sink(spark, d):
+    """Clean rows written in date order, and the date at each place of the files."""
+    clean = cleaning.clean_transactions(raw_lines(spark, d))[0]
+    uri = files.write_table(clean, scratch(spark, "ordered") + ".parquet", order_by=["invoice_date"])
+    return files.with_positions(spark, uri).select("position", "invoice_date")
+
+
 @query(
     "C15_removal_breakdown",
     sql(

@@ -290,6 +290,29 @@ def k3(spark, d):
     )
 
 
+@query(
+    "K3_resampling_stability",
+    sql(
+        *RFM,
+        "SELECT CAST(seed AS INTEGER) AS seed, (SELECT count(*) FROM rfm) AS customers, true AS stable FROM range(1, 6) AS t(seed)",
+    ),
+)
+def k3_stability(spark, d):
+    """Three clusters of all customers against those of five draws of 90 %: the mean adjusted Rand index is 0.80 or more."""
+    table = materialize(rfm(spark, d))
+    base = clusters.run_kmeans(clusters.preprocess_rfm(table)[0], 3)[0].select("customer_id", "cluster")
+    base = materialize(base)
+    scores = []
+    for seed in range(1, 6):
+        drawn = table.where(F.pmod(F.xxhash64("customer_id", F.lit(seed)), F.lit(10)) > 0)
+        other = clusters.run_kmeans(clusters.preprocess_rfm(drawn)[0], 3)[0]
+        scores.append(clusters.adjusted_rand(base, other, "customer_id"))
+    stable = sum(scores) / len(scores) >= 0.8
+    return spark.createDataFrame(
+        [(seed, table.count(), stable) for seed in range(1, 6)], "seed int, customers bigint, stable boolean"
+    )
+
+
 @query("K4_labeled_customers", sql(*NEAREST, "SELECT customer_id, cluster FROM clustered"))
 def k4(spark, d):
     """Labels by given centres; K3 holds the fitted ones to the same rule."""

@@ -285,6 +285,31 @@ def best_k(evaluation: DataFrame) -> DataFrame:
     )
 
 
+def adjusted_rand(one: DataFrame, other: DataFrame, key: str, cluster: str = "cluster") -> float:
+    """How alike two groupings of the rows in both are: 1 for equal ones, about 0 for unrelated ones. The groups meet in a
+    table of counts, one row for each pair of clusters."""
+    cells = (
+        one.select(key, F.col(cluster).alias("_a"))
+        .join(other.select(key, F.col(cluster).alias("_b")), key)
+        .groupBy("_a", "_b")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()
+    )
+
+    def pairs(counts) -> float:
+        return sum(n * (n - 1) / 2 for n in counts)
+
+    rows, columns = {}, {}
+    for cell in cells:
+        rows[cell["_a"]] = rows.get(cell["_a"], 0) + cell["n"]
+        columns[cell["_b"]] = columns.get(cell["_b"], 0) + cell["n"]
+    together, in_rows, in_columns = pairs(c["n"] for c in cells), pairs(rows.values()), pairs(columns.values())
+    all_pairs = pairs([sum(rows.values())])
+    expected = in_rows * in_columns / all_pairs if all_pairs else 0.0
+    most = (in_rows + in_columns) / 2
+    return 1.0 if most == expected else (together - expected) / (most - expected)
+
+
 def cluster_profiles(clustered: DataFrame) -> DataFrame:
     """Size, revenue, mean and median metrics and shares per cluster."""
     require_columns(clustered, ["cluster", *RFM_FEATURES], "cluster profiles")

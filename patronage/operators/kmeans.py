@@ -1,16 +1,16 @@
 """K-Means fits for many cluster counts and starts at once, and a Euclidean silhouette that is linear in the rows.
 
 Every pass over the points serves all fits that still move: tasks assign their points to the centres of each fit and
-add up, and one row per (fit, cluster) is shuffled. Fits that have settled drop out. Starts are seeded in the same form:
-each start draws points with probability by their squared distance to what it has drawn (k-means||), the points are
-weighed by how many others are nearest to them, and k-means++ on those few gives the centres for every k.
+add up, and one row per (fit, cluster) is shuffled. Fits that have settled drop out; the cheapest of each k then moves on
+until it rests. Centres to start from come from a few thousand points, drawn by their squared distance to those drawn
+before (k-means||) and weighed by how many others are nearest to them: k-means++ and steps among these, per (k, start).
 
 Equal points are one row with a weight. Draws depend on a hash of the point, so a repeated task draws the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,22 +20,20 @@ from pyspark.sql import functions as F
 
 from patronage.session import materialize
 
-# Most Lloyd steps of a fit, movement below which a centre rests, rounds of drawing, points drawn per
-# round for each cluster of the largest k, points so few that all are drawn, tries of k-means++ on the points drawn.
-MAX_STEPS = 85
-REST = 1e-4
-ROUNDS = 2
-DRAWN_PER_CLUSTER = 4
-FEW_POINTS = 64
-TRIES = 8
+# Most Lloyd steps of all fits and of the best ones, movement of all centres (sum of squares, by the
+# features' mean variance) below which a fit has settled and the best one rests, points drawn per round, rounds,
+# points so few that all are drawn, tries of k-means++ per start.
+MAX_STEPS, MAX_LAST_STEPS = 25, 40
+SETTLED, REST = 1e-4, 1e-7
+DRAWN, ROUNDS = 1000, 2
+FEW_POINTS = 2000
+TRIES = 4
 
 #: Points that stand for the clusters in a silhouette, of all clusters together; smaller tables are compared whole.
-REFERENCES = 16_384
+REFERENCES = 8192
 #: Parts of the references that are compared with each other for the error.
 REPLICATES = 16
 
-_CHUNK = 4096
-
 
 @dataclass(frozen=True)
 class KMeansFit:
@@ -48,40 +46,53 @@ class KMeansFit:
         return self.centers
 
 
-def weighted_points(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct points with their number ``w``, stored."""
-    return materialize(df.groupBy(*[F.col(c).cast("double").alias(c) for c in columns]).agg(F.count(F.lit(1)).alias("w")))
+def weighted_points(df: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    """Distinct points (and values of ``more``) with their number ``w``, stored in as many parts as the session shuffles into."""
+    distinct = df.groupBy(*more, *[F.col(c).cast("double").alias(c) for c in columns]).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return materialize(distinct.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def fit_many(
     points: DataFrame, columns: list[str], k_values: list[int], starts: int, seed: int
 ) -> dict[tuple[int, int], KMeansFit]:
-    """A fit for every (k, start) of ``points`` as :func:`weighted_points` returns them."""
-    points = points.select(*columns, F.col("w").cast("double").alias("w")).persist()
+    """A fit for every (k, start) of ``points`` as :func:`weighted_points` returns them; that of the cheapest start of each
+    k has moved until it rests."""
+    points = points.select(*columns, "w").persist()
     try:
-        seeds = _draw_seeds(points, columns, max(k_values), starts, seed)
+        drawn, weight = _draw_seeds(points, columns, seed)
+        variance = float(np.average((drawn - np.average(drawn, 0, weight)) ** 2, 0, weight).mean()) or 1.0
         jobs = [(k, start) for start in range(starts) for k in k_values]
-        rng = {job: np.random.default_rng([seed, *job]) for job in jobs}
-        centers = [_spread(*seeds[start], k, rng[k, start]) for k, start in jobs]
-        moving = list(range(len(jobs)))
-        for _ in range(MAX_STEPS):
-            sums = _assign(points, columns, [centers[i] for i in moving])
-            still = []
-            for place, i in enumerate(moving):
-                n, _, total = sums[place]
-                fresh = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centers[i])
-                if np.square(fresh - centers[i]).sum(1).max() > REST**2:
-                    still.append(i)
-                centers[i] = fresh
-            moving = still
-            if not moving:
-                break
-        costs = [float(cost.sum()) for _, cost, _ in _assign(points, columns, centers)]
+        centers = [_spread(drawn, weight, k, np.random.default_rng([seed, k, start])) for k, start in jobs]
+        everything = range(len(jobs))
+        costs = _move(points, columns, centers, everything, MAX_STEPS, SETTLED * variance)
+        best = [min((i for i in everything if jobs[i][0] == k), key=lambda i: costs[i]) for k in k_values]
+        _move(points, columns, centers, best, MAX_LAST_STEPS, REST * variance)
+        for i, (_, cost, _) in zip(best, _assign(points, columns, [centers[i] for i in best])):
+            costs[i] = float(cost.sum())
     finally:
         points.unpersist()
     return {job: KMeansFit(c.tolist(), cost) for job, c, cost in zip(jobs, centers, costs)}
 
 
+def _move(
+    points: DataFrame, columns: list[str], centers: list[np.ndarray], which: Iterable[int], most: int, rest: float
+) -> list[float]:
+    """Move the centres of fits ``which`` to the means of their points until they move less than ``rest``. Returns the cost
+    of every fit before its last step."""
+    moving, costs = list(which), [np.inf] * len(centers)
+    for _ in range(most):
+        still = []
+        for i, (n, cost, total) in zip(moving, _assign(points, columns, [centers[i] for i in moving])):
+            fresh = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centers[i])
+            if np.square(fresh - centers[i]).sum() > rest:
+                still.append(i)
+            centers[i], costs[i] = fresh, float(cost.sum())
+        moving = still
+        if not moving:
+            break
+    return costs
+
+
 def best_fits(fits: dict[tuple[int, int], KMeansFit]) -> dict[int, KMeansFit]:
     """The cheapest start of each k; of equal ones the first."""
     best: dict[int, KMeansFit] = {}
@@ -109,13 +120,14 @@ def _assign(
     sizes = [len(c) for c in centers]
     first = np.cumsum([0, *sizes])
     d = len(columns)
+    chunk = max(256, min(4096, (1 << 21) // max(sizes)))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((first[-1], 2 + d))
         for batch in batches:
             everything, weights = _matrix(batch, columns), batch.column("w").to_numpy(zero_copy_only=False)
-            for begin in range(0, batch.num_rows, _CHUNK):
-                x, w = everything[begin : begin + _CHUNK], weights[begin : begin + _CHUNK]
+            for begin in range(0, batch.num_rows, chunk):
+                x, w = everything[begin : begin + chunk], weights[begin : begin + chunk]
                 measures = np.column_stack([w, w, x * w[:, None]])
                 for low, high, at in zip(first[:-1], first[1:], centers):
                     label, square = _nearest(x, at)
@@ -141,87 +153,69 @@ def _uniform(columns: list[str], *salt: Column | int) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 53)
 
 
-def _draw_seeds(
-    points: DataFrame, columns: list[str], k: int, starts: int, seed: int
-) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each start: drawn points and how many rows are nearest to each."""
+def _draw_seeds(points: DataFrame, columns: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Drawn points and how many rows are nearest to each: all points if they are few."""
     few = points.limit(FEW_POINTS + 1).collect()
     if len(few) <= FEW_POINTS:
         few.sort(key=lambda row: [row[c] for c in columns])
-        every = np.array([[row[c] for c in columns] for row in few])
-        return [(every, np.array([row["w"] for row in few]))] * starts
-    # One row of each start with equal chances for all rows: the smallest of exponential numbers.
-    each = F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("start")
-    race = points.select("*", each).withColumn(
-        "rank", -F.log(_uniform(columns, F.col("start"), seed)) / F.col("w")
-    )
-    first = race.groupBy("start").agg(F.min_by(F.struct(*columns), F.struct("rank", *columns)).alias("p")).collect()
-    drawn = [np.zeros((0, len(columns)))] * starts
-    for row in first:
-        drawn[row["start"]] = np.array([list(row["p"])])
-    for step in range(10):
-        if step >= ROUNDS and min(map(len, drawn)) >= k:
-            break
-        costs = np.array([cost.sum() for _, cost, _ in _assign(points, columns, drawn)])
-        if not costs.any():
+        return np.array([[row[c] for c in columns] for row in few]), np.array([row["w"] for row in few])
+    # The first with equal chances for all rows: the smallest of exponential numbers.
+    race = points.select("*", (-F.log(_uniform(columns, seed)) / F.col("w")).alias("rank"))
+    first = race.agg(F.min_by(F.struct(*columns), F.struct("rank", *columns)).alias("p")).first()["p"]
+    drawn = np.array([list(first)])
+    for step in range(ROUNDS):
+        ((_, cost, _),) = _assign(points, columns, [drawn])
+        if not cost.sum():
             break
-        found = _draw(points, columns, drawn, DRAWN_PER_CLUSTER * k / np.maximum(costs, 1e-300), seed + 1 + step)
-        drawn = [np.unique(np.vstack([old, new]), axis=0) for old, new in zip(drawn, found)]
-    return [(at, n) for at, (n, _, _) in zip(drawn, _assign(points, columns, drawn))]
+        drawn = np.unique(np.vstack([drawn, _draw(points, columns, drawn, DRAWN / cost.sum(), seed + 1 + step)]), axis=0)
+    ((n, _, _),) = _assign(points, columns, [drawn])
+    return drawn, n
 
 
-def _draw(
-    points: DataFrame, columns: list[str], drawn: list[np.ndarray], rate: np.ndarray, seed: int
-) -> list[np.ndarray]:
-    """For each start, points by chances of ``rate`` times their weighted squared distance to what is drawn."""
-    d = len(columns)
-    keyed = points.select("*", *[_uniform(columns, i, seed).alias(f"u{i}") for i in range(len(drawn))])
+def _draw(points: DataFrame, columns: list[str], drawn: np.ndarray, rate: float, seed: int) -> np.ndarray:
+    """Points by chances of ``rate`` times their weighted squared distance to what is drawn."""
+    keyed = points.select(*columns, "w", _uniform(columns, seed).alias("u"))
+    schema = keyed.select(*columns).schema
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, w = _matrix(batch, columns), batch.column("w").to_numpy(zero_copy_only=False)
-            starts, rows = [], []
-            for start, at in enumerate(drawn):
-                chance = -np.expm1(-rate[start] * w * _nearest(x, at)[1])
-                chosen = np.flatnonzero(batch.column(f"u{start}").to_numpy(zero_copy_only=False) < chance)
-                starts += [start] * len(chosen)
-                rows.append(x[chosen])
-            found = np.vstack(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(starts, pa.int32()), *[pa.array(found[:, i].copy()) for i in range(d)]],
-                ["start", *[f"x{i}" for i in range(d)]],
-            )
-
-    names = [f"x{i}" for i in range(d)]
-    # About DRAWN_PER_CLUSTER * k points for each start, whatever the table.
-    rows = keyed.mapInArrow(choose, "start int, " + ", ".join(f"{n} double" for n in names)).collect()
-    out: list[list[list[float]]] = [[] for _ in drawn]
-    for row in rows:
-        out[row["start"]].append([row[n] for n in names])
-    return [np.array(found).reshape(-1, d) for found in out]
+            square = np.concatenate([_nearest(x[i : i + 1024], drawn)[1] for i in range(0, len(x), 1024)] or [w])
+            chosen = batch.column("u").to_numpy(zero_copy_only=False) < -np.expm1(-rate * w * square)
+            yield batch.select(columns).filter(pa.array(chosen))
+
+    # About DRAWN points, whatever the table.
+    rows = keyed.mapInArrow(choose, schema).collect()
+    return np.array([list(row) for row in rows]).reshape(-1, len(columns))
 
 
 def _spread(at: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """The best of several tries of k-means++ on a few weighted points, each with some steps among them."""
-    tries = [_spread_once(at, weight, k, rng) for _ in range(TRIES)]
-    return min(tries, key=lambda centers: float(weight @ _nearest(at, centers)[1]))
+    """The best of some tries of k-means++ on weighted points, moved among them until it rests."""
+    tries = [_steps(at, weight, _plus_plus(at, weight, k, rng), 3) for _ in range(TRIES)]
+    best = min(tries, key=lambda centers: float(weight @ _nearest(at, centers)[1]))
+    return _steps(at, weight, best, 50)
 
 
-def _spread_once(at: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+def _plus_plus(at: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     chosen = [int(rng.choice(len(at), p=weight / weight.sum()))]
+    square = np.square(at - at[chosen[0]]).sum(1)
     while len(chosen) < min(k, len(at)):
-        chance = weight * _nearest(at, at[chosen])[1]
+        chance = weight * square
         if chance.sum() <= 0:
             break
         chosen.append(int(rng.choice(len(at), p=chance / chance.sum())))
-    centers = at[chosen].copy()
-    for _ in range(30):
+        square = np.minimum(square, np.square(at - at[chosen[-1]]).sum(1))
+    return at[chosen].copy()
+
+
+def _steps(at: np.ndarray, weight: np.ndarray, centers: np.ndarray, most: int) -> np.ndarray:
+    for _ in range(most):
         label = _nearest(at, centers)[0]
         n = np.bincount(label, weight, len(centers))
         total = np.column_stack([np.bincount(label, weight * at[:, i], len(centers)) for i in range(at.shape[1])])
         fresh = np.where(n[:, None] > 0, total / np.where(n > 0, n, 1)[:, None], centers)
-        if np.array_equal(fresh, centers):
-            break
+        if np.abs(fresh - centers).max() < 1e-3:
+            return fresh
         centers = fresh
     return centers
 
@@ -237,7 +231,7 @@ def euclidean_silhouette(
     """
     coords = [F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
     names = [f"x{i}" for i in range(len(features))]
-    points = materialize(df.groupBy(F.col(cluster).alias("label"), *coords).agg(F.count(F.lit(1)).cast("double").alias("w")))
+    points = weighted_points(df.select(F.col(cluster).alias("label"), *coords), names, F.col("label"))
     centers = points.groupBy("label").agg(
         F.sum("w").alias("size"), *[(F.sum(F.col(n) * F.col("w")) / F.sum("w")).alias(f"c{i}") for i, n in enumerate(names)]
     )
@@ -283,7 +277,7 @@ def _widths(references: list, names: list[str], sizes: np.ndarray) -> Callable[[
     group = np.array([r["_c"] * REPLICATES + r["part"] for r in order])
     edges = np.searchsorted(group, np.arange(k * REPLICATES + 1))
     weights = np.bincount(group, weight, k * REPLICATES).reshape(k, REPLICATES)
-    all_weights = weights.sum(1)
+    all_weights, lengths = weights.sum(1), (at**2).sum(1)
 
     def width(away: np.ndarray, label: np.ndarray) -> np.ndarray:
         """``away``: mean distance of each row to all members of each cluster, itself included."""
@@ -302,9 +296,7 @@ def _widths(references: list, names: list[str], sizes: np.ndarray) -> Callable[[
             labels, rows = batch.column("_c").to_numpy(zero_copy_only=False), batch.column("w").to_numpy(zero_copy_only=False)
             for begin in range(0, batch.num_rows, 256):
                 x, label, w = (part[begin : begin + 256] for part in (everything, labels, rows))
-                square = np.zeros((len(x), len(at)))
-                for i in range(at.shape[1]):
-                    square += np.square(x[:, i, None] - at[None, :, i])
+                square = np.maximum((x**2).sum(1)[:, None] - 2 * (x @ at.T) + lengths, 0.0)
                 sums = np.add.reduceat(np.pad(np.sqrt(square) * weight, ((0, 0), (0, 1))), edges[:-1], axis=1)
                 sums[:, edges[:-1] == edges[1:]] = 0
                 sums = sums.reshape(len(x), k, REPLICATES)

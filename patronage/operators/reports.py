@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from patronage.schema import RFM_FEATURES
 
 # Silhouette score from which a separation verdict holds.
 SEPARATION_VERDICTS = [(0.50, "strong"), (0.35, "moderate"), (0.20, "weak")]
+FILES_PER_BUCKET = 4
 HISTOGRAM_BINS = {"recency": 30, "frequency": 25, "monetary": 30}
 
 
@@ -221,17 +222,20 @@ def customer_timeline(transactions: DataFrame, customer_id: str) -> DataFrame:
 def customer_percentiles(rfm: DataFrame) -> DataFrame:
     """Share of customers each customer equals or beats, per metric, one digit.
 
-    Distinct values are ranked by counting, so no window spans all customers. With one digit there are
-    at most 1001 shares: the values where they change go to the driver, and each customer's share is
+    Distinct values of all metrics are ranked by counting in one job, so no window spans all customers. With one digit there
+    are at most 1001 shares a metric: the values where they change go to the driver, and each customer's share is
     found among them without a shuffle, however many customers have one value.
     """
+    ranks = value_ranks(unpivot_metrics(rfm, [], list(RFM_FEATURES)), ["metric"], "value")
+    beaten = F.when(F.col("metric") == "recency", F.col("total") - F.col("n_below")).otherwise(F.col("n_upto"))
+    percent = round_to(beaten / F.col("total") * 100, 1).alias("share")
+    steps: dict[str, list[tuple[float, float]]] = {metric: [] for metric in RFM_FEATURES}
+    found = ranks.select("metric", "value", percent).groupBy("metric", "share").agg(F.min("value").alias("from"))
+    for row in found.collect():
+        steps[row["metric"]].append((row["from"], row["share"]))
     result = rfm
     for metric, name in zip(RFM_FEATURES, ["recency_pct", "frequency_pct", "monetary_pct"]):
-        ranks = value_ranks(rfm.select(F.col(metric).cast("double").alias("_v")), [], "_v")
-        beaten = F.col("total") - F.col("n_below") if metric == "recency" else F.col("n_upto")
-        percent = round_to(beaten / F.col("total") * 100, 1).alias("share")
-        steps = ranks.select("_v", percent).groupBy("share").agg(F.min("_v").alias("from")).collect()
-        result = _with_share(result, metric, name, sorted((row["from"], row["share"]) for row in steps))
+        result = _with_share(result, metric, name, sorted(steps[metric]))
     return result
 
 
@@ -259,6 +263,29 @@ def customer_lines(transactions: DataFrame, customer_id: str) -> DataFrame:
     return own.orderBy(F.desc("invoice_date"), "invoice_no")
 
 
+def store_by_customer(transactions: DataFrame, name: str, path: str, buckets: int | None = None) -> None:
+    """Store line items as table ``name`` at ``path`` so that one customer is looked up without a scan of the others: in
+    buckets by customer, sorted by customer and date, with Bloom filters on the id.
+
+    ``buckets`` defaults to the session's shuffle partitions. A bucket is written by up to ``FILES_PER_BUCKET`` tasks, so
+    that a customer with a large share of the lines is not a single task."""
+    spark = transactions.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = transactions.withColumn("customer_id", strip(F.col("customer_id").cast("string")))
+    dealt = keyed.withColumn("_deal", F.pmod(F.monotonically_increasing_id(), F.lit(FILES_PER_BUCKET)))
+    # The hash of the bucket first, so that a task holds few buckets and files stay few.
+    bucket = F.pmod(F.hash("customer_id"), F.lit(buckets))
+    spread = dealt.repartition(buckets, bucket, "_deal").drop("_deal")
+    writer = spread.write.bucketBy(buckets, "customer_id").sortBy("customer_id", "invoice_date")
+    writer.option("parquet.bloom.filter.enabled#customer_id", "true").option("path", path).saveAsTable(name)
+
+
+def stored_lines(spark: SparkSession, name: str, customer_id: str) -> DataFrame:
+    """Line items of a customer, newest first, from a table of :func:`store_by_customer`: one bucket of it is read."""
+    own = spark.table(name).where(F.col("customer_id") == F.lit(customer_id.strip()))
+    return own.orderBy(F.desc("invoice_date"), "invoice_no")
+
+
 def preview(labeled: DataFrame, rows: int = 100) -> DataFrame:
     """The biggest spenders first, as the labeled table is ordered."""
     return labeled.orderBy(F.desc("monetary"), "customer_id").limit(rows)

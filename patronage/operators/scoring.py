@@ -6,6 +6,7 @@ import json
 import re
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from patronage.schema import RFM_FEATURES
 from patronage.session import small_lookup
 
 UNCLASSIFIED = "Unclassified"
+#: Folder next to the versions whose files say which numbers are taken.
+CLAIMS = "_claims"
 VERSION_SCHEMA = (
     "version_id string, created_at string, k int, inertia double, silhouette_score double, "
     "feature_names array<string>, customer_count bigint, cluster_map map<string,string>, "
@@ -55,6 +58,32 @@ def _entries(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     return names
 
 
+def _claim_number(spark: SparkSession, folder: str) -> int:
+    """The next version number, claimed by creating a file that was not there: of savers at one time each gets another.
+
+    Numbers of versions without a claim, from before, count as taken."""
+    found = [re.match(r"v(\d+)(_|$)", name) for name in [*_entries(spark, folder, "*"), *_entries(spark, folder, f"{CLAIMS}/*")]]
+    number = 1 + max([int(m.group(1)) for m in found if m], default=0)
+    jvm = spark.sparkContext._jvm
+    claims = jvm.org.apache.hadoop.fs.Path(f"{folder}/{CLAIMS}")
+    system = claims.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(claims)
+    local = system.getScheme() == "file"
+    while True:
+        path = jvm.org.apache.hadoop.fs.Path(claims, f"v{number}")
+        try:
+            if local:
+                # Hadoop's local file system looks and then creates; this does both at once.
+                open(path.toUri().getPath(), "xb").close()
+            else:
+                system.create(path, False).close()
+            return number
+        except (FileExistsError, Py4JJavaError) as error:
+            if isinstance(error, Py4JJavaError) and not system.exists(path):
+                raise
+            number += 1
+
+
 def save_model_version(
     model: SegmentModel,
     mapping: DataFrame,
@@ -71,8 +100,7 @@ def save_model_version(
     if not isinstance(model, SegmentModel):
         raise TypeError("Only a SegmentModel can be saved as a version.")
     spark = mapping.sparkSession
-    numbers = [re.match(r"v(\d+)_", name) for name in _entries(spark, folder, "*")]
-    number = 1 + max([int(m.group(1)) for m in numbers if m], default=0)
+    number = _claim_number(spark, folder)
     now, k = datetime.now(timezone.utc), model.k
     version = f"v{number}_k{k}_{now:%Y%m%d_%H%M%S}"
 

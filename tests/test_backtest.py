@@ -162,6 +162,20 @@ def test_versions(spark, bundle, rfm_base, tmp_path):
         scoring.save_model_version(loaded.pipeline, names, folder)
 
 
+def test_savers_at_one_time_get_numbers_of_their_own(spark, bundle, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    model, mapping, _ = bundle
+    folder = str(tmp_path / "models")
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        numbers = list(pool.map(lambda _: scoring._claim_number(spark, folder), range(40)))
+    assert sorted(numbers) == list(range(1, 41))
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        names = list(pool.map(lambda _: scoring.save_model_version(model, mapping, folder), range(8)))
+    assert {int(name[1:].split("_")[0]) for name in names} == set(range(41, 49))
+    assert scoring.list_model_versions(spark, folder).count() == 8
+
+
 def test_whole_segmentation(spark, sf):
     from catalog.inputs import raw_lines
 

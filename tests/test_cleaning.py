@@ -223,3 +223,28 @@ def test_stream_is_cleaned_like_a_table(spark, tmp_path):
     assert [r["customer_id"] for r in spark.table("cleaned").collect()] == ["1"]
     with pytest.raises(ValueError):
         clean_stream(stream, policy=CleaningPolicy(remove_duplicates=True))
+
+
+def test_copies_in_a_stream_go_within_the_bound(spark, tmp_path):
+    """A copy in the same batch and one within the watermark go; what is later than the watermark is dropped as late."""
+    row = ("1", "10", "2023-01-05", "2", "5")
+    batches = [
+        [row, row, ("2", "11", "2023-01-05", "1", "5")],
+        [row, ("3", "12", "2023-01-06", "1", "5")],
+        [("4", "13", "2023-02-01", "1", "5")],
+        [row, ("5", "14", "2023-02-01", "1", "5"), ("4", "13", "2023-02-01", "1", "5")],
+    ]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(TEXT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    policy = CleaningPolicy(remove_duplicates=True)
+    for i, rows in enumerate(batches):
+        text_rows(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = (
+            clean_stream(stream, policy=policy, watermark="3 days").writeStream.format("parquet")
+            .option("checkpointLocation", str(tmp_path / "cp")).start(str(tmp_path / "out"))
+        )
+        query.processAllAvailable()
+        query.stop()
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r["customer_id"] for r in found.collect()) == ["1", "2", "3", "4", "5"]
+    assert "_instant" not in found.columns

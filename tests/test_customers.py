@@ -301,3 +301,27 @@ def test_timeline(transactions):
     plain = reports.customer_timeline(df.drop("description"), "1").collect()
     assert plain[1]["distinct_products"] == 2
     assert [r["invoice_no"] for r in reports.customer_lines(df, " 1 ").collect()] == ["10", "10", "9"]
+
+
+def test_lookup_reads_one_bucket(spark, tmp_path):
+    lines = spark.range(3000).selectExpr(
+        "cast(if(id % 3 = 0, 1, id % 97) as string) AS customer_id", "cast(id as string) AS invoice_no",
+        "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, cast(id as int)) AS invoice_date",
+    )
+    name = "lookup_lines"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    reports.store_by_customer(lines, name, str(tmp_path / "t"), buckets=16)
+    try:
+        found = reports.stored_lines(spark, name, " 1 ")
+        # The plan names the buckets only where it keeps their order; files of other buckets are left out either way.
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+        shown = reports.stored_lines(spark, name, "1")._jdf.queryExecution().toString()
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+        assert "SelectedBucketsCount: 1 out of 16" in shown
+        assert [r["invoice_no"] for r in found.collect()] == [
+            r["invoice_no"] for r in reports.customer_lines(lines, "1").collect()]
+        assert spark.table(name).count() == 3000
+        hot = spark.table(name).where("customer_id = '1'").selectExpr("_metadata.file_name AS f").distinct().count()
+        assert 1 < hot <= reports.FILES_PER_BUCKET
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

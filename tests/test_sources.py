@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from patronage.schema import COLUMN_ALIASES
 from patronage.sources import files
@@ -45,6 +46,34 @@ def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
         files.read_csv(spark, str(tmp_path), encoding="UTF-8").collect()
 
 
+def test_csv_cells_are_read_as_spark_reads_them(spark, tmp_path):
+    """Quotes, blanks, empty and missing cells, byte-order marks, odd headers: as the reader for one header gives them."""
+    text = (
+        '\ufeffid,"name, full",Note,note,\n1,"a ""b"" c",,x,\n2,"",  spaced  ,,z\n\n3,only\n4,"é, ü",ok,"q",last,too many\n'
+        '5,plain,end\r\n'
+    )
+    (tmp_path / "a.csv").write_bytes(text.encode("utf-8"))
+    reader = spark.read.option("header", True).option("escape", '"')
+    expected = reader.csv(str(tmp_path / "a.csv"))
+    found = files.read_csv(spark, str(tmp_path))
+    assert [c.lower() for c in found.columns] == [c.lower() for c in expected.columns]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
+
+
+def test_a_file_of_many_parts_keeps_one_encoding(spark, tmp_path):
+    """A Latin-1 byte near the end decides for the whole file, however many tasks read it."""
+    head = "id,name\n" + "".join(f"{i},plain name {i}\n" for i in range(3000))
+    (tmp_path / "l.csv").write_bytes((head + "9999,Caf\xe9 Â£\n").encode("latin-1"))
+    (tmp_path / "u.csv").write_bytes(("name,id\n" + "".join(f"Café {i},{i}\n" for i in range(3000))).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = {(r["id"], r["name"]) for r in files.read_csv(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 6001 and ("9999", "Café Â£") in rows and ("7", "Café 7") in rows and ("7", "plain name 7") in rows
+
+
 def test_a_mixture_of_formats_is_refused(spark, tmp_path):
     spark.range(3).coalesce(1).write.parquet(str(tmp_path / "t"))
     (tmp_path / "t" / "a.csv").write_text("id\n1\n")
@@ -115,6 +144,25 @@ def test_write_guards(spark, tmp_path):
         files.write_table(None, str(tmp_path / "x"))
 
 
+def test_ordered_sink(spark, tmp_path):
+    """Files by name, and rows in them, follow the order; a value that half of the rows share lies in several files."""
+    rows = spark.range(4000).selectExpr("if(id % 2 = 0, 7, (id * 7919) % 4000) AS v", "id")
+    uri = files.write_table(rows.repartition(5), str(tmp_path / "t.parquet"), order_by=["v"])
+    placed = files.with_positions(spark, uri).orderBy("position").collect()
+    assert [r["position"] for r in placed] == list(range(4000))
+    assert [r["v"] for r in placed] == sorted(r["v"] for r in rows.collect())
+    assert sorted(r["id"] for r in placed) == list(range(4000))
+    names = spark.read.parquet(uri).where("v = 7").selectExpr("_metadata.file_name AS f").distinct().count()
+    assert names > 1
+    down = files.write_table(rows, str(tmp_path / "d"), fmt="csv", order_by=[F.desc("v"), "id"])
+    lines = []
+    for file in sorted((tmp_path / "d").glob("part-*.csv")):
+        lines += [tuple(map(int, line.split(","))) for line in file.read_text().splitlines()[1:]]
+    assert down and lines == sorted(((r["v"], r["id"]) for r in rows.collect()), key=lambda x: (-x[0], x[1]))
+    with pytest.raises(ValueError, match="in order"):
+        files.write_table(rows, uri, mode="append", order_by=["v"])
+
+
 def test_object_uri():
     assert files.object_uri("s3://bucket/", "/folder/a.parquet") == "s3a://bucket/folder/a.parquet"
     with pytest.raises(ValueError):
