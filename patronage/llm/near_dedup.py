@@ -10,8 +10,8 @@ Equal sets are one class from the start, whatever the number of copies. The othe
 documents: documents that share bands mostly get one label, and a label's documents are sliced by a hash. Every two cells
 that have a band in common make a unit, the work of one task, whose memory is bounded by two cells. Each pair of documents with a
 common band meets in just one unit. There, pairs are tried from the most alike on, and only if they
-are not connected yet; a unit returns the links that connect its documents, fewer than it has documents,
-so neither pairs nor links grow with the square of a group.
+are not connected yet; a unit returns the links that connect its documents, fewer than it has documents. A document is a
+row in each unit of its cell, so m near copies of one text make about m * m / 1024 rows in all, over as many tasks.
 
 Nulls: a null or empty text has no shingles and is linked with nothing; a row without doc_id is a group of its own
 (component null, kept). Rows with one doc_id count as one document that has the links of all of them.
