@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,7 +50,9 @@ def running(
             for n, (kind, _) in measures.items()
         ],
     )
-    joined = local.join(carried, parts, "left")
+    # The first block of a group, often the only one, has nothing before it.
+    before = [F.col(f"_{n}_before").isNotNull() for n in measures]
+    joined = local.join(carried.where(reduce(or_, before)), parts, "left")
     combined = {n: COMBINE[kind](F.col(n), F.col(f"_{n}_before")) for n, (kind, _) in measures.items()}
     return joined.withColumns(combined).drop(*[f"_{n}_before" for n in measures])
 
